@@ -9,13 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 from .bpe import op7_bpe_round_trip
 from .neardup import op3_near_duplicates
 from .packing import op10_best_fit_packing
+from .pii import op1_personal_data
 from .quality import op8_quality_rules
 from .suffixdedup import op4_suffix_array_dedup
 from .tokencount import op5_token_counts
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op3_near_duplicates, op4_suffix_array_dedup, op5_token_counts, op7_bpe_round_trip, op8_quality_rules, op10_best_fit_packing]
+    found = [op1_personal_data, op3_near_duplicates, op4_suffix_array_dedup, op5_token_counts, op7_bpe_round_trip, op8_quality_rules, op10_best_fit_packing]
     return {f.__name__: f for f in found}
 
 
