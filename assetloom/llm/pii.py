@@ -34,7 +34,7 @@ _VALID = {
     "phone": "length(regexp_replace(x.t, '[^0-9]', '')) BETWEEN 9 AND 15",
 }
 #: A label with its value (`mail: x`, `tel=x`), and two words before a value with a digit or an at sign.
-_LABEL = r"(?<![A-Za-z0-9_])[A-Za-z][A-Za-z_-]{1,20}+\x20?[:=#]\x20?[\"']?[^" + _S + r"\"'<>,;]{4,64}"
+_LABEL = r"(?<![A-Za-z0-9_])[A-Za-z][A-Za-z_-]{1,20}+\x20?[:=#]\x20?[\"']?[^" + _S + r"\"'<>,;]{2,64}"
 _LABEL_HEAD = r"^[A-Za-z_-]+\x20?[:=#]\x20?[\"']?"
 _WORDS = rf"(?<![^{_S}])[^{_S}]++\x20[^{_S}]++\x20(?=[^{_S}]*[0-9@])[^{_S}]++"
 _WORDS_HEAD = rf"^[^{_S}]++\x20[^{_S}]++\x20[(\[<\"']*"
@@ -128,7 +128,7 @@ def personal_data(docs: DataFrame, b: Bootstrap = Bootstrap(), *, id_col: str =
     found = stored(found, "pii-spans")
     each = found.select("id", "text_key", F.explode("cand").alias("c")).select("id", "text_key", "c.s", "c.e", "c.pattern", "c.value", "c.kind")
     patterns = confident_patterns(each.select("pattern", "value", "kind"), b).select("pattern", F.col("kind").alias("k"))
-    fresh = each.where("kind IS NULL").join(patterns, "pattern").select(F.col("id").alias("f_id"), F.col("text_key").alias("f_key"), F.struct("s", F.col("k").cast("int").alias("k"), "e").alias("span"))
+    fresh = each.where("kind IS NULL AND e - s >= 4").join(patterns, "pattern").select(F.col("id").alias("f_id"), F.col("text_key").alias("f_key"), F.struct("s", F.col("k").cast("int").alias("k"), "e").alias("span"))
     fresh = fresh.groupBy("f_id", "f_key").agg(F.collect_set("span").alias("more"))
     rows = found.select("id", "text_key", "base").join(fresh, F.col("id").eqNullSafe(F.col("f_id")) & (F.col("text_key") == F.col("f_key")), "left")
     spans = F.when(F.col("more").isNull(), F.col("base")).otherwise(F.array_sort(F.concat("base", "more")))
