@@ -23,6 +23,8 @@ from .tokens import DEFAULT, vocabulary_path
 
 SPACE, LETTER, NUMBER, OTHER = 0, 1, 2, 3
 _NONE = np.int64(1 << 40)
+#: Text bytes that share one pair index, and ids decoded at a time.
+INDEX_BYTES, DECODE_IDS = 8 << 20, 1 << 18
 
 
 def byte_symbols() -> dict[str, int]:
@@ -208,10 +210,11 @@ class Slice:
         start = word_starts(points, voc.char_classes(points), first[:n]) if n else np.zeros(0, bool)
         start |= first[:n]
         start &= ~inside[:n]
-        self.starts = at[np.flatnonzero(start)]
-        self.ends = np.append(self.starts[1:], len(data)) if len(self.starts) else self.starts
-        self.per_text = np.diff(np.searchsorted(self.starts, offsets))
-        self.hashes = Rolling(data).ranges(self.starts, self.ends)
+        starts = at[np.flatnonzero(start)]
+        ends = np.append(starts[1:], len(data)) if len(starts) else starts
+        self.per_text = np.diff(np.searchsorted(starts, offsets))
+        self.hashes = Rolling(data).ranges(starts, ends)
+        self.starts, self.ends = starts.astype(np.int32), ends.astype(np.int32)
         self.forced = {int(np.searchsorted(self.starts, begin)): token for begin, _, token in marks}
 
     @staticmethod
@@ -240,7 +243,8 @@ def encode(docs: DataFrame, *, text_col: str = "text", id_col: str = "doc_id", v
     def run(batches):
         voc = vocabulary(vocabulary_file)
         for batch in batches:
-            yield from _encode_batch(voc, batch)
+            for part in byte_slices(batch, "text", INDEX_BYTES):
+                yield from _encode_batch(voc, part)
 
     rows = docs.selectExpr(f"`{id_col}` AS id", f"`{text_col}` AS text")
     return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, ids array<int>").withColumnRenamed("id", id_col)
@@ -265,8 +269,8 @@ def _encode_batch(voc: Vocabulary, batch: pa.RecordBatch):
     texts, lengths = [], []
     for k, (_, s) in enumerate(cut):
         mine = at[order[np.searchsorted(where[order], k) : np.searchsorted(where[order], k, "right")]]
-        size = s.ends[mine] - s.starts[mine]
-        texts.append(s.data[ragged(s.starts[mine], size)])
+        size = (s.ends[mine] - s.starts[mine]).astype(np.int64)
+        texts.append(s.data[ragged(s.starts[mine].astype(np.int64), size)])
         lengths.append(size)
     offsets = np.concatenate(([0], np.cumsum(np.concatenate(lengths))))
     flat, counts = merge_words(voc, np.concatenate(texts), offsets)
@@ -298,18 +302,22 @@ def decode(rows: DataFrame, *, ids_col: str = "ids", vocabulary_file: str = DEFA
 
     def run(batches):
         voc = vocabulary(vocabulary_file)
-        for batch in batches:
-            col = batch.column(ids_col)
-            flat = col.flatten().fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
-            sizes = col.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            flat = np.where((flat >= 0) & (flat < len(voc.lengths)), flat, len(voc.lengths))
-            lengths, starts = np.append(voc.lengths, 0), np.append(voc.starts, 0)
+        lengths, starts = np.append(voc.lengths, 0), np.append(voc.starts, 0)
+        for whole in batches:
+            sizes = whole.column(ids_col).value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
             ends = np.concatenate(([0], np.cumsum(sizes)))
-            texts = []
-            for i in range(len(sizes)):
-                ids = flat[ends[i] : ends[i + 1]]
-                texts.append(voc.bytes[ragged(starts[ids], lengths[ids])].tobytes().decode("utf-8", "replace"))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, "decoded"])
+            at = 0
+            while at < whole.num_rows:
+                to = max(at + 1, int(np.searchsorted(ends, ends[at] + DECODE_IDS, "right")) - 1)
+                batch = whole.slice(at, to - at)
+                flat = batch.column(ids_col).flatten().fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+                flat = np.where((flat >= 0) & (flat < len(voc.lengths)), flat, len(voc.lengths))
+                texts = []
+                for i in range(at, to):
+                    ids = flat[ends[i] - ends[at] : ends[i + 1] - ends[at]]
+                    texts.append(voc.bytes[ragged(starts[ids], lengths[ids])].tobytes().decode("utf-8", "replace"))
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, "decoded"])
+                at = to
 
     from pyspark.sql import types as T
 

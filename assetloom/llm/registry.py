@@ -13,13 +13,14 @@ from .pii import op1_personal_data
 from .quality import op8_quality_rules
 from .suffixdedup import op4_suffix_array_dedup
 from .tokencount import op5_token_counts
+from .topk import OP2_SQL, op2_exact_top_k
 from .urls import op9_url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_personal_data, op3_near_duplicates, op4_suffix_array_dedup, op5_token_counts, op7_bpe_round_trip, op8_quality_rules, op9_url_filter, op10_best_fit_packing]
+    found = [op1_personal_data, op2_exact_top_k, op3_near_duplicates, op4_suffix_array_dedup, op5_token_counts, op7_bpe_round_trip, op8_quality_rules, op9_url_filter, op10_best_fit_packing]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_exact_top_k": OP2_SQL}
