@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import op7_bpe_round_trip
+from .licenses import OP6_SQL, op6_license_scan
 from .neardup import op3_near_duplicates
 from .packing import op10_best_fit_packing
 from .pii import op1_personal_data
@@ -18,9 +19,9 @@ from .urls import op9_url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_personal_data, op2_exact_top_k, op3_near_duplicates, op4_suffix_array_dedup, op5_token_counts, op7_bpe_round_trip, op8_quality_rules, op9_url_filter, op10_best_fit_packing]
+    found = [op1_personal_data, op2_exact_top_k, op3_near_duplicates, op4_suffix_array_dedup, op5_token_counts, op6_license_scan, op7_bpe_round_trip, op8_quality_rules, op9_url_filter, op10_best_fit_packing]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_exact_top_k": OP2_SQL}
+    return {"op2_exact_top_k": OP2_SQL, "op6_license_scan": OP6_SQL}
