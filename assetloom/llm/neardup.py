@@ -270,5 +270,11 @@ def near_duplicates(docs: DataFrame, p: NearDup = NearDup(), *, id_col: str = "d
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), root.alias("component_id"), F.coalesce(F.col("id") == root, F.lit(True)).alias("kept"))
 
 
+def without_near_duplicates(docs: DataFrame, p: NearDup = NearDup()) -> DataFrame:
+    """The one document of each component that has the least id, and all that are linked with nothing."""
+    kept = near_duplicates(docs, p).where("kept").select(F.col("doc_id").alias("k_id"))
+    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("k_id")), "left_semi")
+
+
 def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
