@@ -8,12 +8,13 @@ exact copies count once), taken out, and documents that lose most of their words
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import stored, table
 
 WS = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]"
@@ -45,7 +46,7 @@ def line_key(line: Column) -> Column:
     return F.xxhash64(F.lower(F.trim(F.regexp_replace(line, WS, " "))))
 
 
-def base_counts(text: Column, rules: QualityRules = QualityRules()) -> dict[str, Column]:
+def base_counts(text: Column) -> dict[str, Column]:
     """The counts of one text; null reads as empty."""
     text = F.coalesce(text, F.lit(""))
     lines = lines_of(text)
@@ -57,16 +58,36 @@ def base_counts(text: Column, rules: QualityRules = QualityRules()) -> dict[str,
     }
 
 
-def with_repeats(docs: DataFrame, text_col: str, rules: QualityRules) -> DataFrame:
-    """docs with _repeat_words: words that stand in a window found twice or more in the text."""
-    n = rules.window_words
-    hashed = docs.withColumn("_w", F.transform(words_of(F.coalesce(F.col(text_col), F.lit(""))), lambda w: F.xxhash64(w)))
-    windows = hashed.withColumn("_h", F.expr(f"CASE WHEN size(_w) > {n} THEN transform(sequence(1, size(_w) - {n - 1}), i -> xxhash64(slice(_w, i, {n}))) ELSE array() END")).drop("_w")
-    # only texts with an equal pair of windows get past this array of (window, place), in order
-    pairs = windows.withColumn("_s", F.expr("CASE WHEN size(array_distinct(_h)) < size(_h) THEN array_sort(transform(_h, (h, i) -> struct(h AS h, i AS i))) ELSE NULL END")).drop("_h")
-    places = pairs.withColumn("_p", F.expr("CASE WHEN _s IS NULL THEN NULL ELSE array_sort(transform(filter(_s, (x, j) -> (j > 0 AND get(_s, j - 1).h = x.h) OR get(_s, j + 1).h = x.h), x -> x.i)) END")).drop("_s")
-    covered = f"coalesce(aggregate(_p, named_struct('n', 0, 'last', {-n}), (a, p) -> named_struct('n', a.n + least({n}, p - a.last), 'last', p), a -> a.n), 0)"
-    return places.withColumn("_repeat_words", F.expr(covered).cast("long")).drop("_p")
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with the value computed once, wherever the optimiser moves the expression."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def repeat_words(text: Column, n: int) -> Column:
+    """Words that stand in an n-word window found twice or more in the text."""
+
+    def windows(words: Column) -> Column:
+        places = F.sequence(F.lit(1), F.size(words) - (n - 1))
+        return F.when(F.size(words) > n, F.transform(places, lambda i: F.xxhash64(F.slice(words, i, n)))).otherwise(F.array().cast("array<long>"))
+
+    def repeated(pairs: Column) -> Column:
+        """Places, in order, of the windows that stand beside an equal one."""
+        same = lambda x, j, k: F.coalesce(F.get(pairs, k)["h"] == x["h"], F.lit(False))
+        found = F.filter(pairs, lambda x, j: ((j > 0) & same(x, j, j - 1)) | same(x, j, j + 1))
+        return F.array_sort(F.transform(found, lambda x: x["i"]))
+
+    def covered(places: Column) -> Column:
+        start = F.struct(F.lit(0).alias("n"), F.lit(-n).alias("last"))
+        step = lambda a, p: F.struct((a["n"] + F.least(F.lit(n), p - a["last"])).alias("n"), p.alias("last"))
+        return F.aggregate(places, start, step, lambda a: a["n"])
+
+    def count(hashes: Column) -> Column:
+        # only texts with an equal pair of windows get past the size test
+        pairs = F.array_sort(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+        return F.when(F.size(F.array_distinct(hashes)) < F.size(hashes), covered(_let(pairs, repeated))).otherwise(F.lit(0))
+
+    hashed = F.transform(words_of(F.coalesce(text, F.lit(""))), lambda w: F.xxhash64(w))
+    return _let(_let(hashed, windows), count).cast("long")
 
 
 def frequent_lines(docs: DataFrame, rules: QualityRules = QualityRules(), *, text_col: str = "text", host_col: str = "source") -> DataFrame:
@@ -98,7 +119,7 @@ def quality(docs: DataFrame, rules: QualityRules = QualityRules(), *, id_col: st
     """
     lost = lost_words(docs, frequent_lines(docs, rules, text_col=text_col, host_col=host_col), id_col=id_col, text_col=text_col, host_col=host_col)
     only = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    counts = with_repeats(only, "text", rules).select("id", F.xxhash64("text").alias("text_key"), *(c.alias(k) for k, c in base_counts(F.col("text"), rules).items()), F.col("_repeat_words").alias("n_repeat_words"))
+    counts = only.select("id", F.xxhash64("text").alias("text_key"), *(c.alias(k) for k, c in base_counts(F.col("text")).items()), repeat_words(F.col("text"), rules.window_words).alias("n_repeat_words"))
     failed = (F.col("n_words") < rules.min_words) | (100 * F.col("n_repeat_words") > rules.max_repeat_percent * F.col("n_words"))
     lost = lost.select(F.col("id").alias("lost_id"), F.col("text_key").alias("lost_key"), "lost", "lines")
     rows = counts.withColumn("base_failed", failed).join(lost, F.col("id").eqNullSafe(F.col("lost_id")) & (F.col("text_key") == F.col("lost_key")), "left")
@@ -112,7 +133,9 @@ def quality(docs: DataFrame, rules: QualityRules = QualityRules(), *, id_col: st
 
 def apply_quality(docs: DataFrame, rules: QualityRules = QualityRules()) -> DataFrame:
     """The documents that the rules keep, without their frequent lines; columns as they were."""
-    verdicts = quality(docs, rules).where("kept").select(F.col("doc_id").alias("v_id"), F.col("text_key").alias("v_key"), F.col("lost_lines").alias("v_lines")).dropDuplicates(["v_id", "v_key"])
+    # stored before the filter, which would otherwise be moved below and compute the counts again
+    verdicts = stored(quality(docs, rules).select("doc_id", "text_key", "lost_lines", "kept"), "quality")
+    verdicts = verdicts.where("kept").select(F.col("doc_id").alias("v_id"), F.col("text_key").alias("v_key"), F.col("lost_lines").alias("v_lines")).dropDuplicates(["v_id", "v_key"])
     rows = docs.join(verdicts, docs["doc_id"].eqNullSafe(F.col("v_id")) & (F.xxhash64("text") == F.col("v_key")))
     bad = F.col("v_lines")
     clean = F.array_join(F.filter(F.split("text", "\n"), lambda x: ~(x.rlike(WORD) & F.array_contains(bad, line_key(x)))), "\n")
