@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from .plans import queries as q
+
 
 def queries() -> dict:
-    return {}
+    return dict(q.FOUND)
 
 
 def oracle_sql() -> dict:
-    return {}
+    return dict(q.SQL)
