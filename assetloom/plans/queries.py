@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import analysis, browse, cross, graph, history, rules, snapshot, stats, tagging
+from ..operators import analysis, browse, cross, engines, graph, history, rules, snapshot, stats, tagging
 from ..sources import catalog as src
 from ..streaming import watch
 from . import config
@@ -327,6 +327,25 @@ def analysis_all(spark, sf_dir):
     return rules.with_message(found).select("phase", "rule_id", "severity", "asset_path", "message", F.size("related_paths").alias("n_related"))
 
 
+over_assets(
+    "sibling_textures",
+    f""", d AS (SELECT path AS model, unnest({[d and "/" + d for d in engines.BESIDE]}) AS sub, generate_subscripts({engines.BESIDE}, 1) AS rank, dir FROM a WHERE asset_type = 'model'
+      UNION ALL SELECT path, unnest({["/" + d for d in engines.ABOVE]}), 100 + generate_subscripts({engines.ABOVE}, 1), regexp_replace(dir, '/[^/]*$', '') FROM a WHERE asset_type = 'model')
+    SELECT model, lower(t.name) AS name, min_by(t.path, (rank, t.path)) AS texture FROM d JOIN a t ON t.dir = d.dir || d.sub WHERE t.ext IN {tuple(engines.TEXTURE_EXTENSIONS)} GROUP BY ALL""",
+    lambda a: engines.sibling_textures(a.where("asset_type = 'model'"), a),
+)
+over_assets(
+    "godot_unused",
+    "SELECT path FROM a WHERE asset_type <> 'scene' AND size % 3 <> 0",
+    lambda a: engines.godot_unused(a, a.where("size % 3 = 0").select(engines.res_path(F.col("path"), src.ROOT).alias("target")), src.ROOT),
+)
+over_assets(
+    "godot_nodes",
+    "SELECT 'res://' || path[7:] AS id, 'asset' AS kind FROM a UNION ALL SELECT DISTINCT 'res://gone/' || (size % 7), 'missing' FROM a",
+    lambda a: engines.godot_graph(a, a.select("path", F.concat(F.lit("res://gone/"), F.col("size") % 7).alias("target")), a, src.ROOT)[0],
+)
+
+
 # --- snapshots ----------------------------------------------------------------------------
 
 
