@@ -66,8 +66,3 @@ def collapse_groups(issues: DataFrame) -> DataFrame:
     """Group issues once each: one row for each first related path, the first by asset path."""
     one = issues.where(F.size("related_paths") > 0).groupBy(F.col("related_paths")[0].alias("head")).agg(F.min_by(F.struct(*issues.columns), "asset_path").alias("i"))
     return one.select("i.*")
-
-
-def redundant_copies(groups: DataFrame) -> DataFrame:
-    """The members of copy groups but their originals: path, original."""
-    return groups.select("original", F.explode(F.array_except("paths", F.array("original"))).alias("path"))

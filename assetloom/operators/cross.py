@@ -15,19 +15,32 @@ USING_SOURCES = tuple("prefab unity mat controller overridecontroller asset anim
 BUILTIN_GUIDS = tuple("0" * 16 + c + "0" * 15 for c in "ef")
 
 
+def hashed(files: DataFrame) -> DataFrame:
+    """path, size, sha256 of the files (path, size, content) with a content.
+
+    Contents are hashed where they are read, so that only path and hash are shuffled.
+    """
+    return files.where("content IS NOT NULL").select("path", "size", F.sha2("content", 256).alias("sha256"))
+
+
 def duplicates(files: DataFrame) -> DataFrame:
     """Groups of equal files: size, sha256, n, original, anchor (the second), paths (in order).
 
-    files: path, size, content; a null content takes no part, empty files do group. Contents
-    are hashed where they are read, so that only path and hash are shuffled; a hash that many
-    files share is counted with partial sums first, and its paths meet only for the report.
+    Empty files do group. The list of paths is what a report shows of a group; it is as long
+    as the group. For groups of any size take duplicate_members, a row a copy.
     """
-    hashed = files.where("content IS NOT NULL").select("path", "size", F.sha2("content", 256).alias("sha256"))
-    groups = hashed.groupBy("size", "sha256").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(order_key())).alias("k")).where("n > 1")
+    groups = hashed(files).groupBy("size", "sha256").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(order_key())).alias("k")).where("n > 1")
     paths = F.transform("k", lambda x: x["path"])
     return groups.select("size", "sha256", "n", paths[0].alias("original"), paths[1].alias("anchor"), paths.alias("paths"))
 
 
+def duplicate_members(files: DataFrame) -> DataFrame:
+    """path, original of every copy but the originals: partial sums by hash, then a join that Spark can split."""
+    rows = hashed(files)
+    groups = rows.groupBy("size", "sha256").agg(F.count("*").alias("n"), F.min_by("path", order_key()).alias("original")).where("n > 1").drop("n")
+    return rows.join(groups, ["size", "sha256"]).where("path <> original").select("original", "path")
+
+
 def is_builtin(guid: Column) -> Column:
     return (F.coalesce(guid, F.lit("")) == "") | guid.isin("0" * 32, *BUILTIN_GUIDS)
 

@@ -261,7 +261,7 @@ def dup_groups(spark, sf_dir):
 
 @query("dup_redundant", f"WITH {D}, g AS (SELECT path, row_number() OVER w AS r, first_value(path) OVER w AS original FROM f WINDOW w AS (PARTITION BY size, sha256(content) ORDER BY lower(path), path)) SELECT original, path FROM g WHERE r > 1")
 def dup_redundant(spark, sf_dir):
-    return analysis.redundant_copies(cross.duplicates(src.document_files(spark, sf_dir)))
+    return cross.duplicate_members(src.document_files(spark, sf_dir))
 
 
 _NULL = f"guid NOT IN ('', '{'0' * 32}', '{cross.BUILTIN_GUIDS[0]}', '{cross.BUILTIN_GUIDS[1]}')"
