@@ -6,15 +6,17 @@ mergeable by max and locality-sensitive. Bands of registers give candidate pairs
 likelihood estimate over all registers drops hopeless ones, full sets confirm the links.
 
 Documents with equal sets form a class first, so copies are never paired. In a bucket of
-up to `all_pairs` classes all pairs are candidates; in a larger one a few centers are
-compared with all members, links are contracted, and more centers are drawn from outside
-the largest component until every pair of members is tested or in one component.
+up to `all_pairs` classes all pairs are candidates. In a larger one the member with most
+company in large buckets, which of many edited copies is the text they came from, is compared
+with all others, and links are contracted; members outside the bucket's largest component are
+then compared with those of other components by more registers, a block of each at a time.
+No bucket is capped, none meets whole in a task, and only pairs that may link leave a block.
 """
 
 from __future__ import annotations
 
 import hashlib
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -35,9 +37,13 @@ class NearDup:
     base: float = 1.02
     rate: float = 20.0
     limit: int = 1022
-    #: A pair goes on if the threshold's log-likelihood is within this of the best.
-    slack: float = 25.0
+    #: A pair goes on if the threshold's log-likelihood is within this of the best; a pair at
+    #: the threshold is further off once in 20 million.
+    slack: float = 15.0
     all_pairs: int = 32
+    #: Members in a block of a larger bucket, and the registers (bands of 8) they are compared by.
+    block_rows: int = 512
+    block_bands: int = 96
 
     @property
     def registers(self) -> int:
@@ -152,6 +158,19 @@ def _sets(rows: DataFrame, p: NearDup) -> DataFrame:
     return rows.mapInArrow(run, "id long, values binary")
 
 
+def _finer(sets: DataFrame, p: NearDup, fine: NearDup) -> DataFrame:
+    """(id, values) to (id, bands by p, registers by fine)."""
+
+    def run(batches):
+        coarse, sketcher = Sketcher(p), Sketcher(fine)
+        for batch in batches:
+            sets = [np.frombuffer(v.as_buffer(), np.uint64) for v in batch.column("values")]
+            bands = [coarse.band_keys(coarse.registers(v)[None])[0].tobytes() for v in sets]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(bands, pa.binary()), pa.array([sketcher.registers(v).tobytes() for v in sets], pa.binary())], names=["id", "bands", "registers"])
+
+    return sets.mapInArrow(run, "id long, bands binary, registers binary")
+
+
 def joint_likelihood(ra: np.ndarray, rb: np.ndarray, na: np.ndarray, nb: np.ndarray, at: float, p: NearDup) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Estimated similarity of each pair of register rows, its log-likelihood, and that of `at`."""
     more, less = (ra > rb).sum(axis=1), (ra < rb).sum(axis=1)
@@ -191,6 +210,33 @@ def _likely(pairs: DataFrame, p: NearDup) -> DataFrame:
     return pairs.mapInArrow(run, "a long, b long")
 
 
+def _block_pairs(rows: DataFrame, p: NearDup, fine: NearDup) -> DataFrame:
+    """(bucket, l, r, left, id, n, root, bands, registers) to (a, b): pairs of a left and a right row,
+    of different roots, that sizes and registers leave possible; each in its first common bucket."""
+
+    def run(group: pa.Table) -> pa.Table:
+        at, found = p.threshold_percent / 100, []
+        bucket = group.column("bucket")[0].as_py() if group.num_rows else 0
+        left = group.column("left").to_numpy().astype(bool)
+        ids, n, root = (group.column(c).to_numpy() for c in ("id", "n", "root"))
+        grid = np.frombuffer(flat_bytes(group.column("registers"))[0], np.uint16).reshape(-1, fine.registers)
+        bands = np.frombuffer(flat_bytes(group.column("bands"))[0], np.int64).reshape(-1, p.bands)
+        right = np.flatnonzero(~left)
+        for i in np.flatnonzero(left).tolist():
+            low, high = np.minimum(n[i], n[right]), np.maximum(n[i], n[right])
+            mine = right[(root[right] != root[i]) & (100 * low >= p.threshold_percent * high)]
+            mine = mine[bands[i][(bands[mine] == bands[i]).argmax(axis=1)] == bucket]
+            if len(mine):
+                one = np.broadcast_to(grid[i], (len(mine), fine.registers))
+                j, best, there = joint_likelihood(one, grid[mine], np.full(len(mine), float(n[i])), n[mine].astype(float), at, p)
+                mine = mine[(j >= at) | (there >= best - p.slack)]
+                found.append(np.stack((np.minimum(ids[i], ids[mine]), np.maximum(ids[i], ids[mine]))))
+        a, b = np.unique(np.concatenate(found, axis=1), axis=1) if found else np.empty((2, 0), np.int64)
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return rows.groupBy("bucket", "l", "r").applyInArrow(run, "a long, b long")
+
+
 def _confirmed(pairs: DataFrame, p: NearDup) -> DataFrame:
     """Pairs (a, b, va, vb) with their intersection and union, where they reach the threshold."""
 
@@ -229,40 +275,42 @@ def near_duplicates(docs: DataFrame, p: NearDup = NearDup(), *, id_col: str = "d
     registers = stored(sketch.join(wanted, "id", "left_semi").select("id", "n", "digest", "registers"), "registers")
     sets = stored(_sets(rows.join(registers.select("id", "digest"), "id"), p), "sets")
 
-    def links(pairs: DataFrame) -> DataFrame:
+    def likely(pairs: DataFrame) -> DataFrame:
         one = registers.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("registers").alias("ra"))
         two = registers.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("registers").alias("rb"))
-        likely = _likely(pairs.join(one, "a").join(two, "b").select("a", "b", "na", "nb", "ra", "rb"), p)
+        return _likely(pairs.join(one, "a").join(two, "b").select("a", "b", "na", "nb", "ra", "rb"), p)
+
+    def links(pairs: DataFrame) -> DataFrame:
         one = sets.select(F.col("id").alias("a"), F.col("values").alias("va"))
         two = sets.select(F.col("id").alias("b"), F.col("values").alias("vb"))
-        return stored(_confirmed(likely.join(one, "a").join(two, "b").select("a", "b", "va", "vb"), p).select("a", "b"), "links")
+        return stored(_confirmed(pairs.join(one, "a").join(two, "b").select("a", "b", "va", "vb"), p).select("a", "b"), "links")
 
     close = f"100 * least(x.n, y.n) >= {p.threshold_percent} * greatest(x.n, y.n)"
     small = multi.where(F.col("size") <= p.all_pairs).groupBy("bucket").agg(F.collect_list(F.struct("id", "n")).alias("m"))
     found = small.select(F.explode(F.expr(f"flatten(transform(m, (x, i) -> transform(filter(slice(m, i + 2, size(m)), y -> {close}), y -> struct(least(x.id, y.id) AS a, greatest(x.id, y.id) AS b))))")).alias("p"))
     pairs = stored(found.select("p.a", "p.b").distinct(), "pairs")
-    edges = links(pairs)
-    large = multi.where(F.col("size") > p.all_pairs).select("bucket", "id", "n")
-    tested, quota, go = pairs, 2, not large.isEmpty()
-    while go:
+    edges = links(likely(pairs))
+    large = multi.where(F.col("size") > p.all_pairs).select("bucket", "id", "n", "size")
+    if not large.isEmpty():
+        company = large.groupBy("id").agg(F.sum("size").alias("company"))
+        centers = large.join(company, "id").groupBy("bucket").agg(F.max_by(F.struct("id", "n"), F.struct(F.col("company"), -F.col("id"))).alias("c")).select("bucket", F.col("c.id").alias("c"), F.col("c.n").alias("cn"))
+        near = (F.col("id") != F.col("c")) & (100 * F.least("n", "cn") >= p.threshold_percent * F.greatest("n", "cn"))
+        more = large.join(centers, "bucket").where(near).select(F.least("id", "c").alias("a"), F.greatest("id", "c").alias("b")).distinct()
+        edges = edges.unionByName(links(likely(stored(more.join(pairs, ["a", "b"], "left_anti"), "pairs"))))
         roots = connected(edges.select(F.col("a").alias("u"), F.col("b").alias("v")))
-        now = stored(large.join(roots, "id", "left").select("bucket", "id", "n", F.coalesce("root", "id").alias("root")), "members")
+        now = stored(large.join(roots, "id", "left").select("bucket", "id", "n", "size", F.coalesce("root", "id").alias("root")), "members")
         by_root = now.groupBy("bucket", "root").agg(F.count("*").alias("c"))
         mixed = by_root.groupBy("bucket").agg(F.max_by("root", F.struct("c", "root")).alias("main"), (F.sum("c") - F.max("c")).alias("outside")).where("outside > 0")
-        mixed = stored(mixed, "mixed")
-        most = mixed.agg(F.max("outside").alias("n")).first()["n"]
-        if not most:
-            break
-        # the same draw in every bucket, so that a pair's buckets mostly agree on its center
-        draw = F.pmod(F.xxhash64("id", F.lit(quota)), F.lit(1 << 20)) / float(1 << 20)
-        centers = now.join(mixed, "bucket").where((F.col("root") != F.col("main")) & (draw * F.col("outside") < quota)).select("bucket", F.col("id").alias("c"), F.col("n").alias("cn"), F.col("root").alias("cr"))
-        near = f"root <> cr AND 100 * least(n, cn) >= {p.threshold_percent} * greatest(n, cn)"
-        more = now.join(centers, "bucket").where(near).select(F.least("id", "c").alias("a"), F.greatest("id", "c").alias("b")).distinct()
-        more = stored(more.join(tested, ["a", "b"], "left_anti"), "pairs")
-        edges = edges.unionByName(links(more))
-        tested = tested.unionByName(more)
-        go = quota < most
-        quota *= 8
+        mixed = stored(now.join(mixed, "bucket"), "mixed")
+        finer = replace(p, bands=p.block_bands, band_registers=8)
+        rows = mixed.join(stored(_finer(sets.join(mixed.select("id").distinct(), "id", "left_semi"), p, finer), "registers"), "id")
+        blocks = lambda n: F.ceil(F.col(n) / p.block_rows).cast("int")
+        mine = lambda n: F.pmod(F.xxhash64("id"), blocks(n)).cast("int")
+        every = lambda n: F.explode(F.sequence(F.lit(0), blocks(n) - 1))
+        one = rows.where("root <> main").select("bucket", mine("outside").alias("l"), every("size").alias("r"), F.lit(True).alias("left"), "id", "n", "root", "bands", "registers")
+        two = rows.select("bucket", every("outside").alias("l"), mine("size").alias("r"), F.lit(False).alias("left"), "id", "n", "root", "bands", "registers")
+        rest = stored(_block_pairs(one.unionByName(two), p, finer).distinct(), "pairs")
+        edges = edges.unionByName(links(rest))
     roots = connected(edges.select(F.col("a").alias("u"), F.col("b").alias("v"))).withColumnRenamed("id", "rep")
     reached = classes.join(roots, "rep", "left").select("id", F.coalesce("root", "rep").alias("component_id"))
     out = known.select("id", "n").join(reached, "id", "left")
