@@ -257,15 +257,21 @@ def shared_strings(data: np.ndarray, sizes: np.ndarray, length: int) -> tuple[np
         rank[order] = 1 + np.concatenate(([0], np.cumsum(ranked[1:] != ranked[:-1])))
         if have == length:
             break
-        step = min(have, length - have)
-        key = (rank[:n] << 31) | rank[step : n + step]
-        have += step
-    last = symbol[order - 1]
-    last[order == 0] = 0
+        if n < 1 << 20:  # three ranks fit a key
+            one, two = min(have, length - have), min(2 * have, length - have)
+            key = (rank[:n] << 42) | (rank[one : n + one] << 21) | rank[two : n + two]
+            have = min(3 * have, length)
+        else:
+            step = min(have, length - have)
+            key = (rank[:n] << 31) | rank[step : n + step]
+            have += step
+    real = (symbol[order - 1] > 0) & (order > 0)  # whether the text goes on before the suffix
     place = np.empty(n, np.int64)
     place[order] = np.arange(n)
     step_back = place[order - 1]  # place of the suffix that begins one symbol earlier
+    split = np.ones(n + 1, bool)  # where the first symbol changes
     head = symbol[order]
+    split[1:n] = head[1:] != head[:-1]
     divided = np.zeros(n + 1, bool)
     divided[[0, n]] = True
     low, high = np.array([0]), np.array([n])
@@ -275,13 +281,13 @@ def shared_strings(data: np.ndarray, sizes: np.ndarray, length: int) -> tuple[np
         wide = high - low
         at = ragged(low, wide)
         owner = np.repeat(np.arange(len(low)), wide)
-        real = last[at] > 0
-        to, owner = step_back[at[real]], owner[real]
-        by = np.argsort(to)
-        to, owner = to[by], owner[by]
-        if not len(to):
+        on = real[at]
+        both = (step_back[at[on]] << 32) | owner[on]
+        if not len(both):
             break
-        cut = (to[1:] != to[:-1] + 1) | (owner[1:] != owner[:-1]) | (head[to[1:]] != head[to[:-1]])
+        both.sort()
+        to, owner = both >> 32, both & 0xFFFFFFFF
+        cut = split[to[1:]] | (to[1:] != to[:-1] + 1) | (owner[1:] != owner[:-1])
         low = to[np.concatenate(([True], cut))]
         high = to[np.concatenate((cut, [True]))] + 1
         new = ~divided[high]
@@ -382,11 +388,13 @@ def _spans(requests: DataFrame, buckets: int, length: int) -> DataFrame:
         known = [_unpack(b) for b, s in zip(group.column("blob").to_pylist(), group.column("spans").to_pylist(), strict=True) if s]
         asked = [b for b, s in zip(group.column("blob").to_pylist(), group.column("spans").to_pylist(), strict=True) if not s]
         for ids, keys, doc, start, size in [*known, *([_resolve(asked, length)] if asked else [])]:
+            if not len(doc):
+                continue
             doc, start, size = doc.astype(np.int64), start.astype(np.int64), size.astype(np.int64)
             bucket = _bucket(ids, buckets)[doc]
             order = np.lexsort((start, doc, bucket))
             doc, start, size, bucket = doc[order], start[order], size[order], bucket[order]
-            heads = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1]))) if len(bucket) else []
+            heads = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))
             for a, b in zip(heads, [*heads[1:], len(bucket)], strict=True):
                 own = np.unique(doc[a:b])
                 out.append((int(bucket[a]), _pack(ids[own], keys[own], np.searchsorted(own, doc[a:b]).astype(np.uint32), start[a:b].astype(np.uint32), size[a:b].astype(np.uint32))))
