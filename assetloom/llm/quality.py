@@ -25,9 +25,8 @@ class QualityRules:
     min_words: int = 20
     window_words: int = 8
     max_repeat_percent: int = 30
-    #: A line is boilerplate above both: so many distinct texts, and this share of its host's.
+    #: A line is boilerplate in more distinct texts of a host than this, however large the host.
     line_min_texts: int = 20
-    line_share: float = 0.2
     #: Without its boilerplate a document keeps at least min_words words and this share of them.
     kept_share: float = 0.3
 
@@ -91,13 +90,10 @@ def repeat_words(text: Column, n: int) -> Column:
 
 
 def frequent_lines(docs: DataFrame, rules: QualityRules = QualityRules(), *, text_col: str = "text", host_col: str = "source") -> DataFrame:
-    """Lines above the limits: host, line (hash), n_texts. A null host is a host of its own."""
+    """Lines above the limit: host, line (hash), n_texts. A null host is a host of its own."""
     rows = docs.select(F.col(host_col).alias("host"), F.xxhash64(text_col).alias("text_key"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    hosts = rows.select("host", "text_key").distinct().groupBy("host").agg(F.count("*").alias("host_texts"))
     lines = rows.select("host", "text_key", F.explode(F.array_distinct(F.transform(lines_of(F.col("text")), line_key))).alias("line"))
-    counted = lines.distinct().groupBy("host", "line").agg(F.count("*").alias("n_texts")).where(F.col("n_texts") > rules.line_min_texts)
-    hosts = hosts.withColumnRenamed("host", "h")
-    return counted.join(hosts, F.col("host").eqNullSafe(F.col("h"))).where(F.col("n_texts") > F.col("host_texts") * rules.line_share).select("host", "line", "n_texts")
+    return lines.distinct().groupBy("host", "line").agg(F.count("*").alias("n_texts")).where(F.col("n_texts") > rules.line_min_texts)
 
 
 def lost_words(docs: DataFrame, frequent: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:

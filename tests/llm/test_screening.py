@@ -101,6 +101,22 @@ def test_frequent_lines_go_and_depleted_documents_too(spark):
     assert quality.quality(frame(spark, [])).collect() == []
 
 
+def test_lines_at_a_tenth_of_a_large_host_go(spark):
+    rng = random.Random(9)
+    banner = "Subscribe to our newsletter for the very latest news today"
+    rows = [(i, f"{banner}\n{prose(rng, 60)}") for i in range(40)] + [(i, f"{banner}\n" * 9 + prose(rng, 25)) for i in range(40, 44)] + [(i, prose(rng, 60)) for i in range(44, 420)]
+    rows += [(i, f"a line of few\n{prose(rng, 60)}") for i in range(420, 440)]  # at the limit, not above it
+    docs = frame(spark, rows)
+    assert [r["n_texts"] for r in quality.frequent_lines(docs).collect()] == [44]
+    got = {r["doc_id"]: (r["n_lost_words"], r["kept"]) for r in quality.quality(docs).collect()}
+    words = len(banner.split())
+    assert all(got[i] == (words, True) for i in range(40)) and all(got[i] == (0, True) for i in range(44, 440))
+    assert all(got[i] == (9 * words, False) for i in range(40, 44))
+    # other hosts count for themselves
+    apart = docs.withColumn("source", F.concat(F.lit("host-"), (F.col("doc_id") % 3).cast("string")))
+    assert quality.frequent_lines(apart).count() == 0
+
+
 def test_filter_over_quality_ends(spark):
     text = " ".join(f"w{i % 400}" for i in range(4000))
     assert quality.quality(frame(spark, [(1, text)])).where("kept").count() == 0
