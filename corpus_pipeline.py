@@ -10,19 +10,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from assetloom.llm.common import stored, table
-from assetloom.llm.neardup import without_near_duplicates
+from assetloom.llm.neardup import NearDup, without_near_duplicates
 from assetloom.llm.packing import pack
 from assetloom.llm.pii import redact
 from assetloom.llm.quality import apply_quality
 from assetloom.llm.suffixdedup import without_repeats
 
+#: Similarity from 0.8 on; 48 bands of 6 miss a pair there about 5 times in 10 million.
+NEAR = NearDup(threshold_percent=80, bands=48)
+
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return apply_quality(docs)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return without_near_duplicates(docs)
+    return without_near_duplicates(docs, NEAR)
 
 
 def repeat_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

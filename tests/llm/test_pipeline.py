@@ -74,6 +74,24 @@ def test_stages_equal_brute_force(spark):
     assert total == {i: len(t.encode(x, add_special_tokens=False).ids) + 1 for i, x in by_hand[-1]}
 
 
+def test_near_copies_from_similarity_80_on_go(spark):
+    rng = random.Random(21)
+    rows, gone = [], set()
+    for i in range(0, 60, 2):
+        words = prose(rng, 94 + rng.randrange(0, 27), 10**6).split()
+        edited = list(words)
+        far = i % 6 == 4  # a third edit takes these below 0.8
+        for k in (20, 45, 70)[: 3 if far else 2]:
+            edited[k] = f"new{i}at{k}"
+        rows += [(i, " ".join(words)), (i + 1, " ".join(edited))]
+        one, two = shingles(rows[-2][1]), shingles(rows[-1][1])
+        similarity = len(one & two) / len(one | two)
+        assert (similarity < 0.8) == far and similarity < 0.85
+        gone |= set() if far else {i + 1}
+    kept = {r["doc_id"] for r in corpus_pipeline.near_duplicate_stage(spark, frame(spark, rows), "").collect()}
+    assert kept == {i for i, _ in rows} - gone and len(gone) == 20
+
+
 def test_pipeline_of_odd_tables(spark, tmp_path):
     frame(spark, []).write.parquet(f"{tmp_path}/none/documents.parquet")
     assert corpus_pipeline.run(spark, f"{tmp_path}/none").collect() == []
