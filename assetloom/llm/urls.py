@@ -24,7 +24,7 @@ FEATURES = ("url_length", "host_length", "path_length", "depth", "host_labels",
 
 @dataclass(frozen=True)
 class UrlModel:
-    #: Labelled URLs used to fit (a fixed hash order picks them), trees, and their depth.
+    #: Labelled URLs used to fit the trees, and for nothing else (a fixed hash order picks them), trees, and their depth.
     train_rows: int = 20_000
     trees: int = 20
     depth: int = 4
@@ -73,14 +73,28 @@ def with_features(rows: DataFrame) -> DataFrame:
         "n_params": F.size(F.filter(F.split(query, "&"), lambda x: x != "")).cast("double"),
         "has_fragment": url.contains("#").cast("double"),
         "is_https": url.startswith("https://").cast("double"),
-        "host_tail": F.array_join(F.slice(labels, F.greatest(F.lit(1), F.size(labels) - 1), F.lit(2)), "."),
-        "tld": F.element_at(labels, -1),
+        **_suffixes(F.col("host")),
     })
 
 
-def _rates(train: DataFrame, key: str, name: str, overall: float, m: UrlModel) -> DataFrame:
+def _suffixes(host: Column) -> dict[str, Column]:
+    labels = F.split(host, r"\.")
+    return {"host_tail": F.array_join(F.slice(labels, F.greatest(F.lit(1), F.size(labels) - 1), F.lit(2)), "."), "tld": F.element_at(labels, -1)}
+
+
+def _sample(labelled: DataFrame, n: int, blocked: int, rows: int) -> DataFrame:
+    """At most `rows` of the n labelled URLs, in the order of a hash: each class by its share, the rarer by 1 in 20 at least."""
+    if n <= rows:
+        return labelled
+    rare, count = (1.0, blocked) if 2 * blocked <= n else (0.0, n - blocked)
+    few = min(count, max(1, rows // 20, round(rows * count / n)))
+    parts = [labelled.where(F.col("label") == x).orderBy(F.xxhash64("url"), "url").limit(k) for x, k in ((rare, few), (1.0 - rare, max(1, rows - few)))]
+    return parts[0].unionByName(parts[1])
+
+
+def _rates(labelled: DataFrame, key: str, name: str, overall: float, m: UrlModel) -> DataFrame:
     rate = (F.sum("label") + m.smoothing * overall) / (F.count("*") + m.smoothing)
-    return train.groupBy(key).agg(rate.alias(name)).select(F.col(key).alias(f"{name}_key"), name)
+    return labelled.groupBy(key).agg(rate.alias(name)).select(F.col(key).alias(f"{name}_key"), name)
 
 
 def filter_urls(pages: DataFrame, m: UrlModel = UrlModel(), rules: dict[str, str] = RULES, *, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
@@ -94,17 +108,19 @@ def filter_urls(pages: DataFrame, m: UrlModel = UrlModel(), rules: dict[str, str
     rows = rows.withColumn("rule", rule_of(F.col("host"), F.col("path"), rules))
     by_rule = F.element_at(F.create_map(*(F.lit(x) for kv in rules.items() for x in kv)), F.col("rule"))
     labelled = rows.where("rule IS NOT NULL").select("url", "host", "path", (by_rule == "block").cast("double").alias("label"))
-    # the bounded sample (train_rows): distinct URLs in the order of a hash
-    sample = labelled.groupBy("url", "host", "path").agg(F.max("label").alias("label")).orderBy(F.xxhash64("url"), "url").limit(m.train_rows)
-    train = stored(with_features(sample), "urls-train")
-    seen = train.agg(F.count("*").alias("n"), F.avg("label").alias("rate")).first()
+    # distinct URLs, all of them: rates and classes are counted over these
+    labelled = stored(labelled.groupBy("url", "host", "path").agg(F.max("label").alias("label")), "urls-labelled")
+    seen = labelled.agg(F.count("*").alias("n"), F.sum("label").alias("blocked")).first()
     out = with_features(rows)
-    if not seen["n"] or seen["rate"] in (0.0, 1.0):
-        out = out.withColumn("score", F.lit(float(seen["rate"] or 0.0)))
+    rate = (seen["blocked"] or 0.0) / max(seen["n"], 1)
+    if rate in (0.0, 1.0):
+        out = out.withColumn("score", F.lit(rate))
     else:
+        train = stored(with_features(_sample(labelled, seen["n"], int(seen["blocked"]), m.train_rows)), "urls-train")
+        suffixes = labelled.select("label", *(c.alias(k) for k, c in _suffixes(F.col("host")).items()))
         for key, name in (("host_tail", "host_rate"), ("tld", "suffix_rate")):
-            rates = _rates(train, key, name, seen["rate"], m)  # at most train_rows rows
-            train, out = (df.join(F.broadcast(rates), F.col(key) == F.col(f"{name}_key"), "left").withColumn(name, F.coalesce(name, F.lit(float(seen["rate"])))).drop(f"{name}_key") for df in (train, out))
+            rates = stored(_rates(suffixes, key, name, rate, m), f"urls-{name}")
+            train, out = (df.join(rates, F.col(key) == F.col(f"{name}_key"), "left").withColumn(name, F.coalesce(name, F.lit(rate))).drop(f"{name}_key") for df in (train, out))
         assemble = VectorAssembler(inputCols=list(FEATURES), outputCol="features")
         model = GBTClassifier(maxIter=m.trees, maxDepth=m.depth, seed=m.seed, maxBins=64).fit(assemble.transform(train).select("features", "label").coalesce(2))
         out = model.transform(assemble.transform(out)).withColumn("score", vector_to_array("probability")[1])

@@ -163,6 +163,15 @@ def test_trees_learn_from_labelled_urls(spark):
     assert urls.filter_urls(spark.createDataFrame([(1, "http://a.de/")], "page_id long, url string")).first()["verdict"] == "allow"
 
 
+def test_url_statistics_cover_all_labels(spark):
+    rules = {"a.com/de/": "block", "org/fr/": "allow"}
+    pages = [f"https://b.org/fr/{i:06}" for i in range(600)] + [f"https://a.com/de/{i:06}" for i in range(3)] + [f"https://a.com/en/{i:06}" for i in range(20)] + [f"https://c.org/en/{i:06}" for i in range(20)]
+    df = spark.createDataFrame(list(enumerate(pages)), "page_id long, url string")
+    # three labels in 603 are likely in no sample of 20, but the rates and classes know them
+    got = {r["page_id"]: (r["rule"], r["verdict"]) for r in urls.filter_urls(df, urls.UrlModel(train_rows=20), rules).collect()}
+    assert all(got[i] == (None, "block") for i in range(603, 623)) and all(got[i] == (None, "allow") for i in range(623, 643))
+
+
 def dice(text):
     best = {}
     for unit in {*text.split("\n"), *re.split(r"\n[ \t]*\n", text), text}:
