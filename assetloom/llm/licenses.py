@@ -2,7 +2,9 @@
 
 Each line, each paragraph and the whole text is lower-cased and cut into words of a-z and
 0-9; its distinct word bigrams are compared with those of each template whose size leaves
-the threshold within reach. Templates are few and fixed, so they are literals in the plan.
+the threshold within reach. So are windows of consecutive words of the text about each
+template's size, around places where its bigrams stand close together: a notice inside a line, or
+wrapped in a longer paragraph or comment. Templates are few and fixed: literals in the plan.
 """
 
 from __future__ import annotations
@@ -54,12 +56,30 @@ def _literals(templates: dict[str, list[str]], sql: str = "spark") -> str:
     return f"array({', '.join(rows)})" if sql == "spark" else f"[{', '.join(rows)}]"
 
 
+def _windows(words: str, templates: dict[str, list[str]], percent: int) -> str:
+    """SQL for the best window of `_text` for each template that has one at the threshold: array of (d, name)."""
+    every = ", ".join(f"'{x}'" for x in dict.fromkeys(b for texts in templates.values() for t in texts for b in bigrams(t)))
+    grams = "CASE WHEN size(w) > 1 THEN transform(sequence(1, size(w) - 1), i -> concat(element_at(w, i), ' ', element_at(w, i + 1))) ELSE CAST(array() AS array<string>) END"
+    least = f"CAST(({percent} * t.n + {199 - percent}) div {200 - percent} AS int)"  # common bigrams that the threshold needs
+    most = f"CAST({200 - percent} * t.n div {percent} AS int)"  # bigrams of the largest window within reach
+    # the best window begins and ends with a bigram of the template; p: the places of those
+    places = "filter(sequence(1, size(x.g)), i -> array_contains(t.b, element_at(x.g, i)))"
+    starts = "filter(sequence(1, size(p) - c.least + 1), a -> element_at(p, a + c.least - 1) - element_at(p, a) < c.most)"
+    ends = "filter(sequence(a + c.least - 1, least(size(p), a + c.most - 1)), b -> element_at(p, b) - element_at(p, a) < c.most)"
+    dice = "array_max(transform(array(slice(x.g, element_at(p, a), element_at(p, b) - element_at(p, a) + 1)), v -> 2000000L * size(array_intersect(v, t.b)) div (size(array_distinct(v)) + t.n)))"
+    best = f"array_max(flatten(transform(array(named_struct('least', {least}, 'most', {most})), c -> transform(array({places}), p -> array_max(transform({starts}, a -> array_max(transform({ends}, b -> {dice}))))))))"
+    near = f"filter({_literals(templates)}, t -> size(array_intersect(x.h, t.b)) >= {least})"  # hardly a text has so many of a template's bigrams
+    each = f"filter(transform({near}, t -> named_struct('d', {best}, 'name', t.name)), m -> m.d >= {percent * 10_000})"
+    return f"flatten(transform(transform(transform(array({words.replace('(u)', '(_text)')}), w -> {grams}), g -> named_struct('g', g, 'h', array_intersect(g, array({every})))), x -> {each}))"
+
+
 def scan_licenses(docs: DataFrame, templates: dict[str, list[str]] = TEMPLATES, percent: int = THRESHOLD_PERCENT, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: id, licenses (array of name and dice_ppm, best first).
 
-    dice_ppm is the highest Dice coefficient of any line, paragraph or the whole text with a
-    template of the licence, in millionths, rounded down; listed from the threshold on. Null
-    and empty text: an empty array. A null id stays null, repeated rows each give a row.
+    dice_ppm is the highest Dice coefficient of any line, paragraph, window of words or the
+    whole text with a template of the licence, in millionths, rounded down; listed from the
+    threshold on. A window has at most as many bigrams as the size bound allows. Null and
+    empty text: an empty array. A null id stays null, repeated rows each give a row.
     """
     sizes = [len(bigrams(t)) for texts in templates.values() for t in texts]
     least = -(-min(sizes) * percent // (200 - percent))  # fewer bigrams reach no template
@@ -72,7 +92,7 @@ def scan_licenses(docs: DataFrame, templates: dict[str, list[str]] = TEMPLATES,
     rows = docs.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
     units = F.expr("array_distinct(concat(split(_text, '\\\\n'), split(_text, '\\\\n[ \\\\t]*\\\\n'), array(_text)))")
     rows = rows.withColumn("_units", units).withColumn("_grams", F.expr(f"filter(transform(transform(_units, u -> {words}), w -> {grams}), g -> size(g) >= {least})"))
-    rows = rows.withColumn("_found", F.expr(f"flatten(transform(_grams, g -> {found}))"))
+    rows = rows.withColumn("_found", F.expr(f"concat(flatten(transform(_grams, g -> {found})), {_windows(words, templates, percent)})"))
     best = "transform(array_distinct(transform(_found, x -> x.name)), m -> named_struct('dice_ppm', array_max(transform(filter(_found, x -> x.name = m), x -> x.d)), 'name', m))"
     return rows.withColumn("licenses", F.expr(f"transform(array_sort({best}, (a, b) -> CASE WHEN a.dice_ppm <> b.dice_ppm THEN CAST(sign(b.dice_ppm - a.dice_ppm) AS int) WHEN a.name < b.name THEN -1 ELSE 1 END), x -> named_struct('name', x.name, 'dice_ppm', x.dice_ppm))")).select(id_col, "licenses")
 

@@ -193,6 +193,40 @@ def test_licences_equal_brute_force(spark):
     assert got[0][0][1] == 1_000_000
 
 
+def windows(text):
+    """Best Dice of any run of bigrams with a template, by trying all of the sizes in reach."""
+    words = [w for w in re.split("[^a-z0-9]+", text.lower()) if w]
+    grams = [f"{a} {b}" for a, b in zip(words, words[1:], strict=False)]
+    best = {}
+    for name, texts in licenses.TEMPLATES.items():
+        for t in map(set, map(licenses.bigrams, texts)):
+            for a in range(len(grams)):
+                for b in range(a + 1, min(len(grams), a + len(t) * 120 // 80) + 1):
+                    g = set(grams[a:b])
+                    d = 2_000_000 * len(g & t) // (len(g) + len(t))
+                    if d >= 800_000:
+                        best[name] = max(best.get(name, 0), d)
+    return best
+
+
+def test_embedded_and_wrapped_notices_are_found(spark):
+    rng = random.Random(14)
+    mit, apache, bsd = licenses.TEMPLATES["MIT"][2], licenses.TEMPLATES["Apache-2.0"][1], licenses.TEMPLATES["BSD"][0]
+    wrap = lambda text, lead: "\n".join(lead + " ".join(text.split()[i : i + 5]) for i in range(0, len(text.split()), 5))
+    prose_ = lambda: prose(rng, 40)
+    rows = [
+        f"{prose_()}. Released under the MIT License. {prose_()}",
+        f"{prose_()}\n{wrap(mit, '')}\n{prose_()}",
+        f"# {prose_()}\n#\n{wrap(apache, '# ')}\n#\n# {prose_()}",
+        f" * {prose_()}\n *\n{wrap(bsd.replace('binary', 'object'), ' * ')}\n * {prose_()}",
+        "\r\n\r\n".join([prose_(), wrap(apache, "").replace("\n", "\r\n"), prose_()]),
+        f"{prose_()} licensed under the terms of the software and of the license {prose_()}",
+    ]
+    got = {r["doc_id"]: {x["name"]: x["dice_ppm"] for x in r["licenses"]} for r in licenses.scan_licenses(frame(spark, list(enumerate(rows)))).collect()}
+    assert got == {i: {**dict(dice(t)), **windows(t)} for i, t in enumerate(rows)}
+    assert [sorted(got[i]) for i in range(6)] == [["MIT"], ["MIT"], ["Apache-2.0"], ["BSD"], ["Apache-2.0"], []] and not any(dice(t) for t in rows)
+
+
 @pytest.mark.parametrize("column", ["verdict", "kept"])
 def test_results_can_be_counted(spark, column):
     df = urls.filter_urls(spark.createDataFrame([(1, "http://x.net/")], "page_id long, url string")) if column == "verdict" else quality.quality(frame(spark, [(1, "a b")]))
