@@ -176,13 +176,13 @@ def _requests(packed: DataFrame, shared: DataFrame, text_col: str, count_parts:
             flag[mine] = np.unpackbits(np.frombuffer(bits, np.uint8), count=len(mine)).astype(bool)
         keep = flag[bucket.which]
         if keep.any():
-            _ask(bucket, keep, parts, length, out)
+            _ask(bucket, keep, left.column("bucket")[0].as_py(), parts, length, out)
         return pa.table({"part": pa.array([x[0] for x in out], pa.int32()), "spans": pa.array([x[1] for x in out], pa.bool_()), "blob": pa.array([x[2] for x in out], pa.binary())})
 
     return packed.groupBy("bucket").cogroup(shared.groupBy("bucket")).applyInArrow(run, "part int, spans boolean, blob binary")
 
 
-def _ask(bucket: _Bucket, keep: np.ndarray, parts: int, length: int, out: list) -> None:
+def _ask(bucket: _Bucket, keep: np.ndarray, number: int, parts: int, length: int, out: list) -> None:
     """The kept segments of a bucket as rows of `out`."""
     ids, keys = bucket.ids, bucket.keys
     ends = np.cumsum([0, *(len(x[6]) for x in bucket.slices)])
@@ -212,7 +212,8 @@ def _ask(bucket: _Bucket, keep: np.ndarray, parts: int, length: int, out: list)
     if later.any():
         d, s, n = doc[later], start[later], size[later]
         own = np.unique(d)
-        out.append((int(own[0]) % parts, True, _pack(ids[own], keys[own], np.searchsorted(own, d).astype(np.uint32), s.astype(np.uint32), n.astype(np.uint32))))
+        # to another part for each bucket: there are at least as many parts as buckets
+        out.append((number % parts, True, _pack(ids[own], keys[own], np.searchsorted(own, d).astype(np.uint32), s.astype(np.uint32), n.astype(np.uint32))))
     to = (least % np.uint64(parts)).astype(np.int64)
     sent = np.flatnonzero(~later)
     sent = sent[np.argsort(to[sent], kind="stable")]

@@ -74,6 +74,17 @@ def test_suffix_dedup_equals_brute_force(spark, monkeypatch, bucket_bytes, part_
     assert len(got) == len(rows) and all(tuple(r)[1:] == want[r[0]] for r in got)
 
 
+def test_spans_known_in_a_bucket_are_spread_over_parts(spark):
+    rng = random.Random(17)
+    text = prose(rng, 60)
+    docs = frame(spark, [(i, text) for i in range(400)])
+    keyed = docs.selectExpr("*", "doc_id AS _id", "xxhash64(text) AS _key").coalesce(1)
+    packed = suffixdedup._packed(keyed, 20)
+    shared = suffixdedup._shared(suffixdedup._counted(packed, "text", 2, 50))
+    known = suffixdedup._requests(packed, shared, "text", 2, 40, 50).where("spans").groupBy("part").count().collect()
+    assert len(known) == 20 and all(r["count"] == 1 for r in known)
+
+
 def test_strings_equal_by_hash_only_are_told_apart():
     import numpy as np
 
