@@ -34,7 +34,7 @@ _VALID = {
     "phone": "length(regexp_replace(x.t, '[^0-9]', '')) BETWEEN 9 AND 15",
 }
 #: A label with its value (`mail: x`, `tel=x`), and two words before a value with a digit or an at sign.
-_LABEL = r"(?<![A-Za-z0-9_])[A-Za-z][A-Za-z_-]{1,20}+\x20?[:=#]\x20?[\"']?[^" + _S + r"\"'<>,;]{2,64}"
+_LABEL = r"(?<![A-Za-z0-9_])[A-Za-z][A-Za-z_-]{1,20}+\x20?[:=#]\x20?[\"']?[^" + _S + r"\"'<>,;]{2,}+"
 _LABEL_HEAD = r"^[A-Za-z_-]+\x20?[:=#]\x20?[\"']?"
 _WORDS = rf"(?<![^{_S}])[^{_S}]++\x20[^{_S}]++\x20(?=[^{_S}]*[0-9@])[^{_S}]++"
 _WORDS_HEAD = rf"^[^{_S}]++\x20[^{_S}]++\x20[(\[<\"']*"

@@ -58,6 +58,15 @@ def test_contexts_find_unseen_identifiers(spark):
     assert "[PHONE]" in clean[30]["text"] and "030/" not in clean[30]["text"] and clean[40]["text"] == rows[40] and clean[30]["n_chars"] == len(clean[30]["text"])
 
 
+def test_long_values_of_labels_are_whole(spark):
+    rng = random.Random(15)
+    rows = [f"{prose(rng, 20)} hotline: +49 30 {rng.randrange(10**6, 10**7)} {prose(rng, 9)}" for _ in range(30)]
+    long = "x7" * 45
+    rows.append(f"{prose(rng, 20)} hotline: {long} {prose(rng, 9)}")
+    clean = {r["doc_id"]: r["text"] for r in pii.redact(frame(spark, list(enumerate(rows)))).collect()}
+    assert clean[30] == rows[30].replace(long, "[PHONE]")
+
+
 def test_personal_data_of_odd_tables(spark, tmp_path):
     assert pii.personal_data(frame(spark, [])).collect() == []
     frame(spark, [(1, "x@y.zz"), (1, "x@y.zz"), (None, "1.2.3.4"), (2, None)]).withColumnRenamed("lang", "base").write.parquet(f"{tmp_path}/documents.parquet")
