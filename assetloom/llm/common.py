@@ -7,7 +7,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Text bytes that one numpy pass holds at a time; a longer document goes alone.
@@ -19,9 +19,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; one of our own only where none is set."""
+    """The folder of spark.checkpoint.dir; one of our own where none is set, in local mode only."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.conf.get("spark.master", "local").startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         where = tempfile.mkdtemp(prefix="assetloom-")
         spark.conf.set("spark.checkpoint.dir", where)
         spark.sparkContext.setCheckpointDir(where)
@@ -36,6 +38,27 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def apart(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """docs with its columns renamed by place, and the new names by the old: no name of a stage meets them."""
+    names = [f"_column_{i}" for i in range(len(docs.columns))]
+    return docs.toDF(*names), dict(zip(docs.columns, names, strict=True))
+
+
+def with_group(rows: DataFrame, key: str, id_col: str, aggregates: dict[str, tuple[str, Column]], rows_per_task: int = 50_000) -> DataFrame:
+    """rows and the aggregates (name: min, max or sum, and of what) of all rows with the same key.
+
+    A key of any share of the rows is aggregated and joined in salted parts: partial results by
+    (key, salt), then by key, given back to the salts that exist.
+    """
+    salts = max(1, -(-rows.count() // rows_per_task))
+    rows = rows.withColumn("_salt", F.pmod(F.xxhash64(id_col), F.lit(salts)).cast("int"))
+    whole = {"sum": F.sum, "min": F.min, "max": F.max}
+    parts = rows.groupBy(key, "_salt").agg(*(whole[how](c).alias(n) for n, (how, c) in aggregates.items()))
+    total = parts.groupBy(key).agg(*(whole[how](n).alias(n) for n, (how, _) in aggregates.items()), F.collect_list("_salt").alias("_salts"))
+    total = total.withColumn("_salt", F.explode("_salts")).drop("_salts")
+    return rows.join(total, [key, "_salt"]).drop("_salt")
+
+
 def partitions_for(df: DataFrame, text_col: str, bytes_per_partition: int) -> int:
     """How many partitions hold the column's bytes at the given size each."""
     total = df.agg(F.sum(F.octet_length(text_col)).alias("n")).first()["n"] or 0
@@ -84,9 +107,10 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.cumsum(out)
 
 
-# The constants of a 64-bit finaliser and the base of the rolling hash.
+# The constants of a 64-bit finaliser, two primes just below 2**31 (with their
+# distance to it) and the keys of a polynomial hash modulo each.
 _MIX_1, _MIX_2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
-_BASE = 0x9E3779B97F4A7C15 | 1
+_PRIMES = ((2147483647, 1, 1270415893), (2147483629, 19, 1876543201))
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -100,27 +124,70 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 #: A 64-bit value for each byte.
 BYTE_VALUES = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+_LOW = np.uint64((1 << 31) - 1)
+_HALF = np.uint64(31)
 
 
-class Rolling:
-    """64-bit hashes of any byte ranges of a buffer, by prefix sums modulo 2**64."""
+def _folded(x: np.ndarray, gap: int) -> np.ndarray:
+    """x modulo 2**31 - gap, but for one multiple at most; x below 2**62."""
+    gap = np.uint64(gap)
+    x = (x & _LOW) + (x >> _HALF) * gap
+    return (x & _LOW) + (x >> _HALF) * gap
 
-    _powers = np.ones(1, np.uint64)
-    _inverse = np.ones(1, np.uint64)
+
+class Rolling:
+    """62-bit hashes of any byte ranges of a buffer: polynomials in a key modulo two primes.
+
+    Different ranges of n bytes meet with a chance of about (n / 2**31)**2, whatever regular
+    pattern they have. Where equality decides a result, callers compare the bytes as well.
+    """
+
+    _tables: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+    @classmethod
+    def _prepare(cls, n: int) -> None:
+        if cls._tables and len(cls._tables[0][1]) >= n:
+            return
+        size = max(n, SLICE_BYTES + 1)
+        tables = []
+        for prime, _, key in _PRIMES:
+            columns = [BYTE_VALUES % np.uint64(prime)]
+            for step in (key, pow(key, -1, prime)):
+                powers = np.ones(1, np.uint64)
+                while len(powers) < size:  # doubles: the powers so far, times the next one
+                    powers = np.concatenate((powers, powers * np.uint64(pow(step, len(powers), prime)) % np.uint64(prime)))
+                columns.append(powers[:size])
+            tables.append(tuple(columns))
+        cls._tables = tables
 
     def __init__(self, data: np.ndarray):
         n = len(data) + 1
-        if len(Rolling._powers) < n:
-            size = max(n, SLICE_BYTES + 1)
-            steps = np.full(size, _BASE, np.uint64)
-            steps[0] = 1
-            back = np.full(size, pow(_BASE, -1, 1 << 64), np.uint64)
-            back[0] = 1
-            Rolling._powers = np.multiply.accumulate(steps)
-            Rolling._inverse = np.multiply.accumulate(back)
-        self.sums = np.zeros(n, np.uint64)
-        np.cumsum(BYTE_VALUES[data] * Rolling._powers[: n - 1], out=self.sums[1:])
+        Rolling._prepare(n)
+        self.sums = []
+        for (_, gap, _), (values, powers, _) in zip(_PRIMES, Rolling._tables, strict=True):
+            sums = np.zeros(n, np.uint64)
+            np.cumsum(_folded(values[data] * powers[: n - 1], gap), out=sums[1:])
+            self.sums.append(sums)
 
     def ranges(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        raw = (self.sums[ends] - self.sums[starts]) * Rolling._inverse[starts]
-        return mix64(raw + (ends - starts).astype(np.uint64) * np.uint64(0xA0761D6478BD642F))
+        both = []
+        for (prime, gap, _), (_, _, inverse), sums in zip(_PRIMES, Rolling._tables, self.sums, strict=True):
+            x = _folded(_folded(sums[ends] - sums[starts], gap) * inverse[starts], gap)
+            both.append(np.where(x >= np.uint64(prime), x - np.uint64(prime), x))
+        return mix64(((both[0] << np.uint64(32)) | both[1]) + (ends - starts).astype(np.uint64) * np.uint64(0xA0761D6478BD642F))
+
+
+def equal_ranges(data: np.ndarray, one: np.ndarray, two: np.ndarray, size: np.ndarray, most: int = 1 << 20) -> np.ndarray:
+    """Whether data[one:one + size] has the bytes of data[two:two + size], a bounded number of bytes at a time."""
+    out = np.ones(len(size), bool)
+    total = np.cumsum(size)
+    at = 0
+    while at < len(size):
+        end = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + most, "right")))
+        n = size[at:end]
+        differ = data[ragged(one[at:end], n)] != data[ragged(two[at:end], n)]
+        if differ.any():
+            owner = np.repeat(np.arange(at, end), n)
+            out[owner[differ]] = False
+        at = end
+    return out

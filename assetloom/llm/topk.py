@@ -1,13 +1,17 @@
 """Operator 2: exact top-k inner products on an impact-ordered, score-at-a-time index.
 
-Vectors are dealt into blocks; a block's index keeps, for each dimension, its vectors in
-descending order of the quantised size of their component. A query takes segments from all
-dimensions by descending bound on their contribution. It stops when the bound on all that is
-left proves that few vectors can still be among the best, and rescores exactly those.
+Vectors are dealt into blocks; a block's index cuts the components into segments by the
+quantised size of their value. A block of queries, cut in the same way, takes pairs of
+segments by descending impact, one array pass each. It stops when the bound on all that is
+left proves that few vectors can still be among the best, and rescores exactly those. A first
+pass over about the square root of the blocks fixes each query's k-th score; the other blocks
+need only what can reach it, so the share of postings read falls as the rows grow.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -16,58 +20,119 @@ from pyspark.sql import functions as F
 from .common import stored, table
 
 LEVELS = 32
-#: Vectors in an index block and queries in a query block; the share of a block that may be rescored.
-BLOCK_ROWS, QUERY_ROWS, RESCORE = 4096, 512, 1 / 8
+#: Segments by size of a block and of its queries; rows of a block that meet queries at a time.
+SEGMENTS, SUB_ROWS, SUB_QUERIES = 4, 4096, 512
+#: Vectors in an index block at least and at most, queries in a query block; the share of
+#: (query, vector) pairs that may be rescored.
+BLOCK_ROWS, MOST_ROWS, QUERY_ROWS, RESCORE = 4096, 32768, 8192, 1 / 64
+
+
+class Segments:
+    """Rows of integers as segments by descending size: part k holds the values at or above limit k."""
+
+    def __init__(self, v: np.ndarray, kind: type):
+        size = np.abs(v)
+        width = max(1, -(-(int(size.max(initial=0)) + 1) // LEVELS))
+        level = size // width
+        # levels are joined into segments of about as many postings each, the zeros left out
+        held = np.bincount(level[size > 0], minlength=LEVELS)[::-1].cumsum()
+        share = held[-1] * np.arange(1, SEGMENTS + 1) / SEGMENTS
+        first = np.unique(LEVELS - 1 - np.searchsorted(held, share))[::-1]
+        self.parts, self.top, upper = [], [], LEVELS
+        for low in first.tolist():
+            self.parts.append(np.where((level >= low) & (level < upper), v, 0).astype(kind))
+            self.top.append(upper * width - 1)  # the largest size in the segment
+            upper = low
+        self.norms = np.stack([np.sqrt((p.astype(np.float64) ** 2).sum(axis=1)) for p in self.parts], axis=1)
 
 
 class Index:
-    """Postings of a block of integer vectors (rows of v), by dimension and descending level."""
+    """A block of integer vectors (rows of v), its ids ascending, as posting segments."""
 
     def __init__(self, ids: np.ndarray, v: np.ndarray):
         self.ids, self.v = ids, v
-        size = np.abs(v)
-        self.width = max(1, -(-(int(size.max(initial=0)) + 1) // LEVELS))
-        level = size // self.width
-        order = np.argsort(-level, axis=0, kind="stable")
-        self.rows = np.ascontiguousarray(order.T.astype(np.int32))
-        self.values = np.ascontiguousarray(np.take_along_axis(v, order, 0).T)
-        # how many postings of a dimension have at least a level, for levels 0 .. LEVELS
-        self.upto = np.stack([(level >= k).sum(axis=0) for k in range(LEVELS + 1)], axis=1)
-
-    def best(self, query_id: int, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """The k best ids and scores by (score descending, id), without the query's own id."""
-        n, dims = self.v.shape
-        others = self.ids != query_id
-        if others.sum() <= k:
-            rows = np.flatnonzero(others)
-            return self._ranked(rows, self.v[rows] @ q, k)
-        weight = np.abs(q)
-        top = (np.arange(LEVELS) + 1) * self.width - 1  # largest size in a level
-        bound = weight[:, None] * top
-        score = np.zeros(n, np.int64)
-        done = np.zeros(dims, np.int64)
-        limit = int(bound.max(initial=0))
-        while True:
-            limit //= 2
-            # levels from `first` up may contribute `limit` or more; their postings come next
-            first = np.where(bound >= limit, np.arange(LEVELS), LEVELS).min(axis=1) if limit else np.zeros(dims, np.int64)
-            to = self.upto[np.arange(dims), first]
-            for d in np.flatnonzero(to > done).tolist():
-                part = slice(done[d], to[d])
-                score[self.rows[d, part]] += q[d] * self.values[d, part]
-            done = np.maximum(done, to)
-            left = int((weight * np.where(done < n, np.maximum(first * self.width - 1, 0), 0)).sum())
-            # k exact scores give a threshold; whoever can't reach it is out, by proof
-            likely = np.argpartition(np.where(others, score, np.iinfo(np.int64).min), n - k)[n - k :]
-            least = (self.v[likely] @ q).min()
-            rows = np.flatnonzero((score + left >= least) & others)
-            if not left or len(rows) <= max(k, RESCORE * n):
-                return self._ranked(rows, self.v[rows] @ q, k)
-
-    def _ranked(self, rows: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        ids = self.ids[rows]
-        order = np.lexsort((ids, -scores))[:k]
-        return ids[order], scores[order]
+        self.blocks: dict[type, list[tuple[int, Segments]]] = {}
+        self.read = self.pairs = 0
+
+    def _segments(self, kind: type) -> list[tuple[int, Segments]]:
+        if kind not in self.blocks:
+            self.blocks[kind] = [(a, Segments(self.v[a : a + SUB_ROWS], kind)) for a in range(0, len(self.v), SUB_ROWS)]
+        return self.blocks[kind]
+
+    def best(self, who: np.ndarray, q: np.ndarray, k: int, least: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """query id, vector id and score of each query's k best by (score descending, id), its own id left out.
+
+        least: a score that k vectors elsewhere are known to reach; lower ones are left out.
+        """
+        # products are summed in the narrowest type that holds every sum exactly
+        most = int(np.abs(q).sum(axis=1).max(initial=0)) * int(np.abs(self.v).max(initial=0))
+        kind = np.float32 if most < 1 << 24 else np.float64 if most < 1 << 53 else np.int64
+        found = []
+        for a in range(0, len(q), SUB_QUERIES):
+            mine = slice(a, a + SUB_QUERIES)
+            asked = Segments(q[mine], kind)
+            known = None if least is None else least[mine].copy()
+            for at, part in self._segments(kind):
+                query, rows, scores = _ranked(*self._possible(who[mine], q[mine], asked, at, part, k, known), k)
+                found.append((a + query, rows, scores))
+                # the k-th score of this part holds for the next ones
+                last = np.flatnonzero(np.append(query[k - 1 :] == query[: len(query) - k + 1], np.zeros(min(k - 1, len(query)), bool))) if len(query) >= k else query[:0]
+                if known is None and len(last) == len(q[mine]):
+                    known = scores[last + k - 1]
+                elif known is not None:
+                    known[query[last]] = np.maximum(known[query[last]], scores[last + k - 1])
+        query, rows, scores = _ranked(*(np.concatenate(x) for x in zip(*found, strict=True)), k)
+        return who[query], self.ids[rows], scores
+
+    def _possible(self, who: np.ndarray, q: np.ndarray, asked: Segments, at: int, part: Segments, k: int, known: np.ndarray | None):
+        """Queries, rows and exact scores of the pairs of this part of the block that may be among the k best."""
+        v = self.v[at : at + len(part.norms)]
+        score = np.zeros((len(q), len(v)), part.parts[0].dtype)
+        own = np.searchsorted(self.ids[at : at + len(v)], who)
+        own_query = np.flatnonzero((own < len(v)) & (self.ids[at + np.minimum(own, len(v) - 1)] == who))
+        own = own[own_query]
+        pairs = sorted(((x * y, i, j) for i, x in enumerate(asked.top) for j, y in enumerate(part.top)), reverse=True)
+        left = np.ones((len(asked.parts), len(part.parts)), bool)
+        self.pairs += score.size * len(pairs)
+        for n, (_, i, j) in enumerate(pairs, 1):
+            score += asked.parts[i] @ part.parts[j].T
+            left[i, j] = False
+            self.read += score.size
+            if n < len(pairs) and n < len(asked.parts):
+                continue  # the bound is of no use before
+            if n == len(pairs):
+                bound = None
+            else:  # what is left of a segment is at most the product of the norms (Cauchy-Schwarz)
+                rest = np.stack([np.sqrt((asked.norms[:, left[:, y]] ** 2).sum(axis=1)) for y in range(len(part.parts))], axis=1)
+                bound = (rest.astype(np.float32) @ part.norms.T.astype(np.float32)) * np.float32(1.0001) + 1
+            least = known
+            if least is None and len(v) > k + 1:
+                # k exact scores give a threshold; who can't reach it is out, by proof
+                seen = score.astype(np.float64)
+                seen[own_query, own] = -np.inf
+                likely = np.argpartition(seen, len(v) - k, axis=1)[:, len(v) - k :]
+                least = (v[likely] * q[:, None, :]).sum(axis=2).min(axis=1)
+            reach = np.ones(score.shape, bool) if least is None else score >= least[:, None] if bound is None else score + bound >= least[:, None]
+            reach[own_query, own] = False
+            if bound is None or reach.sum() <= max(k * len(q), RESCORE * reach.size):
+                break
+        query, row = np.nonzero(reach)
+        exact = np.empty(len(query), np.int64)
+        for a in range(0, len(query), 1 << 16):
+            exact[a : a + (1 << 16)] = (q[query[a : a + (1 << 16)]] * v[row[a : a + (1 << 16)]]).sum(axis=1)
+        if least is not None:
+            able = exact >= least[query]
+            query, row, exact = query[able], row[able], exact[able]
+        return query, at + row, exact
+
+
+def _ranked(query: np.ndarray, rows: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k best of each query, by query, score descending and row (rows are in order of ids)."""
+    order = np.lexsort((rows, -scores, query))
+    query = query[order]
+    best = np.arange(len(query)) - np.searchsorted(query, query) < k
+    order = order[best]
+    return query[best], rows[order], scores[order]
 
 
 def integer_vectors(rows: DataFrame, id_col: str, vector_col: str, scale: int) -> DataFrame:
@@ -83,53 +148,81 @@ def integer_vectors(rows: DataFrame, id_col: str, vector_col: str, scale: int) -
     return rows.where(F.col(id_col).isNotNull()).where(F.coalesce(whole, F.lit(False))).groupBy(F.col(id_col).cast("long").alias("id")).agg(F.min(ints).alias("v"))
 
 
-def _matrix(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+def _matrix(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     ids = t.column("id").to_numpy()
     flat = t.column("v").combine_chunks()
     flat = pa.concat_arrays(flat.chunks) if isinstance(flat, pa.ChunkedArray) else flat
     v = flat.flatten().to_numpy().reshape(len(ids), -1)
     order = np.argsort(ids)
-    return ids[order], v[order]
+    return ids[order], v[order], order
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: the k best vectors of each query, of equal length.
 
-    Both (id, v). Scores are integer inner products; ties go to the smaller id; a vector with
-    the query's id is not its candidate. A query with fewer than k candidates gets them all.
-    Query blocks are sent to every index block: the work is the stated queries against all
-    rows, in blocks; no block or query set passes through the driver.
+    Both (id, v), ids distinct. Scores are integer inner products (they must stay below
+    2**63); ties go to the smaller id; a vector with the query's id is not its candidate. A
+    query with fewer than k candidates gets them all. Query blocks are sent to every index
+    block: the work is the stated queries against all rows, in blocks; no block or query set
+    passes through the driver.
     """
-    blocks = max(1, -(-vectors.count() // BLOCK_ROWS))
-    query_blocks = max(1, -(-queries.count() // QUERY_ROWS))
+    spark = vectors.sparkSession
+    rows, asked_rows = vectors.count(), queries.count()
+    block_rows = min(MOST_ROWS, max(BLOCK_ROWS, rows // (2 * spark.sparkContext.defaultParallelism)))
+    blocks = max(1, -(-rows // block_rows))
+    query_blocks = max(1, -(-asked_rows // QUERY_ROWS))
+    first = math.isqrt(blocks - 1) + 1  # blocks of the first pass, about their square root
 
     def pack(t: pa.Table) -> pa.Table:
-        ids, v = _matrix(t)
-        return pa.table({"block": t.column("block").slice(0, 1), "dims": t.column("dims").slice(0, 1), "ids": pa.array([ids.tobytes()], pa.binary()), "m": pa.array([v.astype(np.int64).tobytes()], pa.binary())})
+        ids, v, order = _matrix(t)
+        least = t.column("least").combine_chunks()
+        blob = least.fill_null(np.iinfo(np.int64).min).to_numpy()[order].tobytes()
+        narrow = np.int32 if np.abs(v).max(initial=0) < 1 << 31 else np.int64
+        return pa.table({"block": t.column("block").slice(0, 1), "dims": t.column("dims").slice(0, 1), "ids": pa.array([ids.tobytes()], pa.binary()), "least": pa.array([blob], pa.binary()), "m": pa.array([v.astype(narrow).tobytes()], pa.binary())})
 
     def packed(df: DataFrame, n: int) -> DataFrame:
         keyed = df.withColumns({"block": F.pmod(F.xxhash64("id"), F.lit(n)).cast("int"), "dims": F.size("v")})
-        return keyed.groupBy("block", "dims").applyInArrow(pack, "block int, dims int, ids binary, m binary")
+        return keyed.select("block", "dims", "id", "v", "least").groupBy("block", "dims").applyInArrow(pack, "block int, dims int, ids binary, least binary, m binary")
+
+    def matrix(blob: bytes, ids: np.ndarray, dims: int) -> np.ndarray:
+        return np.frombuffer(blob, np.int32 if len(blob) == 4 * len(ids) * dims else np.int64).reshape(-1, dims).astype(np.int64)
 
     def search(batches):
         kept: tuple[int, int, Index] | None = None
         for batch in batches:
-            for r in batch.to_pylist():
+            for i in range(batch.num_rows):
+                r = {c: batch.column(c)[i].as_py() for c in batch.schema.names}
                 n = r["dims"]
                 if kept is None or kept[:2] != (r["block"], n):
-                    kept = (r["block"], n, Index(np.frombuffer(r["ids"], np.int64), np.frombuffer(r["m"], np.int64).reshape(-1, n)))
-                out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-                for who, q in zip(np.frombuffer(r["q_ids"], np.int64), np.frombuffer(r["q_m"], np.int64).reshape(-1, n), strict=True):
-                    ids, scores = kept[2].best(int(who), q, k)
-                    out.append((np.full(len(ids), who), ids, scores))
-                cols = [np.concatenate(x) for x in zip(*out, strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], names=["query_id", "vec_id", "score"])
-
-    index = packed(vectors, blocks)
-    asked = packed(queries, query_blocks).select("dims", F.col("ids").alias("q_ids"), F.col("m").alias("q_m"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
-    near = index.join(asked, ["block", "dims"]).sortWithinPartitions("block", "dims").mapInArrow(search, "query_id long, vec_id long, score long")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return near.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+                    ids = np.frombuffer(r["ids"], np.int64)
+                    kept = (r["block"], n, Index(ids, matrix(r["m"], ids, n)))
+                who = np.frombuffer(r["q_ids"], np.int64)
+                least = np.frombuffer(r["q_least"], np.int64)
+                # a query without k known scores (none known, or too few vectors) starts from nothing
+                for some in (least > np.iinfo(np.int64).min, least == np.iinfo(np.int64).min):
+                    if some.any():
+                        known = least[some] if least[some][0] > np.iinfo(np.int64).min else None
+                        cols = kept[2].best(who[some], matrix(r["q_m"], who, n)[some], k, known)
+                        yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], names=["query_id", "vec_id", "score"])
+
+    index = stored(packed(vectors.withColumn("least", F.lit(None).cast("long")), blocks), "index").drop("least")
+
+    def near(asked: DataFrame, among: str) -> DataFrame:
+        asked = packed(asked, query_blocks).select("dims", F.col("ids").alias("q_ids"), F.col("m").alias("q_m"), F.col("least").alias("q_least"), F.expr(f"explode({among})").alias("block"))
+        found = index.join(asked, ["block", "dims"]).sortWithinPartitions("block", "dims").mapInArrow(search, "query_id long, vec_id long, score long")
+        rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+        return found.withColumn("rank", rank).where(F.col("rank") <= k)
+
+    # a query block begins with the blocks from its own number on
+    begin = f"transform(sequence(0, {first} - 1), i -> CAST(pmod(block + i, {blocks}) AS int))"
+    best = near(queries.withColumn("least", F.lit(None).cast("long")), begin)
+    if first < blocks:
+        best = stored(best, "first-best").drop("rank")
+        least = best.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).alias("least"))
+        rest = near(queries.join(least, queries["id"] == least["query_id"], "left").select("id", "v", "least"), f"transform(sequence({first}, {blocks} - 1), i -> CAST(pmod(block + i, {blocks}) AS int))")
+        rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+        best = best.unionByName(rest.drop("rank")).withColumn("rank", rank).where(F.col("rank") <= k)
+    return best.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
 def op2_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:

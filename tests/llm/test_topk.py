@@ -42,10 +42,35 @@ def test_vectors_that_take_part(spark, tmp_path):
 def test_index_stops_early_with_proof():
     rng = random.Random(1)
     v = np.array([[int(1000 * rng.random() ** 8) for _ in range(16)] for _ in range(2000)], np.int64)
-    ids, scores = topk.Index(np.arange(2000), v).best(7, v[7], 5)
-    all_scores = v @ v[7]
-    order = sorted((i for i in range(2000) if i != 7), key=lambda i: (-all_scores[i], i))[:5]
-    assert ids.tolist() == order and scores.tolist() == all_scores[order].tolist()
+    index = topk.Index(np.arange(2000), v)
+    who, ids, scores = index.best(np.array([7, 8]), v[[7, 8]], 5)
+    for q in (7, 8):
+        all_scores = v @ v[q]
+        order = sorted((i for i in range(2000) if i != q), key=lambda i: (-all_scores[i], i))[:5]
+        assert ids[who == q].tolist() == order and scores[who == q].tolist() == all_scores[order].tolist()
+    assert index.read < index.pairs
+
+
+def test_postings_read_fall_as_rows_grow():
+    rng = np.random.default_rng(3)
+    shares = []
+    for n in (4096, 65536):
+        v = np.floor(256 * rng.normal(size=(n, 64)) / 8).astype(np.int64)
+        q = v[:64]
+        first = topk.Index(np.arange(n // 4), v[: n // 4])
+        known = first.best(np.arange(64), q, 5)[2].reshape(64, 5).min(axis=1)
+        index = topk.Index(np.arange(n), v)
+        index.best(np.arange(64), q, 5, known)
+        shares.append(index.read / index.pairs)
+    assert shares[1] < shares[0] < 1
+
+
+def test_sums_of_any_size_are_exact():
+    rng = np.random.default_rng(4)
+    for most in (50, 10**6, 10**9):
+        v = rng.integers(-most, most, (300, 4))
+        who, ids, scores = topk.Index(np.arange(300), v).best(np.arange(20), v[:20], 3)
+        assert {(int(a), int(b), int(c)) for a, b, c in zip(who, ids, scores, strict=True)} == {(q, c, s) for q, _, c, s in brute({i: v[i].tolist() for i in range(300)}, 3) if q < 20}
 
 
 def test_queries_equal_sql(spark, sf_dir):
