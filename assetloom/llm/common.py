@@ -44,19 +44,19 @@ def apart(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
     return docs.toDF(*names), dict(zip(docs.columns, names, strict=True))
 
 
-def with_group(rows: DataFrame, key: str, id_col: str, aggregates: dict[str, tuple[str, Column]], rows_per_task: int = 50_000) -> DataFrame:
+def with_group(rows: DataFrame, key: str, id_col: str, aggregates: dict[str, tuple[str, Column]], total: int, rows_per_task: int = 1000) -> DataFrame:
     """rows and the aggregates (name: min, max or sum, and of what) of all rows with the same key.
 
     A key of any share of the rows is aggregated and joined in salted parts: partial results by
-    (key, salt), then by key, given back to the salts that exist.
+    (key, salt), then by key, given back to the salts that exist. total: how many rows there
+    are at most.
     """
-    salts = max(1, -(-rows.count() // rows_per_task))
+    salts = max(1, -(-total // rows_per_task))
     rows = rows.withColumn("_salt", F.pmod(F.xxhash64(id_col), F.lit(salts)).cast("int"))
     whole = {"sum": F.sum, "min": F.min, "max": F.max}
     parts = rows.groupBy(key, "_salt").agg(*(whole[how](c).alias(n) for n, (how, c) in aggregates.items()))
-    total = parts.groupBy(key).agg(*(whole[how](n).alias(n) for n, (how, _) in aggregates.items()), F.collect_list("_salt").alias("_salts"))
-    total = total.withColumn("_salt", F.explode("_salts")).drop("_salts")
-    return rows.join(total, [key, "_salt"]).drop("_salt")
+    whole_key = parts.groupBy(key).agg(*(whole[how](n).alias(n) for n, (how, _) in aggregates.items()), F.collect_list("_salt").alias("_salts"))
+    return rows.join(whole_key.withColumn("_salt", F.explode("_salts")).drop("_salts"), [key, "_salt"]).drop("_salt")
 
 
 def partitions_for(df: DataFrame, text_col: str, bytes_per_partition: int) -> int:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Rolling, byte_slices, flat_bytes, mix64, stored, table
+from .common import Rolling, apart, byte_slices, flat_bytes, mix64, stored, table, with_group
 from .graph import connected
 
 
@@ -264,12 +264,14 @@ def near_duplicates(docs: DataFrame, p: NearDup = NearDup(), *, id_col: str = "d
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     known = stored(sketches(rows, p), "sketches")
     ids = known.where("id IS NOT NULL AND digest IS NOT NULL").groupBy("id").agg(F.min("digest").alias("digest"))
-    reps = ids.groupBy("digest").agg(F.min("id").alias("rep"))
-    classes = stored(ids.join(reps, "digest").select("id", "rep", "digest"), "classes")
+    classes = stored(with_group(ids, "digest", "id", {"rep": ("min", F.col("id"))}, known.count()).select("id", "rep", "digest"), "classes")
     lead = classes.where("id = rep").select("id", F.col("digest").alias("d"))
     sketch = known.join(lead, "id").where("digest = d").select("id", "n", "digest", "bands", "registers").dropDuplicates(["id"])
+    sketch = stored(sketch, "class-sketches")
     members = sketch.select("id", "n", F.explode("bands").alias("bucket"))
-    sizes = members.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
+    # aggregates are stored before they are joined: both sides of the join are then plain tables, and
+    # the skew join can split a bucket of very many members
+    sizes = stored(members.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1"), "sizes")
     multi = stored(members.join(sizes, "bucket"), "buckets")
     wanted = multi.select("id").distinct()
     registers = stored(sketch.join(wanted, "id", "left_semi").select("id", "n", "digest", "registers"), "registers")
@@ -294,6 +296,7 @@ def near_duplicates(docs: DataFrame, p: NearDup = NearDup(), *, id_col: str = "d
     if not large.isEmpty():
         company = large.groupBy("id").agg(F.sum("size").alias("company"))
         centers = large.join(company, "id").groupBy("bucket").agg(F.max_by(F.struct("id", "n"), F.struct(F.col("company"), -F.col("id"))).alias("c")).select("bucket", F.col("c.id").alias("c"), F.col("c.n").alias("cn"))
+        centers = stored(centers, "centers")
         near = (F.col("id") != F.col("c")) & (100 * F.least("n", "cn") >= p.threshold_percent * F.greatest("n", "cn"))
         more = large.join(centers, "bucket").where(near).select(F.least("id", "c").alias("a"), F.greatest("id", "c").alias("b")).distinct()
         edges = edges.unionByName(links(likely(stored(more.join(pairs, ["a", "b"], "left_anti"), "pairs"))))
@@ -301,7 +304,7 @@ def near_duplicates(docs: DataFrame, p: NearDup = NearDup(), *, id_col: str = "d
         now = stored(large.join(roots, "id", "left").select("bucket", "id", "n", "size", F.coalesce("root", "id").alias("root")), "members")
         by_root = now.groupBy("bucket", "root").agg(F.count("*").alias("c"))
         mixed = by_root.groupBy("bucket").agg(F.max_by("root", F.struct("c", "root")).alias("main"), (F.sum("c") - F.max("c")).alias("outside")).where("outside > 0")
-        mixed = stored(now.join(mixed, "bucket"), "mixed")
+        mixed = stored(now.join(stored(mixed, "mixed-sizes"), "bucket"), "mixed")
         finer = replace(p, bands=p.block_bands, band_registers=8)
         rows = mixed.join(stored(_finer(sets.join(mixed.select("id").distinct(), "id", "left_semi"), p, finer), "registers"), "id")
         blocks = lambda n: F.ceil(F.col(n) / p.block_rows).cast("int")
@@ -318,10 +321,15 @@ def near_duplicates(docs: DataFrame, p: NearDup = NearDup(), *, id_col: str = "d
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), root.alias("component_id"), F.coalesce(F.col("id") == root, F.lit(True)).alias("kept"))
 
 
-def without_near_duplicates(docs: DataFrame, p: NearDup = NearDup()) -> DataFrame:
-    """The one document of each component that has the least id, and all that are linked with nothing."""
-    kept = near_duplicates(docs, p).where("kept").select(F.col("doc_id").alias("k_id"))
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("k_id")), "left_semi")
+def without_near_duplicates(docs: DataFrame, p: NearDup = NearDup(), *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The one document of each component that has the least id, and all that are linked with nothing.
+
+    Rows with a null id stay. Further columns of any name stay as they are.
+    """
+    rows, names = apart(docs)
+    found = near_duplicates(rows, p, id_col=names[id_col], text_col=names[text_col])
+    kept = found.where("kept").select(F.col(names[id_col]).alias("kept_id")).distinct()
+    return rows.join(kept, F.col(names[id_col]).eqNullSafe(F.col("kept_id")), "left_semi").toDF(*docs.columns)
 
 
 def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

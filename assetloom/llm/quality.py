@@ -2,8 +2,9 @@
 
 Words are runs of bytes other than space and \\t..\\r. A document fails the base rules with
 under 20 words, or when over 30 of 100 words stand in repeated 8-word windows. Beyond that,
-lines that many documents of one host share are counted by hash (distinct texts per host, so
-exact copies count once), taken out, and documents that lose most of their words are rejected.
+lines that many documents of one host share are counted by hash (documents with different
+texts, so exact copies count once), taken out, and documents that lose most of their words are
+rejected.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stored, table
+from .common import apart, stored, table
 
 WS = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]"
@@ -89,57 +90,69 @@ def repeat_words(text: Column, n: int) -> Column:
     return _let(_let(hashed, windows), count).cast("long")
 
 
-def frequent_lines(docs: DataFrame, rules: QualityRules = QualityRules(), *, text_col: str = "text", host_col: str = "source") -> DataFrame:
-    """Lines above the limit: host, line (hash), n_texts. A null host is a host of its own."""
-    rows = docs.select(F.col(host_col).alias("host"), F.xxhash64(text_col).alias("text_key"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    lines = rows.select("host", "text_key", F.explode(F.array_distinct(F.transform(lines_of(F.col("text")), line_key))).alias("line"))
-    return lines.distinct().groupBy("host", "line").agg(F.count("*").alias("n_texts")).where(F.col("n_texts") > rules.line_min_texts)
-
-
-def lost_words(docs: DataFrame, frequent: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
-    """id, text_key, lost (words in frequent lines), lines (their hashes), for documents that have some."""
+def line_table(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
+    """id, text_key, host, place, line (hash), words of every line that holds a word."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     parts = F.transform(lines_of(text), lambda x: F.struct(line_key(x).alias("line"), F.size(words_of(x)).alias("words")))
-    lines = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_key"), F.col(host_col).alias("host"), F.posexplode(parts).alias("place", "part")).select("id", "text_key", "host", "place", "part.line", "part.words")
+    lines = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_key"), F.col(host_col).alias("host"), F.posexplode(parts).alias("place", "part"))
+    return lines.select("id", "text_key", "host", "place", "part.line", "part.words")
+
+
+def frequent_lines(lines: DataFrame, rules: QualityRules = QualityRules()) -> DataFrame:
+    """Lines of line_table above the limit: host, line, n_texts. A null host is a host of its own.
+
+    Counted are documents with different texts: if each copy of a page counted, all lines of
+    a page with many copies would be frequent, and the page with all its copies would go.
+    """
+    return lines.select("host", "text_key", "line").distinct().groupBy("host", "line").agg(F.count("*").alias("n_texts")).where(F.col("n_texts") > rules.line_min_texts)
+
+
+def lost_words(lines: DataFrame, frequent: DataFrame) -> DataFrame:
+    """id, text_key, host, lost (words in frequent lines), lines (their hashes), for documents that have some."""
     frequent = frequent.select(F.col("host").alias("h"), F.col("line").alias("l"))
     hit = lines.join(frequent, (F.col("line") == F.col("l")) & F.col("host").eqNullSafe(F.col("h")))
-    once = hit.groupBy("id", "text_key", "place").agg(F.first("line").alias("line"), F.first("words").alias("words"))  # a repeated row counts once
-    return once.groupBy("id", "text_key").agg(F.sum("words").alias("lost"), F.collect_set("line").alias("lines"))
+    once = hit.groupBy("id", "text_key", "host", "place").agg(F.first("line").alias("line"), F.first("words").alias("words"))  # a repeated row counts once
+    return once.groupBy("id", "text_key", "host").agg(F.sum("words").alias("lost"), F.collect_set("line").alias("lines"))
 
 
 def quality(docs: DataFrame, rules: QualityRules = QualityRules(), *, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
-    """One row per row of docs: id, text_key, the counts, base_failed, n_lost_words, lost_lines, kept.
+    """One row per row of docs: id, text_key, host, the counts, base_failed, n_lost_words, lost_lines, kept.
 
     Null and empty text: no words, so base_failed. A null id or host is a value like others;
-    repeated rows each give the same row. An empty table gives no rows.
+    repeated rows each give the same row. An empty table gives no rows. The texts are cut into
+    lines once, and once more into words for the counts.
     """
-    lost = lost_words(docs, frequent_lines(docs, rules, text_col=text_col, host_col=host_col), id_col=id_col, text_col=text_col, host_col=host_col)
-    only = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    counts = only.select("id", F.xxhash64("text").alias("text_key"), *(c.alias(k) for k, c in base_counts(F.col("text")).items()), repeat_words(F.col("text"), rules.window_words).alias("n_repeat_words"))
+    lines = stored(line_table(docs, id_col=id_col, text_col=text_col, host_col=host_col), "lines")
+    # stored before the join, where a line of very many documents can then be split
+    lost = lost_words(lines, stored(frequent_lines(lines, rules), "frequent"))
+    only = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(host_col).alias("host"))
+    counts = only.select("id", F.xxhash64("text").alias("text_key"), "host", *(c.alias(k) for k, c in base_counts(F.col("text")).items()), repeat_words(F.col("text"), rules.window_words).alias("n_repeat_words"))
     failed = (F.col("n_words") < rules.min_words) | (100 * F.col("n_repeat_words") > rules.max_repeat_percent * F.col("n_words"))
-    lost = lost.select(F.col("id").alias("lost_id"), F.col("text_key").alias("lost_key"), "lost", "lines")
-    rows = counts.withColumn("base_failed", failed).join(lost, F.col("id").eqNullSafe(F.col("lost_id")) & (F.col("text_key") == F.col("lost_key")), "left")
+    lost = lost.select(F.col("id").alias("lost_id"), F.col("text_key").alias("lost_key"), F.col("host").alias("lost_host"), "lost", "lines")
+    same = F.col("id").eqNullSafe(F.col("lost_id")) & (F.col("text_key") == F.col("lost_key")) & F.col("host").eqNullSafe(F.col("lost_host"))
+    rows = counts.withColumn("base_failed", failed).join(lost, same, "left")
     left = F.col("n_words") - F.col("lost")
     depleted = F.coalesce((left < rules.min_words) | (left < rules.kept_share * F.col("n_words")), F.lit(False))
     return rows.select(
-        F.col("id").alias(id_col), "text_key", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
+        F.col("id").alias(id_col), "text_key", F.col("host").alias(host_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
         F.coalesce("lost", F.lit(0)).cast("long").alias("n_lost_words"), F.col("lines").alias("lost_lines"), (~F.col("base_failed") & ~depleted).alias("kept"),
     )
 
 
-def apply_quality(docs: DataFrame, rules: QualityRules = QualityRules()) -> DataFrame:
-    """The documents that the rules keep, without their frequent lines; columns as they were."""
+def apply_quality(docs: DataFrame, rules: QualityRules = QualityRules(), *, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
+    """The documents that the rules keep, without their frequent lines; columns as they were, whatever their names."""
+    rows, names = apart(docs)
+    key, text, host = names[id_col], names[text_col], names[host_col]
     # stored before the filter, which would otherwise be moved below and compute the counts again
-    verdicts = stored(quality(docs, rules).select("doc_id", "text_key", "lost_lines", "kept"), "quality")
-    verdicts = verdicts.where("kept").select(F.col("doc_id").alias("v_id"), F.col("text_key").alias("v_key"), F.col("lost_lines").alias("v_lines")).dropDuplicates(["v_id", "v_key"])
-    rows = docs.join(verdicts, docs["doc_id"].eqNullSafe(F.col("v_id")) & (F.xxhash64("text") == F.col("v_key")))
+    verdicts = stored(quality(rows, rules, id_col=key, text_col=text, host_col=host).select(key, "text_key", host, "lost_lines", "kept"), "quality")
+    verdicts = verdicts.where("kept").select(F.col(key).alias("v_id"), F.col("text_key").alias("v_key"), F.col(host).alias("v_host"), F.col("lost_lines").alias("v_lines")).dropDuplicates(["v_id", "v_key", "v_host"])
+    rows = rows.join(verdicts, F.col(key).eqNullSafe(F.col("v_id")) & (F.xxhash64(text) == F.col("v_key")) & F.col(host).eqNullSafe(F.col("v_host")))
     bad = F.col("v_lines")
-    clean = F.array_join(F.filter(F.split("text", "\n"), lambda x: ~(x.rlike(WORD) & F.array_contains(bad, line_key(x)))), "\n")
-    text = F.when(bad.isNull(), F.col("text")).otherwise(clean)
-    out = rows.withColumn("text", text)
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast("long"))
-    return out.select(*docs.columns)
+    clean = F.array_join(F.filter(F.split(text, "\n"), lambda x: ~(x.rlike(WORD) & F.array_contains(bad, line_key(x)))), "\n")
+    out = rows.withColumn(text, F.when(bad.isNull(), F.col(text)).otherwise(clean))
+    if "n_chars" in names:
+        out = out.withColumn(names["n_chars"], F.length(text).cast("long"))
+    return out.select(*names.values()).toDF(*docs.columns)
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,11 +4,15 @@ Every string of `length` bytes has a minimiser, the least hash of the 16-byte st
 neighbouring strings with one minimiser form a segment. Documents are dealt into buckets. The
 buckets' minimisers are counted first, and only segments whose minimiser several documents
 have are sent on, to the part of their minimiser, so that all copies of a string meet there.
-A segment's copies are folded where they are read (later documents lose it at once) and again
-in the part. Segments that differ but share a minimiser are compared there by a
-Burrows-Wheeler transform: intervals of the sorted suffixes are extended backward, breadth
-first, which finds the common prefixes of neighbouring suffixes by increasing value, and stops
-at `length`; what is then undivided is one string, and its least document keeps it.
+Segments of a minimiser that very many segments have are sent as single strings of `length`
+bytes by their own hash, so that no part has to hold them all.
+
+In a part the different segments become one Burrows-Wheeler transform: of its whole suffix
+order, intervals of suffixes are extended backward, breadth first, which derives the common
+prefixes of neighbouring suffixes by increasing value, and stops at `length`; what is then
+undivided is one string, and its least document keeps it. Before that, copies of a segment
+(told by their bytes) are only counted together: in a bucket, later documents lose what an
+earlier one of the bucket has at once, and one segment with the least document goes on.
 """
 
 from __future__ import annotations
@@ -20,13 +24,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Rolling, byte_slices, flat_bytes, mix64, ragged, table
+from .common import apart, byte_slices, equal_ranges, flat_bytes, mix64, ragged, table
 
 GRAM = 16
 #: Bytes that segments in a part can have at most on average, bytes of minimisers in a part,
 #: text bytes in a bucket of documents, bytes in one transform.
 PART_BYTES, COUNT_BYTES, BUCKET_BYTES, TRANSFORM_BYTES = 24 << 20, 4 << 20, 12 << 20, 1 << 20
+#: Different segments of a minimiser (counted once a bucket) above which it is dealt string by string.
+HOT_SEGMENTS = 8192
 _MOST_WINDOWS = 256
+_ALONE = 255  # in place of a minimiser's place: the segment is one string, dealt by its own hash
 
 
 # --- packed arrays -----------------------------------------------------------------------
@@ -60,17 +67,39 @@ def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
-def segments(data: np.ndarray, offsets: np.ndarray, length: int):
+# Odd multipliers that spread 8 bytes over 64 bits.
+_SPREAD = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
+
+
+def gram_hashes(data: np.ndarray) -> np.ndarray:
+    """A hash of the GRAM bytes from each place on."""
+    data = np.ascontiguousarray(data)
+    eight = np.ndarray((max(len(data) - 7, 0),), "<u8", buffer=data, strides=(1,)) if len(data) > 7 else np.empty(0, "<u8")
+    x = eight[:-8] * _SPREAD[0]
+    x ^= x >> np.uint64(32)
+    x *= _SPREAD[1]
+    x += eight[8:] * _SPREAD[2]
+    return mix64(x)
+
+
+def range_hashes(grams: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """A hash of the bytes of each range (of GRAM bytes at least), from the hashes of its grams."""
+    out = grams[start + size - GRAM] + size.astype(np.uint64)
+    for j in range(int(size.max(initial=0)) // GRAM):
+        out = np.where(size >= (j + 1) * GRAM, mix64(out * _SPREAD[0] + grams[start + np.minimum(j * GRAM, size - GRAM)]), out)
+    return out
+
+
+def segments(data: np.ndarray, offsets: np.ndarray, length: int, grams: np.ndarray):
     """Runs of `length`-byte strings with one minimiser: text, start in the buffer, bytes, minimiser."""
     size = np.diff(offsets)
     if len(data) < length:
         return tuple(np.empty(0, t) for t in (np.int64, np.int64, np.int64, np.uint64))
-    at = np.arange(len(data) - GRAM + 1)
-    least = _sliding_min(Rolling(data).ranges(at, at + GRAM), length - GRAM + 1)
+    least = _sliding_min(grams, length - GRAM + 1)
     text = np.repeat(np.arange(len(size)), size)
     here = np.flatnonzero(text[: len(least)] == text[length - 1 :])
     if not len(here):
-        return segments(data[:0], offsets[:1], length)
+        return segments(data[:0], offsets[:1], length, grams)
     least, text = least[here], text[here]
     new = np.ones(len(here), bool)
     new[1:] = (least[1:] != least[:-1]) | (here[1:] != here[:-1] + 1) | (text[1:] != text[:-1])
@@ -84,38 +113,38 @@ def segments(data: np.ndarray, offsets: np.ndarray, length: int):
     return text[first], starts, nbytes, least[first]
 
 
-def _minimiser_places(rolling: Rolling, starts: np.ndarray, least: np.ndarray, length: int) -> np.ndarray:
+def _minimiser_places(grams: np.ndarray, starts: np.ndarray, least: np.ndarray, length: int) -> np.ndarray:
     """Where in each segment its minimiser first stands."""
     out = np.zeros(len(starts), np.int64)
     left = np.arange(len(starts))
     for j in range(length - GRAM + 1):
-        at = starts[left] + j
-        found = rolling.ranges(at, at + GRAM) == least[left]
+        found = grams[starts[left] + j] == least[left]
         out[left[found]] = j
         left = left[~found]
     return out
 
 
 class _Bucket:
-    """The texts of a bucket in slices, with their segments; minimisers sorted by part and value."""
+    """The texts of a bucket as one buffer, with their segments; minimisers sorted by part and value."""
 
     def __init__(self, table: pa.Table, text_col: str, parts: int, length: int):
-        self.ids, self.keys, self.slices = [], [], []
-        base = 0
+        none = np.empty(0, np.int64)
+        ids, keys, data, found = [none], [none], [np.empty(0, np.uint8)], [(none, none, none, none, none.astype(np.uint64), none.astype(np.uint64), none)]
+        texts = filled = 0
         for blob in table.column("blob").to_pylist():
             for batch in pa.ipc.open_stream(blob):
                 batch = batch.filter(batch.column("_id").is_valid())
                 for part in byte_slices(batch, text_col):
-                    data, offsets = flat_bytes(part.column(text_col))
-                    text, start, size, least = segments(data, offsets, length)
-                    self.slices.append((data, offsets, text, base, start, size, least))
-                    self.ids.append(part.column("_id").to_numpy())
-                    self.keys.append(part.column("_key").to_numpy())
-                    base += part.num_rows
-        none = np.empty(0, np.int64)
-        self.ids, self.keys = (np.concatenate([none, *x]) for x in (self.ids, self.keys))
-        least = np.concatenate([none.astype(np.uint64), *(x[6] for x in self.slices)])
-        self.doc = np.concatenate([none, *(x[2] + x[3] for x in self.slices)])
+                    raw, offsets = flat_bytes(part.column(text_col))
+                    grams = gram_hashes(raw)
+                    text, start, size, least = segments(raw, offsets, length, grams)
+                    found.append((text + texts, start - offsets[text], start + filled, size, least, range_hashes(grams, start, size), _minimiser_places(grams, start, least, length)))
+                    ids.append(part.column("_id").to_numpy())
+                    keys.append(part.column("_key").to_numpy())
+                    data.append(raw)
+                    texts, filled = texts + part.num_rows, filled + len(raw)
+        self.ids, self.keys, self.data = np.concatenate(ids), np.concatenate(keys), np.concatenate(data)
+        self.doc, self.start, self.at, self.size, least, self.name, self.where = (np.concatenate(x) for x in zip(*found, strict=True))
         self.unique, self.which = np.unique(least, return_inverse=True)
         self.part = (self.unique % np.uint64(parts)).astype(np.int64)
         self.order = np.argsort(self.part, kind="stable")
@@ -130,38 +159,50 @@ class _Bucket:
         np.maximum.at(high, self.which, ids)
         return low < high
 
+    def contents(self) -> np.ndarray:
+        """How many different segments the minimiser has in this bucket."""
+        order = np.lexsort((self.name, self.which))
+        which, name = self.which[order], self.name[order]
+        fresh = np.ones(len(order), bool)
+        fresh[1:] = (which[1:] != which[:-1]) | (name[1:] != name[:-1])
+        return np.bincount(which[fresh], minlength=len(self.unique))
+
 
 def _counted(packed: DataFrame, text_col: str, parts: int, length: int) -> DataFrame:
-    """(bucket, blob of documents) to (part, bucket, hashes, several): a bucket's minimisers by part."""
+    """(bucket, blob of documents) to (part, bucket, hashes, several, contents): a bucket's minimisers by part."""
 
     def run(group: pa.Table) -> pa.Table:
         bucket, out = _Bucket(group, text_col, parts, length), []
-        several = bucket.several()
+        several, contents = bucket.several(), np.minimum(bucket.contents(), 0xFFFF).astype(np.uint16)
         for p in np.flatnonzero(np.diff(bucket.cuts)).tolist():
             mine = bucket.order[bucket.cuts[p] : bucket.cuts[p + 1]]
-            out.append((p, bucket.unique[mine].tobytes(), np.packbits(several[mine]).tobytes()))
+            out.append((p, bucket.unique[mine].tobytes(), np.packbits(several[mine]).tobytes(), contents[mine].tobytes()))
         where = group.column("bucket")[0].as_py() if group.num_rows else 0
-        return pa.table({"part": pa.array([x[0] for x in out], pa.int32()), "bucket": pa.array([where] * len(out), pa.int32()), "hashes": pa.array([x[1] for x in out], pa.binary()), "several": pa.array([x[2] for x in out], pa.binary())})
+        return pa.table({
+            "part": pa.array([x[0] for x in out], pa.int32()), "bucket": pa.array([where] * len(out), pa.int32()),
+            **{n: pa.array([x[k] for x in out], pa.binary()) for k, n in enumerate(("hashes", "several", "contents"), 1)},
+        })
 
-    return packed.groupBy("bucket").applyInArrow(run, "part int, bucket int, hashes binary, several binary")
+    return packed.groupBy("bucket").applyInArrow(run, "part int, bucket int, hashes binary, several binary, contents binary")
 
 
 def _shared(counted: DataFrame) -> DataFrame:
-    """(part, bucket, hashes, several) to (bucket, part, shared): a bit for each of the bucket's hashes."""
+    """_counted to (bucket, part, shared, hot): bits for each of the bucket's hashes."""
 
     def run(group: pa.Table) -> pa.Table:
         hashes = [np.frombuffer(x, np.uint64) for x in group.column("hashes").to_pylist()]
         flags = [np.unpackbits(np.frombuffer(x, np.uint8), count=len(h)).astype(bool) for x, h in zip(group.column("several").to_pylist(), hashes, strict=True)]
         if not hashes:
-            return pa.table({"bucket": pa.array([], pa.int32()), "part": pa.array([], pa.int32()), "shared": pa.array([], pa.binary())})
+            return pa.table({"bucket": pa.array([], pa.int32()), "part": pa.array([], pa.int32()), "shared": pa.array([], pa.binary()), "hot": pa.array([], pa.binary())})
         unique, which, count = np.unique(np.concatenate(hashes), return_inverse=True, return_counts=True)
         several = count > 1  # a bucket has each hash once
         several[which[np.concatenate(flags)]] = True
+        total = np.bincount(which, np.concatenate([np.frombuffer(x, np.uint16) for x in group.column("contents").to_pylist()]), len(unique))
         ends = np.cumsum([len(h) for h in hashes])
-        bits = [np.packbits(several[which[e - len(h) : e]]).tobytes() for h, e in zip(hashes, ends, strict=True)]
-        return pa.table({"bucket": group.column("bucket"), "part": group.column("part"), "shared": pa.array(bits, pa.binary())})
+        bits = [[np.packbits(x[which[e - len(h) : e]]).tobytes() for h, e in zip(hashes, ends, strict=True)] for x in (several, total > HOT_SEGMENTS)]
+        return pa.table({"bucket": group.column("bucket"), "part": group.column("part"), "shared": pa.array(bits[0], pa.binary()), "hot": pa.array(bits[1], pa.binary())})
 
-    return counted.groupBy("part").applyInArrow(run, "bucket int, part int, shared binary")
+    return counted.groupBy("part").applyInArrow(run, "bucket int, part int, shared binary, hot binary")
 
 
 def _requests(packed: DataFrame, shared: DataFrame, text_col: str, count_parts: int, parts: int, length: int) -> DataFrame:
@@ -170,214 +211,236 @@ def _requests(packed: DataFrame, shared: DataFrame, text_col: str, count_parts:
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         out: list[tuple[int, bool, bytes]] = []
         bucket = _Bucket(left, text_col, count_parts, length)
-        flag = np.zeros(len(bucket.unique), bool)
-        for p, bits in zip(right.column("part").to_pylist(), right.column("shared").to_pylist(), strict=True):
+        flags = np.zeros((2, len(bucket.unique)), bool)
+        for p, *bits in zip(*(right.column(c).to_pylist() for c in ("part", "shared", "hot")), strict=True):
             mine = bucket.order[bucket.cuts[p] : bucket.cuts[p + 1]]
-            flag[mine] = np.unpackbits(np.frombuffer(bits, np.uint8), count=len(mine)).astype(bool)
-        keep = flag[bucket.which]
-        if keep.any():
-            _ask(bucket, keep, left.column("bucket")[0].as_py(), parts, length, out)
+            flags[:, mine] = [np.unpackbits(np.frombuffer(x, np.uint8), count=len(mine)).astype(bool) for x in bits]
+        if flags[0].any():
+            _ask(bucket, flags[0][bucket.which], flags[1][bucket.which], left.column("bucket")[0].as_py(), parts, length, out)
         return pa.table({"part": pa.array([x[0] for x in out], pa.int32()), "spans": pa.array([x[1] for x in out], pa.bool_()), "blob": pa.array([x[2] for x in out], pa.binary())})
 
     return packed.groupBy("bucket").cogroup(shared.groupBy("bucket")).applyInArrow(run, "part int, spans boolean, blob binary")
 
 
-def _ask(bucket: _Bucket, keep: np.ndarray, number: int, parts: int, length: int, out: list) -> None:
-    """The kept segments of a bucket as rows of `out`."""
-    ids, keys = bucket.ids, bucket.keys
-    ends = np.cumsum([0, *(len(x[6]) for x in bucket.slices)])
-    found, names, where = [], [], []
-    for k, (data, offsets, text, base, start, size, least) in enumerate(bucket.slices):
-        mine = keep[ends[k] : ends[k + 1]]
-        text, start, size, least = text[mine], start[mine], size[mine], least[mine]
-        rolling = Rolling(data)
-        names.append(rolling.ranges(start, start + size))
-        where.append(_minimiser_places(rolling, start, least, length))
-        found.append((text + base, start - offsets[text], size, least, start))
-    doc, start, size, least, in_slice = (np.concatenate(x) for x in zip(*found, strict=True))
-    name, where = np.concatenate(names), np.concatenate(where)
-    place = np.concatenate(([0], np.cumsum([len(x[0]) for x in found])))
-    # the first segment with the same bytes, of the least id, stands for its copies
+def _leads(data: np.ndarray, name: np.ndarray, at: np.ndarray, size: np.ndarray, who: np.ndarray) -> np.ndarray:
+    """For each range the first one, of the least id, that has the same bytes."""
     order = np.argsort(name)
-    fresh = np.concatenate(([True], name[order][1:] != name[order][:-1]))
+    fresh = np.ones(len(order), bool)
+    fresh[1:] = name[order][1:] != name[order][:-1]
     group = np.cumsum(fresh) - 1
-    who = ids[doc]
-    low = np.minimum.reduceat(who[order], np.flatnonzero(fresh))
-    lead_of = np.full(len(low), len(doc))
+    low = np.minimum.reduceat(who[order], np.flatnonzero(fresh)) if len(order) else who
+    lead_of = np.full(len(low), len(name))
     at_low = who[order] == low[group]
     np.minimum.at(lead_of, group[at_low], order[at_low])
-    lead = np.empty(len(doc), np.int64)
+    lead = np.empty(len(name), np.int64)
     lead[order] = lead_of[group]
-    later = who > who[lead]
-    if later.any():
-        d, s, n = doc[later], start[later], size[later]
+    other = np.flatnonzero(lead != np.arange(len(lead)))
+    same = size[other] == size[lead[other]]
+    same[same] = equal_ranges(data, at[other[same]], at[lead[other[same]]], size[other[same]])
+    lead[other[~same]] = other[~same]  # one hash, different bytes: stands for itself
+    return lead
+
+
+def _ask(bucket: _Bucket, keep: np.ndarray, hot: np.ndarray, number: int, parts: int, length: int, out: list) -> None:
+    """The kept segments of a bucket as rows of `out`."""
+    ids, keys, data = bucket.ids, bucket.keys, bucket.data
+    columns = [x[keep] for x in (bucket.doc, bucket.start, bucket.at, bucket.size, bucket.name, bucket.where)]
+    to, hot = bucket.unique[bucket.which[keep]], hot[keep]
+    lead = _leads(data, columns[4], columns[2], columns[3], ids[columns[0]])
+    later = ids[columns[0]] > ids[columns[0][lead]]
+    known = [tuple(x[later] for x in columns[:2]) + (columns[3][later],)]
+    if hot.any():  # cut into single strings, and these folded again
+        cut = np.flatnonzero(hot & ~later)
+        n = columns[3][cut] - length + 1
+        step = ragged(np.zeros(len(n), np.int64), n)
+        doc, start, at = (np.repeat(x[cut], n) + y for x, y in ((columns[0], 0), (columns[1], step), (columns[2], step)))
+        size = np.full(len(doc), length)
+        name = np.empty(len(doc), np.uint64)
+        for a in range(0, len(doc), 1 << 16):
+            b = at[a : a + (1 << 16)]
+            low, high = int(b.min()), int(b.max()) + length
+            name[a : a + (1 << 16)] = range_hashes(gram_hashes(data[low:high]), b - low, size[a : a + (1 << 16)])
+        first = _leads(data, name, at, size, ids[doc])
+        gone = ids[doc] > ids[doc[first]]
+        known.append((doc[gone], start[gone], size[gone]))
+        keys_of = np.full(len(doc), _ALONE)
+        rest = ~hot
+        base, cut_rest = int(rest.sum()), np.cumsum(rest) - 1
+        lead = np.concatenate((cut_rest[lead[rest]], base + first))  # a segment and its lead share a minimiser
+        later = np.concatenate((later[rest], gone))
+        columns = [np.concatenate((x[rest], y)) for x, y in zip(columns, (doc, start, at, size, name, keys_of), strict=True)]
+        to = np.concatenate((to[rest], name))
+    doc, start, at, size, _, where = columns
+    d, s, n = (np.concatenate(x) for x in zip(*known, strict=True))
+    if len(d):
         own = np.unique(d)
         # to another part for each bucket: there are at least as many parts as buckets
         out.append((number % parts, True, _pack(ids[own], keys[own], np.searchsorted(own, d).astype(np.uint32), s.astype(np.uint32), n.astype(np.uint32))))
-    to = (least % np.uint64(parts)).astype(np.int64)
+    to = (to % np.uint64(parts)).astype(np.int64)
     sent = np.flatnonzero(~later)
     sent = sent[np.argsort(to[sent], kind="stable")]
     cuts = np.searchsorted(to[sent], np.arange(parts + 1))
     for p in np.flatnonzero(np.diff(cuts)).tolist():
         mine = sent[cuts[p] : cuts[p + 1]]
         leads, content = np.unique(lead[mine], return_inverse=True)
-        data = []
-        for k, x in enumerate(bucket.slices):
-            local = leads[np.searchsorted(leads, place[k]) : np.searchsorted(leads, place[k + 1])]
-            data.append(x[0][ragged(in_slice[local], size[local])])
         own = np.unique(doc[mine])
-        out.append((p, False, _pack(ids[own], keys[own], np.searchsorted(own, doc[mine]).astype(np.uint32), start[mine].astype(np.uint32), content.astype(np.uint32), size[leads].astype(np.uint32), where[leads].astype(np.uint8), np.concatenate(data))))
+        out.append((p, False, _pack(ids[own], keys[own], np.searchsorted(own, doc[mine]).astype(np.uint32), start[mine].astype(np.uint32), content.astype(np.uint32), size[leads].astype(np.uint32), where[leads].astype(np.uint8), data[ragged(at[leads], size[leads])])))
 
 
 # --- the transform -----------------------------------------------------------------------
 
 
-def shared_strings(data: np.ndarray, sizes: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The strings of `length` bytes in texts: text, offset and the number of its class of equal strings.
+def suffix_order(symbol: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The suffixes of texts in full lexicographic order; symbol 0, at `ends`, closes a text.
 
-    data: the texts, one after the other. Classes come from the undivided intervals of the
-    sorted suffixes after backward extension up to length - 1.
+    Of suffixes that are equal up to their ends the earlier text's comes first. Prefix
+    doubling (by threes): only suffixes that are still undivided are sorted again.
     """
-    ends = np.cumsum(sizes)
-    n = len(data) + len(sizes)
-    symbol = np.zeros(n + length, np.int64)  # 0 ends a text
-    text = np.repeat(np.arange(len(sizes)), sizes + 1)
-    begin = ends - sizes + np.arange(len(sizes))
-    offset = np.arange(n) - begin[text]
-    inside = offset < sizes[text]
-    symbol[:n][inside] = data.astype(np.int64) + 1
-    # suffixes in order of their first `length` symbols
+    n = len(symbol)
     have = 7
     key = np.zeros(n, np.int64)
+    padded = np.concatenate((symbol, np.zeros(have, np.int64)))
+    live = np.ones(n, np.int64)
     for j in range(have):
-        key = (key << 9) | symbol[j : n + j]
-    while True:
-        order = np.argsort(key)
-        ranked = key[order]
-        rank = np.zeros(n + length, np.int64)
-        rank[order] = 1 + np.concatenate(([0], np.cumsum(ranked[1:] != ranked[:-1])))
-        if have == length:
-            break
-        if n < 1 << 20:  # three ranks fit a key
-            one, two = min(have, length - have), min(2 * have, length - have)
-            key = (rank[:n] << 42) | (rank[one : n + one] << 21) | rank[two : n + two]
-            have = min(3 * have, length)
-        else:
-            step = min(have, length - have)
-            key = (rank[:n] << 31) | rank[step : n + step]
-            have += step
-    real = (symbol[order - 1] > 0) & (order > 0)  # whether the text goes on before the suffix
-    place = np.empty(n, np.int64)
-    place[order] = np.arange(n)
-    step_back = place[order - 1]  # place of the suffix that begins one symbol earlier
-    split = np.ones(n + 1, bool)  # where the first symbol changes
+        now = padded[j : j + n] * live
+        key = (key << 9) | now
+        live = (now > 0).astype(np.int64)
+    order = np.argsort(key)
+    ranked = key[order]
+    fresh = np.ones(n, bool)
+    fresh[1:] = ranked[1:] != ranked[:-1]
+    closed = np.flatnonzero((ranked & 511) == 0)  # these end within the symbols: in order of text
+    if len(closed):
+        group = np.cumsum(fresh)[closed]
+        order[closed] = order[closed][np.argsort((group << 32) | order[closed])]
+        fresh[closed] = True
+    rank = np.zeros(n + 3 * int(np.diff(ends, prepend=-1).max(initial=1)) + 21, np.int64)
+    slot = np.flatnonzero(~(fresh & np.append(fresh[1:], True)))  # of suffixes in groups of several
+    rank[order] = np.maximum.accumulate(np.where(fresh, np.arange(n), 0))
+    threes = n < 1 << 21
+    while len(slot):
+        at = order[slot]
+        key = (rank[at] << 42) | (rank[at + have] << 21) | rank[at + 2 * have] if threes else (rank[at] << 31) | rank[at + have]
+        by = np.argsort(key)
+        at, key = at[by], key[by]
+        order[slot] = at
+        fresh = np.ones(len(slot), bool)
+        fresh[1:] = key[1:] != key[:-1]
+        rank[at] = np.maximum.accumulate(np.where(fresh, slot, 0))
+        slot = slot[~(fresh & np.append(fresh[1:], True))]
+        have *= 3 if threes else 2
+    return order
+
+
+def shared_strings(data: np.ndarray, sizes: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The strings of `length` bytes in texts: text, offset and the number of its class of equal strings.
+
+    data: the texts, one after the other. Classes are the intervals of the sorted suffixes
+    that backward extension up to length - 1 leaves undivided.
+    """
+    ends = np.cumsum(sizes + 1) - 1
+    n = len(data) + len(sizes)
+    symbol = np.zeros(n, np.int64)
+    inside = np.ones(n, bool)
+    inside[ends] = False
+    symbol[inside] = data.astype(np.int64) + 1
+    order = suffix_order(symbol, ends)
+    # the transform: whether the text goes on before each suffix in order, and where the suffix
+    # that begins one symbol earlier lies; those with one first symbol lie together
+    goes_on = (symbol[order - 1] > 0) & (order > 0)
+    place = np.empty(n, np.int32)
+    place[order] = np.arange(n, dtype=np.int32)
+    step_back = place[order - 1]
     head = symbol[order]
+    split = np.ones(n + 1, bool)
     split[1:n] = head[1:] != head[:-1]
     divided = np.zeros(n + 1, bool)
     divided[[0, n]] = True
+    mark = np.full(n, -1, np.int32)
     low, high = np.array([0]), np.array([n])
     for _ in range(length):
-        if not len(low):
-            break
         wide = high - low
         at = ragged(low, wide)
-        owner = np.repeat(np.arange(len(low)), wide)
-        on = real[at]
-        both = (step_back[at[on]] << 32) | owner[on]
-        if not len(both):
+        owner = np.repeat(np.arange(len(low), dtype=np.int32), wide)
+        on = goes_on[at]
+        to, owner = step_back[at[on]], owner[on]
+        if not len(to):
             break
-        both.sort()
-        to, owner = both >> 32, both & 0xFFFFFFFF
-        cut = split[to[1:]] | (to[1:] != to[:-1] + 1) | (owner[1:] != owner[:-1])
-        low = to[np.concatenate(([True], cut))]
-        high = to[np.concatenate((cut, [True]))] + 1
+        if len(to) > n >> 5:  # in order by place: by a pass over all, or by sorting these
+            mark[to] = owner
+            to = np.flatnonzero(mark >= 0)
+            owner = mark[to]
+            mark[to] = -1
+        else:
+            by = np.argsort(to)
+            to, owner = to[by].astype(np.int64), owner[by]
+        cut = np.ones(len(to) + 1, bool)
+        cut[1:-1] = split[to[1:]] | (to[1:] != to[:-1] + 1) | (owner[1:] != owner[:-1])
+        low, high = to[cut[:-1]], to[cut[1:]] + 1
         new = ~divided[high]
         low, high = low[new], high[new]
         divided[high] = True
-    whole = offset[order] + length <= sizes[text[order]]
+    text = np.repeat(np.arange(len(sizes)), sizes + 1)
+    offset = np.arange(n) - (ends - sizes)[text]
+    whole = (offset + length <= sizes[text])[order]
     number = np.cumsum(divided[:n])
     return text[order[whole]], offset[order[whole]], number[whole]
 
 
 def _resolve(blobs: list[bytes], length: int):
     """ids, keys, doc, start, bytes of the spans to remove, from the segments of one part."""
-    ids, keys, ref_doc, ref_start, ref_content, sizes, data, names, least = [], [], [], [], [], [], [], [], []
+    ids, keys, ref_doc, ref_start, ref_content, sizes, data, names, group = [], [], [], [], [], [], [], [], []
     docs = contents = 0
     for blob in blobs:
         i, k, d, s, c, n, w, raw = _unpack(blob)
         ids.append(i), keys.append(k), ref_start.append(s.astype(np.int64)), sizes.append(n.astype(np.int64)), data.append(raw)
         ref_doc.append(d.astype(np.int64) + docs), ref_content.append(c.astype(np.int64) + contents)
         docs, contents = docs + len(i), contents + len(n)
-        ends = np.cumsum(n.astype(np.int64))
-        starts = ends - n
-        rolling = Rolling(raw)
-        names.append(rolling.ranges(starts, ends))
-        least.append(rolling.ranges(starts + w, starts + w + GRAM))
-    ids, keys, ref_doc, ref_start, ref_content, sizes, data, names, least = map(np.concatenate, (ids, keys, ref_doc, ref_start, ref_content, sizes, data, names, least))
+        n = n.astype(np.int64)
+        starts = np.cumsum(n) - n
+        grams = gram_hashes(raw)
+        names.append(range_hashes(grams, starts, n))
+        group.append(np.where(w == _ALONE, names[-1], grams[np.minimum(starts + w, len(grams) - 1)]))
+    ids, keys, ref_doc, ref_start, ref_content, sizes, data, names, group = map(np.concatenate, (ids, keys, ref_doc, ref_start, ref_content, sizes, data, names, group))
     begins = np.cumsum(sizes) - sizes
-    # equal segments of several batches: one content
-    order = np.argsort(names)
-    same = names[order][1:] == names[order][:-1]
-    if same.any():
-        one, two = order[:-1][same], order[1:][same]
-        equal = sizes[one] == sizes[two]
-        if equal.all():
-            differ = data[ragged(begins[one], sizes[one])] != data[ragged(begins[two], sizes[two])]
-            equal = np.add.reduceat(differ, np.cumsum(sizes[one]) - sizes[one]) == 0
-        if not equal.all():  # different bytes under one hash: told apart by the bytes
-            order = np.array(sorted(range(len(sizes)), key=lambda x: data[begins[x] : begins[x] + sizes[x]].tobytes()))
-            whole = [data[begins[x] : begins[x] + sizes[x]].tobytes() for x in order]
-            same = np.array([a == b for a, b in zip(whole, whole[1:], strict=False)], bool)
-    content = np.empty(len(sizes), np.int64)
-    content[order] = np.concatenate(([0], np.cumsum(~same)))
-    heads = order[np.concatenate(([True], ~same))]
-    ref_content = content[ref_content]
-    owner = np.full(len(heads), np.iinfo(np.int64).max)
-    np.minimum.at(owner, ref_content, ids[ref_doc])  # least document of each content
-    sizes, begins, least = sizes[heads], begins[heads], least[heads]
-    # contents that share a minimiser with another one are compared string by string
-    by = np.argsort(least)
-    tied = least[by][1:] == least[by][:-1]
-    many = np.concatenate(([False], tied)) | np.concatenate((tied, [False]))
-    by = by[many]
-    mixed = np.zeros(len(heads), bool)
-    first = np.zeros(len(heads), np.int64)  # where a mixed content's strings begin in `lowest`
-    lowest: list[np.ndarray] = []
-    filled = 0
-    fresh = np.concatenate(([True], least[by][1:] != least[by][:-1])) if len(by) else np.zeros(0, bool)
-    total = np.cumsum(sizes[by])
+    # segments of several buckets with the same bytes become one text of the transform
+    content = _leads(data, names, begins, sizes, np.arange(len(sizes)))[ref_content]
+    owner = np.full(len(sizes), np.iinfo(np.int64).max)
+    np.minimum.at(owner, content, ids[ref_doc])  # least document of each content
+    heads = np.unique(content)
+    heads = heads[np.argsort(group[heads], kind="stable")]
+    fresh = np.ones(len(heads) + 1, bool)
+    fresh[1:-1] = group[heads][1:] != group[heads][:-1]
+    total = np.cumsum(sizes[heads])
+    by = np.argsort(content, kind="stable")  # references in order of content
+    ref_cuts = np.searchsorted(content[by], np.arange(len(sizes) + 1))
+    out = [(np.empty(0, np.int64),) * 3]
     at = 0
-    while at < len(by):
-        end = int(np.searchsorted(total, (total[at - 1] if at else 0) + TRANSFORM_BYTES))
-        while end < len(by) and not fresh[end]:
+    while at < len(heads):
+        end = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + TRANSFORM_BYTES)))
+        while not fresh[min(end, len(heads))]:
             end += 1
-        mine = by[at : max(end, at + 1)]
+        mine = heads[at:end]
+        at = end
         text, offset, number = shared_strings(data[ragged(begins[mine], sizes[mine])], sizes[mine], length)
-        number = number - number.min()
-        value = np.full(int(number.max()) + 1, np.iinfo(np.int64).max)
-        np.minimum.at(value, number, owner[mine[text]])
+        least = np.full(int(number[-1]) + 1, np.iinfo(np.int64).max)
+        np.minimum.at(least, number, owner[mine[text]])
         windows = sizes[mine] - length + 1
         place = np.cumsum(windows) - windows
         low = np.empty(int(windows.sum()), np.int64)
-        low[place[text] + offset] = value[number]
-        mixed[mine], first[mine] = True, filled + place
-        lowest.append(low)
-        filled += len(low)
-        at += len(mine)
-    plain = ~mixed[ref_content] & (owner[ref_content] < ids[ref_doc])
-    out = [(ref_doc[plain], ref_start[plain], sizes[ref_content[plain]])]
-    refs = np.flatnonzero(mixed[ref_content])
-    if len(refs):
-        low = np.concatenate(lowest)
-        windows = sizes[ref_content[refs]] - length + 1
-        which = np.repeat(np.arange(len(refs)), windows)
-        off = ragged(np.zeros(len(refs), np.int64), windows)
-        gone = low[first[ref_content[refs]][which] + off] < ids[ref_doc[refs]][which]
-        which, off = which[gone], off[gone]
-        if len(which):
-            new = (which[1:] != which[:-1]) | (off[1:] != off[:-1] + 1)
-            a, b = np.flatnonzero(np.concatenate(([True], new))), np.flatnonzero(np.concatenate((new, [True])))
-            out.append((ref_doc[refs[which[a]]], ref_start[refs[which[a]]] + off[a], off[b] - off[a] + length))
+        low[place[text] + offset] = least[number]
+        refs = by[ragged(ref_cuts[mine], ref_cuts[mine + 1] - ref_cuts[mine])]
+        of = np.repeat(np.arange(len(mine)), ref_cuts[mine + 1] - ref_cuts[mine])
+        for a in range(0, len(refs), 1 << 14):
+            some, k = refs[a : a + (1 << 14)], of[a : a + (1 << 14)]
+            which = np.repeat(np.arange(len(some)), windows[k])
+            off = ragged(np.zeros(len(some), np.int64), windows[k])
+            gone = low[place[k][which] + off] < ids[ref_doc[some]][which]
+            which, off = which[gone], off[gone]
+            if len(which):
+                new = (which[1:] != which[:-1]) | (off[1:] != off[:-1] + 1)
+                first, last = np.flatnonzero(np.concatenate(([True], new))), np.flatnonzero(np.concatenate((new, [True])))
+                out.append((ref_doc[some[which[first]]], ref_start[some[which[first]]] + off[first], off[last] - off[first] + length))
     return ids, keys, *(np.concatenate(x) for x in zip(*out, strict=True))
 
 
@@ -449,15 +512,23 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     Removed is each byte covered by a string of `length` bytes that also begins in a document
     with a smaller id, judged on the input. Null text: no bytes, _kept empty. A row with a
     null id neither loses bytes nor makes others lose any. Repeated rows, and rows that share
-    an id, take nothing from each other. An empty table gives no rows.
+    an id, take nothing from each other. An empty table gives no rows. Further columns of any
+    name stay as they are.
     """
+    rows, names = apart(docs)
+    found = _without(rows, names[id_col], names[text_col], length, as_text)
+    return found.toDF(*docs.columns, "_n_bytes", "_spans", "_kept")
+
+
+def _without(docs: DataFrame, id_col: str, text_col: str, length: int, as_text: bool) -> DataFrame:
+    """remove_repeats for columns that have none of the names used here."""
     total = docs.agg(F.sum(F.octet_length(text_col)).alias("n")).first()["n"] or 0
     # segments have 3.7 bytes for each of the text if all are sent, minimisers 0.45
     parts = max(1, -(-int(total) * 37 // 10 // PART_BYTES))
     count_parts = max(1, -(-int(total) * 45 // 100 // COUNT_BYTES))
     buckets = max(1, -(-int(total) // BUCKET_BYTES))
     keyed = docs.withColumns({"_id": F.col(id_col).cast("long"), "_key": F.xxhash64(text_col)})
-    packed = _packed(keyed.select(*docs.columns, "_id", "_key"), buckets)
+    packed = _packed(keyed, buckets)
     shared = _shared(_counted(packed, text_col, count_parts, length))
     spans = _spans(_requests(packed, shared, text_col, count_parts, parts, length), buckets, length)
     schema = T.StructType([*docs.schema.fields, T.StructField("_n_bytes", T.LongType()), T.StructField("_spans", T.ArrayType(T.LongType())), T.StructField("_kept", T.StringType() if as_text else T.BinaryType())])
@@ -502,12 +573,14 @@ def _empty(schema: T.StructType) -> pa.Table:
     return to_arrow_schema(schema).empty_table()
 
 
-def without_repeats(docs: DataFrame, **options) -> DataFrame:
+def without_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = 50) -> DataFrame:
     """docs with the repeated bytes taken out of the text; characters cut in two go as a whole."""
-    rows = remove_repeats(docs, as_text=True, **options).withColumn("text", F.when(F.col("text").isNotNull(), F.col("_kept")))
-    if "n_chars" in docs.columns:
-        rows = rows.withColumn("n_chars", F.length("text").cast("long"))
-    return rows.select(*docs.columns)
+    rows, names = apart(docs)
+    text = names[text_col]
+    rows = _without(rows, names[id_col], text, length, True).withColumn(text, F.when(F.col(text).isNotNull(), F.col("_kept")))
+    if "n_chars" in names:
+        rows = rows.withColumn(names["n_chars"], F.length(text).cast("long"))
+    return rows.select(*names.values()).toDF(*docs.columns)
 
 
 def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

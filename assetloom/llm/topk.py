@@ -76,11 +76,11 @@ class Index:
                 query, rows, scores = _ranked(*self._possible(who[mine], q[mine], asked, at, part, k, known), k)
                 found.append((a + query, rows, scores))
                 # the k-th score of this part holds for the next ones
-                last = np.flatnonzero(np.append(query[k - 1 :] == query[: len(query) - k + 1], np.zeros(min(k - 1, len(query)), bool))) if len(query) >= k else query[:0]
-                if known is None and len(last) == len(q[mine]):
-                    known = scores[last + k - 1]
+                full = np.flatnonzero(query[k - 1 :] == query[: max(len(query) - k + 1, 0)])
+                if known is None and len(full) == len(q[mine]):
+                    known = scores[full + k - 1]
                 elif known is not None:
-                    known[query[last]] = np.maximum(known[query[last]], scores[last + k - 1])
+                    known[query[full]] = np.maximum(known[query[full]], scores[full + k - 1])
         query, rows, scores = _ranked(*(np.concatenate(x) for x in zip(*found, strict=True)), k)
         return who[query], self.ids[rows], scores
 

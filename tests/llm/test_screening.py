@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from assetloom.llm import licenses, pii, quality, urls
 
-from .helpers import WORD, corpus, frame, prose
+from .helpers import SCHEMA, WORD, corpus, frame, prose
 
 BASE = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
@@ -67,6 +67,28 @@ def test_long_values_of_labels_are_whole(spark):
     assert clean[30] == rows[30].replace(long, "[PHONE]")
 
 
+def test_found_identifiers_seed_the_next_round(spark):
+    rng = random.Random(22)
+    number = lambda: f"+49 30 {rng.randrange(10**6, 10**7)}"
+    local = [f"030/{rng.randrange(10**6, 10**7)}" for _ in range(12)]
+    rows = [f"{prose(rng, 20)} hotline: {number()} {prose(rng, 9)}" for _ in range(60)]
+    rows += [f"{prose(rng, 20)} hotline: {x} {prose(rng, 9)}" for x in local[:11]]  # found by the label
+    rows += [f"{prose(rng, 20)} ruf-uns-einfach-jederzeit-an: {x} {prose(rng, 9)}" for x in local]  # a label that only they seed
+    got = {r["doc_id"]: r for r in pii.personal_data(frame(spark, list(enumerate(rows)))).collect()}
+    added = {i: [rows[i][x["s"] : x["e"]] for x in r["spans"] if x not in r["base"]] for i, r in got.items()}
+    assert all(added[60 + i] == [x] for i, x in enumerate(local[:11])) and all(added[71 + i] == [x] for i, x in enumerate(local))
+    one = pii.personal_data(frame(spark, list(enumerate(rows))), pii.Bootstrap(rounds=1)).where("doc_id = 82").first()
+    assert one["spans"] == one["base"] == []
+
+
+def test_values_keep_their_own_two_words(spark):
+    rng = random.Random(23)
+    rows = [f"{prose(rng, 20)}. please call +49 30 {rng.randrange(10**6, 10**7)} {prose(rng, 9)}" for _ in range(40)]
+    rows.append(f"{prose(rng, 20)}. at 7 please call 030/7654321 {prose(rng, 9)}")  # `at 7 please` begins two words before
+    r = pii.personal_data(frame(spark, list(enumerate(rows)))).where("doc_id = 40").first()
+    assert [rows[40][x["s"] : x["e"]] for x in r["spans"]] == ["030/7654321"]
+
+
 def test_personal_data_of_odd_tables(spark, tmp_path):
     assert pii.personal_data(frame(spark, [])).collect() == []
     frame(spark, [(1, "x@y.zz"), (1, "x@y.zz"), (None, "1.2.3.4"), (2, None)]).withColumnRenamed("lang", "base").write.parquet(f"{tmp_path}/documents.parquet")
@@ -105,8 +127,8 @@ def test_frequent_lines_go_and_depleted_documents_too(spark):
     assert all("ubscribe" not in r["text"] and "SUBSCRIBE" not in r["text"] and r["n_chars"] == len(r["text"]) for r in kept.values())
     assert kept[55]["text"] == dict(rows)[55] and docs.columns == quality.apply_quality(docs).columns
     # exact copies count once: a text of forty copies makes none of its lines frequent
-    copies = frame(spark, [(i, f"{banner}\nwith " + "other words " * 9) for i in range(40)])
-    assert quality.frequent_lines(copies).count() == 0
+    copies = frame(spark, [(i, f"{banner}\nwith {prose(random.Random(1), 30)}") for i in range(40)])
+    assert quality.frequent_lines(quality.line_table(copies)).count() == 0 and quality.apply_quality(copies).count() == 40
     assert quality.quality(frame(spark, [])).collect() == []
 
 
@@ -116,14 +138,37 @@ def test_lines_at_a_tenth_of_a_large_host_go(spark):
     rows = [(i, f"{banner}\n{prose(rng, 60)}") for i in range(40)] + [(i, f"{banner}\n" * 9 + prose(rng, 25)) for i in range(40, 44)] + [(i, prose(rng, 60)) for i in range(44, 420)]
     rows += [(i, f"a line of few\n{prose(rng, 60)}") for i in range(420, 440)]  # at the limit, not above it
     docs = frame(spark, rows)
-    assert [r["n_texts"] for r in quality.frequent_lines(docs).collect()] == [44]
+    assert [r["n_texts"] for r in quality.frequent_lines(quality.line_table(docs)).collect()] == [44]
     got = {r["doc_id"]: (r["n_lost_words"], r["kept"]) for r in quality.quality(docs).collect()}
     words = len(banner.split())
     assert all(got[i] == (words, True) for i in range(40)) and all(got[i] == (0, True) for i in range(44, 440))
     assert all(got[i] == (9 * words, False) for i in range(40, 44))
     # other hosts count for themselves
     apart = docs.withColumn("source", F.concat(F.lit("host-"), (F.col("doc_id") % 3).cast("string")))
-    assert quality.frequent_lines(apart).count() == 0
+    assert quality.frequent_lines(quality.line_table(apart)).count() == 0
+
+
+def test_lines_are_lost_by_host(spark):
+    rng = random.Random(19)
+    banner = "Subscribe to our newsletter for the very latest news today"
+    text = f"{prose(rng, 80)}\n{banner}\n{banner}"
+    rows = [(i, f"{banner}\n{prose(rng, 60)}", "en", "host-a", 1) for i in range(40)] + [(100, text, "en", "host-a", 1), (100, text, "en", "host-b", 1), (100, text, "en", None, 1)]
+    got = quality.quality(spark.createDataFrame(rows, SCHEMA)).where("doc_id = 100").collect()
+    assert {r["source"]: r["n_lost_words"] for r in got} == {"host-a": 2 * len(banner.split()), "host-b": 0, None: 0}
+    clean = {r["source"]: r["text"] for r in quality.apply_quality(spark.createDataFrame(rows, SCHEMA)).where("doc_id = 100").collect()}
+    assert clean == {"host-a": text.split("\n")[0], "host-b": text, None: text}
+
+
+def test_texts_of_very_many_words_and_spans_end(spark):
+    rng = random.Random(20)
+    words = prose(rng, 300_000, 10**6)
+    spans = " ".join(f"u{i}@ex.org note: +49 30 {1000000 + i}" for i in range(8000))
+    docs = frame(spark, [(1, words), (2, spans)])
+    got = {r["doc_id"]: r for r in quality.quality(docs).collect()}
+    assert tuple(got[1][c] for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")) == counted(words)
+    found = {r["doc_id"]: [(x["s"], x["k"], x["e"]) for x in r["base"]] for r in pii.personal_data(docs).collect()}
+    assert found == {1: [], 2: base_spans(spans)}
+    assert {r["doc_id"]: r["text"] for r in pii.redact(docs).collect()}[2] == " ".join("[EMAIL] note: [PHONE]" for _ in range(8000))
 
 
 def test_filter_over_quality_ends(spark):
