@@ -3,7 +3,8 @@
 A partition's distinct words are laid out as one array of symbols. The index maps the rank
 of each adjacent pair to all positions where the pair stands; ranks are applied in ascending
 order, each to all its positions at once, and the lists of the pairs that a merge forms are
-added to. Word boundaries, hashes and the spreading of ids over documents are array passes.
+added to. Word boundaries, keys and the spreading of ids over documents are array passes; words
+are the same where their bytes are.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Rolling, byte_slices, flat_bytes, ragged, table
+from .common import byte_slices, equal_ranges, flat_bytes, mix64, ragged, table
 from .tokens import DEFAULT, vocabulary_path
 
 SPACE, LETTER, NUMBER, OTHER = 0, 1, 2, 3
@@ -190,6 +191,28 @@ def merge_words(voc: Vocabulary, data: np.ndarray, offsets: np.ndarray) -> tuple
     return sym[alive], counts
 
 
+def word_keys(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """A number for each word: of up to 7 bytes the bytes and their number, of more a hash with the top bit set."""
+    padded = np.concatenate((data, np.zeros(8, np.uint8)))
+    eight = np.ndarray((len(data) + 1,), "<u8", buffer=padded, strides=(1,))
+    short = np.minimum(sizes, 7).astype(np.uint64)
+    keys = (eight[starts] & ((np.uint64(1) << (short * np.uint64(8))) - np.uint64(1))) | (short << np.uint64(56))
+    long = np.flatnonzero(sizes > 7)
+    if len(long):
+        at, size = starts[long], sizes[long]
+        found = long_hash(eight[at + size - 8], size.astype(np.uint64))
+        for j in range(int(size.max()) // 8):
+            left = np.flatnonzero(size >= 8 * (j + 1))
+            found[left] = long_hash(found[left], eight[at[left] + 8 * j])
+        keys[long] = found | np.uint64(1 << 63)
+    return keys
+
+
+def long_hash(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """One hash of two; words with the same one are told apart by their bytes."""
+    return mix64(a * np.uint64(0x9E3779B97F4A7C15) + b)
+
+
 class Slice:
     """The words of some texts: bytes, where each begins, and how many each text has."""
 
@@ -213,7 +236,7 @@ class Slice:
         starts = at[np.flatnonzero(start)]
         ends = np.append(starts[1:], len(data)) if len(starts) else starts
         self.per_text = np.diff(np.searchsorted(starts, offsets))
-        self.hashes = Rolling(data).ranges(starts, ends)
+        self.keys = word_keys(data, starts, ends - starts)
         self.starts, self.ends = starts.astype(np.int32), ends.astype(np.int32)
         self.forced = {int(np.searchsorted(self.starts, begin)): token for begin, _, token in marks}
 
@@ -255,15 +278,15 @@ def _encode_batch(voc: Vocabulary, batch: pa.RecordBatch):
     if not cut:
         return
     # the batch's distinct words, each taken from the first slice that has it
-    hashes, where, at = [], [], []
+    keys, where, at = [], [], []
     for k, (_, s) in enumerate(cut):
         plain = np.ones(len(s.starts), bool)
         plain[list(s.forced)] = False
-        h, i = np.unique(s.hashes[plain], return_index=True)
-        hashes.append(h)
+        h, i = np.unique(s.keys[plain], return_index=True)
+        keys.append(h)
         where.append(np.full(len(h), k))
         at.append(np.flatnonzero(plain)[i])
-    words, pick = np.unique(np.concatenate(hashes), return_index=True)
+    words, pick = np.unique(np.concatenate(keys), return_index=True)
     where, at = np.concatenate(where)[pick], np.concatenate(at)[pick]
     order = np.argsort(where, kind="stable")
     texts, lengths = [], []
@@ -272,21 +295,35 @@ def _encode_batch(voc: Vocabulary, batch: pa.RecordBatch):
         size = (s.ends[mine] - s.starts[mine]).astype(np.int64)
         texts.append(s.data[ragged(s.starts[mine].astype(np.int64), size)])
         lengths.append(size)
-    offsets = np.concatenate(([0], np.cumsum(np.concatenate(lengths))))
-    flat, counts = merge_words(voc, np.concatenate(texts), offsets)
-    begins = np.concatenate(([0], np.cumsum(counts)[:-1])) if len(counts) else counts
+    size = np.concatenate(lengths)
+    begin = np.cumsum(size) - size
     place = np.empty(len(words), np.int64)
     place[order] = np.arange(len(words))
-    specials = sorted(voc.special.values())
-    flat, begins, counts = np.concatenate((flat, specials)).astype(np.int32), np.concatenate((begins, len(flat) + np.arange(len(specials)))).astype(np.int64), np.concatenate((counts, np.ones(len(specials), np.int64)))
-    for part, s in cut:
+    # the word of each place, and words with another one's hash, by their bytes
+    data, others, uses = np.concatenate(texts), {}, []
+    for _, s in cut:
         which = np.zeros(len(s.starts), np.int64)
         plain = np.ones(len(s.starts), bool)
         plain[list(s.forced)] = False
         if len(words):
-            which[plain] = place[np.searchsorted(words, s.hashes[plain])]
+            which[plain] = place[np.searchsorted(words, s.keys[plain])]
+        long = np.flatnonzero(plain & (s.ends - s.starts > 7))
+        n = (s.ends[long] - s.starts[long]).astype(np.int64)
+        same = n == size[which[long]]
+        same[same] = equal_ranges(s.data, s.starts[long[same]].astype(np.int64), begin[which[long[same]]], n[same], data)
+        for i in long[~same].tolist():
+            which[i] = len(words) + others.setdefault(s.data[s.starts[i] : s.ends[i]].tobytes(), len(others))
+        uses.append(which)
+    size = np.concatenate((size, np.array([len(w) for w in others], np.int64)))
+    data = np.concatenate((data, np.frombuffer(b"".join(others), np.uint8)))
+    flat, counts = merge_words(voc, data, np.concatenate(([0], np.cumsum(size))))
+    begins = np.concatenate(([0], np.cumsum(counts)[:-1])) if len(counts) else counts
+    specials = sorted(voc.special.values())
+    first_special = len(counts)
+    flat, begins, counts = np.concatenate((flat, specials)).astype(np.int32), np.concatenate((begins, len(flat) + np.arange(len(specials)))).astype(np.int64), np.concatenate((counts, np.ones(len(specials), np.int64)))
+    for (part, s), which in zip(cut, uses, strict=True):
         for i, token in s.forced.items():
-            which[i] = len(words) + specials.index(token)
+            which[i] = first_special + specials.index(token)
         ids = flat[ragged(begins[which], counts[which])]
         ends = np.concatenate(([0], np.cumsum(counts[which])))[np.concatenate(([0], np.cumsum(s.per_text)))]
         yield pa.RecordBatch.from_arrays([part.column("id"), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids))], names=["id", "ids"])

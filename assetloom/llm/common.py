@@ -177,15 +177,16 @@ class Rolling:
         return mix64(((both[0] << np.uint64(32)) | both[1]) + (ends - starts).astype(np.uint64) * np.uint64(0xA0761D6478BD642F))
 
 
-def equal_ranges(data: np.ndarray, one: np.ndarray, two: np.ndarray, size: np.ndarray, most: int = 1 << 20) -> np.ndarray:
-    """Whether data[one:one + size] has the bytes of data[two:two + size], a bounded number of bytes at a time."""
+def equal_ranges(data: np.ndarray, one: np.ndarray, two: np.ndarray, size: np.ndarray, other: np.ndarray | None = None, most: int = 1 << 20) -> np.ndarray:
+    """Whether data[one:one + size] has the bytes of data (or other)[two:two + size], a bounded number of bytes at a time."""
+    other = data if other is None else other
     out = np.ones(len(size), bool)
     total = np.cumsum(size)
     at = 0
     while at < len(size):
         end = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + most, "right")))
         n = size[at:end]
-        differ = data[ragged(one[at:end], n)] != data[ragged(two[at:end], n)]
+        differ = data[ragged(one[at:end], n)] != other[ragged(two[at:end], n)]
         if differ.any():
             owner = np.repeat(np.arange(at, end), n)
             out[owner[differ]] = False

@@ -4,7 +4,8 @@ Each line, each paragraph and the whole text is lower-cased and cut into words o
 0-9; its distinct word bigrams are compared with those of each template whose size leaves
 the threshold within reach. So are windows of consecutive words of the text about each
 template's size, around places where its bigrams stand close together: a notice inside a line, or
-wrapped in a longer paragraph or comment. Templates are few and fixed: literals in the plan.
+wrapped in a longer paragraph or comment. Texts without any of the words that a match must have
+are left out first. Templates are few and fixed: literals in the plan.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ TEMPLATES = {
         "Released under the MIT License.",
         "Licensed under the MIT License.",
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
     ],
     "Apache-2.0": [
         "Licensed under the Apache License, Version 2.0.",
@@ -36,8 +38,29 @@ TEMPLATES = {
         "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
     ],
     "CC-BY-4.0": ["Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."],
-    "BSD": ["Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"],
+    "BSD": [
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+    ],
     "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."],
+    "LGPL-2.1": [
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."
+    ],
+    "AGPL-3.0": [
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."
+    ],
+    "ISC": [
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."
+    ],
+    "Zlib": [
+        "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:"
+    ],
+    "Unlicense": [
+        "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."
+    ],
+    "EPL-2.0": [
+        "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/"
+    ],
 }
 THRESHOLD_PERCENT = 80
 
@@ -47,6 +70,21 @@ def bigrams(text: str) -> list[str]:
     return list(dict.fromkeys(f"{a} {b}" for a, b in zip(words, words[1:], strict=False)))
 
 
+def anchors(templates: dict[str, list[str]], percent: int) -> list[str]:
+    """Words of which a text has one if any unit or window of it reaches the threshold with a template.
+
+    Dice at the threshold takes at least percent * n / (200 - percent) of a template's n
+    bigrams. So of any other bigrams, one more than can be missing, one is there, and with it
+    its longer word. These are taken from the bigrams with the longest words.
+    """
+    found: dict[str, None] = {}
+    for b in (bigrams(t) for texts in templates.values() for t in texts):
+        least = -(-percent * len(b) // (200 - percent))
+        longer = sorted((max(x.split(), key=len) for x in b), key=lambda w: (-len(w), w))
+        found |= dict.fromkeys(longer[: len(b) - least + 1])
+    return sorted(found)
+
+
 def _literals(templates: dict[str, list[str]], sql: str = "spark") -> str:
     rows = []
     for name, texts in templates.items():
@@ -90,6 +128,9 @@ def scan_licenses(docs: DataFrame, templates: dict[str, list[str]] = TEMPLATES,
     fits = f"200 * least(size(g), t.n) >= {percent} * (size(g) + t.n)"
     found = f"filter(transform(filter({_literals(templates)}, t -> {fits}), t -> named_struct('d', {dice}, 'name', t.name)), x -> x.d >= {percent * 10_000})"
     rows = docs.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
+    # a text without any anchor word reaches no template: nothing of it is cut into bigrams
+    some = ", ".join(f"'{x}'" for x in anchors(templates, percent))
+    rows = rows.withColumn("_text", F.expr(f"CASE WHEN arrays_overlap({words.replace('(u)', '(_text)')}, array({some})) THEN _text ELSE '' END"))
     units = F.expr("array_distinct(concat(split(_text, '\\\\n'), split(_text, '\\\\n[ \\\\t]*\\\\n'), array(_text)))")
     rows = rows.withColumn("_units", units).withColumn("_grams", F.expr(f"filter(transform(transform(_units, u -> {words}), w -> {grams}), g -> size(g) >= {least})"))
     rows = rows.withColumn("_found", F.expr(f"concat(flatten(transform(_grams, g -> {found})), {_windows(words, templates, percent)})"))

@@ -17,8 +17,9 @@ def token_counts(docs: DataFrame, *, text_col: str = "text", id_col: str = "doc_
     """One row per row of docs: id, n_bytes, n_tokens, over_limit (n_tokens > limit).
 
     Null and empty text: 0 bytes, 0 tokens. Repeated rows each give a row; a null id stays
-    null; other columns are not read. Long texts are split where the pre-tokeniser must
-    break (sentencepiece files are never split: their pieces may cross spaces).
+    null; other columns are not read. The texts go to the library in batches of about
+    BATCH_BYTES, long ones split where the pre-tokeniser must break (for sentencepiece files
+    they are not: their pieces may cross spaces); only lengths leave a task.
     """
     splits = not vocabulary.endswith(".model")
 
@@ -27,12 +28,18 @@ def token_counts(docs: DataFrame, *, text_col: str = "text", id_col: str = "doc_
         for batch in batches:
             for part in byte_slices(batch, "text", BATCH_BYTES):
                 _, offsets = flat_bytes(part.column("text"))
-                texts, owner = [], []
+                n = np.zeros(part.num_rows, np.int64)
+                texts, owner, size = [], [], 0
                 for i, text in enumerate(part.column("text").to_pylist()):
-                    pieces = tokens.safe_parts(text, PART_CHARS) if splits and text else [text or ""]
-                    texts += pieces
-                    owner += [i] * len(pieces)
-                n = np.bincount(owner, enc.counts(texts), part.num_rows).astype(np.int64)
+                    for piece in tokens.safe_parts(text, PART_CHARS) if splits and text else [text or ""]:
+                        texts.append(piece)
+                        owner.append(i)
+                        size += len(piece)
+                        if size >= BATCH_BYTES:  # a long document makes several batches
+                            np.add.at(n, owner, enc.counts(texts))
+                            texts, owner, size = [], [], 0
+                if texts:
+                    np.add.at(n, owner, enc.counts(texts))
                 yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(np.diff(offsets)), pa.array(n), pa.array(n > limit)], names=["id", "n_bytes", "n_tokens", "over_limit"])
 
     rows = docs.selectExpr(f"`{id_col}` AS id", f"`{text_col}` AS text")

@@ -1,8 +1,8 @@
 """Token ids as the tokenizers library gives them for a byte-level vocabulary.
 
-The rank file of the same vocabulary encodes the texts whose characters every
-Unicode version classes alike (below U+0250); all others, and files without a
-rank file beside them, go through the library that the file belongs to.
+Lengths come from batch calls of the library that a file belongs to. For ids, the rank file of
+the same vocabulary encodes the texts whose characters every Unicode version classes alike
+(below U+0250); all others, and files without a rank file beside them, go through the library.
 """
 
 from __future__ import annotations
@@ -17,8 +17,11 @@ os.environ.setdefault("RAYON_NUM_THREADS", "1")
 
 DEFAULT = "byte_bpe_50k.json"
 _UNUSUAL = re.compile("[ɐ-\U0010ffff]")
-#: A space between ASCII letters or digits: every pre-tokeniser here breaks before it.
-_SAFE = re.compile(r"(?<=[0-9A-Za-z]) (?=[0-9A-Za-z])")
+# Letters and digits that every Unicode version has, and marks that end a clause.
+_LETTER = "0-9A-Za-zÀ-ÖØ-öø-ʯЀ-ҁҊ-ӿぁ-ゖァ-ヺ一-龥가-힣"
+_MARK = ",.;:!?、。，；：！？"
+#: A space between ASCII letters or digits, and a mark after a letter: every pre-tokeniser here breaks before these.
+_SAFE = re.compile(f"(?<=[0-9A-Za-z]) (?=[0-9A-Za-z])|(?<=[{_LETTER}])(?=[{_MARK}])")
 
 
 def vocabulary_path(name: str) -> str:
@@ -76,9 +79,12 @@ class Encoder:
         return out
 
     def counts(self, texts: list[str]) -> list[int]:
-        if self._pieces is None and self._fast is None:
-            return [len(e.ids) for e in self._slow.encode_batch(texts, add_special_tokens=False)]
-        return [len(self.ids(t)) for t in texts]
+        """How many ids each text has, by one batch call of the library that the file belongs to."""
+        if self._pieces is not None:
+            return [len(x) for x in self._pieces.encode(texts, num_threads=1)]
+        if self._slow is None:
+            return [len(x) for x in self._fast.encode_ordinary_batch(texts, num_threads=1)]
+        return [len(e) for e in self._slow.encode_batch(texts, add_special_tokens=False)]
 
 
 def _rank_encoding(path: str):
@@ -98,8 +104,9 @@ def encoder(name: str = DEFAULT) -> Encoder:
 def safe_parts(text: str, most: int) -> list[str]:
     """The text in parts of about `most` characters whose tokens, joined, are the text's own.
 
-    Cuts only before a space between two ASCII letters or digits, where a byte-level or
-    word-level pre-tokeniser ends a word whatever stands around; without such a place the
+    Cuts only before a space between two ASCII letters or digits, and before a mark such as a
+    comma or an ideographic full stop after a letter, where a byte-level or word-level
+    pre-tokeniser ends a word whatever stands around; without such a place (one word, say) the
     text stays whole.
     """
     parts, at = [], 0

@@ -2,7 +2,8 @@
 
 The rules decide the URLs they fit; these are also the labelled URLs from which the trees
 learn lexical features: lengths, depth, digit ratio, entropy, parameter counts and the
-smoothed block rate of host suffixes. All of it is DataFrame functions and Spark ML.
+smoothed block rate of host suffixes, which for a URL that the trees learn from is counted
+over all other URLs, without its own label. All of it is DataFrame functions and Spark ML.
 """
 
 from __future__ import annotations
@@ -92,9 +93,37 @@ def _sample(labelled: DataFrame, n: int, blocked: int, rows: int) -> DataFrame:
     return parts[0].unionByName(parts[1])
 
 
-def _rates(labelled: DataFrame, key: str, name: str, overall: float, m: UrlModel) -> DataFrame:
-    rate = (F.sum("label") + m.smoothing * overall) / (F.count("*") + m.smoothing)
-    return labelled.groupBy(key).agg(rate.alias(name)).select(F.col(key).alias(f"{name}_key"), name)
+def _rate(blocked: Column, n: Column, overall: float, m: UrlModel) -> Column:
+    return (blocked + m.smoothing * overall) / (n + m.smoothing)
+
+
+def _with_rate(train: DataFrame, out: DataFrame, counts: DataFrame, key: str, name: str, overall: float, m: UrlModel) -> tuple[DataFrame, DataFrame]:
+    """Both with the smoothed block rate of their key: train's without each URL's own label (folds of one)."""
+    whole = stored(counts.groupBy(key).agg(F.sum("label").alias("blocked"), F.count("*").alias("n")), f"urls-{name}")
+    train = train.join(whole, key).withColumn(name, _rate(F.col("blocked") - F.col("label"), F.col("n") - 1, overall, m)).drop("blocked", "n")
+    rates = whole.select(key, _rate(F.col("blocked"), F.col("n"), overall, m).alias(name))
+    return train, out.join(rates, key, "left").withColumn(name, F.coalesce(name, F.lit(overall)))
+
+
+def judge(labelled: DataFrame, rows: DataFrame, m: UrlModel = UrlModel()) -> DataFrame:
+    """rows (url, host, path) and score: the block probability by trees learnt from labelled (url, host, path, label 0 or 1).
+
+    Where the labels have one class, or none, the score is that class's (0, if none).
+    """
+    # distinct URLs, all of them: rates and classes are counted over these
+    labelled = stored(labelled.groupBy("url", "host", "path").agg(F.max("label").alias("label")), "urls-labelled")
+    seen = labelled.agg(F.count("*").alias("n"), F.sum("label").alias("blocked")).first()
+    rate = (seen["blocked"] or 0.0) / max(seen["n"], 1)
+    if rate in (0.0, 1.0):
+        return rows.withColumn("score", F.lit(rate))
+    out = with_features(rows)
+    train = stored(with_features(_sample(labelled, seen["n"], int(seen["blocked"]), m.train_rows)), "urls-train")
+    counts = labelled.select("label", *(c.alias(k) for k, c in _suffixes(F.col("host")).items()))
+    for key, name in (("host_tail", "host_rate"), ("tld", "suffix_rate")):
+        train, out = _with_rate(train, out, counts, key, name, rate, m)
+    assemble = VectorAssembler(inputCols=list(FEATURES), outputCol="features")
+    model = GBTClassifier(maxIter=m.trees, maxDepth=m.depth, seed=m.seed, maxBins=64).fit(assemble.transform(train).select("features", "label").coalesce(2))
+    return model.transform(assemble.transform(out)).withColumn("score", vector_to_array("probability")[1])
 
 
 def filter_urls(pages: DataFrame, m: UrlModel = UrlModel(), rules: dict[str, str] = RULES, *, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
@@ -108,22 +137,7 @@ def filter_urls(pages: DataFrame, m: UrlModel = UrlModel(), rules: dict[str, str
     rows = rows.withColumn("rule", rule_of(F.col("host"), F.col("path"), rules))
     by_rule = F.element_at(F.create_map(*(F.lit(x) for kv in rules.items() for x in kv)), F.col("rule"))
     labelled = rows.where("rule IS NOT NULL").select("url", "host", "path", (by_rule == "block").cast("double").alias("label"))
-    # distinct URLs, all of them: rates and classes are counted over these
-    labelled = stored(labelled.groupBy("url", "host", "path").agg(F.max("label").alias("label")), "urls-labelled")
-    seen = labelled.agg(F.count("*").alias("n"), F.sum("label").alias("blocked")).first()
-    out = with_features(rows)
-    rate = (seen["blocked"] or 0.0) / max(seen["n"], 1)
-    if rate in (0.0, 1.0):
-        out = out.withColumn("score", F.lit(rate))
-    else:
-        train = stored(with_features(_sample(labelled, seen["n"], int(seen["blocked"]), m.train_rows)), "urls-train")
-        suffixes = labelled.select("label", *(c.alias(k) for k, c in _suffixes(F.col("host")).items()))
-        for key, name in (("host_tail", "host_rate"), ("tld", "suffix_rate")):
-            rates = stored(_rates(suffixes, key, name, rate, m), f"urls-{name}")
-            train, out = (df.join(rates, F.col(key) == F.col(f"{name}_key"), "left").withColumn(name, F.coalesce(name, F.lit(rate))).drop(f"{name}_key") for df in (train, out))
-        assemble = VectorAssembler(inputCols=list(FEATURES), outputCol="features")
-        model = GBTClassifier(maxIter=m.trees, maxDepth=m.depth, seed=m.seed, maxBins=64).fit(assemble.transform(train).select("features", "label").coalesce(2))
-        out = model.transform(assemble.transform(out)).withColumn("score", vector_to_array("probability")[1])
+    out = judge(labelled, rows, m)
     learned = F.when(F.col("score") > m.threshold, "block").otherwise("allow")
     return out.select(F.col("id").alias(id_col), "host", "path", "rule", F.coalesce(by_rule, learned).alias("verdict"), "score")
 

@@ -33,18 +33,38 @@ def test_counts_equal_the_library(spark, library, monkeypatch):
         assert (got[i]["n_bytes"], got[i]["n_tokens"], got[i]["over_limit"]) == (len((t or "").encode()), n, n > 1024), t
 
 
-@pytest.mark.parametrize("name", ["piece_bpe_32k.model", "word_bpe_49k.json", "byte_bpe_multi_50k.tiktoken"])
-def test_other_vocabularies(spark, name):
-    few = [(i, t) for i, t in rows() if t and len(t) < 3000 and "<|" not in t]
+def library_counts(name: str, texts: list[str]) -> list[int]:
+    path = public_tokenizers.path(name)
+    if name.endswith(".model"):
+        import sentencepiece
+
+        return [len(x) for x in sentencepiece.SentencePieceProcessor(model_file=path).encode(texts)]
+    if name.endswith(".json"):
+        return [len(Tokenizer.from_file(path).encode(t, add_special_tokens=False).ids) for t in texts]
+    import base64
+
+    import tiktoken
+
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
+    enc = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return [len(enc.encode_ordinary(t)) for t in texts]
+
+
+@pytest.mark.parametrize("name", ["piece_bpe_32k.model", "word_bpe_49k.json", "byte_bpe_multi_50k.tiktoken", "byte_bpe_50k.json"])
+def test_other_vocabularies(spark, name, monkeypatch):
+    monkeypatch.setattr(tokencount, "PART_CHARS", 40)
+    monkeypatch.setattr(tokencount, "BATCH_BYTES", 3000)
+    few = [(i, t) for i, t in rows() if t and len(t) < 3000 and "<|" not in t] + [(5000, "日本語の文章です。もう一つ、そして次。" * 60), (5001, "Ünï cödé, wörds; Кириллица: да! don't, it's." * 50)]
     got = {r["doc_id"]: r["n_tokens"] for r in tokencount.token_counts(frame(spark, few), vocabulary=name).collect()}
-    one = tokens.Encoder(name)
-    assert got == {i: len(one.ids(t)) for i, t in few}
+    assert got == dict(zip([i for i, _ in few], library_counts(name, [t for _, t in few]), strict=True))
 
 
 def test_split_parts_join_to_the_text():
     text = ("word " * 50 + "\n\n  gap ' s ") * 40
     assert "".join(tokens.safe_parts(text, 100)) == text and len(tokens.safe_parts(text, 100)) > 10
     assert tokens.safe_parts("x" * 500, 100) == ["x" * 500]
+    chinese = "这是一个很长的句子，没有空格。" * 100
+    assert "".join(tokens.safe_parts(chinese, 100)) == chinese and max(map(len, tokens.safe_parts(chinese, 100))) < 120
 
 
 def test_encoding_and_decoding_equal_the_library(spark, library):
@@ -55,6 +75,54 @@ def test_encoding_and_decoding_equal_the_library(spark, library):
         assert got[i]["decoded"] == library.decode(ids, skip_special_tokens=False)
 
 
+def thue_morse(n: int, a: str, b: str) -> str:
+    return "".join(b if bin(i).count("1") & 1 else a for i in range(n))
+
+
+@pytest.mark.parametrize("same_hash", [False, True])
+def test_words_are_told_apart_by_their_bytes(library, monkeypatch, same_hash):
+    """Words that collide under a hash modulo a power of two, and with any hash at all."""
+    import pyarrow as pa
+
+    if same_hash:
+        monkeypatch.setattr(bpe, "long_hash", lambda a, b: np.zeros(len(a), np.uint64))
+    words = [w for n in (1024, 2048) for w in (thue_morse(n, "a", "b"), thue_morse(n, "b", "a"))]
+    texts = [" ".join(words), *words, "internationally internationalise " * 3, "<|endoftext|>" + words[1]]
+    voc = bpe.vocabulary("byte_bpe_50k.json")
+    monkeypatch.setattr(bpe, "byte_slices", lambda batch, name, most=0: (batch.slice(i, 2) for i in range(0, batch.num_rows, 2)))
+    out = pa.Table.from_batches(bpe._encode_batch(voc, pa.record_batch({"id": list(range(len(texts))), "text": texts})))
+    assert out.column("ids").to_pylist() == [library.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_op5_columns(spark, library, tmp_path):
+    texts = {1: "hello world", 2: None, 3: "word " * 1100, 4: "<|endoftext|>"}
+    frame(spark, list(texts.items())).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: (r["n_bytes"], r["n_tokens"], r["over_limit"]) for r in tokencount.op5_token_counts(spark, str(tmp_path)).collect()}
+    n = {i: len(library.encode(t or "", add_special_tokens=False).ids) for i, t in texts.items()}
+    assert got == {i: (len((t or "").encode()), n[i], n[i] > 1024) for i, t in texts.items()} and got[3][2]
+
+
+def test_op10_columns_and_number_of_sequences(spark, library, tmp_path):
+    rng = np.random.default_rng(5)
+    docs = [(i, "word " * int(n)) for i, n in enumerate([*rng.integers(1, 900, 300), *rng.integers(900, 5000, 40)])]
+    frame(spark, docs).write.parquet(f"{tmp_path}/documents.parquet")
+    got = packing.op10_best_fit_packing(spark, str(tmp_path)).collect()
+    assert set(got[0].asDict()) >= {"doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"}
+    for i, t in docs[:20]:
+        ids = np.array([*library.encode(t, add_special_tokens=False).ids, 0], "<u4")
+        one = [r for r in got if r["doc_id"] == i]
+        assert sum(r["length"] for r in one) == len(ids) and all(r["ids_crc32"] == zlib.crc32(ids[r["start"] : r["start"] + r["length"]].tobytes()) for r in one)
+    # best-fit decreasing, piece by piece, needs about as many
+    gaps: list[int] = []
+    for n in sorted((r["length"] for r in got), reverse=True):
+        fits = [g for g in gaps if g >= n]
+        if fits:
+            gaps.remove(min(fits))
+        gaps.append((min(fits) if fits else 2048) - n)
+    made = len({r["sequence_id"] for r in got})
+    assert made <= 1.02 * len(gaps) + 1 and made >= -(-sum(r["length"] for r in got) // 2048)
+
+
 def test_decoding_of_odd_ids(spark):
     df = spark.createDataFrame([(1, None), (2, []), (3, [50256]), (4, [447]), (5, [10**6])], "doc_id long, ids array<int>")
     got = {r["doc_id"]: r["decoded"] for r in bpe.decode(df).collect()}
