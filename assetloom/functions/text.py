@@ -108,8 +108,15 @@ def html_escape(text: Column) -> Column:
 
 
 def render(template: Column, args: Column) -> Column:
-    """template with each {{name}} of the map args put in; unknown names stay as they are."""
-    return F.aggregate(F.map_entries(args), template, lambda t, e: F.replace(t, F.concat(F.lit("{{"), e["key"], F.lit("}}")), e["value"]))
+    """template with each {{name}} (spaces around the name allowed) of the map args put in; unknown names stay as they are.
+
+    The template is cut at its places once, so what is put in is not looked at again.
+    """
+    place = r"\{\{\s*[A-Za-z0-9_]+\s*\}\}"
+    found = F.regexp_extract_all(template, F.lit(place), F.lit(0))
+    value = lambda m: F.coalesce(F.try_element_at(args, F.regexp_extract(m, r"([A-Za-z0-9_]+)", 1)), m)
+    parts = F.zip_with(F.split(template, place, -1), found, lambda t, m: F.concat(t, F.coalesce(F.when(m.isNotNull(), value(m)), F.lit(""))))
+    return F.array_join(parts, "")
 
 
 def age(seconds: Column) -> Column:

@@ -25,14 +25,15 @@ def analyse(assets: DataFrame, c: RuleConfig = RuleConfig(), *, root: str = "/",
     """All issues with their phase. Parts whose input is not given report nothing.
 
     Ignored assets have no issues of their own and take no part in sets, but their guids still
-    count as known. One lazy union; nothing is collected.
+    count as known. A duplicate issue names the original and the first copy; the whole group is
+    in cross.duplicate_members, a row a copy. One lazy union; nothing is collected.
     """
     seen = rules.not_ignored(assets, c.ignore, root)
     parts = [(0, rules.asset_issues(seen, c))]
     if c.duplicate and files is not None:
         groups = cross.duplicates(rules.not_ignored(files, c.ignore, root))
-        related = F.transform("paths", lambda p: text.relative_path(p, root))
-        parts.append((1, _issues(groups, "duplicate", "info", "anchor", related, count=F.col("n"))))
+        related = F.transform(F.array("original", "anchor"), lambda p: text.relative_path(p, root))
+        parts.append((1, _issues(groups, "duplicate", "warning", "anchor", related, count=F.col("n"))))
     if c.missing_reference and refs is not None and known is not None and packages is not None:
         sources = rules.not_ignored(refs.withColumnRenamed("src_path", "path"), c.ignore, root).withColumnRenamed("path", "src_path")
         parts.append((2, _issues(cross.missing_references(sources, known, packages), "missing_reference", "warning", "src_path", guid=F.col("guid"))))
@@ -41,7 +42,8 @@ def analyse(assets: DataFrame, c: RuleConfig = RuleConfig(), *, root: str = "/",
         parts.append((3, _issues(sets, "pbr_set.incomplete", "warning", "anchor", set=F.col("display"), missing=F.array_join("missing", ", "))))
     if c.dcc_source.enabled:
         stale = cross.stale_exports(seen, c.dcc_source)
-        parts.append((4, _issues(stale, "dcc_source.outdated_export", "warning", "source", F.array("export"), age=text.age(F.col("age_secs")))))
+        age = text.age(F.col("age_secs"))
+        parts.append((4, _issues(stale, "dcc_source.outdated_export", "warning", "source", F.array("export"), age=age, age_n=F.regexp_extract(age, "^[0-9]+", 0), age_unit=F.substring(age, -1, 1))))
     return reduce(DataFrame.unionByName, (p.withColumn("phase", F.lit(n)) for n, p in parts))
 
 
@@ -62,7 +64,32 @@ def by_rule(issues: DataFrame) -> DataFrame:
     return issues.groupBy("rule_id").agg(F.count("*").alias("n"), F.count_distinct("asset_path").alias("n_assets"), F.min("asset_path").alias("first_path"))
 
 
+def in_group_order(issues: DataFrame, assets: DataFrame) -> DataFrame:
+    """issues with ord: the order within their rule's group, by phase, then by the catalog's order of the asset.
+
+    A value to sort by (rule_id, ord), not a row number, so no group is gathered.
+    """
+    return issues.withColumn("ord", F.struct("phase", F.lower("asset_path").alias("low"), "asset_path"))
+
+
+def groups_in_order(issues: DataFrame) -> DataFrame:
+    """The issues by rule, and in each rule in order; a range-partitioned sort."""
+    return issues.orderBy("rule_id", "phase", F.lower("asset_path"), "asset_path")
+
+
+def pruned(issues: DataFrame, gone: DataFrame) -> DataFrame:
+    """issues without the duplicate groups of the given anchors (asset_path); summaries are counted from what is left."""
+    hit = gone.select(F.col("asset_path").alias("gone_path")).distinct()
+    return issues.join(hit, (F.col("asset_path") == F.col("gone_path")) & (F.col("rule_id") == "duplicate"), "left_anti")
+
+
+def first_and_rest(rows: DataFrame, *order: Column | str, k: int = 200) -> tuple[DataFrame, DataFrame]:
+    """The first k rows in order, and one row with the number of the others."""
+    rest = rows.agg(F.greatest(F.count("*") - F.lit(k), F.lit(0).cast("long")).alias("n_more"))
+    return rows.orderBy(*order).limit(k), rest
+
+
 def collapse_groups(issues: DataFrame) -> DataFrame:
     """Group issues once each: one row for each first related path, the first by asset path."""
-    one = issues.where(F.size("related_paths") > 0).groupBy(F.col("related_paths")[0].alias("head")).agg(F.min_by(F.struct(*issues.columns), "asset_path").alias("i"))
+    one = issues.where(F.size("related_paths") > 0).groupBy(F.get("related_paths", F.lit(0)).alias("head")).agg(F.min_by(F.struct(*issues.columns), "asset_path").alias("i"))
     return one.select("i.*")

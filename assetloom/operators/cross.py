@@ -9,10 +9,11 @@ from ..functions import text
 from ..plans.config import DccSource, PbrSet
 from ..sources.catalog import order_key
 
-#: Sources of broken-reference reports, and the wider ones that make an asset count as used.
+# Extensions of the sources of broken-reference reports, of the wider ones that make
+# an asset count as used, and the guids of built-in resources.
 MISSING_SOURCES = ("prefab", "unity", "mat", "controller", "asset")
 USING_SOURCES = tuple("prefab unity mat controller overridecontroller asset anim spriteatlas spriteatlasv2 terrainlayer playable shadervariants guiskin fontsettings flare preset".split())
-BUILTIN_GUIDS = tuple("0" * 16 + c + "0" * 15 for c in "ef")
+BUILTIN_GUIDS = ("0000000000000000e000000000000000", "0000000000000000f000000000000000")
 
 
 def hashed(files: DataFrame) -> DataFrame:
@@ -24,14 +25,17 @@ def hashed(files: DataFrame) -> DataFrame:
 
 
 def duplicates(files: DataFrame) -> DataFrame:
-    """Groups of equal files: size, sha256, n, original, anchor (the second), paths (in order).
+    """Groups of equal files: size, sha256, n, original, anchor (the second). Empty files do group.
 
-    Empty files do group. The list of paths is what a report shows of a group; it is as long
-    as the group. For groups of any size take duplicate_members, a row a copy.
+    Two partial aggregates, so a group of any size meets nowhere whole; its members are the
+    rows of duplicate_members.
     """
-    groups = hashed(files).groupBy("size", "sha256").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(order_key())).alias("k")).where("n > 1")
-    paths = F.transform("k", lambda x: x["path"])
-    return groups.select("size", "sha256", "n", paths[0].alias("original"), paths[1].alias("anchor"), paths.alias("paths"))
+    key = ["size", "sha256"]
+    rows = hashed(files)
+    groups = rows.groupBy(*key).agg(F.count("*").alias("n"), F.min_by("path", order_key()).alias("original")).where("n > 1")
+    copies = rows.join(groups.select(*key, "original"), key).where("path <> original")
+    second = copies.groupBy(*key).agg(F.min_by("path", order_key()).alias("anchor"))
+    return groups.join(second, key).select(*key, "n", "original", "anchor")
 
 
 def duplicate_members(files: DataFrame) -> DataFrame:

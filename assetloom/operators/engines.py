@@ -21,8 +21,8 @@ UNITY_CLASSES = {
     224: "RectTransform", 225: "CanvasRenderer", 226: "TextMeshPro",
 }
 TEXTURE_EXTENSIONS = "png jpg jpeg tga bmp gif dds hdr exr tif tiff webp psd".split()
-BESIDE = ["", *(x for n in ("Textures", "Texture", "Materials", "Material", "Maps", "Tex", "Images") for x in (n, n.lower()))]
-ABOVE = [x for n in ("Textures", "Texture", "Materials", "Maps") for x in (n, n.lower())]
+BESIDE = ["", "Textures", "textures", "Texture", "texture", "Materials", "materials", "Material", "material", "Maps", "maps", "Tex", "tex", "Images", "images"]
+ABOVE = ["Textures", "textures", "Texture", "texture", "Materials", "materials", "Maps", "maps"]
 GODOT_METADATA = ("import", "uid", "godot", "cfg")
 GODOT_SOURCES = ("tscn", "tres", "gd", "cs")
 

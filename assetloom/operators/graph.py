@@ -22,28 +22,38 @@ def nodes(refs: DataFrame, known: DataFrame, packages: DataFrame) -> DataFrame:
     return own.unionByName(outside)
 
 
-def neighbourhood(edge: DataFrame, start: Column, hops: int = 2) -> DataFrame:
+def neighbourhood(edge: DataFrame, start: Column, hops: int = 2, assets: DataFrame | None = None) -> DataFrame:
     """id, direction and the least number of hops from the start nodes, forward and backward apart.
 
-    edge: src, dst. Each hop joins the frontier only, and keeps what no earlier hop reached.
+    edge: src, dst. Both directions are one frontier with a direction column over one list of
+    distinct edges. assets (id): if given, only these are gone on from; other nodes end a way.
     """
-    out = None
-    for direction, a, b in (("forward", "src", "dst"), ("backward", "dst", "src")):
-        links = edge.select(F.col(a).alias("id"), F.col(b).alias("to")).distinct()
-        seen = front = links.select("id").union(links.select("to")).where(start).distinct().withColumn("hop", F.lit(0))
-        for hop in range(1, hops + 1):
-            front = front.select("id").join(links, "id").select(F.col("to").alias("id")).distinct().join(seen.select("id"), "id", "left_anti").withColumn("hop", F.lit(hop))
-            seen = seen.unionByName(front)
-        found = seen.withColumn("direction", F.lit(direction))
-        out = found if out is None else out.unionByName(found)
-    return out
+    once = edge.select("src", "dst").distinct()
+    links = once.select(F.explode(F.array(F.struct(F.lit("forward").alias("direction"), F.col("src").alias("id"), F.col("dst").alias("to")), F.struct(F.lit("backward").alias("direction"), F.col("dst").alias("id"), F.col("src").alias("to")))).alias("l")).select("l.*")
+    go = links if assets is None else links.join(assets.select("id").distinct(), "id", "left_semi")
+    nodes_ = links.select("id", "direction").where(start).distinct()
+    # a node that only receives is a start of the other direction too
+    both = nodes_.select("id").distinct().withColumn("direction", F.explode(F.array(F.lit("forward"), F.lit("backward"))))
+    front = both.withColumn("hop", F.lit(0))
+    seen = front
+    for hop in range(1, hops + 1):
+        step = front.select("id", "direction").join(go, ["id", "direction"]).select(F.col("to").alias("id"), "direction", F.lit(hop).alias("hop"))
+        seen = seen.unionByName(step).groupBy("id", "direction").agg(F.min("hop").alias("hop"))
+        front = seen.where(F.col("hop") == hop)
+    return seen.select("id", "hop", "direction")
+
+
+def reached_edges(edge: DataFrame, reached: DataFrame) -> DataFrame:
+    """The distinct edges between nodes (id) that were reached, whichever way."""
+    ids = reached.select("id").distinct()
+    once = edge.select("src", "dst").distinct()
+    return once.join(ids.select(F.col("id").alias("src")), "src", "left_semi").join(ids.select(F.col("id").alias("dst")), "dst", "left_semi")
 
 
 def reverse_references(refs: DataFrame) -> DataFrame:
-    """guid with the number and the list of the files that name it, once each, itself left out.
+    """guid with the number of the files that name it, once each, itself left out, and the first by name.
 
-    A target that a third of all files name has a list of that size; `n_files` alone is
-    computed from partial sums.
+    Partial sums only; the files themselves are the rows of referring_files.
     """
     rows = refs.where(~is_builtin(F.col("guid")) & ~F.col("guid").eqNullSafe(F.col("src_guid"))).select("guid", "src_path").distinct()
     return rows.groupBy("guid").agg(F.count("*").alias("n_files"), F.min("src_path").alias("first_file"))
@@ -54,6 +64,16 @@ def referring_files(refs: DataFrame, guids: DataFrame) -> DataFrame:
     return refs.join(guids.select("guid"), "guid", "left_semi").where(~F.col("guid").eqNullSafe(F.col("src_guid"))).select("guid", "src_path").distinct()
 
 
+def mentions(refs: DataFrame, project_file: str = "project.godot") -> DataFrame:
+    """target, path, ord of the files that name a target (refs: path, target, self), once each, itself left out.
+
+    ord sorts a target's files: the project file first, then the catalog's order.
+    """
+    rows = refs.where(~F.col("self").eqNullSafe(F.col("target"))).select("target", "path").distinct()
+    own = F.substring_index("path", "/", -1) != project_file
+    return rows.withColumn("ord", F.struct(own.alias("later"), F.lower("path").alias("low"), "path"))
+
+
 def resource_references(files: DataFrame, content: str = "content") -> DataFrame:
     """path and target of the quoted res:// paths in a text."""
     return files.select("path", F.explode(F.array_distinct(F.regexp_extract_all(F.col(content), F.lit(r'"(res://[^"]*)"'), 1))).alias("target"))

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
+from ..sources.storage import stored
 
 REQUEST_ASSETS, ASSET_TOKENS, PROMPT_TOKENS, CHARS_PER_TOKEN = 20, 150, 60, 4
 
@@ -53,13 +54,67 @@ def lenient_json(raw: str, schema: str):
     return F.when(F.try_parse_json(body).isNotNull(), F.from_json(body, schema))
 
 
-def free_copy_name(wanted: DataFrame, existing: DataFrame, most: int = 1000) -> DataFrame:
-    """path and copy: the first of `x copy`, `x copy 2`, ... beside each path that nothing has."""
+def chunks(rows: DataFrame, *order: str, size: int = REQUEST_ASSETS) -> DataFrame:
+    """rows with chunk (from 0): consecutive rows of the order, `size` each.
+
+    Row numbers by range partition and the number of rows before it, not by one global window.
+    """
+    ranged = stored(rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "ranged")
+    before = ranged.groupBy("_part").agg(F.count("*").alias("_n")).select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))  # a row a partition
+    place = F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1
+    return ranged.withColumn("_place", place).join(before, "_part").withColumn("chunk", F.expr(f"(_before + _place) div {size}")).drop("_part", "_place", "_before")
+
+
+def miss_chunks(split: DataFrame, size: int = REQUEST_ASSETS) -> DataFrame:
+    """The requests of cache_split that the cache does not have, in chunks by path."""
+    return chunks(split.where("NOT hit").select("path", "key"), "path", size=size)
+
+
+def paired(requests: DataFrame, replies: DataFrame) -> DataFrame:
+    """requests (path, ...) with what the replies (path, reply) say of the same path; order and number of the replies do not matter."""
+    one = replies.groupBy("path").agg(F.min("reply").alias("reply"))
+    return requests.join(one, "path", "left")
+
+
+def image_tokens(pixels: Column, rule: str) -> Column:
+    """Tokens of an image by a model's rule: none, flat (85), or area (a token for each 750 pixels, 1600 at most)."""
+    return {"none": F.lit(0), "flat": F.lit(85), "area": F.least(F.ceil(pixels / 750), F.lit(1600)).cast("int")}[rule]
+
+
+def prompts(assets: DataFrame, tags: DataFrame, used: DataFrame, context: str, most_samples: int = 5) -> DataFrame:
+    """chunk and prompt: the context, a line a tag, and a line an asset of each chunk (path, chunk and line of it).
+
+    tags: name, description. A tag without a description shows up to five paths that carry it
+    (used: name, path). Tags are few, chunks have a fixed size: nothing grows but the number
+    of prompts.
+    """
+    if tags.count() > 10_000:
+        raise ValueError("over 10000 tags")
+    rank = F.row_number().over(Window.partitionBy("name").orderBy("path"))
+    some = used.distinct().withColumn("r", rank).where(F.col("r") <= most_samples).groupBy("name").agg(F.array_join(F.array_sort(F.collect_list("path")), ", ").alias("paths"))
+    shown = tags.join(some, "name", "left").select("name", F.concat(F.lit("- "), F.col("name"), F.coalesce(F.concat(F.lit(": "), F.when(F.trim("description") != "", F.col("description"))), F.concat(F.lit(" (e.g. "), F.col("paths"), F.lit(")")), F.lit(""))).alias("line"))
+    listed = shown.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("name", "line"))), lambda x: x["line"]), "\n").alias("tags"))
+    bodies = assets.groupBy("chunk").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("path", "line"))), lambda x: x["line"]), "\n").alias("assets"))
+    return bodies.join(F.broadcast(listed), F.lit(True)).select("chunk", F.concat_ws("\n\n", F.lit(context), "tags", "assets").alias("prompt"))
+
+
+def free_copy_name(wanted: DataFrame, existing: DataFrame) -> DataFrame:
+    """path and copy: the first of `x copy`, `x copy 2`, ... beside each path that nothing has.
+
+    The numbers in use are read off the names beside it; the first gap is where their rank
+    and their value part.
+    """
     name = text.base_name(F.col("path"))
-    made = F.transform(F.sequence(F.lit(1), F.lit(most)), lambda i: F.concat(text.parent(F.col("path")), F.lit("/"), text.stem(name), F.when(i == 1, " copy").otherwise(F.concat(F.lit(" copy "), i.cast("string"))), text.dotted_extension(name)))
-    pattern = F.concat(text.stem(name), F.lit(" copy"))
+    asked = wanted.select("path").distinct().select("path", text.parent(F.col("path")).alias("d"), F.concat(text.stem(name), F.lit(" copy")).alias("begin"), text.dotted_extension(name).alias("dot"))
+    e = text.base_name(F.col("e"))
     beside = existing.select(F.col("path").alias("e"), text.parent(F.col("path")).alias("d"))
-    near = wanted.select("path", text.parent(F.col("path")).alias("d"), pattern.alias("begin")).join(beside, "d").where(text.base_name(F.col("e")).startswith(F.col("begin")))
-    taken = near.groupBy("path").agg(F.collect_set("e").alias("taken"))
-    joined = wanted.select("path").distinct().join(taken, "path", "left")
-    return joined.select("path", F.get(F.array_except(made, F.coalesce("taken", F.array().cast("array<string>"))), F.lit(0)).alias("copy"))
+    tail = F.expr("substring(regexp_extract(e, '[^/]*$', 0), length(begin) + 1)")
+    middle = F.expr("substring(tail, 1, length(tail) - length(dot))")
+    near = asked.join(beside, "d").where(e.startswith(F.col("begin")) & e.endswith(F.col("dot"))).withColumn("tail", tail).withColumn("middle", middle)
+    number = F.when(F.col("middle") == "", F.lit(1).cast("long")).otherwise(F.regexp_extract("middle", r"^ ([1-9][0-9]*)$", 1).try_cast("long"))
+    taken = near.select("path", number.alias("k")).where("k = 1 AND middle = '' OR k > 1").select("path", "k").distinct()
+    ranked = taken.withColumn("r", F.row_number().over(Window.partitionBy("path").orderBy("k")).cast("long"))
+    free = ranked.groupBy("path").agg(F.coalesce(F.min(F.when(F.col("k") != F.col("r"), F.col("r"))), F.max("r") + 1).alias("k"))
+    at = F.coalesce("k", F.lit(1).cast("long"))
+    made = F.concat("d", F.lit("/"), "begin", F.when(at > 1, F.concat(F.lit(" "), at.cast("string"))).otherwise(""), "dot")
+    return asked.join(free, "path", "left").select("path", made.alias("copy"))

@@ -211,6 +211,12 @@ def with_collisions(names: DataFrame) -> DataFrame:
     return joined.withColumn("collides", F.coalesce(F.col("_c") > 1, F.lit(False))).drop("_kd", "_kn", "_d", "_n", "_c")
 
 
+def checked_again(names: DataFrame, included: str = "included") -> DataFrame:
+    """names after edits (path, new_name, included) and collides, counted over the included rows only."""
+    marked = with_collisions(names.withColumn("_asked", F.col("new_name")).withColumn("new_name", F.when(F.col(included), F.col("new_name"))))
+    return marked.withColumn("new_name", F.col("_asked")).drop("_asked")
+
+
 def renamed(name: Column, operation: str, value: str = "", other: str = "") -> Column:
     """The name after a batch operation; find and replace is literal, and no change for an empty find."""
     stem, ext = text.stem(name), text.dotted_extension(name)

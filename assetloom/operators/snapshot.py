@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import text
+
 FINGERPRINT = ("modified_nanos", "size", "meta_modified_nanos")
 
 
@@ -37,8 +39,20 @@ def moved(gone: DataFrame, come: DataFrame, identity: tuple[str, ...]) -> DataFr
     return one(gone, "from_path").join(one(come, "to_path"), list(identity)).select(*identity, "from_path", "to_path")
 
 
+def below(path: Column, folder: Column) -> Column:
+    """Whether the path is the folder or lies in it, by whole components."""
+    return (path == folder) | path.startswith(F.concat(folder, F.lit("/")))
+
+
+def with_path(assets: DataFrame, path: Column) -> DataFrame:
+    """assets under a new path: what derives from the path follows, content columns stay."""
+    out = assets.withColumn("path", path)
+    name = text.base_name(F.col("path"))
+    derived = {"name": name, "dir": text.parent(F.col("path")), "extension": text.extension(name), "asset_type": text.asset_type(text.extension(name))}
+    return out.withColumns({k: v for k, v in derived.items() if k in assets.columns})
+
+
 def rekeyed(assets: DataFrame, old: str, new: str) -> DataFrame:
-    """The catalog after a directory or file moved from old to new; content columns stay."""
-    hit = (F.col("path") == old) | F.col("path").startswith(old + "/")
-    path = F.when(hit, F.concat(F.lit(new), F.substring("path", len(old) + 1, 1 << 30))).otherwise(F.col("path"))
-    return assets.withColumn("path", path)
+    """The catalog after a directory or file moved from old to new."""
+    hit = below(F.col("path"), F.lit(old))
+    return with_path(assets, F.when(hit, F.concat(F.lit(new), F.substring("path", len(old) + 1, 1 << 30))).otherwise(F.col("path")))

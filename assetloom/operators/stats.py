@@ -38,10 +38,10 @@ def top_extensions(assets: DataFrame, k: int = 8) -> DataFrame:
 
 
 def type_shares(assets: DataFrame) -> DataFrame:
-    """Types with their share in percent (two decimals); the window is over the few types only."""
+    """Types by number of files, with their share in percent (two decimals); the window is over the few types only."""
     by_type = counts(assets, "asset_type")
     total = F.greatest(F.sum("n").over(Window.partitionBy(F.lit(1))), F.lit(1))
-    return by_type.select("asset_type", "n", F.round(F.col("n") * 100 / total, 2).alias("percent"))
+    return by_type.select("asset_type", "n", F.round(F.col("n") * 100 / total, 2).alias("percent")).orderBy(F.desc("n"), "asset_type")
 
 
 def folder_rollup(assets: DataFrame, root: str, folders: DataFrame | None = None) -> DataFrame:
@@ -88,23 +88,84 @@ def report_rows(assets: DataFrame) -> DataFrame:
     return assets.select("path", F.concat_ws(",", *map(text.csv_cell, cells)).alias("line"))
 
 
-def html_report(assets: DataFrame, issues: DataFrame, *, max_issues: int = 100, max_assets: int = 500) -> str:
-    """An HTML page of the totals and the first issues and assets (0: all). Only these rows reach the driver."""
-    esc = lambda x: str(x).replace("&", "&amp;").replace("<", "&lt;").replace(">", "&gt;").replace('"', "&quot;").replace("'", "&#39;")
-    first = lambda df, n: df.limit(n).collect() if n else df.collect()
+def scan_json(assets: DataFrame) -> DataFrame:
+    """path and json of each asset, null fields left out: the lines of a JSON export."""
+    return assets.select("path", F.to_json(F.struct(*(F.col(c) for c in assets.columns))).alias("json"))
 
-    def table(head: tuple[str, ...], rows: list) -> str:
-        line = lambda cells, tag: "<tr>" + "".join(f"<{tag}>{esc(c)}</{tag}>" for c in cells) + "</tr>"
-        return "<table>" + line(head, "th") + "".join(line(r, "td") for r in rows) + "</table>"
 
-    kinds = counts(assets, "asset_type").withColumn("human", text.human_size(F.col("total_size"))).orderBy(F.desc("n"), "asset_type").select("asset_type", "n", "human").collect()
-    found = first(issues.orderBy("rule_id", "asset_path").select("rule_id", "severity", "asset_path"), max_issues)
-    listed = first(assets.orderBy(*[F.lower("path"), "path"]).select("path", "asset_type", text.human_size(F.col("size"))), max_assets)
-    return f"<!doctype html><meta charset=utf-8><h1>Assets</h1>{table(('type', 'files', 'size'), kinds)}<h2>Issues</h2>{table(('rule', 'severity', 'path'), found)}<h2>Files</h2>{table(('path', 'type', 'size'), listed)}"
+def scan_summary_json(assets: DataFrame, root: str) -> DataFrame:
+    """One row: the head of a JSON export (root, count, bytes, files by type). The few types are gathered, no assets."""
+    kinds = counts(assets, "asset_type").agg(F.sort_array(F.collect_list(F.struct("asset_type", "n", "total_size"))).alias("types"), F.coalesce(F.sum("n"), F.lit(0)).alias("total_count"), F.coalesce(F.sum("total_size"), F.lit(0)).alias("total_size"))
+    by_type = F.map_from_entries(F.transform("types", lambda t: F.struct(t["asset_type"], t["n"])))
+    return kinds.select(F.to_json(F.struct(F.lit(root).alias("root_path"), "total_count", "total_size", by_type.alias("type_counts"))).alias("json"))
 
 
-def warnings_by_kind(warnings: DataFrame) -> DataFrame:
-    """kind, n, sample (the first five paths in order) and the first path's detail."""
-    return warnings.groupBy("kind").agg(F.count("*").alias("n"), F.slice(F.array_sort(F.collect_set("path")), 1, 5).alias("sample"), F.min_by("detail", "path").alias("detail"))
+def issues_json(issues: DataFrame) -> DataFrame:
+    """asset_path, rule_id and json of each issue, null fields left out."""
+    return issues.select("asset_path", "rule_id", F.to_json(F.struct(*(F.col(c) for c in issues.columns))).alias("json"))
 
 
+def localised(issues: DataFrame, templates: DataFrame) -> DataFrame:
+    """issues (rule_id, args, message) with title and message by templates (key, value).
+
+    `<rule>.title` and `<rule>.message` are filled from args; an age unit among these is named
+    by `duration.<unit>` first. Without a template the rule's id and the message stay. The
+    templates are one language's texts; their number is checked before they are sent to every task.
+    """
+    if templates.count() > 10_000:
+        raise ValueError("over 10000 templates")
+    one = F.broadcast(templates.agg(F.map_from_entries(F.collect_list(F.struct("key", "value"))).alias("texts")))
+    rows = issues.join(one, F.lit(True))
+    noun = F.try_element_at("texts", F.concat(F.lit("duration."), F.try_element_at("args", F.lit("age_unit"))))
+    args = F.when(noun.isNotNull(), F.transform_values("args", lambda k, v: F.when(k == "age_unit", noun).otherwise(v))).otherwise(F.col("args"))
+    pick = lambda field, plain: F.coalesce(text.render(F.try_element_at("texts", F.concat("rule_id", F.lit(f".{field}"))), args), F.col(plain))
+    return rows.withColumns({"title": pick("title", "rule_id"), "message": pick("message", "message")}).drop("texts")
+
+
+def html_report(assets: DataFrame, issues: DataFrame, *, max_issues: int = 100, max_assets: int = 500, unread: int = 0, ignore_failed: bool = False) -> DataFrame:
+    """An HTML page as rows (part, ord, html), to be written in order of part and ord; 0: all rows.
+
+    Cards of the types, bytes by type, files with and without issues, a banner if the scan is
+    incomplete, the first issues and assets. The page is never gathered: lists are sorted
+    rows, whatever their length.
+    """
+    from .analysis import pass_count
+
+    spark = assets.sparkSession
+    line = lambda cells, tag="td": F.concat(F.lit("<tr>"), *(x for c in cells for x in (F.lit(f"<{tag}>"), text.html_escape(F.coalesce(c.cast("string"), F.lit(""))), F.lit(f"</{tag}>"))), F.lit("</tr>"))
+    first = lambda df, n: df.limit(n) if n else df
+    none = F.struct(F.lit("").alias("a"), F.lit("").alias("b"))
+
+    def head(part: int, title: str, names: tuple[str, ...]) -> DataFrame:
+        body = f"<h2>{title}</h2><table><tr>" + "".join(f"<th>{n}</th>" for n in names) + "</tr>"
+        return spark.range(1).select(F.lit(part).alias("part"), none.alias("ord"), F.lit(body).alias("html"))
+
+    def rows(part: int, df: DataFrame, cells: list, a, b) -> DataFrame:
+        return df.select(F.lit(part).alias("part"), F.struct(a.cast("string").alias("a"), b.cast("string").alias("b")).alias("ord"), line(cells).alias("html"))
+
+    human = text.human_size(F.col("total_size"))
+    kinds = counts(assets, "asset_type")
+    by_size = F.format_string("%020d", F.lit(10**18).cast("long") - F.col("total_size"))
+    by_count = F.format_string("%020d", F.lit(10**18).cast("long") - F.col("n"))
+    banner = f"<p>Incomplete scan: {unread} entries unread{', ignore rules unusable' if ignore_failed else ''}</p>" if unread or ignore_failed else ""
+    passed = pass_count(assets, issues).select(F.lit(0).alias("part"), none.alias("ord"), F.concat(F.lit(f"<!doctype html><meta charset=utf-8><h1>Assets</h1>{banner}<p>"), F.col("passed").cast("string"), F.lit(" of "), F.col("total").cast("string"), F.lit(" files without issues</p>")).alias("html"))
+    listed = first(assets.orderBy(F.lower("path"), "path"), max_assets)
+    found = first(issues.orderBy("rule_id", F.lower("asset_path"), "asset_path"), max_issues)
+    parts = [
+        passed,
+        head(1, "Types", ("type", "files")), rows(2, kinds, [text.capitalised(F.col("asset_type")), F.col("n")], by_count, F.col("asset_type")),
+        head(3, "Size by type", ("type", "size")), rows(4, kinds, [text.capitalised(F.col("asset_type")), human], by_size, F.col("asset_type")),
+        head(5, "Issues", ("rule", "severity", "path")), rows(6, found, [F.col("rule_id"), F.col("severity"), F.col("asset_path")], F.col("rule_id"), F.lower("asset_path")),
+        head(7, "Files", ("path", "type", "size")), rows(8, listed, [F.col("path"), F.col("asset_type"), text.human_size(F.col("size"))], F.lower("path"), F.col("path")),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def warnings_by_kind(warnings: DataFrame, k: int = 5) -> DataFrame:
+    """kind, n, sample (the first k paths in order) and the first path's detail. A top-k by kind, cut down before it is shuffled."""
+    rank = F.row_number().over(Window.partitionBy("kind").orderBy("path"))
+    first = warnings.select("kind", "path").distinct().withColumn("r", rank).where(F.col("r") <= k).groupBy("kind").agg(F.array_sort(F.collect_list("path")).alias("sample"))
+    return warnings.groupBy("kind").agg(F.count("*").alias("n"), F.min_by("detail", "path").alias("detail")).join(first, "kind").select("kind", "n", "sample", "detail")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..sources.catalog import order_key
+from ..sources.storage import stored
 
 # Words and folders that name no kind, endings of texture channels, colours.
 WORD_STOPS = "tex texture model asset assets img image obj fbx png jpg jpeg tga wav mp3 ogg default new old copy tmp temp test draft final low high lod lod0 lod1 lod2".split()
@@ -31,6 +32,12 @@ def unbind(bindings: DataFrame, gone: DataFrame) -> DataFrame:
     return bindings.join(gone, ["path", "tag_id"], "left_anti")
 
 
+def put_tags(tags: DataFrame, new: DataFrame) -> DataFrame:
+    """tags (id, name, description) with the rows of new in place of those with the same id; a blank description is none."""
+    description = F.when(F.trim("description") != "", F.col("description"))
+    return tags.join(new.select("id"), "id", "left_anti").unionByName(new.select("id", "name", description.alias("description")))
+
+
 def drop_tags(tags: DataFrame, bindings: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
     """tags and bindings without the given tag ids."""
     return tags.join(ids, "id", "left_anti"), bindings.join(ids.withColumnRenamed("id", "tag_id"), "tag_id", "left_anti")
@@ -47,6 +54,11 @@ def tags_of(bindings: DataFrame, tags: DataFrame) -> DataFrame:
     return bindings.join(tags, F.col("tag_id") == F.col("id")).groupBy("path").agg(F.array_sort(F.collect_set("name")).alias("tags"))
 
 
+def assets_of(bindings: DataFrame, tags: DataFrame) -> DataFrame:
+    """tag and path of every binding of a known tag, a row each; order by tag and path to list them."""
+    return bindings.join(tags, F.col("tag_id") == F.col("id")).select(F.col("name").alias("tag"), "path").distinct()
+
+
 def new_labels(proposed: DataFrame, tags: DataFrame) -> DataFrame:
     """Proposed labels that no tag has, case ignored."""
     return proposed.join(tags.select(F.lower("name").alias("_n")), F.lower("label") == F.col("_n"), "left_anti").select("label").distinct()
@@ -55,51 +67,79 @@ def new_labels(proposed: DataFrame, tags: DataFrame) -> DataFrame:
 # --- suggestions --------------------------------------------------------------------------
 
 
+def _useful_words() -> Column:
+    words = F.array_distinct(text.tag_words(text.stem(F.col("name"))))
+    return F.filter(words, lambda w: (F.length(w) >= 2) & ~w.rlike(r"^\p{N}+$") & ~w.rlike(r"^v[0-9]{1,3}$") & ~w.isin(*WORD_STOPS))
+
+
+def _side_class() -> Column:
+    """Null but for textures with a side of 256 or more."""
+    roles = F.create_map(*(F.lit(x) for kv in CHANNEL_ROLES.items() for x in kv))
+    role = roles[F.lower(F.regexp_extract(text.stem(F.col("name")), "_([^_]*)$", 1))]
+    named = lambda side: F.concat(text.floor_power_of_two(side).cast("string"), F.coalesce(F.concat(F.lit(" "), role), F.lit("")))
+    longest = F.when(F.col("asset_type") == "texture", F.greatest("metadata.width", "metadata.height"))
+    # the side is computed once, however often it is used
+    return F.get(F.transform(F.array(longest), lambda side: F.when(side >= 256, named(side))), F.lit(0))
+
+
+def _useful_folders(root: str) -> Column:
+    parts = F.split("dir", "/", -1)
+    inner = F.array_distinct(F.slice(parts, F.lit(len(root.rstrip("/").split("/")) + 1), F.greatest(F.size(parts), F.lit(1))))
+    return F.filter(inner, lambda s: (s != "") & ~F.lower(s).isin(*FOLDER_STOPS))
+
+
 def name_tokens(assets: DataFrame) -> DataFrame:
     """path and token: the useful words of each name, once."""
-    words = F.array_distinct(text.tag_words(text.stem(F.col("name"))))
-    useful = F.filter(words, lambda w: (F.length(w) >= 2) & ~w.rlike(r"^\p{N}+$") & ~w.rlike(r"^v[0-9]{1,3}$") & ~w.isin(*WORD_STOPS))
-    return assets.select("path", F.explode(useful).alias("token"))
+    return assets.select("path", F.explode(_useful_words()).alias("token"))
 
 
 def side_classes(assets: DataFrame) -> DataFrame:
     """path and token (2048, or `2048 Normal` beside it) of the textures with a side of 256 or more."""
-    side = text.floor_power_of_two(F.greatest("metadata.width", "metadata.height"))
-    roles = F.create_map(*(F.lit(x) for kv in CHANNEL_ROLES.items() for x in kv))
-    role = roles[F.lower(F.regexp_extract(text.stem(F.col("name")), "_([^_]*)$", 1))]
-    rows = assets.where((F.col("asset_type") == "texture") & (F.greatest("metadata.width", "metadata.height") >= 256))
-    return rows.select("path", F.concat(side.cast("string"), F.coalesce(F.concat(F.lit(" "), role), F.lit(""))).alias("token"))
+    return assets.select("path", _side_class().alias("token")).where("token IS NOT NULL")
 
 
 def folder_tokens(assets: DataFrame, root: str) -> DataFrame:
     """path and token: each directory below root that says something, once."""
-    inner = F.array_distinct(F.slice(F.split("dir", "/", -1), F.lit(len(root.rstrip("/").split("/")) + 1), F.greatest(F.size(F.split("dir", "/", -1)), F.lit(1))))
-    return assets.select("path", F.explode(F.filter(inner, lambda s: (s != "") & ~F.lower(s).isin(*FOLDER_STOPS))).alias("token"))
+    return assets.select("path", F.explode(_useful_folders(root)).alias("token"))
 
 
 def token_counts(tokens: DataFrame, least: int) -> DataFrame:
     return tokens.groupBy("token").agg(F.count_distinct("path").alias("n")).where(F.col("n") >= least)
 
 
+HINTS = ("filename", "dimension", "folder")
+
+
 def raw_groups(assets: DataFrame, root: str) -> DataFrame:
     """name and path of every group that has enough files in one of the three passes, with its hint.
 
     Rows are memberships, not lists: (name, hint, path), once each. The first pass that finds
-    a name gives its hint. Small catalogs have lower limits.
+    a name gives its hint. Small catalogs have lower limits. The catalog is read once: its
+    tokens of all passes are written down, counted together and joined with their counts.
     """
     few = assets.limit(FEW_ASSETS).count() < FEW_ASSETS
-    passes = ((0, "filename", name_tokens(assets), 2 if few else 3), (1, "dimension", side_classes(assets), 3 if few else 5), (2, "folder", folder_tokens(assets, root), 2 if few else 3))
-    out = None
-    for order, hint, tokens, least in passes:
-        kept = tokens.distinct().join(token_counts(tokens, least).select("token"), "token", "left_semi")
-        rows = kept.select(text.capitalised(F.col("token")).alias("name"), "path", F.lit(order).alias("pass"), F.lit(hint).alias("hint"))
-        out = rows if out is None else out.unionByName(rows)
-    hints = out.groupBy("name").agg(F.min_by("hint", "pass").alias("hint"))
-    return out.select("name", "path").distinct().join(hints, "name")
+    least = F.when(F.col("pass") == 1, 3 if few else 5).otherwise(2 if few else 3)
+    plain = assets.select("path", "name", "dir", "asset_type", F.struct(F.col("metadata.width").alias("width"), F.col("metadata.height").alias("height")).alias("metadata"))
+    tagged = lambda tokens, n: F.transform(tokens, lambda t: F.struct(F.lit(n).alias("pass"), t.alias("token")))
+    sides = F.array_compact(F.array(_side_class()))
+    # written down before it is cut: the columns of a view are long expressions, which every use would repeat
+    plain = stored(plain, "catalog")
+    rows = plain.select("path", F.explode(F.concat(tagged(_useful_words(), 0), tagged(sides, 1), tagged(_useful_folders(root), 2))).alias("t")).select("path", "t.pass", "t.token")
+    rows = stored(rows.distinct(), "tokens")
+    kept = rows.groupBy("pass", "token").agg(F.count("*").alias("n")).where(F.col("n") >= least).withColumn("name", text.capitalised(F.col("token")))
+    first = kept.groupBy("name").agg(F.min("pass").alias("first"))
+    named = stored(kept.select("pass", "token", "name").join(first, "name").select("pass", "token", "name", F.get(F.array(*map(F.lit, HINTS)), F.col("first")).alias("hint")), "names")
+    return rows.join(named, ["pass", "token"]).select("name", "path", "hint").distinct()
+
+
+def samples(groups: DataFrame, k: int = SAMPLES) -> DataFrame:
+    """name and its first k paths in order; a top-k by group, which Spark cuts down before it shuffles."""
+    rank = F.row_number().over(Window.partitionBy("name").orderBy("path"))
+    return groups.select("name", "path").withColumn("r", rank).where(F.col("r") <= k).groupBy("name").agg(F.array_sort(F.collect_list("path")).alias("samples"))
 
 
 def group_sizes(groups: DataFrame, total: int) -> DataFrame:
-    """name, hint, n, confidence (share of the catalog, as float), samples (first paths)."""
+    """name, hint, n, confidence (share of the catalog, as float), first path."""
     sized = groups.groupBy("name", "hint").agg(F.count("*").alias("n"), F.min("path").alias("first_path"))
     return sized.withColumn("confidence", F.least(F.col("n") / F.lit(max(total, 1)), F.lit(1.0)).cast("float"))
 
@@ -107,54 +147,90 @@ def group_sizes(groups: DataFrame, total: int) -> DataFrame:
 def merged_groups(assets: DataFrame, root: str) -> DataFrame:
     """Groups after near-equal ones are folded: name, hint, n, confidence, colour, samples; 12 at most.
 
-    Groups are taken by confidence, size and name. One is folded into an earlier one if one
-    name begins the other and their files overlap by more than 0.8 (Jaccard); what is kept
-    grows. The fold is sequential by definition, and works on group names and overlaps: Spark
-    finds, for names that can fold, the sizes of the pairwise intersections. What it walks
-    are chains of names of which one begins the other, never the files.
+    Groups are taken by size and name. One is folded into the first earlier one of which one
+    name begins the other's, both sizes are near (over 0.8) and the files overlap by more
+    than 0.8 (Jaccard); what is kept grows. Memberships stay in Spark: names that begin each
+    other meet through their prefixes, and each round decides the next group of every chain of
+    such names by the sizes of intersections, then rewrites the memberships. The driver sees
+    names and counts of groups that may fold.
     """
-    groups = raw_groups(assets, root).persist()
     total = assets.count()
-    sizes = group_sizes(groups, total).persist()
-    key = F.substring(F.lower("name"), 1, 2)  # a name that begins another shares its first two characters
-    names = sizes.select("name", "n", F.lower("name").alias("low"), key.alias("key"))
-    other = names.select(F.col("name").alias("name2"), F.col("n").alias("n2"), F.col("low").alias("low2"), "key")
-    near = names.join(other, "key").where((F.col("name") < F.col("name2")) & (F.col("low").startswith(F.col("low2")) | F.col("low2").startswith(F.col("low"))) & (F.least("n", "n2") / F.greatest("n", "n2") > MERGE_ABOVE / 2))
-    pairs = near.select("name", "name2")
-    linked = pairs.select(F.col("name").alias("g")).union(pairs.select("name2")).distinct()
-    # files of the groups that may fold at all
-    members = groups.join(linked, F.col("name") == F.col("g"), "left_semi").groupBy("name").agg(F.collect_set("path").alias("paths"))
-    # only groups that may fold are walked here; all others keep their own name
-    may = sizes.join(linked, F.col("name") == F.col("g"), "left_semi").orderBy(F.desc("n"), "name").select("name")
-    folded = _fold([r["name"] for r in may.toLocalIterator()], {r["name"]: frozenset(r["paths"]) for r in members.toLocalIterator()})
-    into = assets.sparkSession.createDataFrame([(a, b) for a, many in folded.items() for b in many if a != b], "kept string, name string")
-    kept = groups.join(into, "name", "left").select(F.coalesce("kept", "name").alias("kept"), "path").distinct()
-    hint = sizes.select(F.col("name").alias("kept"), "hint")
-    out = kept.groupBy("kept").agg(F.count("*").alias("n"), F.min("path").alias("first_path")).join(hint, "kept").withColumn("confidence", F.least(F.col("n") / F.lit(max(total, 1)), F.lit(1.0)).cast("float"))
-    return out.select(F.col("kept").alias("name"), "hint", "n", "confidence", text.stable_colour(F.col("kept"), PALETTE).alias("color"), "first_path").orderBy(F.desc("confidence"), F.desc("n"), "name").limit(MOST_GROUPS)
-
-
-def _fold(order: list[str], paths: dict[str, frozenset]) -> dict[str, list[str]]:
-    """kept name: names folded into it, itself first. order: by size, then name."""
-    kept: dict[str, list[str]] = {}
-    held: dict[str, set] = {}
-    for name in order:
-        into = next((k for k in held if _near(name, paths[name], k, held[k])), None)
-        if into is None:
-            kept[name], held[name] = [name], set(paths[name])
-        else:
-            kept[into].append(name)
-            held[into] |= paths[name]
-    return kept
-
-
-def _near(name: str, files: frozenset, other: str, others: set) -> bool:
-    a, b = name.lower(), other.lower()
-    if not (a.startswith(b) or b.startswith(a)):
-        return False
-    low, high = sorted((len(files), len(others)))
-    both = len(files & others)
-    return low / high > MERGE_ABOVE and both / (low + high - both) > MERGE_ABOVE
+    groups = stored(raw_groups(assets, root), "groups")
+    sizes = stored(group_sizes(groups, total), "sizes")
+    low = F.lower("name")
+    prefixes = sizes.select(F.col("name").alias("longer"), F.col("n").alias("m"), F.explode(F.transform(F.sequence(F.lit(1), F.length(low)), lambda i: F.substring(low, F.lit(1), i))).alias("low"))
+    near = prefixes.join(sizes.select(F.col("name").alias("shorter"), "n", low.alias("low")), "low").where("longer <> shorter").select("shorter", "longer", "n", "m").distinct()
+    # the earlier group is the larger one and only grows: sizes that are not near now never are
+    chains = Chains([(r["shorter"], r["longer"], r["n"], r["m"]) for r in near.where(F.least("n", "m") > MERGE_ABOVE * F.greatest("n", "m")).toLocalIterator()])
+    members = groups.select("name", "path")
+    if chains.names:
+        known = assets.sparkSession.createDataFrame([(x,) for x in chains.names], "name string")
+        held = stored(members.join(known, "name", "left_semi"), "held")
+        while pairs := chains.asked():
+            asked = assets.sparkSession.createDataFrame(pairs, "name string, other string")
+            both = held.join(asked, "name").join(held.select(F.col("name").alias("other"), "path"), ["other", "path"]).groupBy("name", "other").agg(F.count("*").alias("n"))
+            folded = chains.decide({(r["name"], r["other"]): r["n"] for r in both.collect()})
+            if folded:
+                into = assets.sparkSession.createDataFrame(folded, "name string, into string")
+                held = stored(held.join(into, "name", "left").select(F.coalesce("into", "name").alias("name"), "path").distinct(), "held")
+        members = members.join(known, "name", "left_anti").unionByName(held)
+    grown = members.groupBy("name").agg(F.count("*").alias("n")).join(sizes.select("name", "hint"), "name")
+    best = grown.withColumn("confidence", F.least(F.col("n") / F.lit(max(total, 1)), F.lit(1.0)).cast("float")).orderBy(F.desc("confidence"), F.desc("n"), "name").limit(MOST_GROUPS)
+    best = stored(best, "best")
+    shown = best.join(samples(members.join(best.select("name"), "name", "left_semi")), "name")
+    return shown.select("name", "hint", "n", "confidence", text.stable_colour(F.col("name"), PALETTE).alias("color"), F.col("samples")[0].alias("first_path"), "samples")
+
+
+class Chains:
+    """Names of groups that may fold, with their sizes: in every chain the largest undecided one is next."""
+
+    def __init__(self, pairs: list[tuple[str, str, int, int]]):
+        self.size: dict[str, int] = {}
+        self.links: dict[str, set[str]] = {}
+        for a, b, n, m in pairs:
+            self.size |= {a: n, b: m}
+            self.links.setdefault(a, set()).add(b)
+            self.links.setdefault(b, set()).add(a)
+        self.names = sorted(self.size, key=lambda x: (-self.size[x], x))
+        self.first_size, self.place = dict(self.size), {x: i for i, x in enumerate(self.names)}
+        self.open = set(self.names)
+        self.kept: set[str] = set()
+
+    def _next(self) -> list[str]:
+        """Undecided names that no undecided earlier one is linked with."""
+        return [x for x in self.names if x in self.open and not any(y in self.open and self.place[y] < self.place[x] for y in self.links[x])]
+
+    def asked(self) -> list[tuple[str, str]]:
+        """The pairs whose intersections decide the next names; those without one are kept at once."""
+        while self.open:
+            self.now = {x: [k for k in sorted(self.links[x] & self.kept, key=self.place.get) if min(self.size[x], self.size[k]) > MERGE_ABOVE * max(self.size[x], self.size[k])] for x in self._next()}
+            if pairs := [(x, k) for x, many in self.now.items() for k in many]:
+                return pairs
+            self.decide({})
+        return []
+
+    def decide(self, both: dict[tuple[str, str], int]) -> list[tuple[str, str]]:
+        """Folds (name, into) by the sizes of intersections; a kept name that several would join takes one a round."""
+        out, taken = [], set()
+        for x in sorted(self.now, key=self.place.get):
+            many = self.now[x]
+            if taken & set(many):
+                continue  # what it would join has grown: asked again
+            n = self.size[x]
+            into = next((k for k in many if (c := both.get((x, k), 0)) > MERGE_ABOVE * (n + self.size[k] - c)), None)
+            self.open.discard(x)
+            if into is None:
+                self.kept.add(x)
+            else:
+                out.append((x, into))
+                taken.add(into)
+                self.size[into] += n - both[x, into]
+        return out
+
+
+def unsuggested(groups: DataFrame, tags: DataFrame) -> DataFrame:
+    """groups whose suggested tag (`<name> (suggested)`) no tag is yet."""
+    return groups.join(tags.select(F.col("name").alias("tag_name")), F.concat("name", F.lit(" (suggested)")) == F.col("tag_name"), "left_anti")
 
 
 def learned_matches(assets: DataFrame, rules: DataFrame, root: str) -> DataFrame:
@@ -179,6 +255,25 @@ def learned_groups(matches: DataFrame, k: int = 24) -> DataFrame:
     return out.orderBy(F.desc("confidence"), F.desc("n"), "tag").limit(k)
 
 
+def learned_samples(matches: DataFrame, k: int = SAMPLES) -> DataFrame:
+    """tag and the stems of its first k files in order of the catalog."""
+    rank = F.row_number().over(Window.partitionBy("tag").orderBy(F.lower("path"), "path"))
+    first = matches.select("tag", "path").distinct().withColumn("r", rank).where(F.col("r") <= k)
+    ordered = F.array_sort(F.collect_list(F.struct("r", text.stem(text.base_name(F.col("path"))).alias("stem"))))
+    return first.groupBy("tag").agg(F.transform(ordered, lambda x: x["stem"]).alias("samples"))
+
+
+def suggestions(assets: DataFrame, root: str, rules: DataFrame | None) -> tuple[str, DataFrame]:
+    """Which way suggestions are made (learned or heuristic), and the groups: name, n, confidence.
+
+    Learned rules are taken if there are any; without (no file, none in it, or a file that
+    can't be read, see plans.files.learned_rules) the names, sizes and folders speak.
+    """
+    if rules is not None and not rules.isEmpty():
+        return "learned", learned_groups(learned_matches(assets, rules, root)).select(F.col("tag").alias("name"), "n", F.col("confidence").cast("float").alias("confidence"))
+    return "heuristic", merged_groups(assets, root).select("name", "n", "confidence")
+
+
 # --- samples ------------------------------------------------------------------------------
 
 

@@ -13,7 +13,7 @@ MIB = 1 << 20
 class Naming:
     enabled: bool = True
     # Characters that file names should not hold.
-    forbidden_chars: tuple[str, ...] = tuple(" !#$%^&*()+=<>:\"|?;")
+    forbidden_chars: tuple[str, ...] = tuple(" !#$%^&*()+=<>:\"|?")
     forbid_chinese: bool = False
     max_length: int = 512
     texture_prefix: str | None = None

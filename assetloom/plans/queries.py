@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
 from ..operators import analysis, browse, cross, engines, graph, history, rules, snapshot, stats, tagging
 from ..sources import catalog as src
+from ..sources import fsscan, storage
 from ..streaming import watch
 from . import config
 
@@ -155,7 +156,7 @@ STRICT = config.RuleConfig(
     model=config.Model(enabled=True, max_vertices=150_000, max_faces=120_000, max_materials=8), audio=config.Audio(enabled=True, max_sfx_duration=25.0, max_file_size=10_000_000, warn_stereo_sfx=True),
     pbr_set=config.PbrSet(enabled=True), dcc_source=config.DccSource(enabled=True), ignore=("**/Brand3/*", "Large/**/crate*.png"),
 )
-_BAD = r"[ !#$%^&*()+=<>:\"|?;]"
+_BAD = r"[ !#$%^&*()+=<>:\"|?]"
 _POT = "({0} > 0 AND ({0} & ({0} - 1)) = 0)"
 _SFX = "(regexp_matches(lower(stem), '(^|[^a-z0-9])(sfx|sound|effect|hit|click|ui)([^a-z0-9]|$)'))"
 
@@ -205,7 +206,8 @@ over_assets("issues_by_rule", f", {I} SELECT rule_id, count(*) AS n, count(DISTI
 over_assets("pass_count", f", {I} SELECT (SELECT count(*) FROM a) AS total, count(DISTINCT asset_path) AS with_issues, greatest((SELECT count(*) FROM a) - count(DISTINCT asset_path), 0) AS passed FROM i", lambda a: analysis.pass_count(a, _strict(a)))
 over_assets("issues_warning", f", {I} SELECT asset_path, rule_id FROM i WHERE severity = 'warning'", lambda a: _strict(a).where("severity = 'warning'").select("asset_path", "rule_id"))
 over_assets("rule_non_square", "SELECT path AS asset_path, 'texture.non_square' AS rule_id FROM a WHERE asset_type = 'texture' AND width <> height AND width BETWEEN 4 AND 4096 AND height BETWEEN 4 AND 4096", lambda a: rules.asset_issues(a, config.RuleConfig(naming=config.Naming(enabled=False), texture=config.Texture(enabled=True, require_pot=False, warn_non_square=True, color_space=False))).where("rule_id = 'texture.non_square'").select("asset_path", "rule_id"))
-over_assets("ignore_globs", "SELECT path FROM a WHERE NOT (regexp_matches(path[7:], '^(.*/)?Brand3/.*$') OR regexp_matches(path[7:], '^Large/(.*/)?crate.*\\.png$'))", lambda a: rules.not_ignored(a, STRICT.ignore, src.ROOT).select("path"))
+_IGNORED = "regexp_matches(path[7:], '^(.*/)?Brand3/.*$') OR regexp_matches(path[7:], '^Large/(.*/)?crate.*\\.png$')"
+over_assets("ignore_globs", f"SELECT path FROM a WHERE NOT ({_IGNORED})", lambda a: rules.not_ignored(a, STRICT.ignore, src.ROOT).select("path"))
 over_assets(
     "fix_preview",
     f""", n AS (SELECT *, stem AS s0, CASE WHEN extension = '' THEN '' ELSE '.' || extension END AS dot, trim(regexp_replace(regexp_replace(stem, '{_BAD}', '_', 'g'), '_+', '_', 'g'), '_') AS clean FROM a)
@@ -254,9 +256,12 @@ for _op, (_args, _sql) in _RENAMES.items():
 # --- rules across assets ------------------------------------------------------------------
 
 
-@query("dup_groups", f"WITH {D} SELECT size, sha256(content) AS sha256, count(*) AS n, min_by(path, (lower(path), path)) AS original, array_to_string(list(path ORDER BY lower(path), path), '|') AS paths FROM f GROUP BY ALL HAVING count(*) > 1")
+_DUPLICATES = "dup AS (SELECT size, sha256(content) AS sha256, count(*) AS n, list(path ORDER BY lower(path), path)[1] AS original, list(path ORDER BY lower(path), path)[2] AS anchor FROM f GROUP BY ALL HAVING count(*) > 1)"
+
+
+@query("dup_groups", f"WITH {D}, {_DUPLICATES} SELECT size, sha256, n, original, anchor FROM dup")
 def dup_groups(spark, sf_dir):
-    return cross.duplicates(src.document_files(spark, sf_dir)).select("size", "sha256", "n", "original", F.array_join("paths", "|").alias("paths"))
+    return cross.duplicates(src.document_files(spark, sf_dir))
 
 
 @query("dup_redundant", f"WITH {D}, g AS (SELECT path, row_number() OVER w AS r, first_value(path) OVER w AS original FROM f WINDOW w AS (PARTITION BY size, sha256(content) ORDER BY lower(path), path)) SELECT original, path FROM g WHERE r > 1")
@@ -288,6 +293,21 @@ query(
     bw AS (SELECT id, 0 AS hop FROM st UNION SELECT e.s, bw.hop + 1 FROM bw JOIN e ON e.t = bw.id WHERE bw.hop < 2)
     SELECT id, min(hop) AS hop, 'forward' AS direction FROM fw GROUP BY id UNION ALL SELECT id, min(hop), 'backward' FROM bw GROUP BY id""",
 )(_graph(lambda r, k, p: graph.neighbourhood(graph.edges(r), F.col("id").startswith("00"))))
+_TWO_HOPS = f"""WITH RECURSIVE {R}, {K}, e AS (SELECT DISTINCT src_guid AS s, guid AS t FROM r WHERE {_NULL}),
+    st AS (SELECT id FROM (SELECT s AS id FROM e UNION SELECT t FROM e) WHERE starts_with(id, '00')),
+    fw AS (SELECT id, 0 AS hop FROM st UNION SELECT e.t, fw.hop + 1 FROM fw JOIN e ON e.s = fw.id WHERE fw.hop < 2 AND fw.id IN (SELECT guid FROM known)),
+    bw AS (SELECT id, 0 AS hop FROM st UNION SELECT e.s, bw.hop + 1 FROM bw JOIN e ON e.t = bw.id WHERE bw.hop < 2 AND bw.id IN (SELECT guid FROM known))"""
+
+
+def _two_hops(r, k):
+    return graph.neighbourhood(graph.edges(r), F.col("id").startswith("00"), assets=k.select(F.col("guid").alias("id")))
+
+
+query("graph_2hop_assets", f"{_TWO_HOPS} SELECT id, min(hop) AS hop, 'forward' AS direction FROM fw GROUP BY id UNION ALL SELECT id, min(hop), 'backward' FROM bw GROUP BY id")(_graph(lambda r, k, p: _two_hops(r, k)))
+query("graph_2hop_edges", f"{_TWO_HOPS}, n AS (SELECT id FROM fw UNION SELECT id FROM bw) SELECT s AS src, t AS dst FROM e WHERE s IN (SELECT id FROM n) AND t IN (SELECT id FROM n)")(_graph(lambda r, k, p: graph.reached_edges(graph.edges(r), _two_hops(r, k))))
+query("ref_mentions", f"WITH {R}, t AS (SELECT DISTINCT guid, src_path FROM r WHERE guid <> src_guid) SELECT guid AS target, src_path AS path, row_number() OVER (PARTITION BY guid ORDER BY NOT ends_with(src_path, '/s3.unity'), lower(src_path), src_path) AS place FROM t")(
+    _graph(lambda r, k, p: graph.mentions(r.select(F.col("guid").alias("target"), F.col("src_path").alias("path"), F.col("src_guid").alias("self")), "s3.unity").select("target", "path", F.row_number().over(Window.partitionBy("target").orderBy("ord")).cast("long").alias("place")))
+)
 query("reverse_refs", f"WITH {R} SELECT guid, count(*) AS n_files, min(src_path) AS first_file FROM (SELECT DISTINCT guid, src_path FROM r WHERE {_NULL} AND guid <> src_guid) GROUP BY ALL")(_graph(lambda r, k, p: graph.reverse_references(r)))
 query("ref_totals", f"WITH {R}, t AS (SELECT guid, count(DISTINCT src_path) AS n FROM r WHERE {_NULL} AND guid <> src_guid GROUP BY guid) SELECT count(*) AS n_targets, CAST(sum(n) AS BIGINT) AS n_files FROM t")(_graph(lambda r, k, p: graph.reverse_references(r).agg(F.count("*").alias("n_targets"), F.sum("n_files").alias("n_files"))))
 
@@ -302,29 +322,57 @@ def page_lang(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", F.regexp_extract("html", '<html[^>]* lang="([^"]*)"', 1).alias("lang"))
 
 
+_PBR = """, s AS (SELECT path, dir, regexp_extract(stem, '^(.+)_[^_]*$', 1) AS base, lower(regexp_extract(stem, '_([^_]*)$', 1)) AS suffix FROM a WHERE asset_type = 'texture'),
+    t AS (SELECT *, CASE suffix WHEN 'basecolor' THEN ['basecolor'] WHEN 'normal' THEN ['normal'] WHEN 'height' THEN ['height'] WHEN 'orm' THEN ['ao', 'roughness', 'metallic'] END AS roles FROM s WHERE base <> '' AND suffix IN ('basecolor', 'normal', 'height', 'orm')),
+    g AS (SELECT dir, lower(base) AS key, min_by(base, (lower(path), path)) AS display, min_by(path, (suffix <> 'basecolor', lower(path), path)) AS anchor, list_sort(list_distinct(flatten(list(roles)))) AS roles FROM t GROUP BY ALL)"""
 over_assets(
     "pbr_sets",
-    """, s AS (SELECT path, dir, regexp_extract(stem, '^(.+)_[^_]*$', 1) AS base, lower(regexp_extract(stem, '_([^_]*)$', 1)) AS suffix FROM a WHERE asset_type = 'texture'),
-    t AS (SELECT *, CASE suffix WHEN 'basecolor' THEN ['basecolor'] WHEN 'normal' THEN ['normal'] WHEN 'height' THEN ['height'] WHEN 'orm' THEN ['ao', 'roughness', 'metallic'] END AS roles FROM s WHERE base <> '' AND suffix IN ('basecolor', 'normal', 'height', 'orm')),
-    g AS (SELECT dir, lower(base) AS key, min_by(base, (lower(path), path)) AS display, min_by(path, (suffix <> 'basecolor', lower(path), path)) AS anchor, list_sort(list_distinct(flatten(list(roles)))) AS roles FROM t GROUP BY ALL)
-    SELECT dir, key, display, anchor, array_to_string(roles, ',') AS channels, NOT list_contains(roles, 'normal') AS incomplete FROM g WHERE list_contains(roles, 'basecolor')""",
+    f"{_PBR} SELECT dir, key, display, anchor, array_to_string(roles, ',') AS channels, NOT list_contains(roles, 'normal') AS incomplete FROM g WHERE list_contains(roles, 'basecolor')",
     lambda a: cross.pbr_sets(a).select("dir", "key", "display", "anchor", F.array_join("channels", ",").alias("channels"), (~F.col("complete")).alias("incomplete")),
 )
-over_assets(
-    "dcc_stale",
-    """, m AS (SELECT unnest([{'s': 'blend', 'e': ['fbx', 'glb', 'gltf', 'obj', 'dae']}, {'s': 'ma', 'e': ['fbx', 'obj']}, {'s': 'psd', 'e': ['png', 'jpg', 'tga', 'webp']}]) AS m),
+_DCC = """, m AS (SELECT unnest([{'s': 'blend', 'e': ['fbx', 'glb', 'gltf', 'obj', 'dae']}, {'s': 'ma', 'e': ['fbx', 'obj']}, {'s': 'psd', 'e': ['png', 'jpg', 'tga', 'webp']}]) AS m),
     c AS (SELECT a.path, a.modified, lower(a.stem) AS stem, m.e, CASE WHEN ends_with(dir, '/src') THEN [dir, dir[:-5], dir[:-5] || '/sources', dir[:-5] || '/_source'] ELSE [dir] END AS dirs FROM a JOIN m ON a.ext = m.s),
     d AS (SELECT path, modified, stem, e, unnest(dirs) AS dir, generate_subscripts(dirs, 1) AS rank FROM c),
-    p AS (SELECT d.path AS source, d.modified AS st, x.path AS export, x.modified AS et, row_number() OVER (PARTITION BY d.path ORDER BY x.modified DESC, d.rank) AS r FROM d JOIN a x ON x.dir = d.dir AND lower(x.stem) = d.stem AND list_contains(d.e, x.ext))
-    SELECT source, export, st - et AS age_secs FROM p WHERE r = 1 AND st - et > 30""",
+    p AS (SELECT d.path AS source, d.modified AS st, x.path AS export, x.modified AS et, row_number() OVER (PARTITION BY d.path ORDER BY x.modified DESC, d.rank) AS r FROM d JOIN a x ON x.dir = d.dir AND lower(x.stem) = d.stem AND list_contains(d.e, x.ext))"""
+over_assets(
+    "dcc_stale",
+    f"{_DCC} SELECT source, export, st - et AS age_secs FROM p WHERE r = 1 AND st - et > 30",
     lambda a: cross.stale_exports(a, config.DccSource(mtime_tolerance_secs=30)),
 )
 
 
-@query("analysis_all")
+_SEEN = A.replace("a AS (SELECT *, lower(extension) AS ext", "every_a AS (SELECT *, lower(extension) AS ext") + f", a AS (SELECT * FROM every_a WHERE NOT ({_IGNORED}))"
+_ANALYSIS = f"""WITH {_SEEN}, {I}, {D}, {R}, {K}, {_DUPLICATES}{_PBR}{_DCC.replace(' m AS (', ' dcc AS (').replace('m.m', 'm.m').replace('FROM a JOIN m ON', 'FROM a JOIN dcc AS m ON')}
+  SELECT 0 AS phase, rule_id, severity, asset_path, 0 AS n_related FROM i UNION ALL SELECT 1, 'duplicate', 'warning', anchor, 2 FROM dup
+  UNION ALL SELECT 2, 'missing_reference', 'warning', src_path, 0 FROM (SELECT DISTINCT src_path, guid FROM r WHERE {_NULL} AND guid NOT IN (SELECT guid FROM known) AND guid NOT IN (SELECT guid FROM packs))
+  UNION ALL SELECT 3, 'pbr_set.incomplete', 'warning', anchor, 0 FROM g WHERE list_contains(roles, 'basecolor') AND NOT list_contains(roles, 'normal')
+  UNION ALL SELECT 4, 'dcc_source.outdated_export', 'warning', source, 1 FROM p WHERE r = 1 AND st - et > {STRICT.dcc_source.mtime_tolerance_secs}"""
+
+
+def _all_issues(spark, sf_dir):
+    return analysis.analyse(assets(spark, sf_dir), STRICT, root=src.ROOT, files=src.document_files(spark, sf_dir), refs=src.references(spark, sf_dir), known=src.known_assets(spark, sf_dir), packages=src.packages(spark, sf_dir))
+
+
+@query("analysis_all", _ANALYSIS)
 def analysis_all(spark, sf_dir):
-    found = analysis.analyse(assets(spark, sf_dir), STRICT, root=src.ROOT, files=src.document_files(spark, sf_dir), refs=src.references(spark, sf_dir), known=src.known_assets(spark, sf_dir), packages=src.packages(spark, sf_dir))
-    return rules.with_message(found).select("phase", "rule_id", "severity", "asset_path", "message", F.size("related_paths").alias("n_related"))
+    return _all_issues(spark, sf_dir).select("phase", "rule_id", "severity", "asset_path", F.size("related_paths").alias("n_related"))
+
+
+@query("issues_first", f"SELECT * FROM ({_ANALYSIS}) ORDER BY rule_id, phase, lower(asset_path), asset_path LIMIT 100")
+def issues_first(spark, sf_dir):
+    return analysis.groups_in_order(_all_issues(spark, sf_dir)).limit(100).select("phase", "rule_id", "severity", "asset_path", F.size("related_paths").alias("n_related"))
+
+
+@query("issues_pruned", f"WITH x AS ({_ANALYSIS}) SELECT rule_id, severity, count(*) AS n, CAST(sum(CAST(rule_id IN ('naming.forbidden_char', 'naming.prefix', 'naming.case') AS INT)) AS BIGINT) AS n_fixable FROM x WHERE rule_id <> 'duplicate' OR asset_path NOT LIKE '%1.txt' GROUP BY GROUPING SETS ((rule_id, severity), ())")
+def issues_pruned(spark, sf_dir):
+    found = _all_issues(spark, sf_dir)
+    return analysis.summary(analysis.pruned(found, found.where("asset_path LIKE '%1.txt'")))
+
+
+@query("issues_collapsed", f"WITH {D}, {_DUPLICATES} SELECT min(anchor) AS asset_path, original[7:] AS head FROM dup GROUP BY original")
+def issues_collapsed(spark, sf_dir):
+    found = _all_issues(spark, sf_dir).where("rule_id = 'duplicate'")
+    return analysis.collapse_groups(found).select("asset_path", F.get("related_paths", F.lit(0)).alias("head"))
 
 
 over_assets(
@@ -392,7 +440,11 @@ def identity_match(spark, sf_dir):
     return snapshot.moved(e.where("event_type = 'error'"), e.where("event_type = 'signup'"), ("user_id", "hour"))
 
 
-over_assets("rekey_dir", "SELECT CASE WHEN path = '/proj/SMALL' OR starts_with(path, '/proj/SMALL/') THEN '/proj/Tiny' || path[12:] ELSE path END AS path, size FROM a", lambda a: snapshot.rekeyed(a, "/proj/SMALL", "/proj/Tiny").select("path", "size"))
+over_assets(
+    "rekey_dir",
+    "SELECT CASE WHEN starts_with(path, '/proj/SMALL/') THEN '/proj/Tiny' || path[12:] ELSE path END AS path, CASE WHEN starts_with(path, '/proj/SMALL/') THEN '/proj/Tiny' || dir[12:] ELSE dir END AS dir, name, extension, asset_type, size FROM a",
+    lambda a: snapshot.rekeyed(a, "/proj/SMALL", "/proj/Tiny").select("path", "dir", "name", "extension", "asset_type", "size"),
+)
 
 
 # --- tags ---------------------------------------------------------------------------------
@@ -470,37 +522,301 @@ query("undo_head", f"SELECT * FROM ({_BATCHES}) WHERE NOT undone ORDER BY batch_
 query("undo_keep", f"{_BATCHES} ORDER BY batch_id DESC LIMIT 50")(lambda spark, sf_dir: history.kept_batches(_ops(spark, sf_dir)))
 
 
+# --- exports ------------------------------------------------------------------------------
+
+over_assets("export_scan_json", "SELECT path, '{\"path\":\"' || path || '\",\"size\":' || size || ',\"asset_type\":\"' || asset_type || '\"}' AS json FROM a", lambda a: stats.scan_json(a.select("path", "size", "asset_type")))
+over_assets(
+    "export_scan_head",
+    """, t AS (SELECT asset_type, count(*) AS n, sum(size) AS s FROM a GROUP BY ALL)
+    SELECT '{"root_path":"/proj","total_count":' || sum(n) || ',"total_size":' || CAST(sum(s) AS BIGINT) || ',"type_counts":{' || string_agg('"' || asset_type || '":' || n, ',' ORDER BY asset_type) || '}}' AS json FROM t""",
+    lambda a: stats.scan_summary_json(a, src.ROOT),
+)
+over_assets(
+    "export_issues_json",
+    f", {I} SELECT asset_path, rule_id, '{{\"rule_id\":\"' || rule_id || '\",\"severity\":\"' || severity || '\",\"auto_fixable\":' || auto_fixable || ',\"asset_path\":\"' || asset_path || '\"}}' AS json FROM i",
+    lambda a: stats.issues_json(_strict(a).select("rule_id", "severity", "auto_fixable", "asset_path")),
+)
+_TEXTS = [("texture.pot.title", "Zweierpotenz"), ("texture.pot.message", "{{ width }} mal {{height}} {{nichts}}"), ("dcc_source.outdated_export.message", "{{age_n}} {{age_unit}} alt"), ("duration.s", "Sekunden"), ("duration.m", "Minuten"), ("duration.h", "Stunden"), ("duration.d", "Tage")]
+over_assets(
+    "issues_localised",
+    f""", {I} SELECT asset_path, 'Zweierpotenz' AS title, replace(arg, 'x', ' mal ') || ' {{{{nichts}}}}' AS message FROM i WHERE rule_id = 'texture.pot'
+    UNION ALL SELECT asset_path, rule_id, 'plain' FROM i WHERE rule_id <> 'texture.pot'""",
+    lambda a: stats.localised(_strict(a).withColumn("message", F.lit("plain")), a.sparkSession.createDataFrame(_TEXTS, "key string, value string")).select("asset_path", "title", "message"),
+)
+over_assets(
+    "ages_localised",
+    f"""{_DCC}, o AS (SELECT source, st - et AS age FROM p WHERE r = 1 AND st - et > {STRICT.dcc_source.mtime_tolerance_secs})
+    SELECT source AS asset_path, CASE WHEN age < 60 THEN age || ' Sekunden' WHEN age < 3600 THEN age // 60 || ' Minuten' WHEN age < 86400 THEN age // 3600 || ' Stunden' ELSE age // 86400 || ' Tage' END || ' alt' AS message FROM o""",
+    lambda a: stats.localised(analysis.analyse(a, config.RuleConfig(naming=config.Naming(enabled=False), texture=config.Texture(color_space=False), dcc_source=STRICT.dcc_source)).withColumn("message", F.lit("plain")), a.sparkSession.createDataFrame(_TEXTS, "key string, value string")).where("rule_id = 'dcc_source.outdated_export'").select("asset_path", "message"),
+)
+_ROW = lambda *cells: "'<tr>' || " + " || ".join(f"'<td>' || {c} || '</td>'" for c in cells) + " || '</tr>'"
+_HUMAN = "CASE WHEN {0} < 1024 THEN {0} || ' B' WHEN {0} < 1048576 THEN printf('%.1f', {0} / 1024) || ' KB' WHEN {0} < 1073741824 THEN printf('%.1f', {0} / 1048576) || ' MB' ELSE printf('%.2f', {0} / 1073741824) || ' GB' END"
+over_assets(
+    "html_report",
+    f""", {I}, k AS (SELECT upper(asset_type[1]) || asset_type[2:] AS type_name, count(*) AS n, CAST(sum(size) AS BIGINT) AS s FROM a GROUP BY ALL)
+    SELECT 0 AS part, '<!doctype html><meta charset=utf-8><h1>Assets</h1><p>Incomplete scan: 2 entries unread</p><p>' || ((SELECT count(*) FROM a) - (SELECT count(DISTINCT asset_path) FROM i)) || ' of ' || (SELECT count(*) FROM a) || ' files without issues</p>' AS html
+    UNION ALL SELECT 1, '<h2>Types</h2><table><tr><th>type</th><th>files</th></tr>' UNION ALL SELECT 2, {_ROW('type_name', 'n')} FROM k
+    UNION ALL SELECT 3, '<h2>Size by type</h2><table><tr><th>type</th><th>size</th></tr>' UNION ALL SELECT 4, {_ROW('type_name', _HUMAN.format('s'))} FROM k
+    UNION ALL SELECT 5, '<h2>Issues</h2><table><tr><th>rule</th><th>severity</th><th>path</th></tr>' UNION ALL SELECT 6, {_ROW('rule_id', 'severity', 'asset_path')} FROM (SELECT * FROM i ORDER BY rule_id, lower(asset_path), asset_path LIMIT 100)
+    UNION ALL SELECT 7, '<h2>Files</h2><table><tr><th>path</th><th>type</th><th>size</th></tr>' UNION ALL SELECT 8, {_ROW('path', 'asset_type', _HUMAN.format('size'))} FROM (SELECT * FROM a ORDER BY lower(path), path LIMIT 500)""",
+    lambda a: stats.html_report(a, _strict(a), unread=2).select("part", "html"),
+)
+
+
+@query("warning_samples", """WITH w AS (SELECT event_type AS kind, '/proj/e' || event_id AS path, CAST(user_id AS VARCHAR) AS detail FROM events)
+  SELECT kind, count(*) AS n, array_to_string(list(path ORDER BY path)[1:5], ',') AS sample, min_by(detail, path) AS detail FROM w GROUP BY kind""")
+def warning_samples(spark, sf_dir):
+    w = table(spark, sf_dir, "events").select(F.col("event_type").alias("kind"), F.concat(F.lit("/proj/e"), F.col("event_id")).alias("path"), F.col("user_id").cast("string").alias("detail"))
+    return stats.warnings_by_kind(w).withColumn("sample", F.array_join("sample", ","))
+
+
+query("unused_first", f"WITH {R}, {K} SELECT path, guid FROM known WHERE asset_type <> 'scene' AND guid NOT IN (SELECT guid FROM r) ORDER BY lower(path), path LIMIT 200")(_graph(lambda r, k, p: analysis.first_and_rest(cross.unused_assets(k, r), F.lower("path"), "path")[0]))
+query("unused_more", f"WITH {R}, {K} SELECT greatest(count(*) - 5, 0) AS n_more FROM known WHERE asset_type <> 'scene' AND guid NOT IN (SELECT guid FROM r)")(_graph(lambda r, k, p: analysis.first_and_rest(cross.unused_assets(k, r), F.lower("path"), "path", k=5)[1]))
+
+# --- more of tags and requests ------------------------------------------------------------
+
+over_assets(
+    "tag_samples",
+    f""", {_FOLDERS}, k AS (SELECT token, path FROM tp WHERE token IN (SELECT token FROM tp GROUP BY ALL HAVING count(DISTINCT path) >= 3))
+    SELECT upper(token[1]) || token[2:] AS name, array_to_string(list(DISTINCT path ORDER BY path)[1:3], '|') AS samples FROM k GROUP BY ALL""",
+    lambda a: tagging.samples(_folder_groups(a)).select("name", F.array_join("samples", "|").alias("samples")),
+)
+
+
+def _folder_groups(a: DataFrame) -> DataFrame:
+    tokens = tagging.folder_tokens(a, src.ROOT)
+    return tokens.distinct().join(tagging.token_counts(tokens, 3).select("token"), "token", "left_semi").select(text.capitalised(F.col("token")).alias("name"), "path").distinct()
+
+
+over_assets(
+    "tag_unsuggested",
+    f", {_FOLDERS}, k AS (SELECT upper(token[1]) || token[2:] AS name FROM tp GROUP BY token HAVING count(DISTINCT path) >= 3) SELECT DISTINCT name FROM k WHERE name NOT IN ('Brand3', 'LARGE', 'SRC')",
+    lambda a: tagging.unsuggested(_folder_groups(a).select("name").distinct(), a.sparkSession.createDataFrame([("Brand3 (suggested)",), ("LARGE (suggested)",), ("SRC (suggested)",), ("Brand4",)], "name string")),
+)
+
+
+@query("learned_samples", f"""WITH {A}, m AS (SELECT 'Third' AS tag, path, stem FROM a WHERE list_contains(string_split(lower(path[7:]), '/'), 'brand3') UNION SELECT 'Promo', path, stem FROM a WHERE starts_with(path[7:], 'PROMO/')
+  UNION SELECT unnest(['Maps', 'Nature']), path, stem FROM a WHERE regexp_matches(path[7:], '_(Normal|ORM)\\.') UNION SELECT unnest(['Nature', 'Wood']), path, stem FROM a WHERE contains(lower(name), 'tree'))
+  SELECT tag, array_to_string(list(stem ORDER BY lower(path), path)[1:3], '|') AS samples FROM m GROUP BY tag""")
+def learned_samples(spark, sf_dir):
+    learned = spark.createDataFrame(_LEARNED, "ord int, kind string, pattern string, tags array<string>, confidence double")
+    return tagging.learned_samples(tagging.learned_matches(assets(spark, sf_dir), learned, src.ROOT)).select("tag", F.array_join("samples", "|").alias("samples"))
+
+
+@query("tag_update", "SELECT n_nationkey AS id, CASE WHEN n_nationkey % 3 = 0 THEN 'new ' || n_name ELSE n_name END AS name, CASE WHEN n_nationkey % 3 <> 0 THEN 'old' WHEN n_nationkey % 2 = 0 THEN 'text' END AS description FROM nation UNION ALL SELECT 100, 'made', NULL")
+def tag_update(spark, sf_dir):
+    nation = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("id"), F.col("n_name").alias("name"))
+    new = nation.where("id % 3 = 0").select("id", F.concat(F.lit("new "), "name").alias("name"), F.when(F.col("id") % 2 == 0, "text").otherwise("  ").alias("description"))
+    made = spark.createDataFrame([(100, "made", "")], "id long, name string, description string")
+    return tagging.put_tags(nation.withColumn("description", F.lit("old")), new.unionByName(made))
+
+
+@query("tag_assets", "SELECT DISTINCT 'q' || quality AS tag, '/proj/docs/' || doc_id AS path FROM labels WHERE quality = 1")
+def tag_assets(spark, sf_dir):
+    bindings = table(spark, sf_dir, "labels").select(F.concat(F.lit("/proj/docs/"), F.col("doc_id")).alias("path"), F.col("quality").cast("long").alias("tag_id"))
+    return tagging.assets_of(bindings, spark.createDataFrame([(1, "q1")], "id long, name string"))
+
+
+over_assets("request_chunks", "SELECT path, (row_number() OVER (ORDER BY path) - 1) // 20 AS chunk FROM a", lambda a: history.chunks(a.select("path"), "path"))
+over_assets(
+    "request_replies",
+    "SELECT path, CASE WHEN size % 4 <> 0 THEN 'tag ' || (size % 7) END AS reply FROM a",
+    lambda a: history.paired(a.select("path"), a.where("size % 4 <> 0").select("path", F.concat(F.lit("tag "), (F.col("size") % 7).cast("string")).alias("reply")).orderBy(F.desc("size"))),
+)
+over_assets(
+    "request_prompts",
+    """, c AS (SELECT path, name, (row_number() OVER (ORDER BY path) - 1) // 20 AS chunk FROM a), u AS (SELECT array_to_string(list(DISTINCT path ORDER BY path)[1:5], ', ') AS p FROM a WHERE asset_type = 'audio')
+    SELECT chunk, 'Context' || chr(10) || chr(10) || '- Known: as written' || chr(10) || '- Sound' || coalesce(' (e.g. ' || nullif((SELECT p FROM u), '') || ')', '') || chr(10) || chr(10) || string_agg(name, chr(10) ORDER BY path) AS prompt FROM c GROUP BY chunk""",
+    lambda a: history.prompts(
+        history.chunks(a.select("path", F.col("name").alias("line")), "path"), a.sparkSession.createDataFrame([("Sound", " "), ("Known", "as written")], "name string, description string"),
+        a.where("asset_type = 'audio'").select(F.lit("Sound").alias("name"), "path"), "Context",
+    ),
+)
+over_assets(
+    "copy_names",
+    """, x AS (SELECT path, dir, stem, extension, size % 5 AS n FROM a),
+    there AS (SELECT path FROM a UNION ALL SELECT dir || '/' || stem || ' copy' || CASE WHEN i = 1 THEN '' ELSE ' ' || i END || '.' || extension FROM (SELECT *, unnest(generate_series(1, n)) AS i FROM x) WHERE i <> 3),
+    asked AS (SELECT *, unnest(generate_series(1, 7)) AS i FROM x), named AS (SELECT path, i, dir || '/' || stem || ' copy' || CASE WHEN i = 1 THEN '' ELSE ' ' || i END || '.' || extension AS made FROM asked)
+    SELECT path, min_by(made, i) AS copy FROM named WHERE made NOT IN (SELECT path FROM there) GROUP BY path""",
+    lambda a: history.free_copy_name(a.select("path"), _copies(a)),
+)
+
+
+def _copies(a: DataFrame) -> DataFrame:
+    """Every file with up to four copies beside it; the third is always free."""
+    stem, dot = text.stem(F.col("name")), text.dotted_extension(F.col("name"))
+    i = F.explode(F.filter(F.sequence(F.lit(1), F.greatest((F.col("size") % 5).cast("int"), F.lit(1))), lambda k: (k != 3) & (k <= F.col("size") % 5)))
+    made = a.select("dir", stem.alias("stem"), dot.alias("dot"), i.alias("i"))
+    return a.select("path").unionByName(made.select(F.concat("dir", F.lit("/"), "stem", F.lit(" copy"), F.when(F.col("i") > 1, F.concat(F.lit(" "), F.col("i").cast("string"))).otherwise(""), "dot").alias("path")))
+
+
+over_assets(
+    "rename_checked",
+    ", n AS (SELECT path, dir, lower(name[1:3]) || '.x' AS new_name, size % 3 <> 0 AS included FROM a) SELECT path, included AND count(*) FILTER (included) OVER (PARTITION BY lower(dir), lower(new_name)) > 1 AS collides FROM n",
+    lambda a: rules.checked_again(a.select("path", F.concat(F.lower(F.substring("name", 1, 3)), F.lit(".x")).alias("new_name"), (F.col("size") % 3 != 0).alias("included"))).select("path", "collides"),
+)
+
+# --- a scanned tree -----------------------------------------------------------------------
+
+
+def _tree(spark: SparkSession, sf_dir: str) -> str:
+    """`supplier` as files in the shared folder: pictures, sounds and models by key, sidecars, and ignore files."""
+    import os
+    import struct
+
+    root = storage.scratch(spark, "tree").removeprefix("file:")
+    png = lambda w, h: b"\x89PNG\r\n\x1a\n" + struct.pack(">I", 13) + b"IHDR" + struct.pack(">IIBBBBB", w, h, 8, 6, 0, 0, 0) + b"\0\0\0\0"
+
+    def write(batches):
+        for batch in batches:
+            for k, n in zip(batch["s_suppkey"], batch["s_nationkey"], strict=True):
+                folder = f"{root}/_n{n}/" + ("out" if k % 10 == 7 else "in")
+                os.makedirs(folder, exist_ok=True)
+                name, body = {
+                    0: (f"s{k}.png", png(k, k + 1)), 1: (f"s{k}.gif", b"GIF89a" + struct.pack("<HH", k % 65536, 7)), 2: (f"s{k}.obj", b"f 1 2 3 4\n" * (k % 5 + 1)),
+                    3: (f"s{k}.wav", b"RIFF\0\0\0\0WAVEfmt \x10\0\0\0" + struct.pack("<HHIIHH", 1, 2, 8000, 32000, 4, 16) + b"data" + struct.pack("<I", 32000 * k)), 4: (f".hidden{k}.png", b"x"),
+                }[k % 5]
+                with open(f"{folder}/{name}", "wb") as f:
+                    f.write(body)
+                with open(f"{folder}/{name}.meta", "w") as f:
+                    f.write(f"version: 2\nguid: g{k}\n")
+            yield batch
+
+    table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey").mapInPandas(write, "s_suppkey long, s_nationkey long").count()
+    os.makedirs(f"{root}/_n0", exist_ok=True)
+    for where, body in ((f"{root}/.gitignore", "# made\nout/\n*.wav\n"), (f"{root}/_n0/.gitignore", "!*.wav\n")):
+        with open(where, "w") as f:
+            f.write(body)
+    return root
+
+
+_TREE = """t AS (SELECT s_suppkey AS k, '_n' || s_nationkey || '/in/s' || s_suppkey || ['.png', '.gif', '.obj', '.wav'][s_suppkey % 5 + 1] AS path FROM supplier WHERE s_suppkey % 10 <> 7 AND s_suppkey % 5 <> 4 AND (s_suppkey % 5 <> 3 OR s_nationkey = 0))"""
+
+
+@query("scan_tree", f"""WITH {_TREE} SELECT path, ['texture', 'texture', 'model', 'audio'][k % 5 + 1] AS asset_type, 'g' || k AS guid, CASE k % 5 WHEN 0 THEN k WHEN 1 THEN k % 65536 END AS width, CAST(CASE k % 5 WHEN 0 THEN k + 1 WHEN 1 THEN 7 END AS BIGINT) AS height,
+  CAST(CASE k % 5 WHEN 2 THEN 2 * (k % 5 + 1) END AS BIGINT) AS face_count, CASE k % 5 WHEN 3 THEN CAST(k AS DOUBLE) END AS duration_secs FROM t""")
+def scan_tree(spark, sf_dir):
+    root = _tree(spark, sf_dir)
+    found = fsscan.scan(spark, root, respect_ignores=True)
+    return found.select(F.substring("path", len(root) + 2, 1 << 30).alias("path"), "asset_type", F.col("unity_guid").alias("guid"), "metadata.width", "metadata.height", "metadata.face_count", "metadata.duration_secs")
+
+
+@query("scan_copies", """WITH t AS (SELECT s_suppkey AS k, '_n' || s_nationkey || '/' || CASE WHEN s_suppkey % 10 = 7 THEN 'out' ELSE 'in' END || '/s' || s_suppkey || '.obj' AS path, 10 * (s_suppkey % 5 + 1) AS size FROM supplier WHERE s_suppkey % 5 = 2) SELECT path, CAST(size AS BIGINT) AS size FROM t WHERE (SELECT count(*) FROM t) > 1""")
+def scan_copies(spark, sf_dir):
+    root = _tree(spark, sf_dir)
+    found = fsscan.duplicates(fsscan.listing(spark, root))
+    return found.where("path LIKE '%.obj'").select(F.substring("path", len(root) + 2, 1 << 30).alias("path"), "size")
+
+
 # --- change feeds -------------------------------------------------------------------------
 
 _KINDS = {"signup": "create", "view": "modify", "click": "touch", "error": "remove", "purchase": "rename"}
 
 
 def _feed(events: DataFrame) -> DataFrame:
+    """Renames have a second path, touches come on sidecars, and a few events are below a hidden directory."""
     kinds = F.create_map(*(F.lit(x) for kv in _KINDS.items() for x in kv))
-    path = F.concat(F.lit("/proj/u"), F.col("user_id"), F.lit("/f"), F.col("event_id") % 3, F.lit(".png"))
-    return events.select("event_id", "ts", kinds[F.col("event_type")].alias("kind"), path.alias("path"), F.floor(F.col("value") * 100).cast("long").alias("size"))
+    file = lambda n: F.concat(F.lit("/proj/u"), F.col("user_id"), F.lit("/f"), n % 3, F.lit(".png"))
+    path = F.when(F.col("event_id") % 50 == 0, "/proj/.git/x.lock").otherwise(F.concat(file(F.col("event_id")), F.when(F.col("event_type") == "click", ".meta").otherwise("")))
+    to = F.when(F.col("event_type") == "purchase", F.when(F.col("event_id") % 50 == 0, "/proj/.git/y.lock").otherwise(file(F.col("event_id") + F.when(F.col("event_id") % 7 == 0, 0).otherwise(1))))
+    return events.select("event_id", "ts", kinds[F.col("event_type")].alias("kind"), path.alias("path"), to.alias("to_path"), F.floor(F.col("value") * 100).cast("long").alias("size"))
+
+
+_FEED = f"""e AS (SELECT event_id, ts, CASE event_type {' '.join(f'WHEN {k!r} THEN {v!r}' for k, v in _KINDS.items())} END AS kind,
+      CASE WHEN event_id % 50 = 0 THEN '/proj/.git/x.lock' ELSE '/proj/u' || user_id || '/f' || (event_id % 3) || '.png' || CASE WHEN event_type = 'click' THEN '.meta' ELSE '' END END AS path,
+      CASE WHEN event_type = 'purchase' THEN CASE WHEN event_id % 50 = 0 THEN '/proj/.git/y.lock' ELSE '/proj/u' || user_id || '/f' || ((event_id + CASE WHEN event_id % 7 = 0 THEN 0 ELSE 1 END) % 3) || '.png' END END AS to_path,
+      CAST(floor(value * 100) AS BIGINT) AS size FROM events)"""
+_EFFECTS = """fx AS (SELECT event_id, ts, 0 AS step, regexp_replace(path, '\\.meta$', '') AS path, CASE WHEN kind = 'remove' THEN 'remove' ELSE 'upsert' END AS kind, size, NULL AS from_path FROM e WHERE kind <> 'rename' AND path NOT LIKE '/proj/.%'
+      UNION ALL SELECT event_id, ts, 0, path, 'remove', size, NULL FROM e WHERE kind = 'rename' AND path <> to_path AND path NOT LIKE '/proj/.%'
+      UNION ALL SELECT event_id, ts, 1, to_path, 'upsert', size, path FROM e WHERE kind = 'rename' AND path <> to_path AND path NOT LIKE '/proj/.%')"""
+
+
+def _events(spark, sf_dir):
+    return _feed(table(spark, sf_dir, "events"))
+
 
+@query("fs_routes", f"WITH {_FEED} SELECT kind, CASE WHEN kind <> 'rename' THEN 'single' WHEN path = to_path OR path LIKE '/proj/.%' THEN 'drop' ELSE 'rename' END AS route, count(*) AS n FROM e GROUP BY ALL")
+def fs_routes(spark, sf_dir):
+    return watch.routed(_events(spark, sf_dir), src.ROOT).groupBy("kind", "route").agg(F.count("*").alias("n"))
 
-_FEED = f"e AS (SELECT event_id, ts, CASE event_type {' '.join(f'WHEN {k!r} THEN {v!r}' for k, v in _KINDS.items())} END AS kind, '/proj/u' || user_id || '/f' || (event_id % 3) || '.png' AS path, CAST(floor(value * 100) AS BIGINT) AS size FROM events)"
 
+@query("fs_effects", f"WITH {_FEED}, {_EFFECTS} SELECT event_id, step, path, kind, from_path FROM fx")
+def fs_effects(spark, sf_dir):
+    return watch.effects(_events(spark, sf_dir), src.ROOT).select("event_id", "step", "path", "kind", "from_path")
 
-@query("fs_delta", f"WITH {_FEED} SELECT path, CAST(date_trunc('day', ts) AS VARCHAR) AS day, max_by(kind, (ts, event_id)) AS kind, max_by(size, (ts, event_id)) AS size, count(*) AS n_events FROM e GROUP BY ALL")
+
+@query("fs_delta", f"WITH {_FEED}, {_EFFECTS} SELECT path, CAST(date_trunc('day', ts) AS VARCHAR) AS day, max_by(kind, (ts, event_id, step)) AS kind, max_by(size, (ts, event_id, step)) AS size, count(*) AS n_events FROM fx GROUP BY ALL")
 def fs_delta(spark, sf_dir):
-    feed = watch.tracked(_feed(table(spark, sf_dir, "events")), src.ROOT)
-    return watch.net_changes(feed.withColumn("day", F.date_trunc("day", "ts")), "day").withColumn("day", F.col("day").cast("string"))
+    found = watch.effects(_events(spark, sf_dir), src.ROOT)
+    return watch.net_changes(found.withColumn("day", F.date_trunc("day", "ts")), "day").select("path", F.col("day").cast("string").alias("day"), "kind", "size", "n_events")
 
 
-@query("fs_apply", f"WITH {_FEED}, l AS (SELECT path, max_by(kind, (ts, event_id)) AS kind, max_by(size, (ts, event_id)) AS size FROM e GROUP BY ALL) SELECT path, size FROM l WHERE kind <> 'remove'")
+@query("fs_apply", f"WITH {_FEED}, {_EFFECTS}, l AS (SELECT path, max_by(kind, (ts, event_id, step)) AS kind, max_by(size, (ts, event_id, step)) AS size FROM fx GROUP BY ALL) SELECT path, size FROM l WHERE kind <> 'remove'")
 def fs_apply(spark, sf_dir):
-    feed = watch.tracked(_feed(table(spark, sf_dir, "events")), src.ROOT)
-    return watch.apply_changes(feed.select("path", F.lit(0).cast("long").alias("size")).distinct(), watch.net_changes(feed))
+    found = watch.effects(_events(spark, sf_dir), src.ROOT)
+    return watch.apply_changes(found.select("path", F.lit(0).cast("long").alias("size")).distinct(), watch.net_changes(found))
+
+
+@query("fs_epoch", f"WITH {_FEED}, r AS (SELECT *, CASE WHEN event_id % 9 = 0 THEN '/old' ELSE '/proj' END AS root FROM e) SELECT root, count(*) AS n_dropped FROM r WHERE root <> '/proj' GROUP BY ALL")
+def fs_epoch(spark, sf_dir):
+    return watch.same_epoch(_events(spark, sf_dir).withColumn("root", F.when(F.col("event_id") % 9 == 0, "/old").otherwise("/proj")), src.ROOT)[1]
+
+
+over_assets(
+    "fs_probe",
+    """, p AS (SELECT path, dir FROM a WHERE size % 3 <> 0), c AS (SELECT path FROM a WHERE size % 4 = 0 UNION SELECT DISTINCT dir FROM a WHERE size % 5 = 0)
+    SELECT path, 'upsert' AS kind FROM p WHERE path IN (SELECT path FROM c) OR dir IN (SELECT path FROM c) OR regexp_replace(dir, '/src$', '') IN (SELECT path FROM c)
+    UNION ALL SELECT path, 'remove' FROM c WHERE path NOT IN (SELECT path FROM p) AND path NOT IN (SELECT dir FROM p) AND path NOT IN (SELECT regexp_replace(dir, '/src$', '') FROM p)""",
+    lambda a: watch.probed(a.where("size % 4 = 0").select("path").union(a.where("size % 5 = 0").select("dir")), a.where("size % 3 <> 0")).select("path", "kind"),
+)
+
+
+def _batch_events(a: DataFrame) -> DataFrame:
+    """One directory renamed, one removed; by size, files renamed, removed, or moved elsewhere (gone here, there in Moved)."""
+    k = F.col("size") % 10
+    small = F.col("path").startswith("/proj/SMALL/")
+    event = lambda kind, path, to=F.lit(None).cast("string"): F.struct(F.lit(kind).alias("kind"), path.alias("path"), to.alias("to_path"))
+    made = F.when(k == 1, F.array(event("rename", F.col("path"), F.concat("dir", F.lit("/ren_"), "name")))).when(k == 2, F.array(event("remove", F.col("path")))).when(k == 3, F.array(event("remove", F.col("path")), event("create", F.concat(F.lit("/proj/Moved/"), "name"))))
+    files = a.where(~small).select("size", "modified", F.explode(made).alias("e")).select(F.col("modified").alias("ts"), F.col("size").alias("event_id"), "size", "modified", "e.kind", "e.path", "e.to_path")
+    whole = a.sparkSession.createDataFrame([(0, 0, None, None, "rename", "/proj/SMALL", "/proj/Tiny"), (0, 1, None, None, "remove", "/proj/PROMO/Brand1", None)], files.schema)
+    return files.unionByName(whole)
+
+
+def _after(a: DataFrame) -> watch.Batch:
+    return watch.apply_batch(a, _batch_events(a), src.ROOT)
+
+
+_BATCH = """, m AS (SELECT *, CASE WHEN starts_with(path, '/proj/SMALL/') THEN 'dir' WHEN size % 10 = 1 THEN 'ren' WHEN size % 10 = 2 THEN 'rm' WHEN size % 10 = 3 THEN 'mv' ELSE 'keep' END AS act, starts_with(path, '/proj/PROMO/Brand1/') AS brand FROM a),
+    up AS (SELECT '/proj/Moved/' || name AS path, name, max_by(size, (modified, size)) AS size, max(modified) AS modified, max_by(asset_type, (modified, size)) AS asset_type FROM m WHERE act = 'mv' GROUP BY ALL),
+    nw AS (SELECT '/proj/Tiny' || path[12:] AS path, size, asset_type FROM m WHERE act = 'dir' UNION ALL SELECT path, size, asset_type FROM m WHERE act = 'keep' AND NOT brand
+      UNION ALL SELECT dir || '/ren_' || name, size, asset_type FROM m WHERE act = 'ren' UNION ALL SELECT path, size, asset_type FROM up),
+    lost AS (SELECT path, name, size, modified FROM m WHERE act IN ('rm', 'mv') OR (act = 'keep' AND brand)),
+    j AS (SELECT l.name, l.size, l.modified, count(DISTINCT l.path) AS nl, min(l.path) AS from_path, count(DISTINCT up.path) AS nc, min(up.path) AS to_path FROM lost l JOIN up USING (name, size, modified) GROUP BY ALL),
+    mv AS (SELECT path AS from_path, '/proj/Tiny' || path[12:] AS to_path FROM m WHERE act = 'dir' UNION ALL SELECT path, dir || '/ren_' || name FROM m WHERE act = 'ren' UNION ALL SELECT from_path, to_path FROM j WHERE nl = 1 AND nc = 1),
+    dead AS (SELECT path FROM lost WHERE NOT EXISTS (SELECT 1 FROM up WHERE up.name = lost.name AND up.size = lost.size AND up.modified = lost.modified))"""
+over_assets("fs_batch_catalog", f"{_BATCH} SELECT path, size, asset_type FROM nw", lambda a: _after(a).catalog.select("path", "size", "asset_type"))
+over_assets("fs_batch_updated", f"{_BATCH} SELECT '/proj/Tiny' || path[12:] AS path FROM m WHERE act = 'dir' UNION ALL SELECT dir || '/ren_' || name FROM m WHERE act = 'ren' UNION ALL SELECT path FROM up", lambda a: _after(a).updated.select("path"))
+over_assets("fs_batch_removed", f"{_BATCH} SELECT path FROM m WHERE act IN ('dir', 'ren', 'rm', 'mv') OR brand", lambda a: _after(a).removed)
+over_assets("fs_batch_renamed", f"{_BATCH} SELECT '/proj/SMALL' AS from_path, '/proj/Tiny' AS to_path, true AS is_dir WHERE EXISTS (SELECT 1 FROM m WHERE act = 'dir') UNION ALL SELECT from_path, to_path, false FROM mv WHERE NOT starts_with(to_path, '/proj/Tiny/')", lambda a: _after(a).renamed)
+over_assets(
+    "fs_batch_tags",
+    f"{_BATCH} SELECT DISTINCT coalesce(to_path, path) AS path, size % 4 AS tag_id FROM m LEFT JOIN mv ON mv.from_path = m.path WHERE path NOT IN (SELECT path FROM dead)",
+    lambda a: watch.follow_tags(a.select("path", (F.col("size") % 4).alias("tag_id")), _after(a)),
+)
+over_assets("fs_batch_totals", f"{_BATCH} SELECT asset_type, count(*) AS n, CAST(sum(size) AS BIGINT) AS total_size FROM nw GROUP BY ALL", lambda a: watch.totals(_after(a).catalog, src.ROOT)[1])
+over_assets(
+    "fs_batch_tree",
+    f"""{_BATCH}, p AS (SELECT string_split(regexp_replace(path, '/[^/]*$', ''), '/') AS s, size FROM nw), t AS (SELECT unnest(list_transform(generate_series(2, len(s)), lambda i: array_to_string(s[1:i], '/'))) AS path, size FROM p)
+    SELECT path, count(*) AS n_files, CAST(sum(size) AS BIGINT) AS total_size FROM t GROUP BY ALL""",
+    lambda a: watch.totals(_after(a).catalog, src.ROOT)[2].select("path", "n_files", "total_size"),
+)
 
 
 @query("fs_counts_stream", f"WITH {_FEED} SELECT CAST(date_trunc('hour', ts) AS VARCHAR) AS start, kind, count(*) AS n FROM e GROUP BY ALL")
 def fs_counts_stream(spark, sf_dir):
     path = f"{sf_dir}/events.parquet"
     stream = spark.readStream.schema(spark.read.parquet(path).schema).option("pathGlobFilter", "events*.parquet").parquet(path if _is_folder(spark, path) else sf_dir)
-    out = watch.scratch(spark, "fs-counts")
+    out = storage.scratch(spark, "fs-counts")
     return watch.replay_counts(_feed(stream), f"{out}/rows", f"{out}/checkpoint").withColumn("start", F.col("start").cast("timestamp_ntz").cast("string"))
 
 

@@ -127,22 +127,26 @@ DOCUMENT_FILES_SQL = "f AS (SELECT '/proj/docs/' || source || '/' || lang || '/d
 
 
 def references(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Asset references: src_path, src_guid, src_extension, guid. Scenes use parts; every part uses the one at half its key."""
-    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").where("l_linenumber = 1 AND l_orderkey % 3 = 0")
+    """Asset references: src_path, src_guid, src_extension, guid. Scenes use parts; every part uses the one at half its key; materials use customers."""
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
     scenes = lines.selectExpr("concat('/proj/scenes/s', l_orderkey, '.unity') AS src_path", "md5(concat('s', l_orderkey)) AS src_guid", "'unity' AS src_extension", "md5(CAST(l_partkey AS STRING)) AS guid")
-    parts = spark.read.parquet(f"{sf_dir}/part.parquet").where("p_partkey % 4 = 1")
+    parts = spark.read.parquet(f"{sf_dir}/part.parquet")
     nested = parts.selectExpr("concat('/proj/prefabs/p', p_partkey, '.prefab') AS src_path", "md5(CAST(p_partkey AS STRING)) AS src_guid", "'prefab' AS src_extension", "CASE WHEN p_partkey % 40 = 1 THEN '' ELSE md5(CAST(p_partkey div 2 AS STRING)) END AS guid")
-    return scenes.unionByName(nested)
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    materials = orders.selectExpr("concat('/proj/mats/o', o_orderkey, '.mat') AS src_path", "md5(concat('o', o_orderkey)) AS src_guid", "'mat' AS src_extension", "md5(concat('c', o_custkey)) AS guid")
+    return scenes.unionByName(nested).unionByName(materials)
 
 
 REFERENCES_SQL = """r AS (
-    SELECT '/proj/scenes/s' || l_orderkey || '.unity' AS src_path, md5('s' || l_orderkey) AS src_guid, 'unity' AS src_extension, md5(CAST(l_partkey AS VARCHAR)) AS guid FROM lineitem WHERE l_linenumber = 1 AND l_orderkey % 3 = 0
-    UNION ALL SELECT '/proj/prefabs/p' || p_partkey || '.prefab', md5(CAST(p_partkey AS VARCHAR)), 'prefab', CASE WHEN p_partkey % 40 = 1 THEN '' ELSE md5(CAST(p_partkey // 2 AS VARCHAR)) END FROM part WHERE p_partkey % 4 = 1)"""
+    SELECT '/proj/scenes/s' || l_orderkey || '.unity' AS src_path, md5('s' || l_orderkey) AS src_guid, 'unity' AS src_extension, md5(CAST(l_partkey AS VARCHAR)) AS guid FROM lineitem
+    UNION ALL SELECT '/proj/prefabs/p' || p_partkey || '.prefab', md5(CAST(p_partkey AS VARCHAR)), 'prefab', CASE WHEN p_partkey % 40 = 1 THEN '' ELSE md5(CAST(p_partkey // 2 AS VARCHAR)) END FROM part
+    UNION ALL SELECT '/proj/mats/o' || o_orderkey || '.mat', md5('o' || o_orderkey), 'mat', md5('c' || o_custkey) FROM orders)"""
 
 
 def known_assets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """path and guid of the parts that the project holds."""
-    return spark.read.parquet(f"{sf_dir}/part.parquet").where("p_partkey % 10 <> 0").selectExpr("concat('/proj/prefabs/p', p_partkey, '.prefab') AS path", "md5(CAST(p_partkey AS STRING)) AS guid", "CASE WHEN p_partkey % 6 = 5 THEN 'scene' ELSE 'prefab' END AS asset_type")
+    """path, guid and kind of the assets that the project holds: parts, and customers as materials."""
+    parts = spark.read.parquet(f"{sf_dir}/part.parquet").where("p_partkey % 10 <> 0").selectExpr("concat('/proj/prefabs/p', p_partkey, '.prefab') AS path", "md5(CAST(p_partkey AS STRING)) AS guid", "CASE WHEN p_partkey % 6 = 5 THEN 'scene' ELSE 'prefab' END AS asset_type")
+    return parts.unionByName(spark.read.parquet(f"{sf_dir}/customer.parquet").selectExpr("concat('/proj/mats/c', c_custkey, '.mat') AS path", "md5(concat('c', c_custkey)) AS guid", "CASE WHEN c_custkey % 6 = 5 THEN 'scene' ELSE 'material' END AS asset_type"))
 
 
 def packages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -150,5 +154,6 @@ def packages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/part.parquet").where("p_partkey % 20 = 0").selectExpr("md5(CAST(p_partkey AS STRING)) AS guid", "concat('com.pack.', p_partkey % 5) AS package")
 
 
-KNOWN_SQL = """known AS (SELECT '/proj/prefabs/p' || p_partkey || '.prefab' AS path, md5(CAST(p_partkey AS VARCHAR)) AS guid, CASE WHEN p_partkey % 6 = 5 THEN 'scene' ELSE 'prefab' END AS asset_type FROM part WHERE p_partkey % 10 <> 0),
+KNOWN_SQL = """known AS (SELECT '/proj/prefabs/p' || p_partkey || '.prefab' AS path, md5(CAST(p_partkey AS VARCHAR)) AS guid, CASE WHEN p_partkey % 6 = 5 THEN 'scene' ELSE 'prefab' END AS asset_type FROM part WHERE p_partkey % 10 <> 0
+      UNION ALL SELECT '/proj/mats/c' || c_custkey || '.mat', md5('c' || c_custkey), CASE WHEN c_custkey % 6 = 5 THEN 'scene' ELSE 'material' END FROM customer),
     packs AS (SELECT md5(CAST(p_partkey AS VARCHAR)) AS guid, 'com.pack.' || (p_partkey % 5) AS package FROM part WHERE p_partkey % 20 = 0)"""

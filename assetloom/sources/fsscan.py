@@ -1,36 +1,146 @@
-"""Scanning a file tree by Spark's own reader: listing, headers, guids and engine texts.
+"""Scanning a file tree: listing, ignore rules, headers, guids and engine texts.
 
-The listing takes no content: Spark prunes that column, so files are not read. Headers are
-read for the kinds that have a reader; everything else is DataFrame functions.
+Directories are listed in Spark tasks, a level of the tree at a time, so hidden files, links
+and names that Spark's own file index leaves out (`_x`) are told apart here. Contents are
+read in tasks too: of the kinds that have a header reader, and only as much as it needs.
+Local folders and the stores that pyarrow knows (file, s3, gs, hdfs) can be scanned.
 """
 
 from __future__ import annotations
 
+import fnmatch
+import hashlib
+import os
+from collections.abc import Iterator
+
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import text
 from ..operators.graph import resource_references, yaml_references
+from . import ignores
 from .catalog import METADATA, catalog
-from .headers import READERS, read_header
+from .headers import HEAD_BYTES, MOST_BYTES, READERS, WHOLE, material_library, material_names, read_header
+from .storage import stored
 
 _META = T.StructType([T.StructField(k, {"long": T.LongType(), "boolean": T.BooleanType(), "double": T.DoubleType(), "float": T.FloatType(), "string": T.StringType()}[v]) for k, v in METADATA.items()])
+ENTRY = "path string, is_dir boolean, size long, modified long, modified_nanos long, error string"
+#: Directories of a task, and the first bytes that two files of one size are compared by.
+TASK_DIRS, PREFIX_BYTES = 200, 8192
+
+
+def _store(path: str):
+    """The store of a path with a scheme and the path in it; None for local ones."""
+    if "://" not in path or path.startswith("file:"):
+        return None, path.removeprefix("file://").removeprefix("file:")
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(path)
+
+
+def _children(folder: str) -> Iterator[tuple]:
+    """Rows of ENTRY for what a directory holds, links left out; one with an error if it can't be read."""
+    try:
+        store, where = _store(folder)
+        if store is None:
+            for e in os.scandir(where):
+                if not e.is_symlink():
+                    is_dir, st = e.is_dir(), e.stat()
+                    yield f"{where.rstrip('/')}/{e.name}", is_dir, st.st_size, int(st.st_mtime), st.st_mtime_ns, None
+        else:
+            from pyarrow import fs
+
+            scheme = folder.split("://", 1)[0]
+            for f in store.get_file_info(fs.FileSelector(where)):
+                nanos = f.mtime_ns or 0
+                yield f"{scheme}://{f.path}", f.type == fs.FileType.Directory, f.size or 0, nanos // 10**9, nanos, None
+    except OSError as e:
+        yield folder, False, None, None, None, str(e)
+
+
+def walk(spark: SparkSession, root: str) -> DataFrame:
+    """ENTRY of everything below root that is not hidden, and of ignore files; a row with an error for what can't be listed."""
+
+    def run(batches):
+        for batch in batches:
+            yield pd.DataFrame([row for folder in batch["path"] for row in _children(folder)], columns=[c.split()[0] for c in ENTRY.split(", ")])
+
+    level, parts = spark.createDataFrame([(root.rstrip("/") or "/",)], "path string"), None
+    while True:
+        tasks = max(1, -(-level.count() // TASK_DIRS))
+        found = level.repartition(min(tasks, 10_000)).mapInPandas(run, ENTRY)
+        name = text.base_name(F.col("path"))
+        found = stored(found.where(~name.startswith(".") | name.isin(".gitignore", ".ignore") | F.col("error").isNotNull()), "walk")
+        parts = found if parts is None else parts.unionByName(found)
+        level = found.where("is_dir").select("path")
+        if level.isEmpty():
+            return parts
+
+
+def _read(path: str, most: int | None) -> bytes | None:
+    try:
+        store, where = _store(path)
+        with open(where, "rb") if store is None else store.open_input_stream(where) as f:
+            return f.read() if most is None else f.read(most)
+    except OSError:
+        return None
+
+
+def with_content(found: DataFrame, most: Column | None = None) -> DataFrame:
+    """found (path, ...) with the first `most` bytes of each file (null: all); null if unreadable. Read in tasks."""
+    rows = found.withColumn("_most", (F.lit(None) if most is None else most).cast("long"))
+
+    def run(batches):
+        for batch in batches:
+            for at in range(len(batch)):  # one file at a time: files may be large
+                row = batch.iloc[at : at + 1]
+                n = row["_most"].iloc[0]
+                yield row.drop(columns="_most").assign(content=[_read(row["path"].iloc[0], None if pd.isna(n) else int(n))])
+
+    return rows.mapInPandas(run, T.StructType([*found.schema.fields, T.StructField("content", T.BinaryType())]))
+
+
+def ignore_rules(spark: SparkSession, root: str, entries: DataFrame, global_text: str = "", parents: bool = True) -> DataFrame:
+    """Rules of the ignore files in a walk, of the repository's exclude list, of a global list, and of the directories above."""
+    top, files = root.rstrip("/"), [(root.rstrip("/"), 0, global_text)]
+    above = []
+    for folder in ([top[:i] for i in range(1, len(top)) if top[i] == "/" and "://" not in top[i - 1 : i + 2]] if parents else []):
+        above += [(folder, n) for n in (1, 2, 3)]
+    for folder, n in [*above, (top, 1)]:
+        body = _read(f"{folder}/{ignores.FILES[n - 1]}", None)
+        if body:
+            files.append((folder, n, body.decode("utf-8", "replace")))
+    name = text.base_name(F.col("path"))
+    own = with_content(entries.where(name.isin(".gitignore", ".ignore") & ~F.col("is_dir")).select("path"))
+    for r in own.select("path", F.decode("content", "UTF-8").alias("body")).toLocalIterator():  # written by hand, and checked to be few
+        files.append((r["path"].rsplit("/", 1)[0], ignores.FILES.index(r["path"].rsplit("/", 1)[1]) + 1, r["body"] or ""))
+    return spark.createDataFrame(ignores.rules_of(files), ignores.RULES)
+
+
+def listing(spark: SparkSession, root: str, *, respect_ignores: bool = False, entries: DataFrame | None = None) -> DataFrame:
+    """path, size, modified (seconds), modified_nanos of the files below root but hidden ones; by the ignore rules, if wanted."""
+    entries = walk(spark, root) if entries is None else entries
+    rows = entries.where(~F.col("is_dir") & F.col("error").isNull() & ~text.base_name(F.col("path")).startswith(".")).select("path", "size", "modified", "modified_nanos")
+    return ignores.kept(rows, ignore_rules(spark, root, entries), root) if respect_ignores else rows
+
+
+def unreadable(entries: DataFrame) -> DataFrame:
+    """kind, path, detail of what a walk could not list."""
+    return entries.where("error IS NOT NULL").select(F.lit("tree_walk_failed").alias("kind"), "path", F.col("error").alias("detail"))
 
 
 def files(spark: SparkSession, root: str, glob: str | None = None) -> DataFrame:
-    """path (without a scheme), size, modified (seconds), content of all files below root but hidden ones."""
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-    found = (reader.option("pathGlobFilter", glob) if glob else reader).load(root)
-    path = F.regexp_replace("path", "^[a-z][a-z0-9]*:/+", "/")
-    rows = found.select(path.alias("path"), F.col("length").alias("size"), F.unix_seconds("modificationTime").alias("modified"), "content")
-    below = F.substring("path", len(root.rstrip("/")) + 1, 1 << 30)
-    return rows.where(~below.rlike(r"/\."))
+    """path, size, modified (seconds), content of all files below root but hidden ones, by a glob over their names."""
+    rows = listing(spark, root).drop("modified_nanos")
+    if glob:
+        rows = rows.where(text.base_name(F.col("path")).rlike("^" + fnmatch.translate(glob).removeprefix("(?s:").replace(")\\Z", "$").replace(")\\z", "$")))
+    return with_content(rows)
 
 
-def listing(spark: SparkSession, root: str) -> DataFrame:
-    return files(spark, root).select("path", "size", "modified")
+def _extension() -> Column:
+    return F.lower(text.extension(text.base_name(F.col("path"))))
 
 
 def headers(found: DataFrame) -> DataFrame:
@@ -41,10 +151,39 @@ def headers(found: DataFrame) -> DataFrame:
             meta = [read_header(p.rsplit(".", 1)[-1], c) for p, c in zip(batch["path"], batch["content"], strict=True)]
             yield pd.DataFrame({"path": batch["path"], "metadata": [{k: m.get(k) for k in METADATA} if m else None for m in meta]})
 
-    wanted = found.where(F.lower(text.extension(text.base_name(F.col("path")))).isin(*READERS)).select("path", "content")
+    wanted = found.where(_extension().isin(*READERS)).select("path", "content")
     return wanted.mapInPandas(run, T.StructType([T.StructField("path", T.StringType()), T.StructField("metadata", _META)]))
 
 
+def read_headers(found: DataFrame) -> DataFrame:
+    """path and metadata of a listing's files (path, size) that have a header reader.
+
+    Kinds that need the whole file are read up to MOST_BYTES, and have no header beyond;
+    of the others HEAD_BYTES are read. Files of other kinds are not opened.
+    """
+    ext = _extension()
+    wanted = found.where(ext.isin(*READERS) & (~ext.isin(*WHOLE) | (F.col("size") <= MOST_BYTES))).select("path")
+    return headers(with_content(wanted, F.when(~ext.isin(*WHOLE), F.lit(HEAD_BYTES))))
+
+
+def obj_materials(found: DataFrame) -> DataFrame:
+    """path and material_count of the OBJ files of a listing whose material library can be read."""
+
+    def libraries(batches):
+        for batch in batches:
+            names = [None if c is None else material_library(c) for c in batch["content"]]
+            yield pd.DataFrame({"path": batch["path"], "library": names})
+
+    def counts(batches):
+        for batch in batches:
+            yield pd.DataFrame({"mtl": batch["path"], "material_count": [None if c is None else len(material_names(c)) for c in batch["content"]]})
+
+    named = with_content(found.where(_extension() == "obj").select("path"), F.lit(HEAD_BYTES)).mapInPandas(libraries, "path string, library string")
+    named = named.withColumn("mtl", F.concat(text.parent(F.col("path")), F.lit("/"), F.regexp_replace("library", r"^\./", "")))
+    counted = with_content(found.where((_extension() == "mtl") & (F.col("size") <= MOST_BYTES)).select("path")).mapInPandas(counts, "mtl string, material_count long")
+    return named.join(counted, "mtl").select("path", "material_count")
+
+
 def guids(found: DataFrame) -> DataFrame:
     """path and unity_guid: the first guid line of each file's .meta sidecar."""
     body = F.decode("content", "UTF-8")
@@ -52,13 +191,84 @@ def guids(found: DataFrame) -> DataFrame:
     return rows.where("unity_guid <> ''")
 
 
-def scan(spark: SparkSession, root: str, *, with_headers: bool = True) -> DataFrame:
+def scan(spark: SparkSession, root: str, *, with_headers: bool = True, respect_ignores: bool = False) -> DataFrame:
     """The catalog of a file tree, with headers and guids joined by path."""
-    rows = listing(spark, root).join(guids(files(spark, root, "*.meta")), "path", "left")
-    rows = rows.join(headers(files(spark, root)), "path", "left") if with_headers else rows
+    found = stored(listing(spark, root, respect_ignores=respect_ignores), "listing")
+    rows = found.drop("modified_nanos").join(guids(with_content(found.where(F.col("path").endswith(".meta")).select("path"), F.lit(HEAD_BYTES))), "path", "left")
+    if with_headers:
+        made = obj_materials(found)
+        rows = rows.join(read_headers(found), "path", "left").join(made, "path", "left")
+        count = F.coalesce("metadata.material_count", "material_count")
+        rows = rows.withColumn("metadata", F.when(F.col("metadata").isNotNull(), F.col("metadata").withField("material_count", count))).drop("material_count")
     return catalog(rows)
 
 
+def duplicates(found: DataFrame) -> DataFrame:
+    """path, size, sha256 of the files of a listing (path, size) that others may equal; equal ones share size and hash.
+
+    By size first, then by the first PREFIX_BYTES, and only what is still together is read
+    whole, a piece at a time. Sizes and prefixes of any share of the files meet as counts.
+    """
+
+    def digests(most: int | None):
+        def run(batches):
+            for batch in batches:
+                out = []
+                for path in batch["path"]:
+                    try:
+                        store, where = _store(path)
+                        with open(where, "rb") if store is None else store.open_input_stream(where) as f:
+                            h = hashlib.sha256(f.read(most) if most else b"")
+                            while not most and (piece := f.read(1 << 20)):
+                                h.update(piece)
+                        out.append(h.hexdigest())
+                    except OSError:
+                        out.append(None)
+                yield batch.assign(sha256=out)
+
+        return run
+
+    def together(rows: DataFrame, *key: str) -> DataFrame:
+        some = stored(rows.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1").drop("n"), "together")
+        return rows.join(some, list(key), "left_semi")
+
+    same_size = together(found.select("path", "size"), "size").select("path", "size")
+    same_start = together(stored(same_size.mapInPandas(digests(PREFIX_BYTES), "path string, size long, sha256 string"), "prefixes").where("sha256 IS NOT NULL"), "size", "sha256")
+    whole = same_start.select("path", "size").mapInPandas(digests(None), "path string, size long, sha256 string")
+    return together(stored(whole.where("sha256 IS NOT NULL"), "digests"), "size", "sha256").select("path", "size", "sha256")
+
+
+def unity_project_root(root: str) -> str | None:
+    """The nearest directory at or above root with ProjectSettings; above, only if root lies in its Assets."""
+    here = root.rstrip("/")
+    if os.path.isdir(f"{here}/ProjectSettings"):
+        return here
+    above = here
+    while "/" in above.lstrip("/"):
+        above = above.rsplit("/", 1)[0]
+        if os.path.isdir(f"{above}/ProjectSettings") and (here + "/").startswith(f"{above}/Assets/"):
+            return above
+    return None
+
+
+def path_status(paths: list[str]) -> list[tuple[str, str]]:
+    """Each path, repeats too, as ok, missing, not_a_directory or unreadable."""
+
+    def status(path: str) -> str:
+        try:
+            if not os.path.isdir(path):
+                os.stat(path)
+                return "not_a_directory"
+            next(os.scandir(path), None)
+        except FileNotFoundError:
+            return "missing"
+        except OSError:
+            return "unreadable"
+        return "ok"
+
+    return [(p, status(p)) for p in paths]
+
+
 def project_type(found: DataFrame, root: str) -> DataFrame:
     """One row: unity, unreal, godot or generic, by the marker files of a listing (path)."""
     below = F.substring("path", len(root.rstrip("/")) + 2, 1 << 30)

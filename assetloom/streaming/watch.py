@@ -1,49 +1,236 @@
-"""Change feeds: events as they come are reduced a batch at a time and merged into the catalog.
+"""Change feeds: the events of a batch are reduced to net changes and merged into the catalog.
 
-Events: ts, kind (create, modify, touch, remove, rename), path, to_path (of a rename), size.
-Time is arrival time and a batch is final; the watermark is this library's own addition for
-replays.
+Events: ts, event_id, kind (create, modify, touch, remove, rename), path, to_path (of a
+rename), size, modified. Time is arrival time and a batch is final; the watermark of the
+window counts is this library's own addition for replays. What exists when a batch ends is
+what the last event of each path says, unless a listing is given.
 """
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions import text
+from ..operators import stats
+from ..operators.snapshot import with_path
+from ..sources.storage import stored
 
 DEBOUNCE = "500 milliseconds"
+STATE = "path string, size long, modified long"
+
+
+# --- routing ------------------------------------------------------------------------------
+
+
+def host_of(path: Column) -> Column:
+    """The asset that a .meta sidecar belongs to; other paths as they are."""
+    return F.regexp_replace(path, r"(?<=[^/])\.meta$", "")
+
+
+def trackable(path: Column, root: str) -> Column:
+    """Below root, with no hidden component, and no sidecar."""
+    r = root.rstrip("/")
+    return path.startswith(r + "/") & ~F.substring(path, len(r) + 1, 1 << 30).rlike(r"/\.|/$") & ~text.is_sidecar(text.base_name(path))
+
+
+def routed(events: DataFrame, root: str) -> DataFrame:
+    """Events as singles and rename pairs: route is single, rename, or drop.
+
+    Only a rename with both paths is a pair. A pair of one path changes nothing; one with a
+    sidecar on either side is two singles; one between paths that are not tracked is dropped.
+    """
+    columns = [c for c in ("ts", "event_id", "size", "modified") if c in events.columns]
+    to = F.col("to_path") if "to_path" in events.columns else F.lit(None).cast("string")
+    rows = events.select(*columns, "kind", "path", to.alias("to_path"))
+    pair = (F.col("kind") == "rename") & F.col("to_path").isNotNull()
+    sidecar = text.is_sidecar(text.base_name(F.col("path"))) | text.is_sidecar(text.base_name(F.col("to_path")))
+    drop = (F.col("path") == F.col("to_path")) | (~sidecar & ~trackable(F.col("path"), root) & ~trackable(F.col("to_path"), root))
+    return rows.withColumn("route", F.when(~pair, "single").when(F.col("path") == F.col("to_path"), "drop").when(sidecar, "single").when(drop, "drop").otherwise("rename"))
+
+
+def effects(events: DataFrame, root: str) -> DataFrame:
+    """What each event does to which path: path, kind (upsert or remove), from_path, paired, and the event's columns.
+
+    A pair removes its old path and upserts the new one; sidecars stand for their hosts, and
+    the removal of one is a change of its host. Files need an extension; removals do not, as
+    they may be of a directory.
+    """
+    rows = routed(events, root).where("route <> 'drop'")
+    paired = F.col("route") == "rename"
+    one = lambda path, kind, source: F.struct(path.alias("path"), kind.alias("kind"), source.alias("from_path"))
+    none = F.lit(None).cast("string")
+    alone = lambda path: one(host_of(path), F.when((F.col("kind") == "remove") & (host_of(path) == path), "remove").otherwise("upsert"), none)
+    both = F.array(one(F.col("path"), F.lit("remove"), none), one(F.col("to_path"), F.lit("upsert"), F.col("path")))
+    # two singles of a sidecar's rename: the old path is gone, the new one is there
+    split = F.array(one(host_of(F.col("path")), F.when(host_of(F.col("path")) == F.col("path"), "remove").otherwise("upsert"), none), one(host_of(F.col("to_path")), F.lit("upsert"), none))
+    made = F.when(paired, both).when(F.col("to_path").isNotNull() & (F.col("kind") == "rename"), split).otherwise(F.array(alone(F.col("path"))))
+    kept = [c for c in ("ts", "event_id", "size", "modified") if c in rows.columns]
+    out = rows.select(*kept, paired.alias("paired"), F.posexplode(made).alias("step", "e")).select(*kept, "paired", "step", "e.path", "e.kind", "e.from_path")
+    has_extension = text.extension(text.base_name(F.col("path"))) != ""
+    return out.where(trackable(F.col("path"), root) & ((F.col("kind") == "remove") | has_extension | F.col("paired")))
 
 
 def tracked(events: DataFrame, root: str) -> DataFrame:
-    """Events on files below root with no hidden component; a sidecar stands for its host."""
-    host = F.regexp_replace("path", r"\.meta$", "")
-    inside = host.startswith(root.rstrip("/") + "/") & ~F.substring(host, len(root.rstrip("/")) + 1, 1 << 30).rlike(r"/\.")
-    return events.withColumn("path", host).where(inside & ~text.is_sidecar(host))
+    """The events that do something to a tracked path, as effects."""
+    return effects(events, root)
+
 
+def net_changes(found: DataFrame, *keys: str) -> DataFrame:
+    """The last effect on each path (and of each of `keys`), and how many there were. Partial sums by path."""
+    last = F.struct("ts", "event_id", "step")
+    carried = [c for c in ("size", "modified", "from_path", "paired") if c in found.columns]
+    return found.groupBy(*keys, "path").agg(F.max_by("kind", last).alias("kind"), *(F.max_by(c, last).alias(c) for c in carried), F.count("*").alias("n_events"))
 
-def net_changes(events: DataFrame, *keys: str) -> DataFrame:
-    """The last kind of each path (and of each of `keys`), and how many events it had. Partial sums by path."""
-    last = F.struct("ts", "event_id")
-    return events.groupBy(*keys, "path").agg(F.max_by("kind", last).alias("kind"), F.max_by("size", last).alias("size"), F.count("*").alias("n_events"))
+
+def probed(candidates: DataFrame, present: DataFrame) -> DataFrame:
+    """path, kind, size, modified of candidates (path) by a listing (path, size, modified) of what there is.
+
+    A file is an upsert, a directory an upsert of each file below it, anything else is gone.
+    Directories are found by the ancestors of the listed files, so both are equi-joins.
+    """
+    asked = candidates.select("path").distinct()
+    files = present.join(asked, "path", "left_semi").select("path", "size", "modified")
+    inside = present.select("path", "size", "modified", F.explode(ancestors(F.col("path"))).alias("a")).join(asked.select(F.col("path").alias("a")), "a").where("path <> a")
+    there = files.select(F.col("path").alias("a")).union(inside.select("a")).distinct()
+    gone = asked.join(there, asked["path"] == there["a"], "left_anti").select("path", F.lit("remove").alias("kind"), F.lit(None).cast("long").alias("size"), F.lit(None).cast("long").alias("modified"))
+    found = files.unionByName(inside.select("path", "size", "modified")).distinct()
+    return found.select("path", F.lit("upsert").alias("kind"), "size", "modified").unionByName(gone)
+
+
+# --- merging ------------------------------------------------------------------------------
+
+
+def ancestors(path: Column) -> Column:
+    """The path and all directories above it."""
+    parts = F.split(path, "/", -1)
+    return F.transform(F.sequence(F.lit(2), F.greatest(F.size(parts), F.lit(2))), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "/"))
+
+
+def swept(catalog: DataFrame, gone: DataFrame) -> DataFrame:
+    """path and gone_path of the catalog's files at or below the removed paths (path).
+
+    By exploding each path's ancestors (a few rows a path) and an equi-join, not by comparing
+    every path with every removal.
+    """
+    return catalog.select("path", F.explode(ancestors(F.col("path"))).alias("gone_path")).join(gone.select(F.col("path").alias("gone_path")).distinct(), "gone_path").select("path", "gone_path")
 
 
 def apply_changes(catalog: DataFrame, changes: DataFrame) -> DataFrame:
     """catalog (path, size) after net changes: removals, of whole directories too, then upserts.
 
-    Removed directories are matched by exploding each path's ancestors (a few rows a path) and
-    an equi-join, not by comparing every path with every removal.
+    A renamed file without a size of its own keeps that of the old path.
+    """
+    hit = swept(catalog, changes.where("kind = 'remove'")).select("path").distinct()
+    fresh = changes.where("kind <> 'remove'")
+    if "from_path" in changes.columns:
+        old = catalog.select(F.col("path").alias("from_path"), F.col("size").alias("old_size"))
+        fresh = fresh.join(old, "from_path", "left").withColumn("size", F.coalesce("size", "old_size"))
+    fresh = fresh.select("path", "size")
+    return catalog.select("path", "size").join(hit, "path", "left_anti").join(fresh.select("path"), "path", "left_anti").unionByName(fresh)
+
+
+@dataclass
+class Batch:
+    """What a batch made of the catalog: the new one, and the net delta."""
+
+    catalog: DataFrame
+    updated: DataFrame  # rows of the new catalog that the batch wrote, once each
+    removed: DataFrame  # path; a path may be in both, removals come first
+    renamed: DataFrame  # from_path, to_path, is_dir
+    reap: DataFrame  # path: gone for good, their tags go
+
+
+def moved_folders(catalog: DataFrame, found: DataFrame) -> DataFrame:
+    """from_path and to_path of the renames of directories: old paths with files below them in the catalog."""
+    pairs = found.where("paired AND kind = 'upsert'").groupBy("from_path").agg(F.max_by("path", F.struct("ts", "event_id")).alias("to_path"))
+    holding = catalog.select(F.explode(ancestors(F.col("path"))).alias("a"), "path").where("a <> path").select(F.col("a").alias("from_path")).distinct()
+    return pairs.join(holding, "from_path", "left_semi")
+
+
+def apply_batch(catalog: DataFrame, events: DataFrame, root: str) -> Batch:
+    """A batch of events over a catalog (path, name, extension, size, modified and more columns).
+
+    Renamed directories first: every file below follows by prefix (the longest, if one lies in
+    another; a pair counts as of the batch's start). Then files: renamed ones keep their parsed
+    columns if the extension is the same but for case; others are known by size and time until
+    they are read again. Removals sweep whole directories and come before upserts. A file that
+    vanished and one that appeared with the same name, size and time are one that moved, if
+    there is one of each; if there are several, their tags stay where they are. What a batch
+    needs again is written down once.
     """
-    gone = changes.where("kind = 'remove'").select(F.col("path").alias("a"))
-    parts = F.split("path", "/", -1)
-    above = F.transform(F.sequence(F.lit(2), F.greatest(F.size(parts), F.lit(2))), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "/"))
-    hit = catalog.select("path", F.explode(above).alias("a")).join(gone, "a").select("path").distinct()
-    fresh = changes.where("kind <> 'remove'").select("path", "size")
-    return catalog.join(hit, "path", "left_anti").join(fresh.select("path"), "path", "left_anti").unionByName(fresh)
+    catalog, found = stored(catalog, "catalog"), stored(effects(events, root), "effects")
+    folders = stored(moved_folders(catalog, found), "folders")
+    under = catalog.select("path", F.explode(ancestors(F.col("path"))).alias("from_path")).join(folders, "from_path").groupBy("path").agg(F.max_by(F.struct("from_path", "to_path"), F.length("from_path")).alias("m"))
+    target = F.concat(F.col("m.to_path"), F.expr("substring(path, length(m.from_path) + 1)"))
+    visible = trackable(target, root)
+    carried = catalog.join(under, "path", "left").withColumn("_to", F.when(F.col("m").isNotNull() & visible, target)).withColumn("_out", F.col("m").isNotNull() & ~visible)
+    carried = stored(carried, "carried")
+    moved = carried.where("_to IS NOT NULL").select("path", F.col("_to").alias("to_path"))
+    left = carried.where("_out").select("path")
+    base = with_path(carried.where("NOT _out"), F.coalesce("_to", "path")).select(*catalog.columns)
+
+    folder = folders.select(F.col("from_path").alias("folder"))
+    single = found.join(folder, F.col("path") == F.col("folder"), "left_anti").join(folder, F.col("from_path") == F.col("folder"), "left_anti")
+    net = stored(net_changes(single), "net")
+    gone = stored(swept(base, net.where("kind = 'remove'")), "gone")
+    alone = gone.join(net.where("kind = 'remove' AND NOT paired").select(F.col("path").alias("gone_path")), "gone_path", "left_semi").select("path").distinct()
+    fresh = net.where((F.col("kind") == "upsert") & (text.extension(text.base_name(F.col("path"))) != ""))
+    old = base.select(F.col("path").alias("from_path"), F.struct(*(F.col(c) for c in base.columns)).alias("old"))
+    same = F.lower(text.extension(text.base_name(F.col("path")))) == F.lower(text.extension(text.base_name(F.col("from_path"))))
+    known = fresh.join(old, "from_path", "left").withColumn("old", F.when(same, F.col("old")))
+    plain = {"size": F.coalesce("size", "old.size"), "modified": F.coalesce("modified", "old.modified")}
+    rows = known.select("path", *((plain[c] if c in plain else F.col("old")[c]).alias(c) for c in base.columns if c != "path"))
+    rows = stored(with_path(rows, F.col("path")).select(*base.columns), "rows")
+    new = base.join(gone.select("path").distinct(), "path", "left_anti").join(rows.select("path"), "path", "left_anti").unionByName(rows)
+    new = stored(new, "new-catalog")
+
+    identity = ["name", "size", "modified"]
+    lost = base.join(alone, "path", "left_semi").join(rows.select("path"), "path", "left_anti")
+    come = rows.join(fresh.where("NOT paired").select("path"), "path", "left_semi").join(base.select("path"), "path", "left_anti")
+    both = lost.groupBy(*identity).agg(F.count("*").alias("n_lost"), F.min("path").alias("from_path")).join(come.groupBy(*identity).agg(F.count("*").alias("n_come"), F.min("path").alias("to_path")), identity)
+    rejoined = both.where("n_lost = 1 AND n_come = 1").select("from_path", "to_path")
+    reap = lost.join(both, identity, "left_anti").select("path")
+
+    pairs = fresh.where("paired").join(new.select(F.col("path").alias("from_path")), "from_path", "left_anti").select("from_path", F.col("path").alias("to_path"))
+    renamed = folders.withColumn("is_dir", F.lit(True)).unionByName(pairs.unionByName(rejoined).withColumn("is_dir", F.lit(False)))
+    updated = new.join(rows.select("path").union(moved.select("to_path")).distinct(), "path", "left_semi")
+    removed = moved.select("path").union(left).union(gone.select("path")).distinct()
+    return Batch(new, updated, removed, renamed, reap)
+
+
+def totals(catalog: DataFrame, root: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """After a batch: count and bytes, files by type, and the directory tree's roll-up."""
+    whole = catalog.agg(F.count("*").alias("n"), F.coalesce(F.sum("size"), F.lit(0)).alias("total_size"))
+    return whole, stats.counts(catalog, "asset_type"), stats.folder_rollup(catalog, root)
+
+
+def follow_tags(bindings: DataFrame, batch: Batch) -> DataFrame:
+    """bindings (path, tag_id) after a batch: first they move with renames, then those of files gone for good go.
+
+    What the new path already had stays, once.
+    """
+    exact = batch.renamed.where("NOT is_dir").select(F.col("from_path").alias("path"), "to_path")
+    folders = batch.renamed.where("is_dir").select("from_path", "to_path")
+    under = bindings.select("path").distinct().select("path", F.explode(ancestors(F.col("path"))).alias("from_path")).join(folders, "from_path")
+    by_folder = under.groupBy("path").agg(F.max_by(F.concat(F.col("to_path"), F.expr("substring(path, length(from_path) + 1)")), F.length("from_path")).alias("new_path"))
+    moved = bindings.join(exact.withColumnRenamed("to_path", "file_path"), "path", "left").join(by_folder, "path", "left")
+    moved = moved.select(F.coalesce("file_path", "new_path", "path").alias("path"), "tag_id", F.coalesce("file_path", "new_path").isNotNull().alias("went"))
+    kept = moved.join(batch.reap, "path", "left_anti").unionByName(moved.where("went").join(batch.reap, "path", "left_semi"))
+    return kept.select("path", "tag_id").distinct()
+
+
+def same_epoch(events: DataFrame, root: str) -> tuple[DataFrame, DataFrame]:
+    """Events (with the root they were collected under) of the current root, and the number of the others by root."""
+    now = F.col("root") == root.rstrip("/")
+    return events.where(now).drop("root"), events.where(~now).groupBy("root").agg(F.count("*").alias("n_dropped"))
+
+
+# --- streams ------------------------------------------------------------------------------
 
 
 def window_counts(events: DataFrame, width: str = "1 hour", late: str = "10 minutes") -> DataFrame:
@@ -52,29 +239,66 @@ def window_counts(events: DataFrame, width: str = "1 hour", late: str = "10 minu
     return timed.groupBy(F.window("ts", width).alias("w"), "kind").agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), "kind", "n")
 
 
-def follow(events: DataFrame, catalog_dir: str, checkpoint: str, root: str, *, trigger: dict | None = None, on_delta: Callable[[DataFrame, int], None] | None = None) -> StreamingQuery:
+@dataclass
+class Counters:
+    """What a feed did so far: batches merged, batches dropped (with their last error), events of other roots."""
+
+    merged: int = 0
+    dropped: int = 0
+    foreign: int = 0
+    last_error: str | None = None
+
+
+def follow(
+    events: DataFrame, catalog_dir: str, checkpoint: str, root: str, *, trigger: dict | None = None, on_delta: Callable[[DataFrame, int], None] | None = None,
+    drop_failed: bool = False, counters: Counters | None = None,
+) -> StreamingQuery:
     """Merges a streaming frame of events into versions of the catalog under catalog_dir.
 
     Every micro-batch writes the next version (v=<batch>) from the one before it, so a batch
     that is run again after a failure gives the same version. on_delta gets the net changes.
+    Events with a root column count only for this root. drop_failed: a batch that fails is
+    counted and left out instead of ending the query.
     """
+    seen = counters if counters is not None else Counters()
 
-    def step(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        changes = net_changes(tracked(batch, root)).persist()
+    def merge(events: DataFrame, number: int) -> None:
+        spark, batch = events.sparkSession, events.persist()  # its source is read once
+        changes = None
         try:
+            if "root" in batch.columns:
+                batch, foreign = same_epoch(batch, root)
+                seen.foreign += foreign.agg(F.coalesce(F.sum("n_dropped"), F.lit(0)).alias("n")).first()["n"]
+            changes = net_changes(effects(batch, root)).persist()
             earlier = _version_before(spark, catalog_dir, number)
             now = earlier if earlier is not None else spark.createDataFrame([], "path string, size long")
             apply_changes(now, changes).write.mode("overwrite").parquet(f"{catalog_dir}/v={number}")
             if on_delta is not None:
                 on_delta(changes, number)
+            seen.merged += 1
         finally:
-            changes.unpersist()
+            if changes is not None:
+                changes.unpersist()
+            events.unpersist()
+
+    def step(batch: DataFrame, number: int) -> None:
+        try:
+            merge(batch, number)
+        except Exception as e:
+            if not drop_failed:
+                raise
+            seen.dropped += 1
+            seen.last_error = str(e)
 
     writer = events.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
     return writer.trigger(**(trigger or {"processingTime": DEBOUNCE})).start()
 
 
+def progress(query: StreamingQuery) -> list[dict]:
+    """The query's recent batches: number, rows, rows a second, milliseconds."""
+    return [{"batch": p["batchId"], "rows": p["numInputRows"], "rows_per_second": p["processedRowsPerSecond"], "milliseconds": p["batchDuration"]} for p in query.recentProgress]
+
+
 def _version_before(spark: SparkSession, catalog_dir: str, number: int) -> DataFrame | None:
     path = spark._jvm.org.apache.hadoop.fs.Path(catalog_dir)
     fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
@@ -94,14 +318,3 @@ def replay_counts(stream: DataFrame, out: str, checkpoint: str) -> DataFrame:
     query.awaitTermination()
     last = query.lastProgress["batchId"] if query.lastProgress else 0
     return spark.read.parquet(f"{out}/v={last}")
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh folder below the shared one that spark.checkpoint.dir names; a temporary one only where none is set."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        import tempfile
-
-        base = tempfile.mkdtemp(prefix="assetloom-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base}/{name}-{uuid.uuid4().hex}"

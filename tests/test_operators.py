@@ -1,9 +1,11 @@
 import random
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from assetloom.functions import text
 from assetloom.operators import browse, graph, history, snapshot, stats, tagging
 from assetloom.streaming import watch
 
@@ -115,3 +117,112 @@ def test_stream_equals_batch_fold(spark, tmp_path):
         q.awaitTermination()
     final = max(int(p.name[2:]) for p in (tmp_path / "cat").iterdir() if p.name.startswith("v="))
     assert {r["path"]: r["size"] for r in spark.read.parquet(f"{tmp_path}/cat/v={final}").collect()} == want
+
+
+def sequential_fold(groups: dict[str, set]) -> dict[str, set]:
+    """Groups one after the other by size and name, each into the first kept one that is near."""
+    kept: dict[str, set] = {}
+    for name in sorted(groups, key=lambda x: (-len(groups[x]), x)):
+        for other, files in kept.items():
+            a, b, both = name.lower(), other.lower(), len(groups[name] & files)
+            near = min(len(groups[name]), len(files)) / max(len(groups[name]), len(files)) > 0.8 and both / (len(groups[name]) + len(files) - both) > 0.8
+            if (a.startswith(b) or b.startswith(a)) and near:
+                kept[other] = files | groups[name]
+                break
+        else:
+            kept[name] = set(groups[name])
+    return kept
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_folded_groups_equal_a_sequential_fold(spark, seed):
+    rng = random.Random(seed)
+    words = ["tree", "trees", "treesa", "rock", "rocks", "wall", "walls", "wallsb"]
+    names = ["_".join(w for w in words if rng.random() < (0.95 if w.startswith(("tree", "wall")) else 0.5)) + f"_{i}" for i in range(120)]
+    rows = [(f"/p/a/{n}.png", f"{n}.png", "/p/a", "png", "texture", 1, None) for n in names]
+    df = spark.createDataFrame(rows, "path string, name string, dir string, extension string, asset_type string, size long, metadata struct<width:long,height:long>")
+    raw: dict[str, set] = {}
+    for r in tagging.raw_groups(df, "/p").collect():
+        raw.setdefault(r["name"], set()).add(r["path"])
+    want = {n: len(f) for n, f in sequential_fold(raw).items()}
+    assert {r["name"]: r["n"] for r in tagging.merged_groups(df, "/p").collect()} == dict(sorted(want.items(), key=lambda x: (-x[1], x[0]))[:12])
+
+
+def test_merged_groups_equal_brute_force_on_the_view(spark, sf_dir):
+    from assetloom.plans import queries
+    from assetloom.sources import catalog
+
+    raw: dict[str, set] = {}
+    for r in tagging.raw_groups(catalog.asset_view(spark, sf_dir), catalog.ROOT).collect():
+        raw.setdefault(r["name"], set()).add(r["path"])
+    folded = sequential_fold(raw)
+    want = sorted(folded, key=lambda n: (-len(folded[n]), n))[:12]
+    got = {r["name"]: r for r in queries.FOUND["tag_groups_merged"](spark, sf_dir).collect()}
+    assert {n: (r["n"], r["samples"]) for n, r in got.items()} == {n: (len(folded[n]), sorted(folded[n])[:3]) for n in want}
+
+
+def test_rename_events_move_files_and_tags(spark):
+    catalog = [("/p/a/x.png", 5, 1), ("/p/a/y.png", 6, 2), ("/p/dir/one.png", 7, 3), ("/p/dir/sub/two.wav", 8, 4), ("/p/gone/z.png", 9, 5), ("/p/far/w.png", 4, 6)]
+    rows = [(p, p.rsplit("/", 1)[1], p.rsplit(".", 1)[1], s, m, f"meta {p}") for p, s, m in catalog]
+    assets = spark.createDataFrame(rows, "path string, name string, extension string, size long, modified long, note string")
+    events = [
+        (1, "rename", "/p/a/x.png", "/p/a/x2.PNG", None, None), (2, "rename", "/p/a/y.png", "/p/a/y.jpg", 60, 20), (3, "rename", "/p/dir", "/p/moved", None, None), (4, "remove", "/p/gone", None, None, None),
+        (5, "remove", "/p/far/w.png", None, None, None), (6, "create", "/p/near/w.png", None, 4, 6), (7, "rename", "/p/q.png.meta", "/p/r.png.meta", 3, 3), (8, "rename", "/p/same.png", "/p/same.png", 1, 1),
+        (9, "rename", "/p/.git/a", "/p/.git/b", 1, 1), (10, "create", "/p/noext", None, 1, 1),
+    ]
+    feed = spark.createDataFrame([(i, i, *rest) for i, *rest in events], "ts long, event_id long, kind string, path string, to_path string, size long, modified long")
+    b = watch.apply_batch(assets, feed, "/p")
+    got = {r["path"]: (r["size"], r["modified"], r["note"]) for r in b.catalog.collect()}
+    assert got == {
+        "/p/a/x2.PNG": (5, 1, "meta /p/a/x.png"), "/p/a/y.jpg": (60, 20, None), "/p/moved/one.png": (7, 3, "meta /p/dir/one.png"), "/p/moved/sub/two.wav": (8, 4, "meta /p/dir/sub/two.wav"),
+        "/p/near/w.png": (4, 6, None), "/p/q.png": (3, 3, None), "/p/r.png": (3, 3, None),
+    }
+    assert {tuple(r) for r in b.renamed.collect()} == {("/p/a/x.png", "/p/a/x2.PNG", False), ("/p/a/y.png", "/p/a/y.jpg", False), ("/p/dir", "/p/moved", True), ("/p/far/w.png", "/p/near/w.png", False)}
+    assert {r[0] for r in b.reap.collect()} == {"/p/gone/z.png"}
+    assert {r[0] for r in b.removed.collect()} == {"/p/a/x.png", "/p/a/y.png", "/p/dir/one.png", "/p/dir/sub/two.wav", "/p/gone/z.png", "/p/far/w.png"}
+    tags = spark.createDataFrame([("/p/a/x.png", 1), ("/p/dir/sub/two.wav", 2), ("/p/gone/z.png", 3), ("/p/far/w.png", 4), ("/p/near/w.png", 4)], "path string, tag_id long")
+    assert {tuple(r) for r in watch.follow_tags(tags, b).collect()} == {("/p/a/x2.PNG", 1), ("/p/moved/sub/two.wav", 2), ("/p/near/w.png", 4)}
+
+
+def test_safe_saves_and_ambiguous_moves_keep_tags(spark):
+    assets = spark.createDataFrame([("/p/a.png", "a.png", "png", 1, 1), ("/p/one/c.png", "c.png", "png", 2, 2), ("/p/two/c.png", "c.png", "png", 2, 2)], "path string, name string, extension string, size long, modified long")
+    events = [(1, 1, "rename", "/p/a.png", "/p/a.bak.png", None, None), (2, 2, "create", "/p/a.png", None, 9, 9), (3, 3, "remove", "/p/one", None, None, None), (3, 4, "remove", "/p/two", None, None, None), (4, 5, "create", "/p/new/c.png", None, 2, 2)]
+    b = watch.apply_batch(assets, spark.createDataFrame(events, "ts long, event_id long, kind string, path string, to_path string, size long, modified long"), "/p")
+    assert {r["path"]: r["size"] for r in b.catalog.collect()} == {"/p/a.png": 9, "/p/a.bak.png": 1, "/p/new/c.png": 2}
+    assert b.renamed.count() == 0 and b.reap.count() == 0
+    tags = spark.createDataFrame([("/p/a.png", 1), ("/p/one/c.png", 2)], "path string, tag_id long")
+    assert {tuple(r) for r in watch.follow_tags(tags, b).collect()} == {("/p/a.png", 1), ("/p/one/c.png", 2)}
+
+
+def test_feeds_count_what_they_drop(spark, tmp_path):
+    schema = "event_id long, ts string, kind string, path string, size long, root string"
+    rows = [(1, "2024-01-01 00:00:01", "create", "/p/a.png", 1, "/p"), (2, "2024-01-01 00:00:02", "create", "/p/b.png", 1, "/old")]
+    spark.createDataFrame(rows, schema).coalesce(1).write.json(f"{tmp_path}/in")
+    counters = watch.Counters()
+
+    def fails(changes, number):
+        raise RuntimeError("no")
+
+    q = watch.follow(spark.readStream.schema(schema).json(f"{tmp_path}/in"), f"{tmp_path}/cat", f"{tmp_path}/cp", "/p", trigger={"availableNow": True}, on_delta=fails, drop_failed=True, counters=counters)
+    q.awaitTermination()
+    assert (counters.merged, counters.dropped, counters.foreign) == (0, 1, 1) and "no" in counters.last_error
+    assert [r["path"] for r in spark.read.parquet(f"{tmp_path}/cat/v=0").collect()] == ["/p/a.png"] and watch.progress(q)[0]["rows"] == 2
+
+
+def test_probe_tells_files_folders_and_the_gone(spark):
+    present = spark.createDataFrame([("/p/a.png", 1, 1), ("/p/d/b.png", 2, 2), ("/p/d/e/c.png", 3, 3)], "path string, size long, modified long")
+    asked = spark.createDataFrame([("/p/a.png",), ("/p/d",), ("/p/x",)], "path string")
+    assert {(r["path"], r["kind"], r["size"]) for r in watch.probed(asked, present).collect()} == {("/p/a.png", "upsert", 1), ("/p/d/b.png", "upsert", 2), ("/p/d/e/c.png", "upsert", 3), ("/p/x", "remove", None)}
+
+
+def test_templates_are_filled_once(spark):
+    rows = spark.createDataFrame([("{{ a }} and {{b}} {{c}}", {"a": "{{b}}", "b": "$1"})], "t string, m map<string,string>")
+    assert rows.select(text.render(F.col("t"), F.col("m"))).first()[0] == "{{b}} and $1 {{c}}"
+
+
+def test_requests_in_chunks_and_image_tokens(spark):
+    rows = spark.range(0, 95).selectExpr("concat('/p/', lpad(id, 3, '0')) AS path")
+    got = {r["path"]: r["chunk"] for r in history.chunks(rows.repartition(7), "path").collect()}
+    assert got == {f"/p/{i:03}": i // 20 for i in range(95)}
+    one = spark.createDataFrame([(750 * 10,), (10**7,)], "n long")
+    assert [r[0] for r in one.select(history.image_tokens(F.col("n"), "area")).collect()] == [10, 1600]

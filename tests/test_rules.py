@@ -114,9 +114,15 @@ def test_stale_exports_look_upward(spark):
 
 
 def test_duplicates(spark):
-    rows = [("/p/B.bin", 3, b"abc"), ("/p/a.bin", 3, b"abc"), ("/p/c.bin", 3, b"abd"), ("/p/e1", 0, b""), ("/p/e2", 0, b""), ("/p/null", 3, None)]
-    got = {tuple(r["paths"]) for r in cross.duplicates(spark.createDataFrame(rows, "path string, size long, content binary")).collect()}
-    assert got == {("/p/a.bin", "/p/B.bin"), ("/p/e1", "/p/e2")}
+    rows = [("/p/B.bin", 3, b"abc"), ("/p/a.bin", 3, b"abc"), ("/p/c.bin", 3, b"abd"), ("/p/e1", 0, b""), ("/p/e2", 0, b""), ("/p/e3", 0, b""), ("/p/null", 3, None)]
+    files = spark.createDataFrame(rows, "path string, size long, content binary")
+    assert {(r["n"], r["original"], r["anchor"]) for r in cross.duplicates(files).collect()} == {(2, "/p/a.bin", "/p/B.bin"), (3, "/p/e1", "/p/e2")}
+    assert {tuple(r) for r in cross.duplicate_members(files).collect()} == {("/p/a.bin", "/p/B.bin"), ("/p/e1", "/p/e2"), ("/p/e1", "/p/e3")}
+
+
+def test_default_forbidden_characters(spark):
+    df = listing(spark, [(f"/p/a{c}b.txt", 1, 1, None) for c in "; @~,'!<?"])
+    assert {p for p, r in issues(df, config.RuleConfig()) if r == "naming.forbidden_char"} == {f"/p/a{c}b.txt" for c in " !<?"}
 
 
 def test_missing_and_unused(spark):
