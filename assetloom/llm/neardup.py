@@ -334,3 +334,20 @@ def without_near_duplicates(docs: DataFrame, p: NearDup = NearDup(), *, id_col:
 
 def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+#: Every pair of different sets that share a shingle, and reachability: for small tables.
+OP3_SQL = r"""
+WITH RECURSIVE t AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(generate_series(1, len(w) - 4), lambda i: array_to_string(w[i:i+4], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM t),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+m AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY z) AS rep FROM (SELECT doc_id, md5(string_agg(s, chr(10) ORDER BY s)) AS z FROM s GROUP BY doc_id)),
+x AS (SELECT s.doc_id, s.s FROM s WHERE s.doc_id IN (SELECT rep FROM m)),
+i AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS k FROM x a JOIN x b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
+e AS (SELECT u, v FROM i JOIN n a ON a.doc_id = u JOIN n b ON b.doc_id = v WHERE 100 * k >= 85 * (a.n + b.n - k)),
+y AS (SELECT u, v FROM e UNION ALL SELECT v, u FROM e),
+r AS (SELECT DISTINCT rep AS id, rep AS root FROM m UNION SELECT y.v, r.root FROM r JOIN y ON y.u = r.id),
+c AS (SELECT id, min(root) AS root FROM r GROUP BY id)
+SELECT documents.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(c.root, documents.doc_id) AS component_id, documents.doc_id = coalesce(c.root, documents.doc_id) AS kept
+FROM documents LEFT JOIN n USING (doc_id) LEFT JOIN m USING (doc_id) LEFT JOIN c ON c.id = m.rep
+"""

@@ -157,3 +157,21 @@ def apply_quality(docs: DataFrame, rules: QualityRules = QualityRules(), *, id_c
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_lost_words")
+
+
+OP8_SQL = r"""
+WITH t AS (SELECT doc_id, source, coalesce(text, '') AS text FROM documents),
+w AS (SELECT doc_id, source, text, list_filter(regexp_split_to_array(text, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM t),
+p AS (SELECT doc_id, unnest(generate_series(1, len(words) - 7)) AS i, words FROM w WHERE len(words) > 8),
+h AS (SELECT doc_id, i, hash(words[i:i+7]) AS h FROM p),
+r AS (SELECT doc_id, i FROM h QUALIFY count(*) OVER (PARTITION BY doc_id, h) > 1),
+c AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM r, generate_series(0, 7) AS s(k) GROUP BY doc_id),
+l AS (SELECT doc_id, source, text, unnest(lines) AS line FROM w),
+n AS (SELECT doc_id, source, text, lower(trim(regexp_replace(line, '[\x20\x09-\x0D]+', ' ', 'g'), ' ')) AS line, len(list_filter(regexp_split_to_array(line, '[\x20\x09-\x0D]+'), lambda x: x <> '')) AS k FROM l),
+f AS (SELECT source, line FROM n GROUP BY ALL HAVING count(DISTINCT text) > 20),
+g AS (SELECT n.doc_id, sum(k) AS lost FROM n JOIN f ON f.line = n.line AND f.source IS NOT DISTINCT FROM n.source GROUP BY ALL),
+b AS (SELECT w.doc_id, len(words) AS n_words, length(translate(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13), '')) AS word_chars, length(text) - length(translate(text, '#*$%&|<>', '')) AS n_symbols,
+  len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(c.n, 0) AS n_repeat_words, coalesce(g.lost, 0) AS lost FROM w LEFT JOIN c USING (doc_id) LEFT JOIN g USING (doc_id)),
+v AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM b)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND (lost = 0 OR NOT (n_words - lost < 20 OR n_words - lost < 0.3 * n_words)) AS kept, CAST(lost AS BIGINT) AS n_lost_words FROM v
+"""

@@ -8,11 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import op7_bpe_round_trip
 from .licenses import OP6_SQL, op6_license_scan
-from .neardup import op3_near_duplicates
+from .neardup import OP3_SQL, op3_near_duplicates
 from .packing import op10_best_fit_packing
 from .pii import op1_personal_data
-from .quality import op8_quality_rules
-from .suffixdedup import op4_suffix_array_dedup
+from .quality import OP8_SQL, op8_quality_rules
+from .suffixdedup import OP4_SQL, op4_suffix_array_dedup
 from .tokencount import op5_token_counts
 from .topk import OP2_SQL, op2_exact_top_k
 from .urls import op9_url_filter
@@ -24,4 +24,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_exact_top_k": OP2_SQL, "op6_license_scan": OP6_SQL}
+    return {"op2_exact_top_k": OP2_SQL, "op3_near_duplicates": OP3_SQL, "op4_suffix_array_dedup": OP4_SQL, "op6_license_scan": OP6_SQL, "op8_quality_rules": OP8_SQL}

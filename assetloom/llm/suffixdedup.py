@@ -591,3 +591,18 @@ def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.size("_spans") / 2).cast("long").alias("n_spans"),
         F.sha2("_kept", 256).alias("kept_sha256"),
     )
+
+
+#: Every string of 50 bytes by itself, in hexadecimal digits: for small tables.
+OP4_SQL = r"""
+WITH t AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+p AS (SELECT doc_id, h, length(h) // 2 AS n FROM t),
+w AS (SELECT doc_id, i, hash(h[2 * i - 1 : 2 * i + 98]) AS g FROM (SELECT doc_id, h, unnest(generate_series(1, n - 49)) AS i FROM p WHERE n >= 50)),
+f AS (SELECT doc_id, i FROM w QUALIFY doc_id > min(doc_id) OVER (PARTITION BY g)),
+e AS (SELECT doc_id, i, i > coalesce(lag(i) OVER (PARTITION BY doc_id ORDER BY i), -99) + 50 AS fresh FROM f),
+k AS (SELECT doc_id, i, sum(CAST(fresh AS INT)) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM e),
+s AS (SELECT doc_id, run, min(i) AS a, max(i) + 50 AS b FROM k GROUP BY ALL),
+o AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 1) AS before FROM s),
+q AS (SELECT o.doc_id, string_agg(h[2 * before - 1 : 2 * a - 2], '' ORDER BY a) AS head, max(b) AS last, CAST(sum(b - a) AS BIGINT) AS gone, count(*) AS spans FROM o JOIN p USING (doc_id) GROUP BY o.doc_id)
+SELECT p.doc_id, n AS n_bytes, coalesce(gone, 0) AS n_removed, coalesce(spans, 0) AS n_spans, sha256(unhex(CASE WHEN q.doc_id IS NULL THEN h ELSE coalesce(head, '') || h[2 * last - 1 :] END)) AS kept_sha256 FROM p LEFT JOIN q USING (doc_id)
+"""
