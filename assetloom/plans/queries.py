@@ -656,6 +656,156 @@ over_assets(
     lambda a: rules.checked_again(a.select("path", F.concat(F.lower(F.substring("name", 1, 3)), F.lit(".x")).alias("new_name"), (F.col("size") % 3 != 0).alias("included"))).select("path", "collides"),
 )
 
+# --- texts of the engines, over contents made of the tables ---------------------------------
+
+_FLAGS = {"conflicted": 11, "new": 7, "untracked": 5, "modified": 3, "deleted": 4, "renamed": 2, "typechange": 13, "ignored": 1}
+
+
+@query("status_flags", "SELECT o_orderkey, CASE " + " ".join(f"WHEN o_orderkey % {n} = 0 THEN '{k}'" for k, n in _FLAGS.items()) + " END AS status FROM orders")
+def status_flags(spark, sf_dir):
+    return table(spark, sf_dir, "orders").select("o_orderkey", browse.status_of({k: F.col("o_orderkey") % n == 0 for k, n in reversed(_FLAGS.items())}).alias("status"))
+
+
+_YAML = "concat('%YAML guid: ffffffffffffffffffffffffffffffff', chr(10), '--- !u!1 &', p_partkey, chr(10), '  m: {fileID: ', p_partkey * 3, ', guid: ', upper(md5(CAST(p_size AS STRING))), ', type: ', p_partkey % 4, '}', chr(10), '--- !u!', CASE p_partkey % 3 WHEN 0 THEN '4' WHEN 1 THEN '114' ELSE '99999' END, ' &2', chr(10), '# guid: ', md5('x'), chr(10), 'guid: short', chr(10), 'n: {guid: ', md5('y'), '}')"
+
+
+def _yaml(spark, sf_dir):
+    return table(spark, sf_dir, "part").selectExpr("concat('/proj/p', p_partkey, '.prefab') AS path", f"{_YAML} AS content")
+
+
+@query("unity_references", "SELECT '/proj/p' || p_partkey || '.prefab' AS path, md5(CAST(p_size AS VARCHAR)) AS guid, CAST(p_partkey * 3 AS BIGINT) AS file_id, CAST(p_partkey % 4 AS INTEGER) AS ref_type FROM part UNION ALL SELECT '/proj/p' || p_partkey || '.prefab', md5('y'), NULL, NULL FROM part")
+def unity_references(spark, sf_dir):
+    return graph.yaml_references(_yaml(spark, sf_dir))
+
+
+@query("unity_components", "SELECT '/proj/p' || p_partkey || '.prefab' AS path, CASE p_partkey % 3 WHEN 0 THEN 'GameObject,Transform' WHEN 1 THEN 'GameObject,MonoBehaviour' ELSE 'GameObject' END AS components FROM part")
+def unity_components(spark, sf_dir):
+    return engines.unity_components(_yaml(spark, sf_dir)).withColumn("components", F.array_join("components", ","))
+
+
+@query("unity_packages", "SELECT md5(CAST(s_suppkey AS VARCHAR)) AS guid, 'com.n' || s_nationkey AS package, 'f' || s_suppkey || '.cs' AS file_name FROM supplier WHERE s_suppkey % 3 <> 0")
+def unity_packages(spark, sf_dir):
+    meta = table(spark, sf_dir, "supplier").selectExpr(
+        "concat(CASE WHEN s_suppkey % 3 = 0 THEN '/proj/Assets' ELSE '/proj/Library/PackageCache' END, '/com.n', s_nationkey, '@1.0.', s_suppkey % 7, '/sub/f', s_suppkey, '.cs.meta') AS path",
+        "encode(concat('fileFormatVersion: 2', chr(10), 'guid: ', md5(CAST(s_suppkey AS STRING)), chr(10)), 'UTF-8') AS content",
+    )
+    return engines.package_index(meta, "/proj/Library/PackageCache")
+
+
+@query("unity_versions", "SELECT '/proj/' || n_nationkey AS path, '6000.' || n_nationkey AS version, CASE WHEN n_nationkey % 2 = 0 THEN '6000.' || n_nationkey || ' (abc)' END AS with_revision FROM nation WHERE n_nationkey % 5 <> 0")
+def unity_versions(spark, sf_dir):
+    body = "concat(CASE WHEN n_nationkey % 5 = 0 THEN '' ELSE concat('m_EditorVersion: 6000.', n_nationkey, chr(10)) END, CASE WHEN n_nationkey % 2 = 0 THEN concat('m_EditorVersionWithRevision: 6000.', n_nationkey, ' (abc)') ELSE '' END)"
+    return engines.unity_version(table(spark, sf_dir, "nation").selectExpr("concat('/proj/', n_nationkey) AS path", f"{body} AS content"))
+
+
+def _ini(spark, sf_dir):
+    body = """concat('; made', chr(10), 'config_version=', CASE WHEN c_custkey % 2 = 0 THEN 5 ELSE 4 END, chr(10), '[application]', chr(13), chr(10), 'config/name="Game ', c_custkey, '"', chr(10), '# no=1', chr(10), 'run/main_scene = "res://m', c_custkey, '.tscn"', chr(10),
+      '[autoload]', chr(10), 'A="*res://a', c_nationkey, '.gd"', chr(10), 'B="res://b.gd"', chr(10), '[input]', chr(10), 'jump={}')"""
+    return fsscan.ini(table(spark, sf_dir, "customer").selectExpr("concat('/proj/', c_custkey, '/project.godot') AS path", f"encode({body}, 'UTF-8') AS content"))
+
+
+@query("ini_lines", """WITH c AS (SELECT '/proj/' || c_custkey || '/project.godot' AS path, c_custkey AS k, c_nationkey AS n FROM customer)
+  SELECT path, '' AS section, 'config_version' AS key, CASE WHEN k % 2 = 0 THEN '5' ELSE '4' END AS value FROM c UNION ALL SELECT path, 'application', 'config/name', '"Game ' || k || '"' FROM c UNION ALL SELECT path, 'application', 'run/main_scene', '"res://m' || k || '.tscn"' FROM c
+  UNION ALL SELECT path, 'autoload', 'A', '"*res://a' || n || '.gd"' FROM c UNION ALL SELECT path, 'autoload', 'B', '"res://b.gd"' FROM c UNION ALL SELECT path, 'input', 'jump', '{}' FROM c""")
+def ini_lines(spark, sf_dir):
+    return _ini(spark, sf_dir)
+
+
+@query("godot_projects", """SELECT '/proj/' || c_custkey || '/project.godot' AS path, 'Game ' || c_custkey AS name, CASE WHEN c_custkey % 2 = 0 THEN '4.x' ELSE '3.x' END AS version, 'res://m' || c_custkey || '.tscn' AS main_scene, 'A>res://a' || c_nationkey || '.gd>true|B>res://b.gd>false' AS autoloads, 'jump' AS actions FROM customer""")
+def godot_projects(spark, sf_dir):
+    shown = F.array_join(F.transform("autoloads", lambda x: F.concat_ws(">", x["name"], x["path"], x["singleton"].cast("string"))), "|")
+    return engines.godot_project(_ini(spark, sf_dir)).select("path", "name", "version", "main_scene", shown.alias("autoloads"), F.array_join("input_actions", ",").alias("actions"))
+
+
+@query("godot_resources", "SELECT '/proj/s' || s_suppkey || '.tscn' AS path, 'res://n' || s_nationkey || '.png' AS target FROM supplier UNION ALL SELECT '/proj/s' || s_suppkey || '.tscn', 'res://' || s_suppkey || ' x.gd' FROM supplier")
+def godot_resources(spark, sf_dir):
+    return graph.resource_references(table(spark, sf_dir, "supplier").selectExpr("concat('/proj/s', s_suppkey, '.tscn') AS path", "concat('a=\"res://n', s_nationkey, '.png\" b=\"res://', s_suppkey, ' x.gd\" c=\"res://n', s_nationkey, '.png\" res://bare') AS content"))
+
+
+@query("uproject_parts", """SELECT '/proj/' || n_nationkey || '.uproject' AS path, 'plugin' AS kind, 'P' || n_nationkey AS name, n_nationkey % 2 = 0 AS enabled FROM nation WHERE n_nationkey % 7 <> 0 UNION ALL SELECT '/proj/' || n_nationkey || '.uproject', 'module', 'M', NULL FROM nation WHERE n_nationkey % 7 <> 0""")
+def uproject_parts(spark, sf_dir):
+    body = """concat(CASE WHEN n_nationkey % 7 = 0 THEN '' ELSE '{' END, '"Plugins": [{"Name": "P', n_nationkey, '", "Enabled": ', n_nationkey % 2 = 0, '}, {"Enabled": 3}, "bad"], "Modules": [{"Name": "M"}]}')"""
+    return fsscan.uproject(table(spark, sf_dir, "nation").selectExpr("concat('/proj/', n_nationkey, '.uproject') AS path", f"encode({body}, 'UTF-8') AS content"))
+
+
+@query("project_types", "SELECT CASE WHEN bool_or(n_nationkey = 3) THEN 'unreal' ELSE 'generic' END AS project_type FROM nation")
+def project_types(spark, sf_dir):
+    return fsscan.project_type(table(spark, sf_dir, "nation").selectExpr("CASE WHEN n_nationkey = 3 THEN '/proj/g.uproject' WHEN n_nationkey = 4 THEN '/proj/a/project.godot' ELSE concat('/proj/f', n_nationkey) END AS path"), src.ROOT)
+
+
+@query("unread_entries", "SELECT CAST(sum(CASE WHEN event_type IN ('view', 'click') THEN user_id ELSE 0 END) AS BIGINT) AS unread, bool_or(event_type = 'error') AS ignore_failed FROM events")
+def unread_entries(spark, sf_dir):
+    kind = "CASE event_type WHEN 'view' THEN 'tree_walk_failed' WHEN 'click' THEN 'asset_unreadable' WHEN 'error' THEN 'ignore_rules_unusable' ELSE 'other' END AS kind"
+    return engines.unread_entries(table(spark, sf_dir, "events").selectExpr(kind, "user_id AS count"))
+
+
+@query("tag_changes", "WITH b AS (SELECT DISTINCT doc_id AS path, quality AS tag_id FROM labels UNION SELECT DISTINCT doc_id, 2 FROM labels WHERE toxic = 1) SELECT 'd' || path AS path, CAST(tag_id AS BIGINT) AS tag_id FROM b WHERE NOT (tag_id = 1 AND path % 2 = 0) AND tag_id <> 0")
+def tag_changes(spark, sf_dir):
+    labels = table(spark, sf_dir, "labels").withColumn("path", F.concat(F.lit("d"), F.col("doc_id")))
+    old = labels.select("path", F.col("quality").cast("long").alias("tag_id"))
+    tags = spark.createDataFrame([(0, "bad"), (1, "good"), (2, "toxic")], "id long, name string")
+    added = tagging.bind(old, labels.where("toxic = 1").selectExpr("path", "explode(array(2L, 9L)) AS tag_id"), tags)
+    fewer = tagging.unbind(added, labels.where("doc_id % 2 = 0").select("path", F.lit(1).cast("long").alias("tag_id")))
+    return tagging.drop_tags(tags, fewer, spark.createDataFrame([(0,)], "id long"))[1]
+
+
+over_assets(
+    "tag_moves",
+    "SELECT DISTINCT CASE WHEN starts_with(path, '/proj/PROMO/') THEN '/proj/Large/' || path[13:] ELSE path END AS path, size % 3 AS tag_id FROM a",
+    lambda a: tagging.move_bindings(a.select("path", (F.col("size") % 3).alias("tag_id")), "/proj/PROMO", "/proj/Large"),
+)
+over_assets(
+    "tag_new_labels",
+    "SELECT DISTINCT split_part(stem, '_', 1) AS label FROM a WHERE lower(split_part(stem, '_', 1)) NOT IN ('rock1', 'crate2', 'wall-tile')",
+    lambda a: tagging.new_labels(a.select(F.substring_index(text.stem(F.col("name")), "_", 1).alias("label")), a.sparkSession.createDataFrame([("ROCK1",), ("crate2",), ("Wall-Tile",)], "name string")),
+)
+over_assets(
+    "plan_apply",
+    """, s AS (SELECT path, asset_type AS label, ['kind', 'use'][CAST(size % 2 AS INT) + 1] AS category, CASE WHEN size % 3 = 0 THEN 'old' END AS source FROM a)
+    SELECT coalesce(source, 'new') AS source, category, label, array_to_string(list(DISTINCT path ORDER BY path), '|') AS paths FROM s WHERE starts_with(path, '/proj/Large/') AND category = 'use' GROUP BY ALL""",
+    lambda a: engines.apply_plan(_suggested(a), a.where("path LIKE '/proj/Large/%'"), _suggested(a).where("category = 'use'").select("path", "label", "category")).withColumn("paths", F.array_join("paths", "|")),
+)
+
+
+def _suggested(a: DataFrame) -> DataFrame:
+    return a.select("path", F.col("asset_type").alias("label"), F.when(F.col("size") % 2 == 0, "kind").otherwise("use").alias("category"), F.when(F.col("size") % 3 == 0, "old").alias("source"))
+
+
+query("rename_guard", f"WITH {R}, {K}, c AS (SELECT known.path, count(DISTINCT src_path) AS n FROM known JOIN r USING (guid) WHERE length(path) % 2 = 0 GROUP BY known.path) SELECT count(*) AS n_renamed, CAST(coalesce(sum(n), 0) AS BIGINT) AS n_files FROM c")(
+    _graph(lambda r, k, p: engines.guarded_renames(k.select("path", (F.length("path") % 2 == 0).alias("will_change")), k.select("path", "guid").join(r.select("guid", "src_path"), "guid").select("path", "src_path")))
+)
+
+
+@query("learning_cost", """WITH q AS (SELECT c_custkey AS request_id, CASE c_nationkey % 3 WHEN 0 THEN 'small' WHEN 1 THEN 'large' ELSE 'unknown' END AS model, c_custkey * 11 AS b, c_custkey % 9 AS s, c_custkey % 5 AS t FROM customer),
+  u AS (SELECT request_id, model, CASE WHEN model = 'unknown' THEN 0 ELSE b // 4 END AS i, CASE WHEN model = 'unknown' THEN 0 ELSE 600 + 30 * t + 40 * s END AS o, CASE model WHEN 'small' THEN 150000 ELSE 3000000 END AS ip, CASE model WHEN 'small' THEN 600000 ELSE 15000000 END AS op FROM q)
+  SELECT request_id, CAST(i AS BIGINT) AS input_tokens, CAST(o AS BIGINT) AS output_tokens, CAST((i * ip // 1000000 + o * op // 1000000 + 9999) // 10000 AS BIGINT) AS cents FROM u""")
+def learning_cost(spark, sf_dir):
+    requests = table(spark, sf_dir, "customer").selectExpr("c_custkey AS request_id", "CASE c_nationkey % 3 WHEN 0 THEN 'small' WHEN 1 THEN 'large' ELSE 'unknown' END AS model", "c_custkey * 11 AS prompt_bytes", "c_custkey % 9 AS n_samples", "c_custkey % 5 AS n_tags")
+    return engines.learning_cost(requests, spark.createDataFrame([("small", 150_000, 600_000), ("large", 3_000_000, 15_000_000)], "model string, input_per_m long, output_per_m long"))
+
+
+@query("lenient_replies", "SELECT conv_id, turn, CASE turn % 3 WHEN 0 THEN conv_id WHEN 1 THEN conv_id + 1 END AS n FROM conversations")
+def lenient_replies(spark, sf_dir):
+    raw = "CASE turn % 3 WHEN 0 THEN concat('{\"n\": ', conv_id, '}') WHEN 1 THEN concat('So:', chr(10), '```json', chr(10), '{\"n\": ', conv_id + 1, '}', chr(10), '```') ELSE text END AS raw"
+    return table(spark, sf_dir, "conversations").selectExpr("conv_id", "turn", raw).select("conv_id", "turn", history.lenient_json("raw", "n long")["n"].alias("n"))
+
+
+@query("ages", "SELECT event_id, CASE WHEN event_id < 60 THEN event_id || 's' WHEN event_id < 3600 THEN event_id // 60 || 'm' WHEN event_id < 86400 THEN event_id // 3600 || 'h' ELSE event_id // 86400 || 'd' END AS age FROM events")
+def ages(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", text.age(F.col("event_id")).alias("age"))
+
+
+over_assets(
+    "rule_naming_chinese",
+    "SELECT path FROM a WHERE size % 4 = 1",
+    lambda a: rules.asset_issues(a.withColumn("name", F.when(F.col("size") % 4 == 1, F.concat(F.lit("木_"), "name")).otherwise(F.col("name"))), config.RuleConfig(naming=config.Naming(forbidden_chars=(), forbid_chinese=True), texture=config.Texture(color_space=False))).where("rule_id = 'naming.chinese'").select(F.col("asset_path").alias("path")),
+)
+over_assets(
+    "colours",
+    f"""SELECT path, {tagging.PALETTE}[list_reduce(list_transform(string_split(regexp_replace(hex(encode(name)), '(..)', '\\1 ', 'g')[:-2], ' '), lambda x: CAST(('0x' || x) AS BIGINT)), lambda h, b: CAST((xor(h, b) * 16777619) & 4294967295 AS BIGINT), CAST(2166136261 AS BIGINT)) % {len(tagging.PALETTE)} + 1] AS color FROM a""",
+    lambda a: a.select("path", text.stable_colour(F.col("name"), tagging.PALETTE).alias("color")),
+)
+
 # --- a scanned tree -----------------------------------------------------------------------
 
 
