@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,7 +18,13 @@ def scratch(spark: SparkSession, name: str) -> str:
 
         base = tempfile.mkdtemp(prefix="assetloom-")
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base}/{name}-{uuid.uuid4().hex}"
+    return f"{base}/assetloom-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+
+
+def clear(spark: SparkSession) -> None:
+    """Deletes what this application wrote to scratch folders; for when its results are written."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(os.path.dirname(scratch(spark, "any")))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
