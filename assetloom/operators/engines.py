@@ -43,11 +43,15 @@ def unquoted(value: Column) -> Column:
 
 
 def unity_components(files: DataFrame, content: str = "content") -> DataFrame:
-    """path and the sorted names of the components that a scene or prefab text declares; unknown numbers are left out."""
+    """path and the sorted names of the components that a scene or prefab text declares; unknown numbers are left out.
+
+    A script's line with a guid makes a MonoBehaviour, whether its number is declared or not.
+    """
     names = F.create_map(*(F.lit(x) for kv in UNITY_CLASSES.items() for x in kv))
-    found = F.array_distinct(F.regexp_extract_all(F.col(content), F.lit(r"(?m)^--- !u!([0-9]{1,9})"), 1))
+    found = F.array_distinct(F.regexp_extract_all(F.col(content), F.lit(r"(?m)^[ \t]*---.*?!u!([0-9]{1,9})(?![0-9])"), 1))
     named = F.transform(found, lambda c: names[c.cast("int")])
-    return files.select("path", F.array_sort(F.array_compact(named)).alias("components"))
+    script = F.when(F.col(content).rlike(r"(?m)^[ \t]*m_Script:.*guid:"), F.array(F.lit("MonoBehaviour"))).otherwise(F.array().cast("array<string>"))
+    return files.select("path", F.array_sort(F.array_distinct(F.concat(F.array_compact(named), script))).alias("components"))
 
 
 def package_index(metas: DataFrame, cache_dir: str) -> DataFrame:

@@ -107,6 +107,16 @@ over_assets(
     "SELECT path, coalesce(width, 0) * coalesce(height, 0) AS area FROM a ORDER BY 2 DESC, lower(path), path LIMIT 100",
     lambda a: browse.sorted_by(a, "dimensions", True).limit(100).select("path", browse.sort_value("dimensions").alias("area")),
 )
+def _sorted_query(name: str, key: str, sql: str, descending: bool) -> None:
+    order = "DESC" if descending else "ASC"
+    over_assets(f"browse_sort_{name}", f"SELECT path, {sql} AS value FROM a ORDER BY {sql} {order}, lower(path), path LIMIT 100", lambda a: browse.sorted_by(a, key, descending).limit(100).select("path", browse.sort_value(key).alias("value")))
+
+
+for _name, _key, _sql, _descending in [
+    ("size", "size", "size", True), ("size_up", "size", "size", False), ("modified", "modified", "modified", True), ("vertices", "vertices", "coalesce(vertex_count, 0)", True),
+    ("faces", "faces", "coalesce(face_count, 0)", False), ("duration", "duration", "coalesce(duration_secs, 0)", True),
+]:
+    _sorted_query(_name, _key, _sql, _descending)
 over_assets(
     "relative_path",
     "SELECT path, path[7:] AS shown FROM a",
@@ -201,6 +211,13 @@ def _one_rule(rule_id: str) -> None:
 
 for _rule_id in _RULE_IDS:
     _one_rule(_rule_id)
+def _case_query(style: str, pattern: str) -> None:
+    only = config.RuleConfig(naming=config.Naming(forbidden_chars=(), case_style=style), texture=config.Texture(color_space=False))
+    over_assets(f"rule_case_{style.split('_')[0].split('-')[0].lower()}", f"SELECT path FROM a WHERE NOT regexp_matches(stem, '{pattern}')", lambda a: rules.asset_issues(a, only).where("rule_id = 'naming.case'").select(F.col("asset_path").alias("path")))
+
+
+for _style, _pattern in [("PascalCase", "^(\\p{Lu}[^_]*)?$"), ("camelCase", "^(\\p{Ll}[^_]*)?$"), ("kebab-case", "^[\\p{Ll}\\p{N}-]*$")]:
+    _case_query(_style, _pattern)
 over_assets("analysis_summary", f", {I} SELECT rule_id, severity, count(*) AS n, CAST(sum(CAST(auto_fixable AS INT)) AS BIGINT) AS n_fixable FROM i GROUP BY GROUPING SETS ((rule_id, severity), ())", lambda a: analysis.summary(_strict(a)))
 over_assets("issues_by_rule", f", {I} SELECT rule_id, count(*) AS n, count(DISTINCT asset_path) AS n_assets, min(asset_path) AS first_path FROM i GROUP BY ALL", lambda a: analysis.by_rule(_strict(a)))
 over_assets("pass_count", f", {I} SELECT (SELECT count(*) FROM a) AS total, count(DISTINCT asset_path) AS with_issues, greatest((SELECT count(*) FROM a) - count(DISTINCT asset_path), 0) AS passed FROM i", lambda a: analysis.pass_count(a, _strict(a)))
@@ -394,6 +411,29 @@ over_assets(
 )
 
 
+over_assets(
+    "godot_edges",
+    "SELECT 'res://' || path[7:] AS src, 'res://gone/' || (size % 7) AS dst FROM a",
+    lambda a: engines.godot_graph(a, a.select("path", F.concat(F.lit("res://gone/"), F.col("size") % 7).alias("target")), a, src.ROOT)[1],
+)
+over_assets(
+    "godot_kinds",
+    """, t AS (SELECT CASE size % 3 WHEN 0 THEN path WHEN 1 THEN '/proj/notes/' || (size % 11) || '.md' ELSE '/proj/gone/' || (size % 5) END AS p FROM a)
+    SELECT 'res://' || path[7:] AS id, 'asset' AS kind FROM a UNION ALL SELECT DISTINCT 'res://' || p[7:], CASE WHEN starts_with(p, '/proj/notes/') THEN 'unscanned' ELSE 'missing' END FROM t WHERE p NOT IN (SELECT path FROM a)""",
+    lambda a: engines.godot_graph(a, a.select("path", engines.res_path(_pointed(), src.ROOT).alias("target")), a.sparkSession.range(11).selectExpr("concat('/proj/notes/', id, '.md') AS path"), src.ROOT)[0],
+)
+over_assets(
+    "godot_paths",
+    "SELECT path, 'res://' || path[7:] AS res, path AS back FROM a UNION ALL SELECT '/else' || path, NULL, NULL FROM a",
+    lambda a: a.select("path").union(a.select(F.concat(F.lit("/else"), "path"))).select("path", engines.res_path(F.col("path"), src.ROOT).alias("res"), engines.absolute_path(engines.res_path(F.col("path"), src.ROOT), src.ROOT).alias("back")),
+)
+
+
+def _pointed():
+    k = F.col("size") % 3
+    return F.when(k == 0, F.col("path")).when(k == 1, F.concat(F.lit("/proj/notes/"), (F.col("size") % 11).cast("string"), F.lit(".md"))).otherwise(F.concat(F.lit("/proj/gone/"), (F.col("size") % 5).cast("string")))
+
+
 # --- snapshots ----------------------------------------------------------------------------
 
 
@@ -678,9 +718,10 @@ def unity_references(spark, sf_dir):
     return graph.yaml_references(_yaml(spark, sf_dir))
 
 
-@query("unity_components", "SELECT '/proj/p' || p_partkey || '.prefab' AS path, CASE p_partkey % 3 WHEN 0 THEN 'GameObject,Transform' WHEN 1 THEN 'GameObject,MonoBehaviour' ELSE 'GameObject' END AS components FROM part")
+@query("unity_components", "SELECT '/proj/p' || p_partkey || '.prefab' AS path, CASE p_partkey % 3 WHEN 0 THEN CASE WHEN p_partkey % 5 = 0 THEN 'GameObject,MonoBehaviour,Transform' ELSE 'GameObject,Transform' END WHEN 1 THEN 'GameObject,MonoBehaviour' ELSE CASE WHEN p_partkey % 5 = 0 THEN 'GameObject,MonoBehaviour' ELSE 'GameObject' END END AS components FROM part")
 def unity_components(spark, sf_dir):
-    return engines.unity_components(_yaml(spark, sf_dir)).withColumn("components", F.array_join("components", ","))
+    more = F.when(F.col("path").rlike("[05].prefab$"), F.concat("content", F.lit("\n  m_Script: {fileID: 1, guid: 0}"))).otherwise(F.col("content"))
+    return engines.unity_components(_yaml(spark, sf_dir).withColumn("content", more)).withColumn("components", F.array_join("components", ","))
 
 
 @query("unity_packages", "SELECT md5(CAST(s_suppkey AS VARCHAR)) AS guid, 'com.n' || s_nationkey AS package, 'f' || s_suppkey || '.cs' AS file_name FROM supplier WHERE s_suppkey % 3 <> 0")
@@ -901,6 +942,11 @@ def fs_delta(spark, sf_dir):
     return watch.net_changes(found.withColumn("day", F.date_trunc("day", "ts")), "day").select("path", F.col("day").cast("string").alias("day"), "kind", "size", "n_events")
 
 
+@query("fs_debounced", f"WITH {_FEED}, {_EFFECTS} SELECT path, CAST(date_trunc('hour', ts) AS VARCHAR) AS batch, max_by(kind, (ts, event_id, step)) AS kind, count(*) AS n_events FROM fx GROUP BY ALL")
+def fs_debounced(spark, sf_dir):
+    return watch.batches(watch.effects(_events(spark, sf_dir), src.ROOT), "1 hour").select("path", F.col("batch").cast("timestamp_ntz").cast("string").alias("batch"), "kind", "n_events")
+
+
 @query("fs_apply", f"WITH {_FEED}, {_EFFECTS}, l AS (SELECT path, max_by(kind, (ts, event_id, step)) AS kind, max_by(size, (ts, event_id, step)) AS size FROM fx GROUP BY ALL) SELECT path, size FROM l WHERE kind <> 'remove'")
 def fs_apply(spark, sf_dir):
     found = watch.effects(_events(spark, sf_dir), src.ROOT)

@@ -87,6 +87,11 @@ def net_changes(found: DataFrame, *keys: str) -> DataFrame:
     return found.groupBy(*keys, "path").agg(F.max_by("kind", last).alias("kind"), *(F.max_by(c, last).alias(c) for c in carried), F.count("*").alias("n_events"))
 
 
+def batches(found: DataFrame, width: str = DEBOUNCE) -> DataFrame:
+    """Net changes of recorded effects by tumbling windows (batch: its start), as a feed with that debounce time would see them."""
+    return net_changes(found.withColumn("batch", F.window(F.col("ts").cast("timestamp"), width)["start"]), "batch")
+
+
 def probed(candidates: DataFrame, present: DataFrame) -> DataFrame:
     """path, kind, size, modified of candidates (path) by a listing (path, size, modified) of what there is.
 
