@@ -46,14 +46,18 @@ def line_key(line: Column) -> Column:
     return F.xxhash64(F.lower(F.trim(F.regexp_replace(line, WS, " "))))
 
 
-def base_counts(text: Column) -> dict[str, Column]:
-    """The counts of one text; null reads as empty."""
+SYMBOL = "[#*$%&|<>]"
+
+
+def base_counts(text: Column, words: Column | None = None) -> dict[str, Column]:
+    """The counts of one text (and its words, if they are at hand); null reads as empty."""
     text = F.coalesce(text, F.lit(""))
+    words = words_of(text) if words is None else words
     lines = lines_of(text)
     return {
-        "n_words": F.size(words_of(text)).cast("long"),
-        "word_chars": F.length(F.translate(text, " \t\n\x0b\x0c\r", "")).cast("long"),
-        "n_symbols": (F.length(text) - F.length(F.translate(text, "#*$%&|<>", ""))).cast("long"),
+        "n_words": F.size(words).cast("long"),
+        "word_chars": F.length(F.array_join(words, "")).cast("long"),
+        "n_symbols": F.when(text.rlike(SYMBOL), F.length(text) - F.length(F.translate(text, "#*$%&|<>", ""))).otherwise(0).cast("long"),
         "n_dup_lines": (F.size(lines) - F.size(F.array_distinct(lines))).cast("long"),
     }
 
@@ -63,8 +67,8 @@ def _let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def repeat_words(text: Column, n: int) -> Column:
-    """Words that stand in an n-word window found twice or more in the text."""
+def repeat_words(words: Column, n: int) -> Column:
+    """Words that stand in an n-word window found twice or more among a text's words."""
 
     def windows(words: Column) -> Column:
         places = F.sequence(F.lit(1), F.size(words) - (n - 1))
@@ -86,14 +90,27 @@ def repeat_words(text: Column, n: int) -> Column:
         pairs = F.array_sort(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
         return F.when(F.size(F.array_distinct(hashes)) < F.size(hashes), covered(_let(pairs, repeated))).otherwise(F.lit(0))
 
-    hashed = F.transform(words_of(F.coalesce(text, F.lit(""))), lambda w: F.xxhash64(w))
-    return _let(_let(hashed, windows), count).cast("long")
+    def joined(items: Column, apart: int) -> Column:
+        """Each item with the one `apart` places on; null at the end."""
+        return F.zip_with(items, F.slice(items, F.lit(apart + 1), F.size(items)), lambda x, y: x.bitwiseXOR(F.shiftleft(y, apart)))
+
+    def may_repeat(hashes: Column) -> Column:
+        """A window that comes again brings n - 3 runs of four words that came before; few texts have so many."""
+        return _let(joined(hashes, 1), lambda pairs: _let(joined(pairs, 2), lambda runs: F.size(runs) - F.size(F.array_distinct(runs)) >= n - 3))
+
+    hashed = F.transform(words, lambda w: F.xxhash64(w))
+    return _let(hashed, lambda h: F.when(may_repeat(h), _let(windows(h), count)).otherwise(F.lit(0))).cast("long")
 
 
 def line_table(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
-    """id, text_key, host, place, line (hash), words of every line that holds a word."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    parts = F.transform(lines_of(text), lambda x: F.struct(line_key(x).alias("line"), F.size(words_of(x)).alias("words")))
+    """id, text_key, host, place, line (hash, as by line_key), words of every line that holds a word.
+
+    White space is made one space over the whole text at once; what is left of a line then has
+    one space between two words.
+    """
+    plain = F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), r"[\x20\x09\x0B-\x0D]+", " ")
+    lines = F.filter(F.transform(F.split(plain, "\n"), F.trim), lambda x: x != "")
+    parts = F.transform(lines, lambda x: F.struct(F.xxhash64(F.lower(x)).alias("line"), (F.length(x) - F.length(F.translate(x, " ", "")) + 1).alias("words")))
     lines = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_key"), F.col(host_col).alias("host"), F.posexplode(parts).alias("place", "part"))
     return lines.select("id", "text_key", "host", "place", "part.line", "part.words")
 
@@ -126,7 +143,8 @@ def quality(docs: DataFrame, rules: QualityRules = QualityRules(), *, id_col: st
     # stored before the join, where a line of very many documents can then be split
     lost = lost_words(lines, stored(frequent_lines(lines, rules), "frequent"))
     only = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(host_col).alias("host"))
-    counts = only.select("id", F.xxhash64("text").alias("text_key"), "host", *(c.alias(k) for k, c in base_counts(F.col("text")).items()), repeat_words(F.col("text"), rules.window_words).alias("n_repeat_words"))
+    only = only.withColumn("w", words_of(F.coalesce("text", F.lit(""))))  # used twice, so Spark keeps it apart
+    counts = only.select("id", F.xxhash64("text").alias("text_key"), "host", *(c.alias(k) for k, c in base_counts(F.col("text"), F.col("w")).items()), repeat_words(F.col("w"), rules.window_words).alias("n_repeat_words"))
     failed = (F.col("n_words") < rules.min_words) | (100 * F.col("n_repeat_words") > rules.max_repeat_percent * F.col("n_words"))
     lost = lost.select(F.col("id").alias("lost_id"), F.col("text_key").alias("lost_key"), F.col("host").alias("lost_host"), "lost", "lines")
     same = F.col("id").eqNullSafe(F.col("lost_id")) & (F.col("text_key") == F.col("lost_key")) & F.col("host").eqNullSafe(F.col("lost_host"))
