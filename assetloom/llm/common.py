@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import tempfile
 import uuid
 
@@ -54,14 +55,15 @@ def apart(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
     return docs.toDF(*names), dict(zip(docs.columns, names, strict=True))
 
 
-def with_group(rows: DataFrame, key: str, id_col: str, aggregates: dict[str, tuple[str, Column]], total: int, rows_per_task: int = 1000) -> DataFrame:
+def with_group(rows: DataFrame, key: str, id_col: str, aggregates: dict[str, tuple[str, Column]], total: int) -> DataFrame:
     """rows and the aggregates (name: min, max or sum, and of what) of all rows with the same key.
 
     A key of any share of the rows is aggregated and joined in salted parts: partial results by
     (key, salt), then by key, given back to the salts that exist. total: how many rows there
-    are at most.
+    are at most; with about its square root of salts, no task has more rows of one key than
+    that, and no list of salts is longer.
     """
-    salts = max(1, -(-total // rows_per_task))
+    salts = math.isqrt(total) + 1
     rows = rows.withColumn("_salt", F.pmod(F.xxhash64(id_col), F.lit(salts)).cast("int"))
     whole = {"sum": F.sum, "min": F.min, "max": F.max}
     parts = rows.groupBy(key, "_salt").agg(*(whole[how](c).alias(n) for n, (how, c) in aggregates.items()))
