@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
+from .prefix import running
 
 #: Half-open size classes: the first bound above the size names it.
 SIZE_CLASSES = ((1 << 10, "<1KB"), (10 << 10, "1-10KB"), (100 << 10, "10-100KB"), (1 << 20, "100KB-1MB"), (10 << 20, "1-10MB"))
@@ -65,20 +66,17 @@ def vertex_scale(assets: DataFrame) -> DataFrame:
     return assets.agg(F.greatest(F.coalesce(F.max("metadata.vertex_count"), F.lit(0)), F.lit(1)).alias("max_vertices"))
 
 
-def evicted(files: DataFrame, budget: int, *, buckets: int = 1000) -> DataFrame:
+def evicted(files: DataFrame, budget: int, *, buckets: int | None = None) -> DataFrame:
     """The oldest files (path, size, modified) that must go for the total to fit the budget.
 
-    Two levels instead of one global window: bytes by time bucket, a running sum over the
-    buckets (`buckets` rows), then one within the bucket that the limit cuts, by path order.
+    A running total in order of time and path over `buckets` ranges, so files of one time are
+    no task's alone. Files without a time count in the total and stay; a null size counts 0.
     """
-    span = files.agg(F.min("modified").alias("lo"), F.max("modified").alias("hi"), F.coalesce(F.sum("size"), F.lit(0)).alias("total"))
-    bucket = F.least(F.floor((F.col("modified") - F.col("lo")) * buckets / F.greatest(F.col("hi") - F.col("lo"), F.lit(1))), F.lit(buckets - 1))
-    placed = files.join(F.broadcast(span), F.lit(True)).withColumn("bucket", bucket)
-    sums = placed.groupBy("bucket").agg(F.sum("size").alias("b"))
-    before = sums.select("bucket", (F.sum("b").over(Window.orderBy("bucket")) - F.col("b")).alias("before"))
-    inside = Window.partitionBy("bucket").orderBy("modified", "path")
-    prior = F.col("before") + F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")
-    return placed.join(F.broadcast(before), "bucket").withColumn("prior", prior).where(F.col("total") - F.col("prior") > budget).select("path", "size", "modified")
+    total = files.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("total"))
+    aged = files.where("modified IS NOT NULL").select("path", "size", "modified")
+    size = F.coalesce("size", F.lit(0))
+    placed = running(aged, [], [F.col("modified"), F.col("path")], {"upto": size}, ranges=buckets)
+    return placed.join(F.broadcast(total), F.lit(True)).where(F.col("total") - (F.col("upto") - size) > budget).select("path", "size", "modified")
 
 
 def report_rows(assets: DataFrame) -> DataFrame:
