@@ -12,6 +12,7 @@ from .neardup import OP3_SQL, op3_near_duplicates
 from .packing import op10_best_fit_packing
 from .pii import op1_personal_data
 from .quality import OP8_SQL, op8_quality_rules
+from .qualitymodel import op13_quality_classifier
 from .ranking import OP11_SQL, op11_ranked_search
 from .suffixdedup import OP4_SQL, op4_suffix_array_dedup
 from .tokencount import op5_token_counts
@@ -21,7 +22,7 @@ from .urls import op9_url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_personal_data, op2_exact_top_k, op3_near_duplicates, op4_suffix_array_dedup, op5_token_counts, op6_license_scan, op7_bpe_round_trip, op8_quality_rules, op9_url_filter, op10_best_fit_packing, op11_ranked_search, op12_conversation_trie]
+    found = [op1_personal_data, op2_exact_top_k, op3_near_duplicates, op4_suffix_array_dedup, op5_token_counts, op6_license_scan, op7_bpe_round_trip, op8_quality_rules, op9_url_filter, op10_best_fit_packing, op11_ranked_search, op12_conversation_trie, op13_quality_classifier]
     return {f.__name__: f for f in found}
 
 
