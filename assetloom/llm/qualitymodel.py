@@ -206,7 +206,8 @@ def fit(x: np.ndarray, y: np.ndarray, edges: list[np.ndarray], rules: GamRules)
             step = rules.rate * _leaves(np.bincount(b, p - y, size), np.bincount(b, p * (1 - p), size), counts[f], rules)
             model.tables[f] += step
             total += step[b]
-    model.pair_edges = [e[:: max(1, -(-len(e) // (rules.pair_bins - 1)))] for e in edges]
+    steps = [max(1, -(-len(e) // (rules.pair_bins - 1))) for e in edges]
+    model.pair_edges = [e[step // 2 :: step] for e, step in zip(edges, steps, strict=True)]
     coarse = [np.searchsorted(e, x[:, f], "right") for f, e in enumerate(model.pair_edges)]
 
     def grids(i: int, j: int, p: np.ndarray):
