@@ -953,6 +953,22 @@ def fs_apply(spark, sf_dir):
     return watch.apply_changes(found.select("path", F.lit(0).cast("long").alias("size")).distinct(), watch.net_changes(found))
 
 
+@query(
+    "fs_rename_chains",
+    f"""WITH RECURSIVE {_FEED}, {_EFFECTS}, n AS (SELECT *, row_number() OVER (ORDER BY ts, event_id) AS k FROM e WHERE path NOT LIKE '/proj/.%' AND (to_path IS NULL OR path <> to_path)),
+    hit AS (SELECT regexp_replace(path, '\\.meta$', '') AS h, k, CASE kind WHEN 'rename' THEN 'move' WHEN 'remove' THEN 'drop' ELSE 'put' END AS act, to_path, size FROM n UNION ALL SELECT to_path, k, 'over', NULL, size FROM n WHERE kind = 'rename'),
+    seq AS (SELECT *, coalesce(lag(k) OVER w, 0) AS since, lag(act) OVER w AS earlier FROM hit WINDOW w AS (PARTITION BY h ORDER BY k)),
+    t AS (SELECT DISTINCT path AS origin, path, CAST(0 AS BIGINT) AS k, CAST(0 AS BIGINT) AS size FROM fx UNION ALL SELECT NULL, h, k, size FROM seq WHERE act = 'put' UNION ALL SELECT NULL, to_path, k, size FROM seq WHERE act = 'move' AND earlier IN ('drop', 'move')
+      UNION ALL SELECT origin, seq.to_path, seq.k, coalesce(seq.size, t.size) FROM t JOIN seq ON h = path AND t.k >= since AND t.k < seq.k WHERE act = 'move')
+    SELECT path, size, origin FROM t WHERE NOT EXISTS (SELECT 1 FROM seq WHERE h = t.path AND seq.k > t.k)""",
+)
+def fs_rename_chains(spark, sf_dir):
+    events = _events(spark, sf_dir)
+    paths = watch.effects(events, src.ROOT).select("path").distinct()
+    catalog = paths.select("path", F.regexp_extract("path", "[^/]*$", 0).alias("name"), F.lit("png").alias("extension"), F.lit(0).cast("long").alias("size"), F.lit(0).cast("long").alias("modified"), F.col("path").alias("origin"))
+    return watch.apply_batch(catalog, events, src.ROOT).catalog.select("path", "size", "origin")
+
+
 @query("fs_epoch", f"WITH {_FEED}, r AS (SELECT *, CASE WHEN event_id % 9 = 0 THEN '/old' ELSE '/proj' END AS root FROM e) SELECT root, count(*) AS n_dropped FROM r WHERE root <> '/proj' GROUP BY ALL")
 def fs_epoch(spark, sf_dir):
     return watch.same_epoch(_events(spark, sf_dir).withColumn("root", F.when(F.col("event_id") % 9 == 0, "/old").otherwise("/proj")), src.ROOT)[1]

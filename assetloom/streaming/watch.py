@@ -19,6 +19,7 @@ from ..functions import text
 from ..operators import stats
 from ..operators.snapshot import with_path
 from ..sources.storage import stored
+from .renames import ancestors, followed, followed_bindings
 
 DEBOUNCE = "500 milliseconds"
 STATE = "path string, size long, modified long"
@@ -110,12 +111,6 @@ def probed(candidates: DataFrame, present: DataFrame) -> DataFrame:
 # --- merging ------------------------------------------------------------------------------
 
 
-def ancestors(path: Column) -> Column:
-    """The path and all directories above it."""
-    parts = F.split(path, "/", -1)
-    return F.transform(F.sequence(F.lit(2), F.greatest(F.size(parts), F.lit(2))), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "/"))
-
-
 def swept(catalog: DataFrame, gone: DataFrame) -> DataFrame:
     """path and gone_path of the catalog's files at or below the removed paths (path).
 
@@ -146,66 +141,76 @@ class Batch:
     catalog: DataFrame
     updated: DataFrame  # rows of the new catalog that the batch wrote, once each
     removed: DataFrame  # path; a path may be in both, removals come first
-    renamed: DataFrame  # from_path, to_path, is_dir
+    renamed: DataFrame  # from_path, to_path, is_dir: from the batch's start to its end
     reap: DataFrame  # path: gone for good, their tags go
+    moves: DataFrame  # at, path, to_path: what tags follow, in order
+    rejoined: DataFrame  # from_path, to_path: files that vanished here and appeared there
 
 
-def moved_folders(catalog: DataFrame, found: DataFrame) -> DataFrame:
-    """from_path and to_path of the renames of directories: old paths with files below them in the catalog."""
-    pairs = found.where("paired AND kind = 'upsert'").groupBy("from_path").agg(F.max_by("path", F.struct("ts", "event_id")).alias("to_path"))
-    holding = catalog.select(F.explode(ancestors(F.col("path"))).alias("a"), "path").where("a <> path").select(F.col("a").alias("from_path")).distinct()
-    return pairs.join(holding, "from_path", "left_semi")
+def acts_of(events: DataFrame, root: str) -> DataFrame:
+    """at, act (move, put, drop), path, to_path, size, modified: what the events of a batch do, in order of `at`.
+
+    Events of one time and id go by step, then by a hash of what they are; repeated rows count
+    once. Without columns size or modified these are null.
+    """
+    for c in ("size", "modified"):
+        if c not in events.columns:
+            events = events.withColumn(c, F.lit(None).cast("long"))
+    at = lambda step: F.struct("ts", "event_id", step.cast("int").alias("step"), F.xxhash64("kind", "path", "to_path").alias("h"))
+    plain = ["path", "to_path", F.col("size").cast("long").alias("size"), F.col("modified").cast("long").alias("modified")]
+    moves = routed(events, root).where("route = 'rename'").select(at(F.lit(0)).alias("at"), F.lit("move").alias("act"), *plain)
+    singles = effects(events, root).where("NOT paired").withColumn("to_path", F.lit(None).cast("string"))
+    singles = singles.select(at(F.col("step")).alias("at"), F.when(F.col("kind") == "remove", "drop").otherwise("put").alias("act"), *plain)
+    return moves.unionByName(singles).dropDuplicates(["at"])
 
 
 def apply_batch(catalog: DataFrame, events: DataFrame, root: str) -> Batch:
     """A batch of events over a catalog (path, name, extension, size, modified and more columns).
 
-    Renamed directories first: every file below follows by prefix (the longest, if one lies in
-    another; a pair counts as of the batch's start). Then files: renamed ones keep their parsed
-    columns if the extension is the same but for case; others are known by size and time until
-    they are read again. Removals sweep whole directories and come before upserts. A file that
+    The events count one after the other: every file is followed through the moves of its path
+    and of the directories above it. It keeps its parsed columns as long as its extension is
+    the same but for case; written files and those that came from elsewhere are known by size
+    and time until they are read again. A move replaces what lies at its target. A file that
     vanished and one that appeared with the same name, size and time are one that moved, if
-    there is one of each; if there are several, their tags stay where they are. What a batch
-    needs again is written down once.
+    there is one of each; if there are several, their tags stay where they are. Tags follow the
+    moves in order, but not one of a file whose old path has a file again at the end (an editor
+    that saves safely). Only what the events hit is looked up; what a batch needs again is
+    written down once.
     """
-    catalog, found = stored(catalog, "catalog"), stored(effects(events, root), "effects")
-    folders = stored(moved_folders(catalog, found), "folders")
-    under = catalog.select("path", F.explode(ancestors(F.col("path"))).alias("from_path")).join(folders, "from_path").groupBy("path").agg(F.max_by(F.struct("from_path", "to_path"), F.length("from_path")).alias("m"))
-    target = F.concat(F.col("m.to_path"), F.expr("substring(path, length(m.from_path) + 1)"))
-    visible = trackable(target, root)
-    carried = catalog.join(under, "path", "left").withColumn("_to", F.when(F.col("m").isNotNull() & visible, target)).withColumn("_out", F.col("m").isNotNull() & ~visible)
-    carried = stored(carried, "carried")
-    moved = carried.where("_to IS NOT NULL").select("path", F.col("_to").alias("to_path"))
-    left = carried.where("_out").select("path")
-    base = with_path(carried.where("NOT _out"), F.coalesce("_to", "path")).select(*catalog.columns)
-
-    folder = folders.select(F.col("from_path").alias("folder"))
-    single = found.join(folder, F.col("path") == F.col("folder"), "left_anti").join(folder, F.col("from_path") == F.col("folder"), "left_anti")
-    net = stored(net_changes(single), "net")
-    gone = stored(swept(base, net.where("kind = 'remove'")), "gone")
-    alone = gone.join(net.where("kind = 'remove' AND NOT paired").select(F.col("path").alias("gone_path")), "gone_path", "left_semi").select("path").distinct()
-    fresh = net.where((F.col("kind") == "upsert") & (text.extension(text.base_name(F.col("path"))) != ""))
-    old = base.select(F.col("path").alias("from_path"), F.struct(*(F.col(c) for c in base.columns)).alias("old"))
-    same = F.lower(text.extension(text.base_name(F.col("path")))) == F.lower(text.extension(text.base_name(F.col("from_path"))))
-    known = fresh.join(old, "from_path", "left").withColumn("old", F.when(same, F.col("old")))
-    plain = {"size": F.coalesce("size", "old.size"), "modified": F.coalesce("modified", "old.modified")}
-    rows = known.select("path", *((plain[c] if c in plain else F.col("old")[c]).alias(c) for c in base.columns if c != "path"))
-    rows = stored(with_path(rows, F.col("path")).select(*base.columns), "rows")
-    new = base.join(gone.select("path").distinct(), "path", "left_anti").join(rows.select("path"), "path", "left_anti").unionByName(rows)
-    new = stored(new, "new-catalog")
+    catalog, acts = stored(catalog, "catalog"), stored(acts_of(events, root), "acts")
+    found, folders = followed(catalog.select("path"), acts)
+    written = acts.where("act = 'put'").select(F.col("at").alias("w_at"), F.col("size").alias("w_size"), F.col("modified").alias("w_modified"))
+    old = catalog.select(F.col("path").alias("o_path"), F.struct(*(F.col(c) for c in catalog.columns)).alias("old"))
+    known = found.join(old, (F.col("kind") == "cat") & (F.col("from_path") == F.col("o_path")), "left").join(written, (F.col("kind") == "put") & (F.col("born") == F.col("w_at")), "left")
+    known = known.withColumns({c: F.coalesce(c, F.when(F.col("keep"), F.coalesce(f"old.{c}", f"w_{c}"))) for c in ("size", "modified")}).withColumn("old", F.when(F.col("keep"), F.col("old")))
+    known = stored(known, "known")
+    seen = trackable(F.col("path"), root) & (text.extension(text.base_name(F.col("path"))) != "")
+    last = known.where((F.col("fate") == "stay") & seen).groupBy("path").agg(F.max_by(F.struct("kind", "from_path", "own", "size", "modified", "old"), "last").alias("x")).select("path", "x.*")
+    last = stored(last, "last")
+    rows = last.select("path", *((F.col(c) if c in ("size", "modified") else F.col("old")[c]).alias(c) for c in catalog.columns if c != "path"))
+    rows = stored(with_path(rows, F.col("path")).select(*catalog.columns), "rows")
+    gone = known.where("kind = 'cat'").select(F.col("from_path").alias("path"))
+    new = stored(catalog.join(gone.unionByName(rows.select("path")).distinct(), "path", "left_anti").unionByName(rows), "new-catalog")
+    present = new.select("path")
 
     identity = ["name", "size", "modified"]
-    lost = base.join(alone, "path", "left_semi").join(rows.select("path"), "path", "left_anti")
-    come = rows.join(fresh.where("NOT paired").select("path"), "path", "left_semi").join(base.select("path"), "path", "left_anti")
+    lost = known.where("kind = 'cat' AND fate = 'drop' AND NOT own").select("path", text.base_name(F.col("path")).alias("name"), "size", "modified").join(present, "path", "left_anti")
+    put = last.where("kind = 'put'").select("path").join(catalog.select("path"), "path", "left_anti").join(known.where("fate = 'put'").select("path"), "path", "left_anti")
+    come = rows.join(put, "path", "left_semi").select("path", text.base_name(F.col("path")).alias("name"), "size", "modified")
     both = lost.groupBy(*identity).agg(F.count("*").alias("n_lost"), F.min("path").alias("from_path")).join(come.groupBy(*identity).agg(F.count("*").alias("n_come"), F.min("path").alias("to_path")), identity)
     rejoined = both.where("n_lost = 1 AND n_come = 1").select("from_path", "to_path")
     reap = lost.join(both, identity, "left_anti").select("path")
 
-    pairs = fresh.where("paired").join(new.select(F.col("path").alias("from_path")), "from_path", "left_anti").select("from_path", F.col("path").alias("to_path"))
-    renamed = folders.withColumn("is_dir", F.lit(True)).unionByName(pairs.unionByName(rejoined).withColumn("is_dir", F.lit(False)))
-    updated = new.join(rows.select("path").union(moved.select("to_path")).distinct(), "path", "left_semi")
-    removed = moved.select("path").union(left).union(gone.select("path")).distinct()
-    return Batch(new, updated, removed, renamed, reap)
+    held = known.where("kind = 'cat'").select(F.explode(ancestors(F.col("from_path"))).alias("a"), "from_path").where("a <> from_path").select("a").distinct()
+    first = folders.groupBy("from_path").agg(F.min_by(F.struct("path", "fate"), "at").alias("x")).select("from_path", F.col("x.path").alias("to_path"), F.col("x.fate").alias("fate"))
+    whole = first.where((F.col("fate") == "stay") & trackable(F.col("to_path"), root) & (F.col("from_path") != F.col("to_path"))).join(held, F.col("from_path") == F.col("a"), "left_semi").select("from_path", "to_path", F.lit(True).alias("is_dir"))
+    pairs = last.where("own AND from_path <> path").select("from_path", F.col("path").alias("to_path")).join(present, F.col("from_path") == F.col("path"), "left_anti")
+    renamed = whole.unionByName(pairs.unionByName(rejoined).distinct().withColumn("is_dir", F.lit(False)))
+    away = known.where("kind = 'cat' AND went_away").select(F.col("from_path").alias("path"))
+    dropped = known.where("kind = 'cat' AND fate = 'drop' AND NOT went_away").select(F.col("from_path").alias("path")).join(present, "path", "left_anti")
+    moves = acts.where("act = 'move'").select("at", "path", "to_path").join(folders.select("at", F.lit(True).alias("folder")), "at", "left").join(present.withColumn("again", F.lit(True)), "path", "left")
+    moves = moves.where("folder OR again IS NULL").select("at", "path", "to_path")
+    return Batch(new, rows, away.unionByName(dropped).distinct(), renamed, reap, moves, rejoined)
 
 
 def totals(catalog: DataFrame, root: str) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -215,18 +220,15 @@ def totals(catalog: DataFrame, root: str) -> tuple[DataFrame, DataFrame, DataFra
 
 
 def follow_tags(bindings: DataFrame, batch: Batch) -> DataFrame:
-    """bindings (path, tag_id) after a batch: first they move with renames, then those of files gone for good go.
+    """bindings (path, tag_id) after a batch: they move with its moves, one after the other, then those of files gone for good go.
 
     What the new path already had stays, once.
     """
-    exact = batch.renamed.where("NOT is_dir").select(F.col("from_path").alias("path"), "to_path")
-    folders = batch.renamed.where("is_dir").select("from_path", "to_path")
-    under = bindings.select("path").distinct().select("path", F.explode(ancestors(F.col("path"))).alias("from_path")).join(folders, "from_path")
-    by_folder = under.groupBy("path").agg(F.max_by(F.concat(F.col("to_path"), F.expr("substring(path, length(from_path) + 1)")), F.length("from_path")).alias("new_path"))
-    moved = bindings.join(exact.withColumnRenamed("to_path", "file_path"), "path", "left").join(by_folder, "path", "left")
-    moved = moved.select(F.coalesce("file_path", "new_path", "path").alias("path"), "tag_id", F.coalesce("file_path", "new_path").isNotNull().alias("went"))
-    kept = moved.join(batch.reap, "path", "left_anti").unionByName(moved.where("went").join(batch.reap, "path", "left_semi"))
-    return kept.select("path", "tag_id").distinct()
+    went = followed_bindings(bindings.select("path"), batch.moves)
+    steps = bindings.join(went.select(F.col("from_path").alias("path"), "to_path"), "path", "left").select(F.coalesce("to_path", "path").alias("path"), "tag_id")
+    again = batch.rejoined.select(F.col("from_path").alias("path"), "to_path")
+    moved = steps.join(again, "path", "left").select(F.coalesce("to_path", "path").alias("path"), "tag_id")
+    return moved.join(batch.reap, "path", "left_anti").distinct()
 
 
 def same_epoch(events: DataFrame, root: str) -> tuple[DataFrame, DataFrame]:
