@@ -242,8 +242,8 @@ def feature_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(compute, "id long, x array<double>")
 
 
-def train(docs: DataFrame, labels: DataFrame, rules: GamRules = GamRules(), *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Gam:
-    """The model of the labelled documents.
+def train_on(rows: DataFrame, labels: DataFrame, rules: GamRules = GamRules(), *, id_col: str = "doc_id", label_col: str = "quality") -> Gam:
+    """The model of the labelled ones of rows (as by feature_rows; read several times).
 
     labels: id_col and label_col, 0 or 1; null ids or labels take no part, of several labels of
     an id the least counts. Bins are quantiles over all labelled documents. The tables are
@@ -252,32 +252,41 @@ def train(docs: DataFrame, labels: DataFrame, rules: GamRules = GamRules(), *, i
     half, if there are none).
     """
     known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).cast("long").alias("label_id")).agg(F.min(F.col(label_col)).cast("int").alias("y"))
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    rows = stored(feature_rows(texts.join(known, F.col("id") == F.col("label_id"), "left_semi"), "id", "text"), "labelled-features")
+    rows = stored(rows.join(known, F.col("id") == F.col("label_id")).select("id", "x", "y"), "labelled-features")
     cuts = [i / rules.bins for i in range(1, rules.bins)]
     found = rows.agg(F.count("*").alias("n"), *(F.percentile_approx(F.get("x", F.lit(f)), cuts, 10_000).alias(f"q{f}") for f in range(len(FEATURES)))).first()
     edges = [np.unique(np.array(found[f"q{f}"] or [], np.float64)) for f in range(len(FEATURES))]
     share = min(1.0, rules.train_rows / max(found["n"], 1))
-    some = rows.join(known, F.col("id") == F.col("label_id")).where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int(share * (1 << 30)))
+    some = rows.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int(share * (1 << 30)))
     sample = some.select("x", "y").orderBy(F.xxhash64("id"), F.xxhash64("x")).limit(rules.train_rows).toArrow()
     x = np.array(sample.column("x").to_pylist(), np.float64).reshape(-1, len(FEATURES))
     return fit(x, sample.column("y").to_numpy().astype(np.float64), edges, rules)
 
 
-def scored(docs: DataFrame, model: Gam, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id_col, score: one row per row of docs. Null and empty texts have features of zero."""
+def train(docs: DataFrame, labels: DataFrame, rules: GamRules = GamRules(), *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Gam:
+    """train_on over the features of docs."""
+    return train_on(stored(feature_rows(docs, id_col, text_col), "features"), labels, rules, id_col=id_col, label_col=label_col)
+
+
+def score_rows(rows: DataFrame, model: Gam, *, id_col: str = "doc_id") -> DataFrame:
+    """id_col, score: one row per row of rows (as by feature_rows)."""
 
     def add(batches):
         for batch in batches:
-            for part in byte_slices(batch, "text"):
-                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(model.score(features(*flat_bytes(part.column("text")))))], names=["id", "score"])
+            x = batch.column("x").flatten().to_numpy(zero_copy_only=False).reshape(-1, len(FEATURES))
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(model.score(x))], names=["id", "score"])
+
+    return rows.select("id", "x").mapInArrow(add, "id long, score double").withColumnRenamed("id", id_col)
+
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(add, "id long, score double").withColumnRenamed("id", id_col)
+def scored(docs: DataFrame, model: Gam, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id_col, score: one row per row of docs. Null and empty texts have features of zero."""
+    return score_rows(feature_rows(docs, id_col, text_col), model, id_col=id_col)
 
 
 def op13_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """Texts are read once: what the model learns from and what it scores are the stored features."""
+    rows = stored(feature_rows(table(spark, sf_dir, "documents"), "doc_id", "text"), "features")
     held_out = F.crc32(F.col("doc_id").cast("string")) % 3 == 1
-    model = train(docs, table(spark, sf_dir, "labels").where(~held_out))
-    found = scored(docs, model)
-    return found.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    model = train_on(rows, table(spark, sf_dir, "labels").where(~held_out))
+    return score_rows(rows, model).select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
