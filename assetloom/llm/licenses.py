@@ -95,20 +95,39 @@ def _literals(templates: dict[str, list[str]], sql: str = "spark") -> str:
 
 
 def _windows(words: str, templates: dict[str, list[str]], percent: int) -> str:
-    """SQL for the best window of `_text` for each template that has one at the threshold: array of (d, name)."""
+    """SQL for the best window of `_text` for each template that has one at the threshold: array of (d, name).
+
+    m says which bigrams of the text are the template's, p where those are; pv and nx where the
+    same bigram stands last before and next. The best window ends before its first bigram comes
+    again, and with a bigram of the template that is new in it. So from a start s the new ones
+    are counted one after the other, and a window has as many different bigrams as places, but
+    for those with pv >= s. A start is looked at only if enough of the template's places follow
+    within a window's length to beat the best so far, and once for equal texts of that length:
+    the work grows with the text, not with the square of a notice.
+    """
+    let = lambda value, name, body: f"element_at(transform(array({value}), {name} -> {body}), 1)"
     every = ", ".join(f"'{x}'" for x in dict.fromkeys(b for texts in templates.values() for t in texts for b in bigrams(t)))
     grams = "CASE WHEN size(w) > 1 THEN transform(sequence(1, size(w) - 1), i -> concat(element_at(w, i), ' ', element_at(w, i + 1))) ELSE CAST(array() AS array<string>) END"
     least = f"CAST(({percent} * t.n + {199 - percent}) div {200 - percent} AS int)"  # common bigrams that the threshold needs
     most = f"CAST({200 - percent} * t.n div {percent} AS int)"  # bigrams of the largest window within reach
-    # the best window begins and ends with a bigram of the template; p: the places of those
-    places = "filter(sequence(1, size(x.g)), i -> array_contains(t.b, element_at(x.g, i)))"
-    starts = "filter(sequence(1, size(p) - c.least + 1), a -> element_at(p, a + c.least - 1) - element_at(p, a) < c.most)"
-    ends = "filter(sequence(a + c.least - 1, least(size(p), a + c.most - 1)), b -> element_at(p, b) - element_at(p, a) < c.most)"
-    dice = "array_max(transform(array(slice(x.g, element_at(p, a), element_at(p, b) - element_at(p, a) + 1)), v -> 2000000L * size(array_intersect(v, t.b)) div (size(array_distinct(v)) + t.n)))"
-    best = f"array_max(flatten(transform(array(named_struct('least', {least}, 'most', {most})), c -> transform(array({places}), p -> array_max(transform({starts}, a -> array_max(transform({ends}, b -> {dice}))))))))"
+    in_order = "array_sort(transform(x.g, (v, i) -> named_struct('v', v, 'i', i + 1)))"
+    beside = lambda k, none: f"CASE WHEN element_at(o, {k}).v = y.v THEN element_at(o, {k}).i ELSE {none} END"
+    links = f"array_sort(transform(o, (y, k) -> named_struct('i', y.i, 'b', CASE WHEN k > 0 THEN {beside('greatest(k, 1)', '0')} ELSE 0 END, 'f', CASE WHEN k + 1 < size(o) THEN {beside('least(k + 2, size(o))', '2147483647')} ELSE 2147483647 END)))"
+    dice = "array_max(transform(filter(slice(p, a, c.most), j -> j < stop AND element_at(l, j).b < s), (j, k) -> 2000000L * (k + 1) div (j - s + 1 - size(filter(again, i -> i <= j)) + t.n)))"
+    again = "filter(sequence(s, stop - 1), j -> element_at(l, j).b >= s)"
+    one = let("element_at(p, a)", "s", let("least(s + c.most, element_at(l, s).f, size(m) + 1)", "stop", let(again, "again", dice)))
+    need = "a + CAST(d * t.n div (2000000L - d) AS int)"  # the place in p that a better window from a must reach
+    pick = f"(d, a) -> CASE WHEN d >= 1000000L OR {need} > size(p) THEN d WHEN element_at(p, {need}) - element_at(p, a) >= c.most THEN d ELSE greatest(d, {one}) END"
+    able = "filter(sequence(1, size(p) - c.least + 1), a -> element_at(p, a + c.least - 1) - element_at(p, a) < c.most)"
+    texts = f"array_sort(transform({able}, a -> named_struct('h', xxhash64(slice(x.g, element_at(p, a), c.most)), 'a', a)))"
+    starts = let(texts, "r", "transform(filter(r, (y, k) -> k = 0 OR element_at(r, greatest(k, 1)).h <> y.h), y -> y.a)")
+    fold = f"CASE WHEN size(p) < c.least THEN 0L ELSE aggregate(array_sort({starts}), {percent * 10_000 - 1}L, {pick}) END"
+    best = let(f"named_struct('least', {least}, 'most', {most})", "c", let("transform(x.g, v -> array_contains(t.b, v))", "m", let("filter(sequence(1, size(m)), i -> element_at(m, i))", "p", fold)))
     near = f"filter({_literals(templates)}, t -> size(array_intersect(x.h, t.b)) >= {least})"  # hardly a text has so many of a template's bigrams
-    each = f"filter(transform({near}, t -> named_struct('d', {best}, 'name', t.name)), m -> m.d >= {percent * 10_000})"
-    return f"flatten(transform(transform(transform(array({words.replace('(u)', '(_text)')}), w -> {grams}), g -> named_struct('g', g, 'h', array_intersect(g, array({every})))), x -> {each}))"
+    each = f"filter(transform(q, t -> named_struct('d', {best}, 'name', t.name)), y -> y.d >= {percent * 10_000})"
+    some = let(near, "q", f"CASE WHEN size(q) > 0 THEN {let(let(in_order, 'o', links), 'l', each)} END")
+    found = let(words.replace("(u)", "(_text)"), "w", let(grams, "g", let(f"named_struct('g', g, 'h', array_intersect(g, array({every})))", "x", some)))
+    return f"coalesce({found}, CAST(array() AS array<struct<d:bigint,name:string>>))"
 
 
 def scan_licenses(docs: DataFrame, templates: dict[str, list[str]] = TEMPLATES, percent: int = THRESHOLD_PERCENT, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -329,3 +329,29 @@ def test_embedded_and_wrapped_notices_are_found(spark):
 def test_results_can_be_counted(spark, column):
     df = urls.filter_urls(spark.createDataFrame([(1, "http://x.net/")], "page_id long, url string")) if column == "verdict" else quality.quality(frame(spark, [(1, "a b")]))
     assert df.groupBy(column).agg(F.count("*")).count() == 1
+
+
+def test_license_windows_in_dense_and_repeated_notices(spark):
+    """Notices one after the other, cut, shuffled and with other words between: windows equal all windows tried out."""
+    rng = random.Random(31)
+    some = [licenses.TEMPLATES["Apache-2.0"][1], licenses.TEMPLATES["ISC"][0], licenses.TEMPLATES["Zlib"][0], licenses.TEMPLATES["GPL-3.0"][1], licenses.TEMPLATES["AGPL-3.0"][0]]
+    rows = [" ".join([some[0]] * 4), f"{some[1]} x y z {some[1]}", f"{some[3]} {some[4]}"]
+    for _ in range(12):
+        words = " ".join(rng.choice(some) for _ in range(2)).split()
+        for _ in range(rng.randrange(1, 12)):
+            at = rng.randrange(len(words))
+            words[at : at + rng.randrange(0, 3)] = rng.choice([[], ["other"], words[:3], ["the", "software"]])
+        rows.append(" ".join(words))
+    got = {r["doc_id"]: {x["name"]: x["dice_ppm"] for x in r["licenses"]} for r in licenses.scan_licenses(frame(spark, list(enumerate(rows)))).collect()}
+    whole = lambda t: {n: max(dict(dice(t)).get(n, 0), windows(t).get(n, 0)) for n in {**dict(dice(t)), **windows(t)}}
+    assert got == {i: whole(t) for i, t in enumerate(rows)}
+
+
+def test_a_file_full_of_notices(spark):
+    """Half a million characters of notices, with and without changes, in one text."""
+    mit = licenses.TEMPLATES["MIT"][3]
+    changed = " ".join(w if i % 12 else f"zz{i}" for i, w in enumerate(mit.split()))
+    big = [(1, f"code here\n{mit} more\n" * 300), (2, f"code {changed} more " * 300)]
+    small = [(3, f"code here\n{mit} more\n" * 2), (4, f"code {changed} more " * 2)]
+    got = {r["doc_id"]: {x["name"]: x["dice_ppm"] for x in r["licenses"]} for r in licenses.scan_licenses(frame(spark, big + small)).collect()}
+    assert got[1]["MIT"] == 1_000_000 and got[2] == got[4] and 800_000 <= got[2]["MIT"] < 1_000_000
