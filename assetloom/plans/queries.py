@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import text
 from ..operators import analysis, browse, cross, engines, graph, history, rules, snapshot, stats, tagging
 from ..sources import catalog as src
-from ..sources import fsscan, storage
+from ..sources import fsscan, rescan, storage
 from ..streaming import watch
 from . import config
 
@@ -899,6 +899,48 @@ def scan_copies(spark, sf_dir):
     return found.where("path LIKE '%.obj'").select(F.substring("path", len(root) + 2, 1 << 30).alias("path"), "size")
 
 
+def _rescanned(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The tree scanned, then changed (files removed, pictures and sidecars rewritten), then scanned again by what differs."""
+    import os
+    import struct
+
+    root, where = _tree(spark, sf_dir), storage.scratch(spark, "last-scan")
+    rescan.rescan(spark, root, where, buckets=32, respect_ignores=True)
+
+    def change(batches):
+        for batch in batches:
+            for k, n in zip(batch["s_suppkey"], batch["s_nationkey"], strict=True):
+                name = f"{root}/_n{n}/" + ("out" if k % 10 == 7 else "in") + f"/s{k}" + (".png", ".gif", ".obj", ".wav")[k % 5 % 4]
+                if k % 5 == 4:
+                    continue
+                if k % 4 == 1:
+                    os.remove(name)
+                    os.remove(f"{name}.meta")
+                elif k % 4 == 2 and k % 5 == 0:
+                    with open(name, "wb") as f:
+                        f.write(b"\x89PNG\r\n\x1a\n" + struct.pack(">I", 13) + b"IHDR" + struct.pack(">IIBBBBB", k + 7, 3, 8, 6, 0, 0, 0) + b"more")
+                    os.utime(name, ns=(1, 1))
+                elif k % 4 == 3:
+                    with open(f"{name}.meta", "w") as f:
+                        f.write(f"version: 2\nguid: h{k}\n")
+                    os.utime(f"{name}.meta", ns=(1, 1))
+            yield batch
+
+    table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey").mapInPandas(change, "s_suppkey long, s_nationkey long").count()
+    found, counts = rescan.rescan(spark, root, where, buckets=32, respect_ignores=True)
+    return found.select(F.substring("path", len(root) + 2, 1 << 30).alias("path"), "metadata.width", F.col("unity_guid").alias("guid")), counts
+
+
+@query("incr_rescan", f"""WITH {_TREE} SELECT path, CAST(CASE WHEN k % 5 = 0 AND k % 4 = 2 THEN k + 7 WHEN k % 5 = 0 THEN k WHEN k % 5 = 1 THEN k % 65536 END AS BIGINT) AS width, CASE WHEN k % 4 = 3 THEN 'h' ELSE 'g' END || k AS guid FROM t WHERE k % 4 <> 1""")
+def incr_rescan(spark, sf_dir):
+    return _rescanned(spark, sf_dir)[0]
+
+
+@query("incr_rescan_counts", f"""WITH {_TREE} SELECT count(*) FILTER (WHERE k % 4 <> 1) AS total, count(*) FILTER (WHERE k % 4 = 0 OR (k % 4 = 2 AND k % 5 <> 0)) AS cached, count(*) FILTER (WHERE k % 4 = 3 OR (k % 4 = 2 AND k % 5 = 0)) AS rescanned, count(*) FILTER (WHERE k % 4 = 1) AS removed FROM t""")
+def incr_rescan_counts(spark, sf_dir):
+    return _rescanned(spark, sf_dir)[1]
+
+
 # --- change feeds -------------------------------------------------------------------------
 
 _KINDS = {"signup": "create", "view": "modify", "click": "touch", "error": "remove", "purchase": "rename"}

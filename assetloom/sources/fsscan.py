@@ -166,8 +166,8 @@ def read_headers(found: DataFrame) -> DataFrame:
     return headers(with_content(wanted, F.when(~ext.isin(*WHOLE), F.lit(HEAD_BYTES))))
 
 
-def obj_materials(found: DataFrame) -> DataFrame:
-    """path and material_count of the OBJ files of a listing whose material library can be read."""
+def obj_materials(found: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
+    """path and material_count of the OBJ files of a listing (or of `wanted`) whose material library can be read. Only libraries that one names are opened."""
 
     def libraries(batches):
         for batch in batches:
@@ -178,9 +178,11 @@ def obj_materials(found: DataFrame) -> DataFrame:
         for batch in batches:
             yield pd.DataFrame({"mtl": batch["path"], "material_count": [None if c is None else len(material_names(c)) for c in batch["content"]]})
 
-    named = with_content(found.where(_extension() == "obj").select("path"), F.lit(HEAD_BYTES)).mapInPandas(libraries, "path string, library string")
-    named = named.withColumn("mtl", F.concat(text.parent(F.col("path")), F.lit("/"), F.regexp_replace("library", r"^\./", "")))
-    counted = with_content(found.where((_extension() == "mtl") & (F.col("size") <= MOST_BYTES)).select("path")).mapInPandas(counts, "mtl string, material_count long")
+    models = (found if wanted is None else wanted).where(_extension() == "obj").select("path")
+    named = with_content(models, F.lit(HEAD_BYTES)).mapInPandas(libraries, "path string, library string")
+    named = stored(named.withColumn("mtl", F.concat(text.parent(F.col("path")), F.lit("/"), F.regexp_replace("library", r"^\./", ""))), "libraries")
+    asked = found.where((_extension() == "mtl") & (F.col("size") <= MOST_BYTES)).select("path").join(named.select(F.col("mtl").alias("path")), "path", "left_semi")
+    counted = with_content(asked).mapInPandas(counts, "mtl string, material_count long")
     return named.join(counted, "mtl").select("path", "material_count")
 
 
@@ -191,18 +193,24 @@ def guids(found: DataFrame) -> DataFrame:
     return rows.where("unity_guid <> ''")
 
 
-def scan(spark: SparkSession, root: str, *, with_headers: bool = True, respect_ignores: bool = False) -> DataFrame:
-    """The catalog of a file tree, with headers and guids joined by path."""
-    found = stored(listing(spark, root, respect_ignores=respect_ignores), "listing")
-    rows = found.drop("modified_nanos").join(guids(with_content(found.where(F.col("path").endswith(".meta")).select("path"), F.lit(HEAD_BYTES))), "path", "left")
+def parsed(found: DataFrame, wanted: DataFrame, with_headers: bool = True) -> DataFrame:
+    """The catalog rows of `wanted` (path, size, modified), a part of the listing `found`: only they, their sidecars and libraries are opened."""
+    sidecars = found.where(F.col("path").endswith(".meta")).select("path").join(wanted.select(F.concat("path", F.lit(".meta")).alias("path")), "path", "left_semi")
+    rows = wanted.join(guids(with_content(sidecars, F.lit(HEAD_BYTES))), "path", "left")
     if with_headers:
-        made = obj_materials(found)
-        rows = rows.join(read_headers(found), "path", "left").join(made, "path", "left")
+        made = obj_materials(found, wanted)
+        rows = rows.join(read_headers(wanted), "path", "left").join(made, "path", "left")
         count = F.coalesce("metadata.material_count", "material_count")
         rows = rows.withColumn("metadata", F.when(F.col("metadata").isNotNull(), F.col("metadata").withField("material_count", count))).drop("material_count")
     return catalog(rows)
 
 
+def scan(spark: SparkSession, root: str, *, with_headers: bool = True, respect_ignores: bool = False) -> DataFrame:
+    """The catalog of a file tree, with headers and guids joined by path."""
+    found = stored(listing(spark, root, respect_ignores=respect_ignores), "listing")
+    return parsed(found, found.select("path", "size", "modified"), with_headers)
+
+
 def duplicates(found: DataFrame) -> DataFrame:
     """path, size, sha256 of the files of a listing (path, size) that others may equal; equal ones share size and hash.
 

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import json
 import tomllib
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+
+from . import versioned
 
 VERSION = 7
 LEARNED = "ord int, kind string, pattern string, tags array<string>, confidence double"
@@ -19,37 +19,17 @@ def _file_system(spark: SparkSession, path: str):
     return p, p.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
-def replace_table(df: DataFrame, path: str) -> None:
-    """Writes df beside path and renames it into place, so that readers see the old table or the new one."""
-    spark = df.sparkSession
-    new = f"{path}.new-{uuid.uuid4().hex}"
-    df.write.parquet(new)
-    here, fs = _file_system(spark, path)
-    old = spark._jvm.org.apache.hadoop.fs.Path(f"{path}.old-{uuid.uuid4().hex}")
-    had = fs.exists(here)
-    if had:
-        fs.rename(here, old)
-    fs.rename(spark._jvm.org.apache.hadoop.fs.Path(new), here)
-    if had:
-        fs.delete(old, True)
-
-
 def save_snapshot(assets: DataFrame, path: str, root: str) -> None:
-    """The catalog of a scan, with the version of its form and the root it is of."""
-    replace_table(assets.withColumns({"_version": F.lit(VERSION), "_root": F.lit(root.rstrip("/"))}), path)
+    """The catalog of a scan, with the version of its form and the root it is of; readers see the old one or this one."""
+    versioned.replace(assets, path, form=VERSION, root=root.rstrip("/"))
 
 
 def load_snapshot(spark: SparkSession, path: str, root: str) -> DataFrame | None:
     """The catalog saved at path; None if there is none, or it has another form or root."""
-    here, fs = _file_system(spark, path)
-    if not fs.exists(here):
-        return None
-    rows = spark.read.parquet(path)
-    if not {"_version", "_root"} <= set(rows.columns):
-        return None
-    if not rows.where((F.col("_version") != VERSION) | (F.col("_root") != root.rstrip("/"))).isEmpty():
+    held = versioned.current(spark, path)
+    if held is None or (held.get("form"), held.get("root")) != (VERSION, root.rstrip("/")):
         return None
-    return rows.drop("_version", "_root")
+    return versioned.read(spark, path, held)
 
 
 def _text(spark: SparkSession, path: str) -> str | None:
