@@ -1011,6 +1011,16 @@ def fs_rename_chains(spark, sf_dir):
     return watch.apply_batch(catalog, events, src.ROOT).catalog.select("path", "size", "origin")
 
 
+@query(
+    "fs_quiet",
+    f"""WITH {_FEED}, {_EFFECTS}, g AS (SELECT *, CAST(ts AS TIMESTAMP) - lag(CAST(ts AS TIMESTAMP)) OVER w > INTERVAL 1 HOUR AS fresh FROM fx WINDOW w AS (PARTITION BY path ORDER BY ts, event_id, step)),
+    n AS (SELECT *, count(*) FILTER (WHERE fresh) OVER (PARTITION BY path ORDER BY ts, event_id, step) AS burst FROM g)
+    SELECT path, CAST(min(CAST(ts AS TIMESTAMP)) AS VARCHAR) AS start, CAST(max(CAST(ts AS TIMESTAMP)) + INTERVAL 1 HOUR AS VARCHAR) AS end, max_by(kind, (ts, event_id, step)) AS kind, count(*) AS n_events FROM n GROUP BY path, burst""",
+)
+def fs_quiet(spark, sf_dir):
+    return watch.settled(watch.effects(_events(spark, sf_dir), src.ROOT), "1 hour").withColumns({c: F.col(c).cast("timestamp_ntz").cast("string") for c in ("start", "end")})
+
+
 @query("fs_epoch", f"WITH {_FEED}, r AS (SELECT *, CASE WHEN event_id % 9 = 0 THEN '/old' ELSE '/proj' END AS root FROM e) SELECT root, count(*) AS n_dropped FROM r WHERE root <> '/proj' GROUP BY ALL")
 def fs_epoch(spark, sf_dir):
     return watch.same_epoch(_events(spark, sf_dir).withColumn("root", F.when(F.col("event_id") % 9 == 0, "/old").otherwise("/proj")), src.ROOT)[1]

@@ -8,6 +8,7 @@ import tomllib
 from pyspark.sql import DataFrame, SparkSession
 
 from . import versioned
+from .storage import text_file
 
 VERSION = 7
 LEARNED = "ord int, kind string, pattern string, tags array<string>, confidence double"
@@ -32,20 +33,9 @@ def load_snapshot(spark: SparkSession, path: str, root: str) -> DataFrame | None
     return versioned.read(spark, path, held)
 
 
-def _text(spark: SparkSession, path: str) -> str | None:
-    here, fs = _file_system(spark, path)
-    if not fs.exists(here):
-        return None
-    stream = fs.open(here)
-    try:
-        return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
-    finally:
-        stream.close()
-
-
 def learned_rules(spark: SparkSession, path: str) -> tuple[DataFrame | None, str | None]:
     """Rules of a learned-rule file (TOML, a table a rule) in order, and a warning. No file: neither; one that can't be read: a warning alone."""
-    body = _text(spark, path)
+    body = text_file(spark, path)
     if body is None:
         return None, None
     try:
@@ -57,7 +47,7 @@ def learned_rules(spark: SparkSession, path: str) -> tuple[DataFrame | None, str
 
 def load_tags(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """Tags and bindings of a tag file (JSON: tags, asset_tags). A file that can't be read is moved to .corrupt, unless one is there; then there are none."""
-    body = _text(spark, path)
+    body = text_file(spark, path)
     tags, bindings = [], []
     if body is not None:
         try:

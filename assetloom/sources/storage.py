@@ -32,3 +32,30 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = scratch(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _file_system(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def text_file(spark: SparkSession, path: str) -> str | None:
+    """A small file's text, from any store; None if there is none."""
+    here, fs = _file_system(spark, path)
+    if not fs.exists(here):
+        return None
+    stream = fs.open(here)
+    try:
+        return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
+def put_text(spark: SparkSession, path: str, body: str) -> None:
+    """A small file with that text, in place of what was there."""
+    here, fs = _file_system(spark, path)
+    out = fs.create(here, True)
+    try:
+        out.write(bytearray(body.encode()))
+    finally:
+        out.close()

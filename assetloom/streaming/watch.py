@@ -8,17 +8,19 @@ what the last event of each path says, unless a listing is given.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from ..functions import text
 from ..operators import stats
 from ..operators.snapshot import with_path
-from ..sources.storage import stored
+from ..sources import versioned
+from ..sources.storage import put_text, stored, text_file
 from .renames import ancestors, followed, followed_bindings
 
 DEBOUNCE = "500 milliseconds"
@@ -145,6 +147,7 @@ class Batch:
     reap: DataFrame  # path: gone for good, their tags go
     moves: DataFrame  # at, path, to_path: what tags follow, in order
     rejoined: DataFrame  # from_path, to_path: files that vanished here and appeared there
+    touched: DataFrame  # path: all whose row is another one, or gone, or new
 
 
 def acts_of(events: DataFrame, root: str) -> DataFrame:
@@ -177,7 +180,12 @@ def apply_batch(catalog: DataFrame, events: DataFrame, root: str) -> Batch:
     that saves safely). Only what the events hit is looked up; what a batch needs again is
     written down once.
     """
-    catalog, acts = stored(catalog, "catalog"), stored(acts_of(events, root), "acts")
+    return delta(stored(catalog, "catalog"), events, root)
+
+
+def delta(catalog: DataFrame, events: DataFrame, root: str) -> Batch:
+    """apply_batch on a stored catalog: what is written down grows with the events, not with the catalog."""
+    acts = stored(acts_of(events, root), "acts")
     found, folders = followed(catalog.select("path"), acts)
     written = acts.where("act = 'put'").select(F.col("at").alias("w_at"), F.col("size").alias("w_size"), F.col("modified").alias("w_modified"))
     old = catalog.select(F.col("path").alias("o_path"), F.struct(*(F.col(c) for c in catalog.columns)).alias("old"))
@@ -190,7 +198,8 @@ def apply_batch(catalog: DataFrame, events: DataFrame, root: str) -> Batch:
     rows = last.select("path", *((F.col(c) if c in ("size", "modified") else F.col("old")[c]).alias(c) for c in catalog.columns if c != "path"))
     rows = stored(with_path(rows, F.col("path")).select(*catalog.columns), "rows")
     gone = known.where("kind = 'cat'").select(F.col("from_path").alias("path"))
-    new = stored(catalog.join(gone.unionByName(rows.select("path")).distinct(), "path", "left_anti").unionByName(rows), "new-catalog")
+    touched = stored(gone.unionByName(rows.select("path")).distinct(), "touched")
+    new = catalog.join(touched, "path", "left_anti").unionByName(rows)
     present = new.select("path")
 
     identity = ["name", "size", "modified"]
@@ -210,7 +219,7 @@ def apply_batch(catalog: DataFrame, events: DataFrame, root: str) -> Batch:
     dropped = known.where("kind = 'cat' AND fate = 'drop' AND NOT went_away").select(F.col("from_path").alias("path")).join(present, "path", "left_anti")
     moves = acts.where("act = 'move'").select("at", "path", "to_path").join(folders.select("at", F.lit(True).alias("folder")), "at", "left").join(present.withColumn("again", F.lit(True)), "path", "left")
     moves = moves.where("folder OR again IS NULL").select("at", "path", "to_path")
-    return Batch(new, rows, away.unionByName(dropped).distinct(), renamed, reap, moves, rejoined)
+    return Batch(new, rows, away.unionByName(dropped).distinct(), renamed, reap, moves, rejoined, touched)
 
 
 def totals(catalog: DataFrame, root: str) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -219,16 +228,23 @@ def totals(catalog: DataFrame, root: str) -> tuple[DataFrame, DataFrame, DataFra
     return whole, stats.counts(catalog, "asset_type"), stats.folder_rollup(catalog, root)
 
 
+def moved_tags(bindings: DataFrame, batch: Batch) -> DataFrame:
+    """path and to_path of bound paths that a batch moves, and of those whose tags go (to_path null)."""
+    bound = bindings.select("path").distinct()
+    went = followed_bindings(bound, batch.moves)
+    again, reap = batch.rejoined.select(F.col("from_path").alias("at"), F.col("to_path").alias("again")), batch.reap.select(F.col("path").alias("reaped"))
+    at = bound.join(went.select(F.col("from_path").alias("path"), F.col("to_path").alias("went")), "path", "left").withColumn("at", F.coalesce("went", "path"))
+    at = at.join(again, "at", "left").withColumn("to_path", F.coalesce("again", "at")).join(reap.distinct(), F.col("to_path") == F.col("reaped"), "left")
+    return at.select("path", F.when(F.col("reaped").isNull(), F.col("to_path")).alias("to_path")).where("NOT path <=> to_path")
+
+
 def follow_tags(bindings: DataFrame, batch: Batch) -> DataFrame:
     """bindings (path, tag_id) after a batch: they move with its moves, one after the other, then those of files gone for good go.
 
     What the new path already had stays, once.
     """
-    went = followed_bindings(bindings.select("path"), batch.moves)
-    steps = bindings.join(went.select(F.col("from_path").alias("path"), "to_path"), "path", "left").select(F.coalesce("to_path", "path").alias("path"), "tag_id")
-    again = batch.rejoined.select(F.col("from_path").alias("path"), "to_path")
-    moved = steps.join(again, "path", "left").select(F.coalesce("to_path", "path").alias("path"), "tag_id")
-    return moved.join(batch.reap, "path", "left_anti").distinct()
+    moved = moved_tags(bindings, batch).withColumn("moves", F.lit(True))
+    return bindings.join(moved, "path", "left").select(F.when(F.col("moves"), F.col("to_path")).otherwise(F.col("path")).alias("path"), "tag_id").where("path IS NOT NULL").distinct()
 
 
 def same_epoch(events: DataFrame, root: str) -> tuple[DataFrame, DataFrame]:
@@ -301,6 +317,122 @@ def follow(
     return writer.trigger(**(trigger or {"processingTime": DEBOUNCE})).start()
 
 
+def bucket_of(path: Column, n: int) -> Column:
+    return F.pmod(F.xxhash64(path), F.lit(n)).cast("int")
+
+
+def _patched(spark: SparkSession, where: str, number: int, table: DataFrame, gone: DataFrame, rows: DataFrame, held: dict) -> None:
+    """The table without the rows of the paths `gone`, and with `rows`: only the buckets of these paths are written."""
+    n = held["n_buckets"]
+    paths = gone.select("path").unionByName(rows.select("path")).distinct()
+    dirty = [r[0] for r in paths.select(bucket_of(F.col("path"), n).alias("b")).distinct().collect()]  # n_buckets at most
+    mine = table.withColumn("_bucket", bucket_of(F.col("path"), n)).where(F.col("_bucket").isin(dirty)).join(gone, "path", "left_anti")
+    extra = {k: v for k, v in held.items() if k not in ("folders", "schema")}
+    versioned.replace_buckets(mine.unionByName(rows.withColumn("_bucket", bucket_of(F.col("path"), n))).distinct(), where, dirty, **{**extra, "batch": number})
+
+
+def merge_batch(spark: SparkSession, events: DataFrame, number: int, where: str, root: str, tags_where: str | None = None) -> Batch | None:
+    """One batch of a feed merged into the versioned catalog at `where`, and into the bindings (path, tag_id) at tags_where.
+
+    Renames count in sequence, tags follow. Bytes are written for the buckets that the batch
+    touches. The version keeps the batch's number: one that is there already is left out, so
+    a batch that is run again changes nothing. Tags are written first; if the job ends in
+    between, the next run does the rest.
+    """
+    held = versioned.current(spark, where)
+    if held is None:
+        raise ValueError(f"no catalog at {where}: scan first")
+    if held.get("batch", -1) >= number:
+        return None
+    catalog = versioned.read(spark, where, held)
+    batch = delta(catalog, events, root)
+    tags_held = versioned.current(spark, tags_where) if tags_where else None
+    if tags_held is not None and tags_held.get("batch", -1) < number:
+        bindings = versioned.read(spark, tags_where, tags_held)
+        moved = stored(moved_tags(bindings, batch), "moved-tags")
+        came = bindings.join(moved.where("to_path IS NOT NULL"), "path").select(F.col("to_path").alias("path"), "tag_id")
+        _patched(spark, tags_where, number, bindings, moved.select("path"), came, tags_held)
+    _patched(spark, where, number, catalog, batch.touched, batch.updated, held)
+    return batch
+
+
+def follow_catalog(
+    events: DataFrame, where: str, checkpoint: str, root: str, *, tags_where: str | None = None, trigger: dict | None = None, on_batch: Callable[[Batch, int], None] | None = None,
+) -> StreamingQuery:
+    """Keeps the catalog that rescan wrote at `where`, and its tags, up to date with a streaming frame of events.
+
+    on_batch gets what each batch made, once its version holds.
+    """
+
+    def step(frame: DataFrame, number: int) -> None:
+        rows = stored(frame, "events")
+        mine = same_epoch(rows, root)[0] if "root" in rows.columns else rows
+        batch = merge_batch(rows.sparkSession, mine, number, where, root, tags_where)
+        if batch is not None and on_batch is not None:
+            on_batch(batch, number)
+
+    return events.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(**(trigger or {"processingTime": DEBOUNCE})).start()
+
+
+def settled(found: DataFrame, gap: str = DEBOUNCE, late: str | None = None) -> DataFrame:
+    """path, start, end, kind, n_events: the bursts of effects on each path, over once more than `gap` passes without another one.
+
+    A burst ends `gap` after its last effect, whose kind it has. On a stream, with late: a
+    watermark; bursts come out when it has passed their end, and effects behind it are left
+    out and counted by the query's listener (numRowsDroppedByWatermark).
+    """
+    timed = found.withColumn("at", F.col("ts").cast("timestamp"))
+    timed = timed.withWatermark("at", late) if late else timed
+    order = F.struct("ts", "event_id", "step")
+    bursts = timed.groupBy("path", F.session_window("at", gap).alias("w")).agg(F.max_by("kind", order).alias("kind"), F.count("*").alias("n_events"))
+    return bursts.select("path", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "kind", "n_events")
+
+
+class FeedListener(StreamingQueryListener):
+    """Adds up what feeds did, by query id, and keeps it as a JSON file in the shared folder: counts go on after a restart.
+
+    batches, rows, late (dropped behind the watermark), failures, and milliseconds by phase of
+    the batches. A query id is its checkpoint's, so a restarted query goes on with its counts.
+    """
+
+    def __init__(self, spark: SparkSession, where: str):
+        self.spark, self.where = spark, where
+        self.counts: dict[str, dict] = {}
+
+    def _of(self, query_id) -> dict:
+        key = str(query_id)
+        if key not in self.counts:
+            body = text_file(self.spark, f"{self.where}/{key}.json")
+            self.counts[key] = json.loads(body) if body else {"batches": 0, "rows": 0, "late": 0, "failures": 0, "last_batch": -1, "last_error": None, "milliseconds": {}}
+        return self.counts[key]
+
+    def _keep(self, query_id) -> None:
+        put_text(self.spark, f"{self.where}/{query_id}.json", json.dumps(self._of(query_id)))
+
+    def onQueryStarted(self, event) -> None:
+        self._of(event.id)
+
+    def onQueryProgress(self, event) -> None:
+        p = event.progress
+        mine = self._of(p.id)
+        if p.batchId <= mine["last_batch"]:
+            return  # the same batch again, after a failure
+        mine["batches"], mine["rows"], mine["last_batch"] = mine["batches"] + 1, mine["rows"] + p.numInputRows, p.batchId
+        mine["late"] += sum(o.numRowsDroppedByWatermark for o in p.stateOperators)
+        for phase, ms in p.durationMs.items():
+            mine["milliseconds"][phase] = mine["milliseconds"].get(phase, 0) + ms
+        self._keep(p.id)
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        if event.exception:
+            mine = self._of(event.id)
+            mine["failures"], mine["last_error"] = mine["failures"] + 1, str(event.exception)[:500]
+            self._keep(event.id)
+
+
 def progress(query: StreamingQuery) -> list[dict]:
     """The query's recent batches: number, rows, rows a second, milliseconds."""
     return [{"batch": p["batchId"], "rows": p["numInputRows"], "rows_per_second": p["processedRowsPerSecond"], "milliseconds": p["batchDuration"]} for p in query.recentProgress]
