@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..sources.storage import stored
+from .prefix import running
 
 REQUEST_ASSETS, ASSET_TOKENS, PROMPT_TOKENS, CHARS_PER_TOKEN = 20, 150, 60, 4
 
@@ -101,20 +102,20 @@ def prompts(assets: DataFrame, tags: DataFrame, used: DataFrame, context: str, m
 def free_copy_name(wanted: DataFrame, existing: DataFrame) -> DataFrame:
     """path and copy: the first of `x copy`, `x copy 2`, ... beside each path that nothing has.
 
-    The numbers in use are read off the names beside it; the first gap is where their rank
-    and their value part.
+    Directory, stem and number are read off each existing name, so the join is by directory,
+    stem and extension, not by directory. The first gap is where a number and its rank part;
+    ranks are running counts over ranges, so neither a directory nor a stem is one task's.
     """
     name = text.base_name(F.col("path"))
-    asked = wanted.select("path").distinct().select("path", text.parent(F.col("path")).alias("d"), F.concat(text.stem(name), F.lit(" copy")).alias("begin"), text.dotted_extension(name).alias("dot"))
-    e = text.base_name(F.col("e"))
-    beside = existing.select(F.col("path").alias("e"), text.parent(F.col("path")).alias("d"))
-    tail = F.expr("substring(regexp_extract(e, '[^/]*$', 0), length(begin) + 1)")
-    middle = F.expr("substring(tail, 1, length(tail) - length(dot))")
-    near = asked.join(beside, "d").where(e.startswith(F.col("begin")) & e.endswith(F.col("dot"))).withColumn("tail", tail).withColumn("middle", middle)
-    number = F.when(F.col("middle") == "", F.lit(1).cast("long")).otherwise(F.regexp_extract("middle", r"^ ([1-9][0-9]*)$", 1).try_cast("long"))
-    taken = near.select("path", number.alias("k")).where("k = 1 AND middle = '' OR k > 1").select("path", "k").distinct()
-    ranked = taken.withColumn("r", F.row_number().over(Window.partitionBy("path").orderBy("k")).cast("long"))
-    free = ranked.groupBy("path").agg(F.coalesce(F.min(F.when(F.col("k") != F.col("r"), F.col("r"))), F.max("r") + 1).alias("k"))
+    key = ["d", "stem", "dot"]
+    asked = wanted.select("path").distinct().select("path", text.parent(F.col("path")).alias("d"), text.stem(name).alias("stem"), text.dotted_extension(name).alias("dot"))
+    beside = existing.select(text.parent(F.col("path")).alias("d"), F.regexp_extract(text.stem(name), r"^(?s)(.*) copy(?: [1-9][0-9]*)?$", 1).alias("stem"), text.dotted_extension(name).alias("dot"), text.stem(name).alias("whole"))
+    tail = F.expr("substring(whole, length(stem) + 6)")
+    number = F.when(tail == "", F.lit(1).cast("long")).otherwise(F.trim(tail).try_cast("long"))
+    taken = beside.where(F.col("whole").rlike(r"(?s) copy(?: [1-9][0-9]*)?$")).withColumn("k", number).where((F.col("k") > 1) | (tail == "")).select(*key, "k")
+    taken = taken.join(asked.select(*key).distinct(), key, "left_semi").distinct()
+    ranked = running(taken, key, [F.col("k")], {"r": F.lit(1).cast("long")})
+    free = ranked.groupBy(*key).agg(F.coalesce(F.min(F.when(F.col("k") != F.col("r"), F.col("r"))), F.max("r") + 1).alias("k"))
     at = F.coalesce("k", F.lit(1).cast("long"))
-    made = F.concat("d", F.lit("/"), "begin", F.when(at > 1, F.concat(F.lit(" "), at.cast("string"))).otherwise(""), "dot")
-    return asked.join(free, "path", "left").select("path", made.alias("copy"))
+    made = F.concat("d", F.lit("/"), "stem", F.lit(" copy"), F.when(at > 1, F.concat(F.lit(" "), at.cast("string"))).otherwise(""), "dot")
+    return asked.join(free, key, "left").select("path", made.alias("copy"))

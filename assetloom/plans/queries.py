@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import text
 from ..operators import analysis, browse, cross, engines, graph, history, rules, snapshot, stats, tagging
 from ..sources import catalog as src
-from ..sources import fsscan, rescan, storage
+from ..sources import fsscan, rescan, storage, versioned
 from ..streaming import watch
 from . import config
 
@@ -1006,9 +1006,7 @@ def fs_apply(spark, sf_dir):
 )
 def fs_rename_chains(spark, sf_dir):
     events = _events(spark, sf_dir)
-    paths = watch.effects(events, src.ROOT).select("path").distinct()
-    catalog = paths.select("path", F.regexp_extract("path", "[^/]*$", 0).alias("name"), F.lit("png").alias("extension"), F.lit(0).cast("long").alias("size"), F.lit(0).cast("long").alias("modified"), F.col("path").alias("origin"))
-    return watch.apply_batch(catalog, events, src.ROOT).catalog.select("path", "size", "origin")
+    return watch.apply_batch(_paths_catalog(events), events, src.ROOT).catalog.select("path", "size", "origin")
 
 
 @query(
@@ -1021,6 +1019,23 @@ def fs_quiet(spark, sf_dir):
     return watch.settled(watch.effects(_events(spark, sf_dir), src.ROOT), "1 hour").withColumns({c: F.col(c).cast("timestamp_ntz").cast("string") for c in ("start", "end")})
 
 
+def _paths_catalog(events: DataFrame) -> DataFrame:
+    paths = watch.effects(events, src.ROOT).select("path").distinct()
+    return paths.select("path", F.regexp_extract("path", "[^/]*$", 0).alias("name"), F.lit("png").alias("extension"), F.lit(0).cast("long").alias("size"), F.lit(0).cast("long").alias("modified"), F.col("path").alias("origin"))
+
+
+@query("fs_feed_catalog", SQL["fs_rename_chains"])
+def fs_feed_catalog(spark, sf_dir):
+    """The same by two batches of the live feed, on a catalog in buckets."""
+    events, where, n = _events(spark, sf_dir), storage.scratch(spark, "feed"), 16
+    versioned.replace_buckets(_paths_catalog(events).withColumn("_bucket", watch.bucket_of(F.col("path"), n)), where, list(range(n)), n_buckets=n)
+    half = events.agg(F.percentile_approx("event_id", 0.5).alias("x")).first()["x"]
+    first = F.col("ts") <= F.lit(events.where(F.col("event_id") == half).first()["ts"])
+    for number, part in enumerate((first, ~first)):
+        watch.merge_batch(spark, events.where(part), number, where, src.ROOT)
+    return versioned.read(spark, where).select("path", "size", "origin")
+
+
 @query("fs_epoch", f"WITH {_FEED}, r AS (SELECT *, CASE WHEN event_id % 9 = 0 THEN '/old' ELSE '/proj' END AS root FROM e) SELECT root, count(*) AS n_dropped FROM r WHERE root <> '/proj' GROUP BY ALL")
 def fs_epoch(spark, sf_dir):
     return watch.same_epoch(_events(spark, sf_dir).withColumn("root", F.when(F.col("event_id") % 9 == 0, "/old").otherwise("/proj")), src.ROOT)[1]

@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from assetloom.operators import prefix, stats
+from assetloom.operators import history, prefix, stats
 
 
 def test_running_totals_of_one_hot_key(spark):
@@ -32,3 +32,23 @@ def test_files_of_one_time_are_cut_by_path(spark):
     assert gone == [f"/p/{i:05}" for i in range(800)]
     parts = prefix.ranged(files, [F.col("modified")], 8).groupBy("_range").count().collect()
     assert len(parts) == 8 and max(r["count"] for r in parts) < 600
+
+
+def test_free_names_in_one_hot_directory(spark):
+    """Many files of one directory, many copies of one stem, and names that only look like copies."""
+    here = [f"/p/f{i}.png" for i in range(3000)] + ["/p/x.png", "/p/x copy", "/p/y", "/p/x copy copy.png", "/p/none.png"]
+    there = [f"/p/f{i} copy.png" for i in range(0, 3000, 3)] + [f"/p/f{i} copy 2.png" for i in range(0, 3000, 6)] + ["/p/x copy.png"] + [f"/p/x copy {k}.png" for k in range(2, 500) if k != 77] + ["/p/x copy 01.png", "/p/x copy 1.png", "/p/x copy x.png", "/p/y copy.png", "/q/none copy.png"]
+    names = set(here + there)
+    f = lambda rows: spark.createDataFrame([(r,) for r in rows], "path string")
+    got = {r["path"]: r["copy"] for r in history.free_copy_name(f(here + here[:5]), f(here + there)).collect()}
+
+    def first(path):
+        folder, name = path.rsplit("/", 1)
+        stem, dot, ext = name.rpartition(".") if "." in name else (name, "", "")
+        k = 1
+        while (made := f"{folder}/{stem} copy{f' {k}' if k > 1 else ''}{dot}{ext}") in names:
+            k += 1
+        return made
+
+    assert got == {p: first(p) for p in here}
+    assert got["/p/x.png"] == "/p/x copy 77.png" and got["/p/none.png"] == "/p/none copy.png"
