@@ -79,12 +79,12 @@ class Encoder:
         return out
 
     def counts(self, texts: list[str]) -> list[int]:
-        """How many ids each text has, by one batch call of the library that the file belongs to."""
+        """How many ids each text has, by one batch call (without offsets) of the library that the file belongs to."""
         if self._pieces is not None:
             return [len(x) for x in self._pieces.encode(texts, num_threads=1)]
         if self._slow is None:
             return [len(x) for x in self._fast.encode_ordinary_batch(texts, num_threads=1)]
-        return [len(e) for e in self._slow.encode_batch(texts, add_special_tokens=False)]
+        return [len(e) for e in self._slow.encode_batch_fast(texts, add_special_tokens=False)]
 
 
 def _rank_encoding(path: str):
