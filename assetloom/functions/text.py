@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -172,3 +174,52 @@ def name_problem(name: Column) -> Column:
         .when(name.rlike(r"[ .]$"), "ending")
         .when(F.upper(F.substring_index(name, ".", 1)).isin(RESERVED_STEMS), "reserved")
     )
+
+
+# The four words that a SipHash state begins with.
+_SIP = (0x736F6D6570736575, 0x646F72616E646F6D, 0x6C7967656E657261, 0x7465646279746573)
+
+
+def siphash(data: list[bytes], key: tuple[int, int] = (0, 0), rounds: tuple[int, int] = (1, 3)) -> np.ndarray:
+    """64-bit SipHash of each of the byte strings: (1, 3) or (2, 4) rounds a word and at the end. Works on all of them at a time."""
+    word = lambda x: np.uint64(x & 0xFFFFFFFFFFFFFFFF)
+    size = np.array([len(d) for d in data], np.int64)
+    words = size // 8 + 1  # the last one holds what is left and the length
+    block = np.zeros((len(data), 8 * int(words.max(initial=1))), np.uint8)
+    for i, d in enumerate(data):
+        block[i, : len(d)] = np.frombuffer(d, np.uint8)
+        block[i, 8 * words[i] - 1] = len(d) & 255
+    block = block.view("<u8")
+    v = [np.full(len(data), word(s ^ key[i % 2])) for i, s in enumerate(_SIP)]
+    turn = lambda x, n: (x << np.uint64(n)) | (x >> np.uint64(64 - n))
+
+    def mix(v: list[np.ndarray], n: int) -> list[np.ndarray]:
+        a, b, c, d = v
+        for _ in range(n):
+            a, c = a + b, c + d
+            b, d = turn(b, 13) ^ a, turn(d, 16) ^ c
+            a, c = turn(a, 32) + d, c + b
+            b, d = turn(b, 17) ^ c, turn(d, 21) ^ a
+            c = turn(c, 32)
+        return [a, b, c, d]
+
+    for w in range(block.shape[1]):
+        m, on = block[:, w], words > w
+        mixed = mix([v[0], v[1], v[2], v[3] ^ m], rounds[0])
+        mixed[0] = mixed[0] ^ m
+        v = [np.where(on, x, y) for x, y in zip(mixed, v, strict=True)]
+    v[2] = v[2] ^ word(255)
+    a, b, c, d = mix(v, rounds[1])
+    return a ^ b ^ c ^ d
+
+
+def seeded_rank(path: Column, seed: int = 0) -> Column:
+    """The rank of a path for a seed: SipHash-1-3 with a key of zeros over the seed (8 bytes, low first), the path and 0xFF, in unsigned order."""
+    head = (seed & 0xFFFFFFFFFFFFFFFF).to_bytes(8, "little")
+
+    @F.pandas_udf("long")
+    def ranks(paths: pd.Series) -> pd.Series:
+        hashes = siphash([head + (p or "").encode() + b"\xff" for p in paths])
+        return pd.Series((hashes ^ np.uint64(1 << 63)).view(np.int64))  # signed numbers then have the unsigned order
+
+    return ranks(path)

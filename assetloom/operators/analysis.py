@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..plans.config import RuleConfig
+from ..sources.storage import stored
 from . import cross, rules
 
 #: Order in which the parts of an analysis report.
@@ -26,9 +27,10 @@ def analyse(assets: DataFrame, c: RuleConfig = RuleConfig(), *, root: str = "/",
 
     Ignored assets have no issues of their own and take no part in sets, but their guids still
     count as known. A duplicate issue names the original and the first copy; the whole group is
-    in cross.duplicate_members, a row a copy. One lazy union; nothing is collected.
+    in cross.duplicate_members, a row a copy. The catalog is written down once, as every part
+    reads it; files may have hashes of their own (fsscan.duplicates). Nothing is collected.
     """
-    seen = rules.not_ignored(assets, c.ignore, root)
+    seen = stored(rules.not_ignored(assets, c.ignore, root), "catalog")
     parts = [(0, rules.asset_issues(seen, c))]
     if c.duplicate and files is not None:
         groups = cross.duplicates(rules.not_ignored(files, c.ignore, root))

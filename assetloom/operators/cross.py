@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text
 from ..plans.config import DccSource, PbrSet
 from ..sources.catalog import order_key
+from ..sources.storage import stored
 
 # Extensions of the sources of broken-reference reports, of the wider ones that make
 # an asset count as used, and the guids of built-in resources.
@@ -17,10 +18,18 @@ BUILTIN_GUIDS = ("0000000000000000e000000000000000", "0000000000000000f000000000
 
 
 def hashed(files: DataFrame) -> DataFrame:
-    """path, size, sha256 of the files (path, size, content) with a content.
+    """path, size, sha256 of the files (path, size, content) with a content, hashed once and stored.
 
-    Contents are hashed where they are read, so that only path and hash are shuffled.
+    Contents are hashed where they are read, so that only path and hash are shuffled. Files
+    that have a sha256 already, as by fsscan.duplicates (which reads only what sizes and starts
+    leave together), are taken as they are.
     """
+    if "sha256" in files.columns:
+        return files.where("sha256 IS NOT NULL").select("path", "size", "sha256")
+    return stored(_hashed(files), "hashes")
+
+
+def _hashed(files: DataFrame) -> DataFrame:
     return files.where("content IS NOT NULL").select("path", "size", F.sha2("content", 256).alias("sha256"))
 
 

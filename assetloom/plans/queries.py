@@ -526,6 +526,12 @@ over_assets(
 )
 
 
+@query("sampler_seeded")
+def sampler_seeded(spark, sf_dir):
+    """Picks in the order of the seeded rank; its hash has no form in SQL."""
+    return tagging.stratified_sample(assets(spark, sf_dir), 6, text.seeded_rank(F.col("path")))
+
+
 @query("tag_lookup", "SELECT '/proj/docs/' || doc_id AS path, array_to_string(list_sort(list_distinct(list('q' || quality))), ',') AS tags FROM labels WHERE quality = 1 GROUP BY doc_id")
 def tag_lookup(spark, sf_dir):
     bindings = table(spark, sf_dir, "labels").select(F.concat(F.lit("/proj/docs/"), F.col("doc_id")).alias("path"), F.col("quality").cast("long").alias("tag_id"))
@@ -896,7 +902,7 @@ def scan_tree(spark, sf_dir):
 def scan_copies(spark, sf_dir):
     root = _tree(spark, sf_dir)
     found = fsscan.duplicates(fsscan.listing(spark, root))
-    return found.where("path LIKE '%.obj'").select(F.substring("path", len(root) + 2, 1 << 30).alias("path"), "size")
+    return found.select(F.substring("path", len(root) + 2, 1 << 30).alias("path"), "size")
 
 
 def _rescanned(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:

@@ -103,7 +103,7 @@ def with_content(found: DataFrame, most: Column | None = None) -> DataFrame:
 
 
 def ignore_rules(spark: SparkSession, root: str, entries: DataFrame, global_text: str = "", parents: bool = True) -> DataFrame:
-    """Rules of the ignore files in a walk, of the repository's exclude list, of a global list, and of the directories above."""
+    """Rules of the ignore files in a walk, of the repository's exclude list, of a global list, and of the directories above. The files of the walk are read and parsed in tasks."""
     top, files = root.rstrip("/"), [(root.rstrip("/"), 0, global_text)]
     above = []
     for folder in ([top[:i] for i in range(1, len(top)) if top[i] == "/" and "://" not in top[i - 1 : i + 2]] if parents else []):
@@ -114,9 +114,13 @@ def ignore_rules(spark: SparkSession, root: str, entries: DataFrame, global_text
             files.append((folder, n, body.decode("utf-8", "replace")))
     name = text.base_name(F.col("path"))
     own = with_content(entries.where(name.isin(".gitignore", ".ignore") & ~F.col("is_dir")).select("path"))
-    for r in own.select("path", F.decode("content", "UTF-8").alias("body")).toLocalIterator():  # written by hand, and checked to be few
-        files.append((r["path"].rsplit("/", 1)[0], ignores.FILES.index(r["path"].rsplit("/", 1)[1]) + 1, r["body"] or ""))
-    return spark.createDataFrame(ignores.rules_of(files), ignores.RULES)
+
+    def rules(batches):
+        for batch in batches:
+            files = [(p.rsplit("/", 1)[0], ignores.FILES.index(p.rsplit("/", 1)[1]) + 1, (c or b"").decode("utf-8", "replace")) for p, c in zip(batch["path"], batch["content"], strict=True)]
+            yield pd.DataFrame(ignores.rules_of(files), columns=[c.split()[0] for c in ignores.RULES.split(", ")])
+
+    return spark.createDataFrame(ignores.rules_of(files), ignores.RULES).unionByName(own.mapInPandas(rules, ignores.RULES))
 
 
 def listing(spark: SparkSession, root: str, *, respect_ignores: bool = False, entries: DataFrame | None = None) -> DataFrame:

@@ -226,3 +226,22 @@ def test_requests_in_chunks_and_image_tokens(spark):
     assert got == {f"/p/{i:03}": i // 20 for i in range(95)}
     one = spark.createDataFrame([(750 * 10,), (10**7,)], "n long")
     assert [r[0] for r in one.select(history.image_tokens(F.col("n"), "area")).collect()] == [10, 1600]
+
+
+def test_seeded_ranks_are_siphash(spark):
+    """The published vector of SipHash-2-4, this interpreter's own SipHash-1-3 with a key of zeros, and picks in their order."""
+    import os
+    import subprocess
+    import sys
+
+    key = tuple(int.from_bytes(bytes(range(8 * i, 8 * i + 8)), "little") for i in range(2))
+    assert int(text.siphash([bytes(range(15))], key, (2, 4))[0]) == 0xA129CA6149BE45E5
+    paths = ["", "/p/a.png", "/p/\u00e9.png", "/p/" + "long/" * 40 + "x.wav", *(f"/p/d/{i}.png" for i in range(50))]
+    code = "import sys; assert sys.hash_info.algorithm == 'siphash13'; print([hash((7).to_bytes(8, 'little') + p.encode() + b'\\xff') % 2**64 for p in eval(sys.stdin.read())])"
+    want = eval(subprocess.run([sys.executable, "-c", code], input=repr(paths), env={**os.environ, "PYTHONHASHSEED": "0"}, capture_output=True, text=True, check=True).stdout)
+    rows = spark.createDataFrame([(p,) for p in paths], "path string")
+    got = {r["path"]: r["r"] for r in rows.select("path", text.seeded_rank(F.col("path"), 7).alias("r")).collect()}
+    assert [(got[p] + 2**63) % 2**64 for p in paths] == want
+    files = spark.createDataFrame([("/p/d", "texture", p) for p in paths[4:]], "dir string, asset_type string, path string")
+    picks = [r["path"] for r in tagging.stratified_sample(files, 5, text.seeded_rank(F.col("path"), 7)).orderBy("rn").collect()]
+    assert picks == sorted(paths[4:], key=lambda p: want[paths.index(p)])[:5]
