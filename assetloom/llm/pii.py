@@ -46,12 +46,14 @@ SPAN = "array<struct<s:int,k:int,e:int>>"
 
 @dataclass(frozen=True)
 class Bootstrap:
-    rounds: int = 3
     #: Distinct seeds that a pattern needs, the confidence that lets it mark values, and the
     #: instances of no kind that every pattern is taken to have beside its own.
     min_seeds: int = 3
     confidence: float = 0.8
     prior: float = 0.5
+    #: Characters of a marked value at least. The shortest identifiers of a base form have five
+    #: (`a@b.c`); a shorter one tells hardly anybody apart, and is most often a count or a unit.
+    min_chars: int = 4
 
 
 def _sql(pattern: str) -> str:
@@ -122,23 +124,26 @@ def confident_patterns(candidates: DataFrame, b: Bootstrap = Bootstrap()) -> Dat
     Edges are distinct (pattern, instance) pairs. A pattern's confidence for a kind is the sum
     of its instances' scores over their number plus the prior; a seed's score is 1, another
     instance's the best of its patterns'. Instances that reach the limit are the seeds of the
-    next round, and so make patterns eligible that no base span stands in. Sums are
-    pre-aggregated, so no pattern meets whole.
+    next round, and so make patterns eligible that no base span stands in. Scores only grow, so
+    rounds go on until one finds no new instance. Sums are pre-aggregated, so no pattern meets
+    whole.
     """
     edges = stored(candidates.groupBy("pattern", "value").agg(F.max("kind").alias("kind")), "pii-edges")
     sizes = stored(edges.groupBy("pattern").agg(F.count("*").alias("n")).where(F.col("n") >= b.min_seeds), "pii-sizes")
     gained = edges.where("kind IS NOT NULL").select("pattern", "kind", F.lit(1.0).alias("score"))
-    rated = None
-    for _ in range(b.rounds):
-        if rated is not None:
-            # (value, kind, score) of instances that are no base spans, found by confident patterns
-            scores = edges.where("kind IS NULL").select("pattern", "value").join(rated, "pattern").groupBy("value", "kind").agg(F.max("confidence").alias("score"))
-            found = stored(scores.where(F.col("score") >= b.confidence), "pii-instances")
-            gained = edges.where("kind IS NOT NULL").select("pattern", "kind", F.lit(1.0).alias("score"))
-            gained = gained.unionByName(edges.where("kind IS NULL").select("pattern", "value").join(found, "value").select("pattern", "kind", "score"))
+    known = 0
+    while True:
         sums = gained.groupBy("pattern", "kind").agg(F.sum("score").alias("sum"), F.count("*").alias("seeds")).where(F.col("seeds") >= b.min_seeds)
         rated = sizes.join(sums, "pattern").select("pattern", "kind", F.least(F.lit(1.0), F.col("sum") / (F.col("n") + F.lit(b.prior))).alias("confidence"))
         rated = stored(rated.where(F.col("confidence") >= b.confidence), "pii-patterns")
+        # (value, kind, score) of instances that are no base spans, found by confident patterns
+        scores = edges.where("kind IS NULL").select("pattern", "value").join(rated, "pattern").groupBy("value", "kind").agg(F.max("confidence").alias("score"))
+        found = stored(scores.where(F.col("score") >= b.confidence), "pii-instances")
+        before, known = known, found.count()
+        if known == before:
+            break
+        gained = edges.where("kind IS NOT NULL").select("pattern", "kind", F.lit(1.0).alias("score"))
+        gained = gained.unionByName(edges.where("kind IS NULL").select("pattern", "value").join(found, "value").select("pattern", "kind", "score"))
     return rated
 
 
@@ -154,7 +159,7 @@ def personal_data(docs: DataFrame, b: Bootstrap = Bootstrap(), *, id_col: str =
     found = stored(found, "pii-spans")
     each = found.select("id", "text_key", F.explode("cand").alias("c")).select("id", "text_key", "c.s", "c.e", "c.pattern", "c.value", "c.kind")
     patterns = confident_patterns(each.select("pattern", "value", "kind"), b).select("pattern", F.col("kind").alias("k"))
-    fresh = each.where("kind IS NULL AND e - s >= 4").join(patterns, "pattern").select(F.col("id").alias("f_id"), F.col("text_key").alias("f_key"), F.struct("s", F.col("k").cast("int").alias("k"), "e").alias("span"))
+    fresh = each.where(f"kind IS NULL AND e - s >= {b.min_chars}").join(patterns, "pattern").select(F.col("id").alias("f_id"), F.col("text_key").alias("f_key"), F.struct("s", F.col("k").cast("int").alias("k"), "e").alias("span"))
     fresh = fresh.groupBy("f_id", "f_key").agg(F.collect_set("span").alias("more"))
     rows = found.select("id", "text_key", "base").join(fresh, F.col("id").eqNullSafe(F.col("f_id")) & (F.col("text_key") == F.col("f_key")), "left")
     spans = F.when(F.col("more").isNull(), F.col("base")).otherwise(F.array_sort(F.concat("base", "more")))
