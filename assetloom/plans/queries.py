@@ -905,6 +905,22 @@ def scan_copies(spark, sf_dir):
     return found.select(F.substring("path", len(root) + 2, 1 << 30).alias("path"), "size")
 
 
+@query("gltf_counts", "SELECT p_partkey, CAST(6 * p_size + 7 AS BIGINT) AS vertex_count, CAST(2 * p_size + greatest(3 * p_size - 2, 0) AS BIGINT) AS face_count, CAST(p_partkey % 3 AS BIGINT) AS material_count FROM part WHERE p_partkey % 11 <> 0")
+def gltf_counts(spark, sf_dir):
+    """A model a part: text for even keys, the binary form for odd ones; every eleventh is cut short."""
+    doc = F.format_string(
+        '{"accessors": [{"count": %d}, {"count": %d}, {"count": 7}], "meshes": [{"primitives": [{"attributes": {"POSITION": 0}, "indices": 1}, {"attributes": {"POSITION": 0}, "mode": 5}]}, {"primitives": [{"attributes": {"POSITION": 2}, "mode": 1}]}], "materials": [%s], "asset": {"note": "\u00e9"}}',
+        3 * F.col("p_size"), 6 * F.col("p_size"), F.array_join(F.array_repeat(F.lit('{"name": "m"}'), (F.col("p_partkey") % 3).cast("int")), ", "),
+    )
+    body = F.encode(doc, "UTF-8")
+    size = F.lpad(F.hex(F.octet_length(body)), 8, "0")
+    length = F.unhex(F.concat(*(F.substring(size, i, 2) for i in (7, 5, 3, 1))))
+    binary = F.concat(F.lit(b"glTF\2\0\0\0\0\0\0\0"), length, F.lit(b"JSON"), body, F.lit(b"\0\1\2\3"))
+    content = F.when(F.col("p_partkey") % 11 == 0, body.substr(F.lit(1), F.lit(40))).when(F.col("p_partkey") % 2 == 0, body).otherwise(binary)
+    models = table(spark, sf_dir, "part").select("p_partkey", fsscan.gltf_metadata(content).alias("m"))
+    return models.where("m IS NOT NULL").select("p_partkey", "m.vertex_count", "m.face_count", "m.material_count")
+
+
 def _rescanned(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """The tree scanned, then changed (files removed, pictures and sidecars rewritten), then scanned again by what differs."""
     import os

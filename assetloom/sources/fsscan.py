@@ -159,6 +159,36 @@ def headers(found: DataFrame) -> DataFrame:
     return wanted.mapInPandas(run, T.StructType([T.StructField("path", T.StringType()), T.StructField("metadata", _META)]))
 
 
+GLTF = ("gltf", "glb")
+_GLTF_SCHEMA = "accessors array<struct<count:bigint>>, meshes array<struct<primitives:array<struct<attributes:struct<POSITION:int>,indices:int,mode:int>>>>, materials array<struct<name:string>>"
+
+
+def gltf_metadata(content: Column) -> Column:
+    """The metadata of a glTF file's bytes, in column expressions: the JSON text, or the JSON chunk of the binary form.
+
+    Vertices are the positions of all primitives; faces are a third of the corners of
+    triangles, two less than those of strips and fans, and none of points and lines. Null if the
+    text is no JSON, or a primitive has no positions or names an accessor that is not there.
+    """
+    size = F.conv(F.hex(F.concat(*(F.substring(content, i, 1) for i in (16, 15, 14, 13)))), 16, 10).cast("int")
+    body = F.when(F.substring(content, 1, 4) == F.lit(b"glTF"), content.substr(F.lit(21), size)).otherwise(content)
+    doc = F.from_json(F.decode(body, "UTF-8"), _GLTF_SCHEMA)
+    count = lambda d, i: F.get(d["accessors"], i)["count"]
+
+    def counted(d: Column) -> Column:
+        parts = F.flatten(F.transform(F.coalesce(d["meshes"], F.array().cast("array<struct<primitives:array<struct<attributes:struct<POSITION:int>,indices:int,mode:int>>>>")), lambda m: F.coalesce(m["primitives"], F.array().cast("array<struct<attributes:struct<POSITION:int>,indices:int,mode:int>>"))))
+        corners = lambda p: F.when(p["indices"].isNull(), count(d, p["attributes"]["POSITION"])).otherwise(count(d, p["indices"]))
+        mode = lambda p: F.coalesce(p["mode"], F.lit(4))
+        faces = lambda p: F.when(mode(p) == 4, F.floor(corners(p) / 3)).when(mode(p).isin(5, 6), F.when(corners(p) > 2, corners(p) - 2).when(corners(p).isNotNull(), 0)).when(corners(p).isNotNull(), 0).cast("long")
+        total = lambda of: F.aggregate(parts, F.lit(0).cast("long"), lambda x, p: x + of(p))
+        made = {"vertex_count": total(lambda p: count(d, p["attributes"]["POSITION"])), "face_count": total(faces), "material_count": F.size(F.coalesce(d["materials"], F.array().cast("array<struct<name:string>>"))).cast("long")}
+        whole = F.struct(*(made.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in _META.fields))
+        return F.when(made["vertex_count"].isNotNull() & made["face_count"].isNotNull(), whole)
+
+    is_json = F.try_parse_json(F.decode(body, "UTF-8")).isNotNull()
+    return F.get(F.transform(F.array(doc), counted), F.when(is_json, F.lit(0)).otherwise(F.lit(1)))
+
+
 def read_headers(found: DataFrame) -> DataFrame:
     """path and metadata of a listing's files (path, size) that have a header reader.
 
@@ -167,7 +197,8 @@ def read_headers(found: DataFrame) -> DataFrame:
     """
     ext = _extension()
     wanted = found.where(ext.isin(*READERS) & (~ext.isin(*WHOLE) | (F.col("size") <= MOST_BYTES))).select("path")
-    return headers(with_content(wanted, F.when(~ext.isin(*WHOLE), F.lit(HEAD_BYTES))))
+    models = with_content(wanted.where(ext.isin(*GLTF))).select("path", gltf_metadata(F.col("content")).alias("metadata"))
+    return headers(with_content(wanted.where(~ext.isin(*GLTF)), F.when(~ext.isin(*WHOLE), F.lit(HEAD_BYTES)))).unionByName(models)
 
 
 def obj_materials(found: DataFrame, wanted: DataFrame | None = None) -> DataFrame:

@@ -2,6 +2,8 @@ import json
 import struct
 import zlib
 
+from pyspark.sql import functions as F
+
 from assetloom.sources import fsscan, ignores, keep
 from assetloom.sources.headers import read_header
 
@@ -192,3 +194,20 @@ def test_roots_and_path_status(tmp_path):
     assert [fsscan.unity_project_root(p) for p in (game, f"{game}/Assets/Art", f"{game}/Other")] == [game, game, None]
     paths = [game, f"{tmp_path}/file", f"{tmp_path}/none", game]
     assert fsscan.path_status(paths) == [(game, "ok"), (paths[1], "not_a_directory"), (paths[2], "missing"), (game, "ok")]
+
+
+def test_gltf_columns_equal_the_reader(spark):
+    """Every topology, missing parts, and files that are no models: the expressions say what the reader of one file says."""
+    base = {"accessors": [{"count": n} for n in (9, 4, 3, 0)], "materials": [{}, {}]}
+    prim = lambda **p: {"meshes": [{"primitives": [p]}]}
+    docs = [base, *({**base, **prim(attributes={"POSITION": i}, mode=m, **x)} for i in range(4) for m in range(7) for x in ({}, {"indices": 1}, {"indices": 3})), {**base, **prim(attributes={"POSITION": 0})}, {**base, **prim(attributes={})}, {**base, **prim(attributes={"POSITION": 9})}, {"meshes": []}, {}]
+    bodies = [json.dumps(d).encode() for d in docs] + [b"", b"{", b"glTF", b"[1]"]
+    bodies += [b"glTF" + struct.pack("<II", 2, 0) + struct.pack("<I", len(b)) + b"JSON" + b + b"rest\xff" for b in bodies[:4]]
+    rows = spark.createDataFrame(list(enumerate(map(bytearray, bodies))), "k int, content binary").select("k", fsscan.gltf_metadata(F.col("content")).alias("m"))
+    got = {r["k"]: None if r["m"] is None else (r["m"]["vertex_count"], r["m"]["face_count"], r["m"]["material_count"]) for r in rows.collect()}
+    for k, b in enumerate(bodies):
+        if b == b"[1]":  # JSON, but no model: nothing to count
+            assert got[k] in (None, (0, 0, 0))
+            continue
+        m = read_header("gltf", b)
+        assert got[k] == (None if not m else (m["vertex_count"], m["face_count"], m["material_count"])), b[:200]
