@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 from ..functions import text
 from ..operators import analysis, browse, cross, engines, graph, history, rules, snapshot, stats, tagging
 from ..sources import catalog as src
-from ..sources import fsscan, rescan, storage, versioned
+from ..sources import fsscan, ignores, rescan, storage, versioned
 from ..streaming import watch
-from . import config
+from . import config, samples
 
 FOUND: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -905,6 +905,38 @@ def scan_copies(spark, sf_dir):
     return found.select(F.substring("path", len(root) + 2, 1 << 30).alias("path"), "size")
 
 
+_HEADERS = """SELECT p_partkey AS k, CAST(CASE WHEN n <> 7 THEN s END AS BIGINT) AS width, CAST(CASE n WHEN 0 THEN s + 1 WHEN 1 THEN s + 2 WHEN 2 THEN s + 3 WHEN 3 THEN s + 4 WHEN 4 THEN s + 4 WHEN 5 THEN s + 5 WHEN 6 THEN s + 6 WHEN 8 THEN s + 8 END AS BIGINT) AS height,
+    CASE WHEN n IN (0, 1) THEN true WHEN n = 2 THEN p_partkey % 3 > 0 WHEN n IN (3, 4, 8) THEN false END AS has_alpha, CAST(CASE WHEN n = 2 THEN greatest(s % 4, 1) END AS BIGINT) AS mipmap_count, CASE WHEN n IN (3, 4) THEN CASE WHEN p_partkey % 2 = 1 OR n = 4 THEN 'sRGB' ELSE 'Linear' END END AS color_space,
+    CASE n WHEN 5 THEN s / 2 WHEN 6 THEN s / 2 END AS duration_secs, CASE n WHEN 5 THEN 'V_VP9' WHEN 6 THEN 'avc1' END AS video_codec, CAST(CASE WHEN n = 7 THEN s + 2 END AS BIGINT) AS vertex_count, CAST(CASE WHEN n = 7 THEN s END AS BIGINT) AS face_count
+    FROM (SELECT *, p_partkey % 9 AS n, p_size AS s FROM part)"""
+
+
+@query("media_headers", _HEADERS)
+def media_headers(spark, sf_dir):
+    """A small file a part, of eight kinds, and what the header readers say of it."""
+
+    def write(batches):
+        for batch in batches:
+            made = [samples.media(int(k), int(s)) for k, s in zip(batch["p_partkey"], batch["p_size"], strict=True)]
+            yield batch.assign(path=[f"/m/{k}.{e}" for k, (e, _) in zip(batch["p_partkey"], made, strict=True)], content=[b for _, b in made])[["path", "content"]]
+
+    found = fsscan.headers(table(spark, sf_dir, "part").select("p_partkey", "p_size").mapInPandas(write, "path string, content binary"))
+    return found.select(F.regexp_extract("path", "([0-9]+)[.]", 1).cast("long").alias("k"), *(f"metadata.{c}" for c in ("width", "height", "has_alpha", "mipmap_count", "color_space", "duration_secs", "video_codec", "vertex_count", "face_count")))
+
+
+over_assets(
+    "ignore_matcher",
+    """SELECT path FROM a WHERE path NOT LIKE '%/Brand1/%' AND (extension <> 'tga' OR name LIKE '%1.tga') AND NOT starts_with(path, '/proj/SMALL/')""",
+    lambda a: ignores.kept(a.select("path"), ignores.matcher(a.sparkSession, src.ROOT, {".gitignore": "Brand1/\n*.tga\n!*1.tga\n"}, "/SMALL\n"), src.ROOT),
+)
+over_assets(
+    "sampler_clamped",
+    """, n AS (SELECT dir, asset_type, path, row_number() OVER (PARTITION BY dir, asset_type ORDER BY md5(path), path) AS rn FROM a)
+    SELECT dir, asset_type, path, rn FROM n QUALIFY row_number() OVER (PARTITION BY dir ORDER BY rn, asset_type) <= 3""",
+    lambda a: tagging.stratified_sample(a, 1, F.md5("path")),
+)
+
+
 @query("gltf_counts", "SELECT p_partkey, CAST(6 * p_size + 7 AS BIGINT) AS vertex_count, CAST(2 * p_size + greatest(3 * p_size - 2, 0) AS BIGINT) AS face_count, CAST(p_partkey % 3 AS BIGINT) AS material_count FROM part WHERE p_partkey % 11 <> 0")
 def gltf_counts(spark, sf_dir):
     """A model a part: text for even keys, the binary form for odd ones; every eleventh is cut short."""
