@@ -1,8 +1,9 @@
 """Operator 2: exact top-k inner products on an impact-ordered, score-at-a-time index.
 
-Vectors are dealt into blocks; a block's index cuts the components into segments by the
-quantised size of their value. A block of queries, cut in the same way, takes pairs of
-segments by descending impact, one array pass each. It stops when the bound on all that is
+Vectors are dealt into blocks; a block's index has, for each dimension, the rows in order of
+the size of their value, cut into segments by quantised size. A block of queries, cut in the
+same way, takes pairs of segments by descending impact: only a segment's own rows and queries
+are touched. It stops when the bound on all that is
 left proves that few vectors can still be among the best, and rescores exactly those. A first
 pass over about the square root of the blocks fixes each query's k-th score; the other blocks
 need only what can reach it, so the share of postings read falls as the rows grow.
@@ -20,30 +21,36 @@ from pyspark.sql import functions as F
 from .common import stored, table
 
 LEVELS = 32
-#: Segments by size of a block and of its queries; rows of a block that meet queries at a time.
-SEGMENTS, SUB_ROWS, SUB_QUERIES = 4, 4096, 512
+#: Posting segments of a dimension in a block and among its queries; rows of a block that meet
+#: queries at a time; how often the bound is looked at.
+SEGMENTS, QUERY_SEGMENTS, SUB_ROWS, SUB_QUERIES, LOOKS = 8, 4, 4096, 128, 16
 #: Vectors in an index block at least and at most, queries in a query block; the share of
 #: (query, vector) pairs that may be rescored.
 BLOCK_ROWS, MOST_ROWS, QUERY_ROWS, RESCORE = 4096, 32768, 8192, 1 / 64
 
 
-class Segments:
-    """Rows of integers as segments by descending size: part k holds the values at or above limit k."""
+class Postings:
+    """Rows of integers as posting segments: of each dimension the rows by descending size of their value, zeros left out.
 
-    def __init__(self, v: np.ndarray, kind: type):
-        size = np.abs(v)
-        width = max(1, -(-(int(size.max(initial=0)) + 1) // LEVELS))
-        level = size // width
-        # levels are joined into segments of about as many postings each, the zeros left out
-        held = np.bincount(level[size > 0], minlength=LEVELS)[::-1].cumsum()
-        share = held[-1] * np.arange(1, SEGMENTS + 1) / SEGMENTS
-        first = np.unique(LEVELS - 1 - np.searchsorted(held, share))[::-1]
-        self.parts, self.top, upper = [], [], LEVELS
-        for low in first.tolist():
-            self.parts.append(np.where((level >= low) & (level < upper), v, 0).astype(kind))
-            self.top.append(upper * width - 1)  # the largest size in the segment
-            upper = low
-        self.norms = np.stack([np.sqrt((p.astype(np.float64) ** 2).sum(axis=1)) for p in self.parts], axis=1)
+    A segment joins whole levels of quantised size, so that segments have about as many
+    postings each. rows and values of dimension d, segment j: [cuts[d][j] : cuts[d][j + 1]];
+    tops[d][j] is the largest size in it, and 0 after the last one.
+    """
+
+    def __init__(self, v: np.ndarray, kind: type, segments: int):
+        self.rows, self.values, self.cuts, self.tops = [], [], [], []
+        for d in range(v.shape[1]):
+            size = np.abs(v[:, d])
+            width = max(1, -(-(int(size.max(initial=0)) + 1) // LEVELS))
+            order = np.argsort(-size, kind="stable")[: int((size > 0).sum())]
+            border = np.flatnonzero(np.diff(size[order] // width)) + 1  # where a level begins
+            want = np.arange(1, segments) * len(order) // segments
+            inner = border[np.minimum(np.searchsorted(border, want), len(border) - 1)] if len(border) else border
+            cuts = np.unique(np.concatenate(([0], inner, [len(order)])))
+            self.rows.append(order)
+            self.values.append(v[order, d].astype(kind))
+            self.cuts.append(cuts)
+            self.tops.append(np.append(size[order[cuts[:-1]]] if len(order) else [], 0).astype(np.int64))
 
 
 class Index:
@@ -51,12 +58,13 @@ class Index:
 
     def __init__(self, ids: np.ndarray, v: np.ndarray):
         self.ids, self.v = ids, v
-        self.blocks: dict[type, list[tuple[int, Segments]]] = {}
+        self.blocks: dict[type, list[tuple[int, Postings]]] = {}
+        #: Postings read, and components that a plain product would read, for all queries so far.
         self.read = self.pairs = 0
 
-    def _segments(self, kind: type) -> list[tuple[int, Segments]]:
+    def _segments(self, kind: type) -> list[tuple[int, Postings]]:
         if kind not in self.blocks:
-            self.blocks[kind] = [(a, Segments(self.v[a : a + SUB_ROWS], kind)) for a in range(0, len(self.v), SUB_ROWS)]
+            self.blocks[kind] = [(a, Postings(self.v[a : a + SUB_ROWS], kind, SEGMENTS)) for a in range(0, len(self.v), SUB_ROWS)]
         return self.blocks[kind]
 
     def best(self, who: np.ndarray, q: np.ndarray, k: int, least: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -70,10 +78,10 @@ class Index:
         found = []
         for a in range(0, len(q), SUB_QUERIES):
             mine = slice(a, a + SUB_QUERIES)
-            asked = Segments(q[mine], kind)
+            asked = Postings(q[mine], kind, QUERY_SEGMENTS)
             known = None if least is None else least[mine].copy()
             for at, part in self._segments(kind):
-                query, rows, scores = _ranked(*self._possible(who[mine], q[mine], asked, at, part, k, known), k)
+                query, rows, scores = _ranked(*self._possible(who[mine], q[mine], asked, at, part, k, known, kind), k)
                 found.append((a + query, rows, scores))
                 # the k-th score of this part holds for the next ones
                 full = np.flatnonzero(query[k - 1 :] == query[: max(len(query) - k + 1, 0)])
@@ -84,39 +92,57 @@ class Index:
         query, rows, scores = _ranked(*(np.concatenate(x) for x in zip(*found, strict=True)), k)
         return who[query], self.ids[rows], scores
 
-    def _possible(self, who: np.ndarray, q: np.ndarray, asked: Segments, at: int, part: Segments, k: int, known: np.ndarray | None):
-        """Queries, rows and exact scores of the pairs of this part of the block that may be among the k best."""
-        v = self.v[at : at + len(part.norms)]
-        score = np.zeros((len(q), len(v)), part.parts[0].dtype)
+    def _possible(self, who: np.ndarray, q: np.ndarray, asked: Postings, at: int, part: Postings, k: int, known: np.ndarray | None, kind: type):
+        """Queries, rows and exact scores of the pairs of this part of the block that may be among the k best.
+
+        Pairs of a dimension's query segment and posting segment are taken by descending
+        product of their largest sizes. What is left for a query is at most, summed over the
+        dimensions, the size of its component times the largest size of a posting not yet read.
+        """
+        v = self.v[at : at + SUB_ROWS]
+        score = np.zeros((len(v), len(q)), kind)
         own = np.searchsorted(self.ids[at : at + len(v)], who)
         own_query = np.flatnonzero((own < len(v)) & (self.ids[at + np.minimum(own, len(v) - 1)] == who))
         own = own[own_query]
-        pairs = sorted(((x * y, i, j) for i, x in enumerate(asked.top) for j, y in enumerate(part.top)), reverse=True)
-        left = np.ones((len(asked.parts), len(part.parts)), bool)
-        self.pairs += score.size * len(pairs)
-        for n, (_, i, j) in enumerate(pairs, 1):
-            score += asked.parts[i] @ part.parts[j].T
-            left[i, j] = False
-            self.read += score.size
-            if n < len(pairs) and n < len(asked.parts):
-                continue  # the bound is of no use before
-            if n == len(pairs):
-                bound = None
-            else:  # what is left of a segment is at most the product of the norms (Cauchy-Schwarz)
-                rest = np.stack([np.sqrt((asked.norms[:, left[:, y]] ** 2).sum(axis=1)) for y in range(len(part.parts))], axis=1)
-                bound = (rest.astype(np.float32) @ part.norms.T.astype(np.float32)) * np.float32(1.0001) + 1
-            least = known
-            if least is None and len(v) > k + 1:
+        dims = q.shape[1]
+        pairs = sorted(((int(x) * int(y), d, i, j) for d in range(dims) for i, x in enumerate(asked.tops[d][:-1]) for j, y in enumerate(part.tops[d][:-1])), reverse=True)
+        # left[d, i]: the largest size of dimension d's postings that query segment i has not met; segment of each query
+        left = np.stack([np.full(QUERY_SEGMENTS + 1, part.tops[d][0], np.float64) for d in range(dims)]) if dims else np.zeros((0, 1))
+        segment = np.full((len(q), dims), QUERY_SEGMENTS)
+        for d in range(dims):
+            segment[asked.rows[d], d] = np.repeat(np.arange(len(asked.cuts[d]) - 1), np.diff(asked.cuts[d]))
+        size = np.abs(q).astype(np.float64)
+        self.pairs += score.size * dims
+        every, looked = max(1, len(pairs) // LOOKS), False
+        least, reach = known, None
+        for n, (_, d, i, j) in enumerate(pairs, 1):
+            rows, some = part.rows[d][part.cuts[d][j] : part.cuts[d][j + 1]], asked.rows[d][asked.cuts[d][i] : asked.cuts[d][i + 1]]
+            where = rows[:, None], some[None, :]
+            score[where] += part.values[d][part.cuts[d][j] : part.cuts[d][j + 1], None] * asked.values[d][None, asked.cuts[d][i] : asked.cuts[d][i + 1]]
+            left[d, i] = part.tops[d][j + 1]
+            self.read += len(rows) * len(some)
+            if n % every or n < len(pairs) // 4 or n == len(pairs):
+                continue
+            if known is None and len(v) > k + 1:
                 # k exact scores give a threshold; who can't reach it is out, by proof
                 seen = score.astype(np.float64)
-                seen[own_query, own] = -np.inf
-                likely = np.argpartition(seen, len(v) - k, axis=1)[:, len(v) - k :]
-                least = (v[likely] * q[:, None, :]).sum(axis=2).min(axis=1)
-            reach = np.ones(score.shape, bool) if least is None else score >= least[:, None] if bound is None else score + bound >= least[:, None]
-            reach[own_query, own] = False
-            if bound is None or reach.sum() <= max(k * len(q), RESCORE * reach.size):
+                seen[own, own_query] = -np.inf
+                likely = np.argpartition(seen, len(v) - k, axis=0)[len(v) - k :]
+                least = (v[likely] * q[None, :, :]).sum(axis=2).min(axis=0)
+            if least is None:
+                continue
+            bound = (size * left[np.arange(dims)[None, :], segment]).sum(axis=1)
+            reach = score + (bound * 1.0000001 + 1) >= least[None, :]
+            reach[own, own_query] = False
+            looked = True
+            if reach.sum() <= max(k * len(q), RESCORE * reach.size):
                 break
-        query, row = np.nonzero(reach)
+        else:
+            looked = False
+        if not looked:  # all is read: the scores are exact
+            reach = np.ones(score.shape, bool) if least is None else score >= least[None, :]
+            reach[own, own_query] = False
+        row, query = np.nonzero(reach)
         exact = np.empty(len(query), np.int64)
         for a in range(0, len(query), 1 << 16):
             exact[a : a + (1 << 16)] = (q[query[a : a + (1 << 16)]] * v[row[a : a + (1 << 16)]]).sum(axis=1)
