@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import text
 from ..operators import analysis, browse, cross, engines, graph, history, rules, snapshot, stats, tagging
 from ..sources import catalog as src
-from ..sources import fsscan, ignores, rescan, storage, versioned
+from ..sources import fsscan, gitstatus, ignores, rescan, storage, versioned
 from ..streaming import watch
 from . import config, samples
 
@@ -712,6 +712,19 @@ def status_flags(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", browse.status_of({k: F.col("o_orderkey") % n == 0 for k, n in reversed(_FLAGS.items())}).alias("status"))
 
 
+_XY = ["M ", " M", "MM", "A ", "AM", "??", "!!", " D", "D ", "R ", "UU", "AA", " T"]
+
+
+@query("git_statuses", f"""SELECT '/proj/o' || o_orderkey || '.png' AS path, ['modified', 'modified', 'modified', 'new', 'new', 'untracked', 'ignored', 'deleted', 'deleted', 'renamed', 'conflicted', 'conflicted', 'typechange'][o_orderkey % {len(_XY)} + 1] AS status FROM orders WHERE o_orderkey % 7 <> 0""")
+def git_statuses(spark, sf_dir):
+    """A line of a status listing an order, quoted for some; every seventh is of no known form."""
+    k = F.col("o_orderkey")
+    xy = F.element_at(F.array(*map(F.lit, _XY)), (k % len(_XY) + 1).cast("int"))
+    name = F.concat(F.when(k % 5 == 0, F.concat(F.lit('"'), F.lit("o"), k, F.lit('.png"'))).otherwise(F.concat(F.lit("o"), k, F.lit(".png"))))
+    line = F.when(k % 7 == 0, F.concat(F.lit("#"), name)).otherwise(F.concat(xy, F.lit(" "), F.when(xy == "R ", F.concat(F.lit("was"), k, F.lit(".png -> "))).otherwise(""), name))
+    return gitstatus.statuses(table(spark, sf_dir, "orders").select(line.alias("value")), src.ROOT)
+
+
 _YAML = "concat('%YAML guid: ffffffffffffffffffffffffffffffff', chr(10), '--- !u!1 &', p_partkey, chr(10), '  m: {fileID: ', p_partkey * 3, ', guid: ', upper(md5(CAST(p_size AS STRING))), ', type: ', p_partkey % 4, '}', chr(10), '--- !u!', CASE p_partkey % 3 WHEN 0 THEN '4' WHEN 1 THEN '114' ELSE '99999' END, ' &2', chr(10), '# guid: ', md5('x'), chr(10), 'guid: short', chr(10), 'n: {guid: ', md5('y'), '}')"
 
 
