@@ -1,6 +1,6 @@
 """Scanning a file tree: listing, ignore rules, headers, guids and engine texts.
 
-Directories are listed in Spark tasks, a level of the tree at a time, so hidden files, links
+Directories are listed in Spark tasks, which go down as far as they get, so hidden files, links
 and names that Spark's own file index leaves out (`_x`) are told apart here. Contents are
 read in tasks too: of the kinds that have a header reader, and only as much as it needs.
 Local folders and the stores that pyarrow knows (file, s3, gs, hdfs) can be scanned.
@@ -11,6 +11,7 @@ from __future__ import annotations
 import fnmatch
 import hashlib
 import os
+from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
@@ -27,8 +28,9 @@ from .storage import stored
 
 _META = T.StructType([T.StructField(k, {"long": T.LongType(), "boolean": T.BooleanType(), "double": T.DoubleType(), "float": T.FloatType(), "string": T.StringType()}[v]) for k, v in METADATA.items()])
 ENTRY = "path string, is_dir boolean, size long, modified long, modified_nanos long, error string"
-#: Directories of a task, and the first bytes that two files of one size are compared by.
-TASK_DIRS, PREFIX_BYTES = 200, 8192
+#: Directories that a task is given, entries after which it gives back what it has not opened,
+#: and the first bytes that two files of one size are compared by.
+TASK_DIRS, TASK_ENTRIES, PREFIX_BYTES = 200, 20_000, 8192
 
 
 def _store(path: str):
@@ -61,20 +63,41 @@ def _children(folder: str) -> Iterator[tuple]:
 
 
 def walk(spark: SparkSession, root: str) -> DataFrame:
-    """ENTRY of everything below root that is not hidden, and of ignore files; a row with an error for what can't be listed."""
+    """ENTRY of everything below root that is not hidden, and of ignore files; a row with an error for what can't be listed.
+
+    A task goes down the directories it was given, level by level, until it has listed about
+    TASK_ENTRIES entries; what it has not opened by then is dealt out anew. So the number of
+    jobs grows with the entries a task is left with, not with the depth of the tree, and a
+    large directory below a small one is not one task's.
+    """
+    names = [c.split()[0] for c in ENTRY.split(", ")]
 
     def run(batches):
         for batch in batches:
-            yield pd.DataFrame([row for folder in batch["path"] for row in _children(folder)], columns=[c.split()[0] for c in ENTRY.split(", ")])
+            waiting, rows, seen = deque(batch["path"]), [], 0
+            while waiting and seen < TASK_ENTRIES:
+                for row in _children(waiting.popleft()):
+                    name = row[0].rsplit("/", 1)[1]
+                    if name.startswith(".") and name not in (".gitignore", ".ignore") and row[5] is None:
+                        continue
+                    seen += 1
+                    rows.append((*row, False))
+                    if row[1]:
+                        waiting.append(row[0])
+                    if len(rows) >= 10_000:
+                        yield pd.DataFrame(rows, columns=[*names, "waiting"])
+                        rows = []
+            rows += [(folder, True, None, None, None, None, True) for folder in waiting]
+            yield pd.DataFrame(rows, columns=[*names, "waiting"])
 
     level, parts = spark.createDataFrame([(root.rstrip("/") or "/",)], "path string"), None
     while True:
-        tasks = max(1, -(-level.count() // TASK_DIRS))
-        found = level.repartition(min(tasks, 10_000)).mapInPandas(run, ENTRY)
-        name = text.base_name(F.col("path"))
-        found = stored(found.where(~name.startswith(".") | name.isin(".gitignore", ".ignore") | F.col("error").isNotNull()), "walk")
-        parts = found if parts is None else parts.unionByName(found)
-        level = found.where("is_dir").select("path")
+        n = level.count()
+        tasks = min(max(-(-n // TASK_DIRS), min(n, spark.sparkContext.defaultParallelism)), 10_000)
+        found = stored(level.repartition(max(tasks, 1)).mapInPandas(run, f"{ENTRY}, waiting boolean"), "walk")
+        entries = found.where("NOT waiting").drop("waiting")
+        parts = entries if parts is None else parts.unionByName(entries)
+        level = found.where("waiting").select("path")
         if level.isEmpty():
             return parts
 

@@ -211,3 +211,24 @@ def test_gltf_columns_equal_the_reader(spark):
             continue
         m = read_header("gltf", b)
         assert got[k] == (None if not m else (m["vertex_count"], m["face_count"], m["material_count"])), b[:200]
+
+
+def test_a_walk_takes_as_many_jobs_as_it_needs(spark, tmp_path, monkeypatch):
+    """A deep tree is one job; with few entries a task the same rows come from more of them."""
+    folder = tmp_path
+    for depth in range(30):
+        folder = folder / f"d{depth}"
+        folder.mkdir()
+        for i in range(3):
+            (folder / f"f{i}.png").write_bytes(b"x")
+        (folder / ".hidden").mkdir()
+        (folder / ".hidden" / "no.png").write_bytes(b"x")
+    (tmp_path / ".gitignore").write_text("")
+    jobs = []
+    real = fsscan.stored
+    monkeypatch.setattr(fsscan, "stored", lambda df, name: (jobs.append(name), real(df, name))[1])
+    rows = lambda: sorted((r["path"], r["is_dir"], r["size"]) for r in fsscan.walk(spark, str(tmp_path)).collect() if not r["is_dir"] or r["size"] is not None)
+    one = rows()
+    assert len(one) == 30 * 4 + 1 and len(jobs) == 1
+    monkeypatch.setattr(fsscan, "TASK_ENTRIES", 50)
+    assert rows() == one and 2 <= len(jobs) - 1 <= 4
