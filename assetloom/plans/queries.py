@@ -468,16 +468,16 @@ def snapshot_merge(spark, sf_dir):
 
 
 def _hourly(spark, sf_dir):
-    e = table(spark, sf_dir, "events").where("event_type IN ('error', 'signup')")
+    e = table(spark, sf_dir, "events")
     return e.select("event_type", "user_id", F.date_trunc("hour", "ts").cast("string").alias("hour"), F.concat(F.lit("/proj/e"), F.col("event_id")).alias("path"))
 
 
-@query("identity_match", """WITH e AS (SELECT event_type, user_id, CAST(date_trunc('hour', ts) AS VARCHAR) AS hour, '/proj/e' || event_id AS path FROM events WHERE event_type IN ('error', 'signup')),
-  g AS (SELECT user_id, hour, min(path) AS from_path FROM e WHERE event_type = 'error' GROUP BY ALL HAVING count(*) = 1), c AS (SELECT user_id, hour, min(path) AS to_path FROM e WHERE event_type = 'signup' GROUP BY ALL HAVING count(*) = 1)
+@query("identity_match", """WITH e AS (SELECT event_type, user_id, CAST(date_trunc('hour', ts) AS VARCHAR) AS hour, '/proj/e' || event_id AS path FROM events),
+  g AS (SELECT user_id, hour, min(path) AS from_path FROM e WHERE event_type IN ('error', 'purchase') GROUP BY ALL HAVING count(*) = 1), c AS (SELECT user_id, hour, min(path) AS to_path FROM e WHERE event_type NOT IN ('error', 'purchase') GROUP BY ALL HAVING count(*) = 1)
   SELECT user_id, hour, from_path, to_path FROM g JOIN c USING (user_id, hour)""")
 def identity_match(spark, sf_dir):
     e = _hourly(spark, sf_dir)
-    return snapshot.moved(e.where("event_type = 'error'"), e.where("event_type = 'signup'"), ("user_id", "hour"))
+    return snapshot.moved(e.where("event_type IN ('error', 'purchase')"), e.where("event_type NOT IN ('error', 'purchase')"), ("user_id", "hour"))
 
 
 over_assets(
@@ -600,12 +600,12 @@ _HUMAN = "CASE WHEN {0} < 1024 THEN {0} || ' B' WHEN {0} < 1048576 THEN printf('
 over_assets(
     "html_report",
     f""", {I}, k AS (SELECT upper(asset_type[1]) || asset_type[2:] AS type_name, count(*) AS n, CAST(sum(size) AS BIGINT) AS s FROM a GROUP BY ALL)
-    SELECT 0 AS part, '<!doctype html><meta charset=utf-8><h1>Assets</h1><p>Incomplete scan: 2 entries unread</p><p>' || ((SELECT count(*) FROM a) - (SELECT count(DISTINCT asset_path) FROM i)) || ' of ' || (SELECT count(*) FROM a) || ' files without issues</p>' AS html
-    UNION ALL SELECT 1, '<h2>Types</h2><table><tr><th>type</th><th>files</th></tr>' UNION ALL SELECT 2, {_ROW('type_name', 'n')} FROM k
-    UNION ALL SELECT 3, '<h2>Size by type</h2><table><tr><th>type</th><th>size</th></tr>' UNION ALL SELECT 4, {_ROW('type_name', _HUMAN.format('s'))} FROM k
-    UNION ALL SELECT 5, '<h2>Issues</h2><table><tr><th>rule</th><th>severity</th><th>path</th></tr>' UNION ALL SELECT 6, {_ROW('rule_id', 'severity', 'asset_path')} FROM (SELECT * FROM i ORDER BY rule_id, lower(asset_path), asset_path LIMIT 100)
-    UNION ALL SELECT 7, '<h2>Files</h2><table><tr><th>path</th><th>type</th><th>size</th></tr>' UNION ALL SELECT 8, {_ROW('path', 'asset_type', _HUMAN.format('size'))} FROM (SELECT * FROM a ORDER BY lower(path), path LIMIT 500)""",
-    lambda a: stats.html_report(a, _strict(a), unread=2).select("part", "html"),
+    SELECT part, html, row_number() OVER (PARTITION BY part ORDER BY o1, o2) AS place FROM (SELECT 0 AS part, '' AS o1, '' AS o2, '<!doctype html><meta charset=utf-8><h1>Assets</h1><p>Incomplete scan: 2 entries unread</p><p>' || ((SELECT count(*) FROM a) - (SELECT count(DISTINCT asset_path) FROM i)) || ' of ' || (SELECT count(*) FROM a) || ' files without issues</p>' AS html
+    UNION ALL SELECT 1, '', '', '<h2>Types</h2><table><tr><th>type</th><th>files</th></tr>' UNION ALL SELECT 2, printf('%020d', 1000000000000000000 - n), type_name, {_ROW('type_name', 'n')} FROM k
+    UNION ALL SELECT 3, '', '', '<h2>Size by type</h2><table><tr><th>type</th><th>size</th></tr>' UNION ALL SELECT 4, printf('%020d', 1000000000000000000 - s), type_name, {_ROW('type_name', _HUMAN.format('s'))} FROM k
+    UNION ALL SELECT 5, '', '', '<h2>Issues</h2><table><tr><th>rule</th><th>severity</th><th>path</th></tr>' UNION ALL SELECT 6, rule_id, lower(asset_path), {_ROW('rule_id', 'severity', 'asset_path')} FROM (SELECT * FROM i ORDER BY rule_id, lower(asset_path), asset_path LIMIT 100)
+    UNION ALL SELECT 7, '', '', '<h2>Files</h2><table><tr><th>path</th><th>type</th><th>size</th></tr>' UNION ALL SELECT 8, lower(path), path, {_ROW('path', 'asset_type', _HUMAN.format('size'))} FROM (SELECT * FROM a ORDER BY lower(path), path LIMIT 500))""",
+    lambda a: stats.html_report(a, _strict(a), unread=2).withColumn("place", F.row_number().over(Window.partitionBy("part").orderBy("ord")).cast("long")).drop("ord"),
 )
 
 
