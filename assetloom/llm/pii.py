@@ -46,6 +46,8 @@ SPAN = "array<struct<s:int,k:int,e:int>>"
 
 @dataclass(frozen=True)
 class Bootstrap:
+    #: Rounds at most; None: until one finds no new instance.
+    rounds: int | None = None
     #: Distinct seeds that a pattern needs, the confidence that lets it mark values, and the
     #: instances of no kind that every pattern is taken to have beside its own.
     min_seeds: int = 3
@@ -131,11 +133,14 @@ def confident_patterns(candidates: DataFrame, b: Bootstrap = Bootstrap()) -> Dat
     edges = stored(candidates.groupBy("pattern", "value").agg(F.max("kind").alias("kind")), "pii-edges")
     sizes = stored(edges.groupBy("pattern").agg(F.count("*").alias("n")).where(F.col("n") >= b.min_seeds), "pii-sizes")
     gained = edges.where("kind IS NOT NULL").select("pattern", "kind", F.lit(1.0).alias("score"))
-    known = 0
+    known, done = 0, 0
     while True:
         sums = gained.groupBy("pattern", "kind").agg(F.sum("score").alias("sum"), F.count("*").alias("seeds")).where(F.col("seeds") >= b.min_seeds)
         rated = sizes.join(sums, "pattern").select("pattern", "kind", F.least(F.lit(1.0), F.col("sum") / (F.col("n") + F.lit(b.prior))).alias("confidence"))
         rated = stored(rated.where(F.col("confidence") >= b.confidence), "pii-patterns")
+        done += 1
+        if done == b.rounds:
+            break
         # (value, kind, score) of instances that are no base spans, found by confident patterns
         scores = edges.where("kind IS NULL").select("pattern", "value").join(rated, "pattern").groupBy("value", "kind").agg(F.max("confidence").alias("score"))
         found = stored(scores.where(F.col("score") >= b.confidence), "pii-instances")

@@ -99,5 +99,5 @@ def test_pipeline_of_odd_tables(spark, tmp_path):
     assert corpus_pipeline.run(spark, f"{tmp_path}/few").collect() == []
 
 
-def test_the_registry_has_all_eleven():
-    assert sorted(int(n[2:].split("_")[0]) for n in registry.queries()) == list(range(1, 11)) and len(corpus_pipeline.STAGES) == 5
+def test_the_registry_has_all_operators_and_the_pipeline_its_stages():
+    assert sorted(int(n[2:].split("_")[0]) for n in registry.queries()) == list(range(1, 14)) and len(corpus_pipeline.STAGES) == 5
