@@ -46,7 +46,7 @@ SPAN = "array<struct<s:int,k:int,e:int>>"
 
 @dataclass(frozen=True)
 class Bootstrap:
-    #: Rounds at most; None: until one finds no new instance.
+    #: Rounds at most; None: until one finds no new instance and the scores stand.
     rounds: int | None = None
     #: Distinct seeds that a pattern needs, the confidence that lets it mark values, and the
     #: instances of no kind that every pattern is taken to have beside its own.
@@ -126,14 +126,14 @@ def confident_patterns(candidates: DataFrame, b: Bootstrap = Bootstrap()) -> Dat
     Edges are distinct (pattern, instance) pairs. A pattern's confidence for a kind is the sum
     of its instances' scores over their number plus the prior; a seed's score is 1, another
     instance's the best of its patterns'. Instances that reach the limit are the seeds of the
-    next round, and so make patterns eligible that no base span stands in. Scores only grow, so
-    rounds go on until one finds no new instance. Sums are pre-aggregated, so no pattern meets
-    whole.
+    next round, and so make patterns eligible that no base span stands in. Scores only grow, and
+    stay below 1, so rounds go on until one finds no new instance and the scores grow by less
+    than a millionth each. Sums are pre-aggregated, so no pattern meets whole.
     """
     edges = stored(candidates.groupBy("pattern", "value").agg(F.max("kind").alias("kind")), "pii-edges")
     sizes = stored(edges.groupBy("pattern").agg(F.count("*").alias("n")).where(F.col("n") >= b.min_seeds), "pii-sizes")
     gained = edges.where("kind IS NOT NULL").select("pattern", "kind", F.lit(1.0).alias("score"))
-    known, done = 0, 0
+    known, done = (0, 0.0), 0
     while True:
         sums = gained.groupBy("pattern", "kind").agg(F.sum("score").alias("sum"), F.count("*").alias("seeds")).where(F.col("seeds") >= b.min_seeds)
         rated = sizes.join(sums, "pattern").select("pattern", "kind", F.least(F.lit(1.0), F.col("sum") / (F.col("n") + F.lit(b.prior))).alias("confidence"))
@@ -144,8 +144,8 @@ def confident_patterns(candidates: DataFrame, b: Bootstrap = Bootstrap()) -> Dat
         # (value, kind, score) of instances that are no base spans, found by confident patterns
         scores = edges.where("kind IS NULL").select("pattern", "value").join(rated, "pattern").groupBy("value", "kind").agg(F.max("confidence").alias("score"))
         found = stored(scores.where(F.col("score") >= b.confidence), "pii-instances")
-        before, known = known, found.count()
-        if known == before:
+        before, known = known, tuple(found.agg(F.count("*"), F.coalesce(F.sum("score"), F.lit(0.0))).first())
+        if known[0] == before[0] and known[1] - before[1] <= 1e-6 * known[0]:
             break
         gained = edges.where("kind IS NOT NULL").select("pattern", "kind", F.lit(1.0).alias("score"))
         gained = gained.unionByName(edges.where("kind IS NULL").select("pattern", "value").join(found, "value").select("pattern", "kind", "score"))
