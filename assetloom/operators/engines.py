@@ -146,16 +146,20 @@ def sibling_textures(models: DataFrame, listed: DataFrame) -> DataFrame:
     """model, name (lower case), texture: for each name the first found in the directories around the model.
 
     The model's own directory, its usual texture directories, then those beside it. Of equal
-    names in one directory the first path counts.
+    names in one directory the first path counts. Models of one directory share their textures,
+    so these are found once a directory; only the last join makes a row for each model, and
+    nothing is sorted or sent after it. The sides grow with the tables: none is broadcast.
     """
-    folder = text.parent(F.col("path"))
+    here = text.parent(F.col("path"))
+    folder = F.col("folder")
     inside = [folder if not d else F.concat(folder, F.lit("/" + d)) for d in BESIDE]
-    up = text.parent(folder)
-    places = F.array(*inside, *(F.concat(up, F.lit("/" + d)) for d in ABOVE))
-    asked = models.select(F.col("path").alias("model"), F.posexplode(places).alias("rank", "dir"))
+    places = F.array(*inside, *(F.concat(text.parent(folder), F.lit("/" + d)) for d in ABOVE))
+    within = models.select(F.col("path").alias("model"), here.alias("folder")).distinct()
+    asked = within.select("folder").distinct().select("folder", F.posexplode(places).alias("rank", "dir"))
     name = text.base_name(F.col("path"))
-    textures = listed.where(F.lower(text.extension(name)).isin(*TEXTURE_EXTENSIONS)).select(F.col("path").alias("texture"), text.parent(F.col("path")).alias("dir"), F.lower(name).alias("name"))
-    return asked.join(textures, "dir").groupBy("model", "name").agg(F.min_by("texture", F.struct("rank", "texture")).alias("texture"))
+    textures = listed.where(F.lower(text.extension(name)).isin(*TEXTURE_EXTENSIONS)).groupBy(here.alias("dir"), F.lower(name).alias("name")).agg(F.min("path").alias("texture"))
+    found = asked.join(textures.hint("merge"), "dir").groupBy("folder", "name").agg(F.min_by("texture", "rank").alias("texture"))
+    return within.join(found.hint("merge"), "folder").select("model", "name", "texture")
 
 
 # --- plans and reports --------------------------------------------------------------------

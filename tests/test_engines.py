@@ -57,6 +57,17 @@ def test_sibling_textures_by_place(spark):
     assert got == {("bark.png", "/p/m/Textures/bark.PNG"), ("leaf.tga", "/p/textures/leaf.tga"), ("own.png", "/p/m/own.png")}
 
 
+
+def test_sibling_textures_are_found_once_a_directory(spark):
+    """Every model of a directory gets the same rows, no side is broadcast, and nothing is sorted by model and name."""
+    models = spark.createDataFrame([("/p/m/tree.fbx",), ("/p/m/oak.fbx",), ("/p/m/oak.fbx",)], "path string")
+    listed = spark.createDataFrame([("/p/m/A.png",), ("/p/m/a.png",), ("/p/m/tex/a.png",), ("/p/tex/no.png",)], "path string")
+    found = engines.sibling_textures(models, listed)
+    assert sorted(map(tuple, found.collect())) == [("/p/m/oak.fbx", "a.png", "/p/m/A.png"), ("/p/m/tree.fbx", "a.png", "/p/m/A.png")]
+    plan = found._jdf.queryExecution().sparkPlan().toString()
+    assert "Broadcast" not in plan and plan.count("SortMergeJoin") == 2
+
+
 def test_plans_and_reports(spark):
     s = spark.createDataFrame([("/a", "Tree", "kind", None), ("/b", "Tree", "kind", "new"), ("/x", "Tree", "kind", None), ("/a", "Old", "kind", "existing")], "path string, label string, category string, source string")
     accepted = s.select("path", "label", "category")
