@@ -72,6 +72,9 @@ def walk(spark: SparkSession, root: str) -> DataFrame:
     """
     names = [c.split()[0] for c in ENTRY.split(", ")]
 
+    def frame(rows):  # as objects: beside an empty cell pandas would make times floats, which round them to 256 nanoseconds
+        return pd.DataFrame(rows, columns=[*names, "waiting"], dtype=object)
+
     def run(batches):
         for batch in batches:
             waiting, rows, seen = deque(batch["path"]), [], 0
@@ -85,10 +88,10 @@ def walk(spark: SparkSession, root: str) -> DataFrame:
                     if row[1]:
                         waiting.append(row[0])
                     if len(rows) >= 10_000:
-                        yield pd.DataFrame(rows, columns=[*names, "waiting"])
+                        yield frame(rows)
                         rows = []
             rows += [(folder, True, None, None, None, None, True) for folder in waiting]
-            yield pd.DataFrame(rows, columns=[*names, "waiting"])
+            yield frame(rows)
 
     level, parts = spark.createDataFrame([(root.rstrip("/") or "/",)], "path string"), None
     while True:

@@ -1,4 +1,5 @@
 import json
+import os
 import struct
 import zlib
 
@@ -232,3 +233,14 @@ def test_a_walk_takes_as_many_jobs_as_it_needs(spark, tmp_path, monkeypatch):
     assert len(one) == 30 * 4 + 1 and len(jobs) == 1
     monkeypatch.setattr(fsscan, "TASK_ENTRIES", 50)
     assert rows() == one and 2 <= len(jobs) - 1 <= 4
+
+
+def test_times_are_exact_where_a_task_gives_directories_back(spark, tmp_path, monkeypatch):
+    """A task's last rows hold directories without times beside files with them."""
+    monkeypatch.setattr(fsscan, "TASK_ENTRIES", 2)
+    for i in range(4):
+        (tmp_path / f"d{i}").mkdir()
+        (tmp_path / f"f{i}.png").write_bytes(b"x")
+        os.utime(tmp_path / f"f{i}.png", ns=(1, 1_700_000_000_123_456_789 + i))
+    found = fsscan.listing(spark, str(tmp_path))
+    assert {(r["path"].rsplit("/", 1)[1], r["modified_nanos"]) for r in found.collect()} == {(f"f{i}.png", 1_700_000_000_123_456_789 + i) for i in range(4)}
