@@ -4,16 +4,22 @@ An act hits paths: a move what is at or below its old path, and what lies at its
 removal what is at or below its path; a write what lies at its path. A file goes from act to
 act. Moves of single paths are joined by pointer jumping, so a chain of any length takes
 about its logarithm in rounds; moves of directories are followed one by one.
+
+The joins are told to sort (hint "merge"): their sides grow with the batch or the catalog, and
+Spark takes the bytes of compressed files for their size, so it would broadcast many times the
+size that it means to.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import text
 from ..sources.storage import stored
 
+
 def ancestors(path: Column) -> Column:
     """The path and all directories above it."""
     parts = F.split(path, "/", -1)
@@ -33,15 +39,21 @@ def _next(states: DataFrame, hits: DataFrame) -> DataFrame:
     Times are looked up once for each different (hit path, time), so the files below a moved
     directory share one lookup.
     """
-    looked = states.select("path", "at", F.explode(ancestors(F.col("path"))).alias("h")).join(hits.select("h").distinct(), "h").withColumn("strict", F.col("h") != F.col("path"))
+    looked = states.select("path", "at", F.explode(ancestors(F.col("path"))).alias("h")).join(hits.select("h").distinct().hint("merge"), "h").withColumn("strict", F.col("h") != F.col("path"))
     asked = looked.select("h", "strict", "at").distinct()
     both = hits.select("h", F.explode(F.when(F.col("below"), F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))).alias("strict"), F.col("hit.at").alias("at"), "hit")
     rows = asked.select("h", "strict", "at", F.lit(None).cast(hits.schema["hit"].dataType).alias("hit")).unionByName(both)
     later = Window.partitionBy("h", "strict").orderBy(F.col("at").desc_nulls_last(), F.col("hit").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
     found = rows.withColumn("found", F.last("hit", ignorenulls=True).over(later)).where("hit IS NULL AND found IS NOT NULL").select("h", "strict", F.col("at").alias("k"), "found")
-    near = looked.join(found.withColumnRenamed("h", "fh").withColumnRenamed("strict", "fs"), (F.col("h") == F.col("fh")) & (F.col("strict") == F.col("fs")) & F.col("at").eqNullSafe(F.col("k")))
+    near = looked.join(found.withColumnRenamed("h", "fh").withColumnRenamed("strict", "fs").hint("merge"), (F.col("h") == F.col("fh")) & (F.col("strict") == F.col("fs")) & F.col("at").eqNullSafe(F.col("k")))
     first = near.groupBy(F.col("path").alias("p"), F.col("at").alias("a")).agg(F.min_by(F.struct("h", "strict", F.col("found").alias("hit")), "found.at").alias("n"))
-    return states.join(first, (F.col("path") == F.col("p")) & F.col("at").eqNullSafe(F.col("a")), "left").select(*states.columns, "n.h", "n.strict", "n.hit")
+    return states.join(first.hint("merge"), (F.col("path") == F.col("p")) & F.col("at").eqNullSafe(F.col("a")), "left").select(*states.columns, "n.h", "n.strict", "n.hit")
+
+
+def nothing(path: str, kind: T.StructType) -> Column:
+    """In place of a null `at` that is joined by: a value that no act has and that differs by path, so rows that look for nothing do not meet in one task."""
+    parts = {"step": F.lit(-1), "h": F.xxhash64(path)}
+    return F.struct(*(parts.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in kind.fields))
 
 
 def same_extension(a: Column, b: Column) -> Column:
@@ -73,7 +85,7 @@ def _walk(items: DataFrame, hits: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def _jumped(links: DataFrame) -> DataFrame:
     """links (e, nxt, stop, end_path, last, keep, size, modified) with every chain of nxt run to its end."""
-    links = stored(links, "links")
+    links, kind = stored(links, "links"), links.schema["e"].dataType
     while not links.where("stop = 'move'").isEmpty():
         on = links.select(*(F.col(c).alias(f"o_{c}") for c in links.columns))
         through = F.col("stop") == "move"
@@ -81,7 +93,7 @@ def _jumped(links: DataFrame) -> DataFrame:
         after = {c: F.when(through, F.col(f"o_{c}")).otherwise(F.col(c)) for c in ("stop", "end_path", "last")}
         after |= {"nxt": F.when(through, F.col("o_nxt")).otherwise(F.col("nxt")), "keep": F.when(through, F.col("keep") & F.col("o_keep")).otherwise(F.col("keep"))}
         after |= {c: F.when(through, over(c)).otherwise(F.col(c)) for c in ("size", "modified")}
-        links = stored(links.join(on, through & (F.col("nxt") == F.col("o_e")), "left").withColumns(after).select(*links.columns), "links")
+        links = stored(links.join(on.hint("merge"), F.when(through, F.col("nxt")).otherwise(nothing("end_path", kind)) == F.col("o_e"), "left").withColumns(after).select(*links.columns), "links")
     return links
 
 
@@ -100,28 +112,28 @@ def followed(catalog_paths: DataFrame, acts: DataFrame) -> tuple[DataFrame, Data
     land = acts.where("act = 'move'").select(F.lit("land").alias("kind"), F.col("at").alias("born"), F.col("to_path").alias("path"), "at")
     puts = acts.where("act = 'put'").select(F.lit("put").alias("kind"), F.col("at").alias("born"), "path", "at")
     # catalog paths that nothing hits are left out early: first hits are looked up by one distinct path list
-    touched = catalog_paths.select("path", F.explode(ancestors(F.col("path"))).alias("h")).join(hits.groupBy("h").agg(F.bool_or("below").alias("below")), "h")
+    touched = catalog_paths.select("path", F.explode(ancestors(F.col("path"))).alias("h")).join(hits.groupBy("h").agg(F.bool_or("below").alias("below")).hint("merge"), "h")
     cats = touched.where("path = h OR below").select("path").distinct().select(F.lit("cat").alias("kind"), none.alias("born"), "path", none.alias("at"))
     walked, folder_at = _walk(land.unionByName(puts).unionByName(cats), hits)
 
     moves = acts.where("act = 'move'").select(F.col("at").alias("m_at"), F.col("path").alias("m_from"), F.col("to_path").alias("m_to"), F.col("size").alias("m_size"), F.col("modified").alias("m_modified"))
-    landed = walked.where("kind = 'land'").join(moves, F.col("born") == F.col("m_at"))
+    landed = walked.where("kind = 'land'").join(moves.hint("merge"), F.col("born") == F.col("m_at"))
     links = landed.select(F.col("born").alias("e"), F.col("went").alias("nxt"), "stop", "end_path", "last", same_extension(F.col("m_from"), F.col("m_to")).alias("keep"), F.col("m_size").alias("size"), F.col("m_modified").alias("modified"))
     links = _jumped(links)
 
     through = F.col("stop") == "move"
     ends = links.select(F.col("e"), *(F.col(c).alias(f"l_{c}") for c in ("stop", "end_path", "last", "keep", "size", "modified")))
     pick = lambda own, then: F.when(through, F.col(f"l_{then}")).otherwise(own)
-    items = walked.where("kind <> 'land'").join(ends, through & (F.col("went") == F.col("e")), "left").select(
+    items = walked.where("kind <> 'land'").join(ends.hint("merge"), F.when(through, F.col("went")).otherwise(nothing("path", acts.schema["at"].dataType)) == F.col("e"), "left").select(
         "kind", F.col("path").alias("from_path"), "born", pick(F.col("end_path"), "end_path").alias("path"), pick(F.col("stop"), "stop").alias("fate"), pick(F.col("last"), "last").alias("last"), pick(F.lit(True), "keep").alias("keep"),
         pick(F.lit(None).cast("long"), "size").alias("size"), pick(F.lit(None).cast("long"), "modified").alias("modified"), through.alias("own"), (~F.col("end_path").eqNullSafe(F.col("path"))).alias("by_folder"))
     items = items.withColumn("went_away", F.col("own") | F.col("by_folder")).drop("by_folder")
     # a move without a file at its old path, and not of a directory: a file that came from elsewhere
-    real = walked.where("kind <> 'land'").unionByName(walked.where("kind = 'land'").join(folder_at, F.col("born") == F.col("folder_at"), "left_anti"))
+    real = walked.where("kind <> 'land'").unionByName(walked.where("kind = 'land'").join(folder_at.hint("merge"), F.col("born") == F.col("folder_at"), "left_anti"))
     carried = real.where("stop = 'move'").select(F.col("went").alias("c_at")).distinct()
-    come = links.join(folder_at, F.col("e") == F.col("folder_at"), "left_anti").join(carried, F.col("e") == F.col("c_at"), "left_anti").join(moves.select("m_at", "m_from"), F.col("e") == F.col("m_at"))
+    come = links.join(folder_at.hint("merge"), F.col("e") == F.col("folder_at"), "left_anti").join(carried.hint("merge"), F.col("e") == F.col("c_at"), "left_anti").join(moves.select("m_at", "m_from").hint("merge"), F.col("e") == F.col("m_at"))
     come = come.select(F.lit("move").alias("kind"), F.col("m_from").alias("from_path"), F.col("e").alias("born"), F.col("end_path").alias("path"), F.col("stop").alias("fate"), "last", F.lit(False).alias("keep"), "size", "modified", F.lit(True).alias("own"), F.lit(True).alias("went_away"))
-    folders = links.join(folder_at, F.col("e") == F.col("folder_at"), "left_semi").join(moves.select("m_at", "m_from"), F.col("e") == F.col("m_at"))
+    folders = links.join(folder_at.hint("merge"), F.col("e") == F.col("folder_at"), "left_semi").join(moves.select("m_at", "m_from").hint("merge"), F.col("e") == F.col("m_at"))
     return items.unionByName(come), folders.select(F.col("e").alias("at"), F.col("m_from").alias("from_path"), F.col("end_path").alias("path"), F.col("stop").alias("fate"))
 
 
@@ -137,5 +149,5 @@ def followed_bindings(paths: DataFrame, moves: DataFrame) -> DataFrame:
     items = paths.select(F.lit("tag").alias("kind"), none.alias("born"), "path", none.alias("at")).distinct().unionByName(acts.select(F.lit("land").alias("kind"), F.col("at").alias("born"), F.col("to_path").alias("path"), "at"))
     walked, _ = _walk(items, hits)
     links = _jumped(walked.where("kind = 'land'").select(F.col("born").alias("e"), F.col("went").alias("nxt"), "stop", "end_path", "last", F.lit(True).alias("keep"), null.alias("size"), null.alias("modified")))
-    tags = walked.where("kind = 'tag'").join(links.select("e", F.col("end_path").alias("l_path")), (F.col("stop") == "move") & (F.col("went") == F.col("e")), "left")
+    tags = walked.where("kind = 'tag'").join(links.select("e", F.col("end_path").alias("l_path")).hint("merge"), F.when(F.col("stop") == "move", F.col("went")).otherwise(nothing("path", acts.schema["at"].dataType)) == F.col("e"), "left")
     return tags.select(F.col("path").alias("from_path"), F.coalesce("l_path", "end_path").alias("to_path")).where("from_path <> to_path")

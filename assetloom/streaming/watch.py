@@ -21,7 +21,7 @@ from ..operators import stats
 from ..operators.snapshot import with_path
 from ..sources import versioned
 from ..sources.storage import put_text, stored, text_file
-from .renames import ancestors, followed, followed_bindings
+from .renames import ancestors, followed, followed_bindings, nothing
 
 DEBOUNCE = "500 milliseconds"
 STATE = "path string, size long, modified long"
@@ -178,7 +178,7 @@ def apply_batch(catalog: DataFrame, events: DataFrame, root: str) -> Batch:
     there is one of each; if there are several, their tags stay where they are. Tags follow the
     moves in order, but not one of a file whose old path has a file again at the end (an editor
     that saves safely). Only what the events hit is looked up; what a batch needs again is
-    written down once.
+    written down once. Nothing is broadcast: both sides of the joins grow with the tables.
     """
     return delta(stored(catalog, "catalog"), events, root)
 
@@ -189,7 +189,8 @@ def delta(catalog: DataFrame, events: DataFrame, root: str) -> Batch:
     found, folders = followed(catalog.select("path"), acts)
     written = acts.where("act = 'put'").select(F.col("at").alias("w_at"), F.col("size").alias("w_size"), F.col("modified").alias("w_modified"))
     old = catalog.select(F.col("path").alias("o_path"), F.struct(*(F.col(c) for c in catalog.columns)).alias("old"))
-    known = found.join(old, (F.col("kind") == "cat") & (F.col("from_path") == F.col("o_path")), "left").join(written, (F.col("kind") == "put") & (F.col("born") == F.col("w_at")), "left")
+    asked = F.when(F.col("kind") == "put", F.col("born")).otherwise(nothing("from_path", acts.schema["at"].dataType))
+    known = found.join(old.hint("merge"), (F.col("kind") == "cat") & (F.col("from_path") == F.col("o_path")), "left").join(written.hint("merge"), asked == F.col("w_at"), "left")
     known = known.withColumns({c: F.coalesce(c, F.when(F.col("keep"), F.coalesce(f"old.{c}", f"w_{c}"))) for c in ("size", "modified")}).withColumn("old", F.when(F.col("keep"), F.col("old")))
     known = stored(known, "known")
     seen = trackable(F.col("path"), root) & (text.extension(text.base_name(F.col("path"))) != "")
@@ -199,25 +200,25 @@ def delta(catalog: DataFrame, events: DataFrame, root: str) -> Batch:
     rows = stored(with_path(rows, F.col("path")).select(*catalog.columns), "rows")
     gone = known.where("kind = 'cat'").select(F.col("from_path").alias("path"))
     touched = stored(gone.unionByName(rows.select("path")).distinct(), "touched")
-    new = catalog.join(touched, "path", "left_anti").unionByName(rows)
+    new = catalog.join(touched.hint("merge"), "path", "left_anti").unionByName(rows)
     present = new.select("path")
 
     identity = ["name", "size", "modified"]
-    lost = known.where("kind = 'cat' AND fate = 'drop' AND NOT own").select("path", text.base_name(F.col("path")).alias("name"), "size", "modified").join(present, "path", "left_anti")
-    put = last.where("kind = 'put'").select("path").join(catalog.select("path"), "path", "left_anti").join(known.where("fate = 'put'").select("path"), "path", "left_anti")
-    come = rows.join(put, "path", "left_semi").select("path", text.base_name(F.col("path")).alias("name"), "size", "modified")
-    both = lost.groupBy(*identity).agg(F.count("*").alias("n_lost"), F.min("path").alias("from_path")).join(come.groupBy(*identity).agg(F.count("*").alias("n_come"), F.min("path").alias("to_path")), identity)
+    lost = known.where("kind = 'cat' AND fate = 'drop' AND NOT own").select("path", text.base_name(F.col("path")).alias("name"), "size", "modified").join(present.hint("merge"), "path", "left_anti")
+    put = last.where("kind = 'put'").select("path").join(catalog.select("path").hint("merge"), "path", "left_anti").join(known.where("fate = 'put'").select("path").hint("merge"), "path", "left_anti")
+    come = rows.join(put.hint("merge"), "path", "left_semi").select("path", text.base_name(F.col("path")).alias("name"), "size", "modified")
+    both = lost.groupBy(*identity).agg(F.count("*").alias("n_lost"), F.min("path").alias("from_path")).join(come.groupBy(*identity).agg(F.count("*").alias("n_come"), F.min("path").alias("to_path")).hint("merge"), identity)
     rejoined = both.where("n_lost = 1 AND n_come = 1").select("from_path", "to_path")
-    reap = lost.join(both, identity, "left_anti").select("path")
+    reap = lost.join(both.hint("merge"), identity, "left_anti").select("path")
 
     held = known.where("kind = 'cat'").select(F.explode(ancestors(F.col("from_path"))).alias("a"), "from_path").where("a <> from_path").select("a").distinct()
     first = folders.groupBy("from_path").agg(F.min_by(F.struct("path", "fate"), "at").alias("x")).select("from_path", F.col("x.path").alias("to_path"), F.col("x.fate").alias("fate"))
-    whole = first.where((F.col("fate") == "stay") & trackable(F.col("to_path"), root) & (F.col("from_path") != F.col("to_path"))).join(held, F.col("from_path") == F.col("a"), "left_semi").select("from_path", "to_path", F.lit(True).alias("is_dir"))
-    pairs = last.where("own AND from_path <> path").select("from_path", F.col("path").alias("to_path")).join(present, F.col("from_path") == F.col("path"), "left_anti")
+    whole = first.where((F.col("fate") == "stay") & trackable(F.col("to_path"), root) & (F.col("from_path") != F.col("to_path"))).join(held.hint("merge"), F.col("from_path") == F.col("a"), "left_semi").select("from_path", "to_path", F.lit(True).alias("is_dir"))
+    pairs = last.where("own AND from_path <> path").select("from_path", F.col("path").alias("to_path")).join(present.hint("merge"), F.col("from_path") == F.col("path"), "left_anti")
     renamed = whole.unionByName(pairs.unionByName(rejoined).distinct().withColumn("is_dir", F.lit(False)))
     away = known.where("kind = 'cat' AND went_away").select(F.col("from_path").alias("path"))
-    dropped = known.where("kind = 'cat' AND fate = 'drop' AND NOT went_away").select(F.col("from_path").alias("path")).join(present, "path", "left_anti")
-    moves = acts.where("act = 'move'").select("at", "path", "to_path").join(folders.select("at", F.lit(True).alias("folder")), "at", "left").join(present.withColumn("again", F.lit(True)), "path", "left")
+    dropped = known.where("kind = 'cat' AND fate = 'drop' AND NOT went_away").select(F.col("from_path").alias("path")).join(present.hint("merge"), "path", "left_anti")
+    moves = acts.where("act = 'move'").select("at", "path", "to_path").join(folders.select("at", F.lit(True).alias("folder")).hint("merge"), "at", "left").join(present.withColumn("again", F.lit(True)).hint("merge"), "path", "left")
     moves = moves.where("folder OR again IS NULL").select("at", "path", "to_path")
     return Batch(new, rows, away.unionByName(dropped).distinct(), renamed, reap, moves, rejoined, touched)
 
@@ -233,8 +234,8 @@ def moved_tags(bindings: DataFrame, batch: Batch) -> DataFrame:
     bound = bindings.select("path").distinct()
     went = followed_bindings(bound, batch.moves)
     again, reap = batch.rejoined.select(F.col("from_path").alias("at"), F.col("to_path").alias("again")), batch.reap.select(F.col("path").alias("reaped"))
-    at = bound.join(went.select(F.col("from_path").alias("path"), F.col("to_path").alias("went")), "path", "left").withColumn("at", F.coalesce("went", "path"))
-    at = at.join(again, "at", "left").withColumn("to_path", F.coalesce("again", "at")).join(reap.distinct(), F.col("to_path") == F.col("reaped"), "left")
+    at = bound.join(went.select(F.col("from_path").alias("path"), F.col("to_path").alias("went")).hint("merge"), "path", "left").withColumn("at", F.coalesce("went", "path"))
+    at = at.join(again.hint("merge"), "at", "left").withColumn("to_path", F.coalesce("again", "at")).join(reap.distinct().hint("merge"), F.col("to_path") == F.col("reaped"), "left")
     return at.select("path", F.when(F.col("reaped").isNull(), F.col("to_path")).alias("to_path")).where("NOT path <=> to_path")
 
 
@@ -244,7 +245,7 @@ def follow_tags(bindings: DataFrame, batch: Batch) -> DataFrame:
     What the new path already had stays, once.
     """
     moved = moved_tags(bindings, batch).withColumn("moves", F.lit(True))
-    return bindings.join(moved, "path", "left").select(F.when(F.col("moves"), F.col("to_path")).otherwise(F.col("path")).alias("path"), "tag_id").where("path IS NOT NULL").distinct()
+    return bindings.join(moved.hint("merge"), "path", "left").select(F.when(F.col("moves"), F.col("to_path")).otherwise(F.col("path")).alias("path"), "tag_id").where("path IS NOT NULL").distinct()
 
 
 def same_epoch(events: DataFrame, root: str) -> tuple[DataFrame, DataFrame]:
@@ -326,7 +327,7 @@ def _patched(spark: SparkSession, where: str, number: int, table: DataFrame, gon
     n = held["n_buckets"]
     paths = gone.select("path").unionByName(rows.select("path")).distinct()
     dirty = [r[0] for r in paths.select(bucket_of(F.col("path"), n).alias("b")).distinct().collect()]  # n_buckets at most
-    mine = table.withColumn("_bucket", bucket_of(F.col("path"), n)).where(F.col("_bucket").isin(dirty)).join(gone, "path", "left_anti")
+    mine = table.withColumn("_bucket", bucket_of(F.col("path"), n)).where(F.col("_bucket").isin(dirty)).join(gone.hint("merge"), "path", "left_anti")
     extra = {k: v for k, v in held.items() if k not in ("folders", "schema")}
     versioned.replace_buckets(mine.unionByName(rows.withColumn("_bucket", bucket_of(F.col("path"), n))).distinct(), where, dirty, **{**extra, "batch": number})
 
@@ -350,7 +351,7 @@ def merge_batch(spark: SparkSession, events: DataFrame, number: int, where: str,
     if tags_held is not None and tags_held.get("batch", -1) < number:
         bindings = versioned.read(spark, tags_where, tags_held)
         moved = stored(moved_tags(bindings, batch), "moved-tags")
-        came = bindings.join(moved.where("to_path IS NOT NULL"), "path").select(F.col("to_path").alias("path"), "tag_id")
+        came = bindings.join(moved.where("to_path IS NOT NULL").hint("merge"), "path").select(F.col("to_path").alias("path"), "tag_id")
         _patched(spark, tags_where, number, bindings, moved.select("path"), came, tags_held)
     _patched(spark, where, number, catalog, batch.touched, batch.updated, held)
     return batch

@@ -4,7 +4,9 @@ import random
 
 import pytest
 
-from assetloom.streaming import watch
+from pyspark.sql import functions as F
+
+from assetloom.streaming import renames, watch
 
 CATALOG = "path string, name string, extension string, size long, modified long, note string"
 EVENTS = "ts long, event_id long, kind string, path string, to_path string, size long, modified long"
@@ -144,3 +146,17 @@ def test_events_without_size(spark):
     events = spark.createDataFrame([(1, 1, "rename", "/p/a.png", "/p/b.png"), (1, 1, "rename", "/p/a.png", "/p/b.png")], "ts long, event_id long, kind string, path string, to_path string")
     b = watch.apply_batch(spark.createDataFrame(rows(["/p/a.png"]), CATALOG), events, "/p")
     assert [(r["path"], r["size"]) for r in b.catalog.collect()] == [("/p/b.png", 0)]
+
+
+def test_no_side_of_a_batch_is_broadcast(spark):
+    """Compressed files understate their rows, so small estimates must not choose the joins."""
+    catalog = spark.createDataFrame([("/p/a.png", "a.png", "png", 1, 1, "n"), ("/p/d/b.png", "b.png", "png", 2, 2, "n")], CATALOG)
+    events = spark.createDataFrame([(1, 1, "rename", "/p/d", "/p/e", None, None), (2, 2, "remove", "/p/a.png", None, None, None), (3, 3, "create", "/p/c.png", None, 5, 5)], EVENTS)
+    batch = watch.apply_batch(catalog, events, "/p")
+    tags = watch.follow_tags(spark.createDataFrame([("/p/d/b.png", "t"), ("/p/a.png", "u")], "path string, tag_id string"), batch)
+    plans = {n: f._jdf.queryExecution().sparkPlan().toString() for n, f in (("tags", tags), *((n, getattr(batch, n)) for n in ("catalog", "removed", "renamed", "reap", "moves", "rejoined")))}
+    assert not [n for n, plan in plans.items() if "Broadcast" in plan]
+    hits = renames._hits(watch.acts_of(events, "/p"))
+    states = catalog.select("path", F.lit(None).cast(hits.schema["hit"].dataType["at"].dataType).alias("at"))
+    assert "Broadcast" not in renames._next(states, hits)._jdf.queryExecution().sparkPlan().toString()
+    assert {tuple(r) for r in tags.collect()} == {("/p/e/b.png", "t")}
