@@ -189,30 +189,50 @@ GLTF = ("gltf", "glb")
 _GLTF_SCHEMA = "accessors array<struct<count:bigint>>, meshes array<struct<primitives:array<struct<attributes:struct<POSITION:int>,indices:int,mode:int>>>>, materials array<struct<name:string>>"
 
 
+def _bound(value: Column, of) -> Column:
+    """of(value), the value made once."""
+    return F.get(F.transform(F.array(value), of), F.lit(0))
+
+
 def gltf_metadata(content: Column) -> Column:
     """The metadata of a glTF file's bytes, in column expressions: the JSON text, or the JSON chunk of the binary form.
 
     Vertices are the positions of all primitives; faces are a third of the corners of
     triangles, two less than those of strips and fans, and none of points and lines. Null if the
     text is no JSON, or a primitive has no positions or names an accessor that is not there.
+    The bytes, the text and the parts are bound once each: used several times as expressions,
+    they would be made anew for every use.
     """
+    return _bound(content, lambda c: _bound(_gltf_text(c), _gltf_of_text))
+
+
+def _gltf_text(content: Column) -> Column:
     size = F.conv(F.hex(F.concat(*(F.substring(content, i, 1) for i in (16, 15, 14, 13)))), 16, 10).cast("int")
     body = F.when(F.substring(content, 1, 4) == F.lit(b"glTF"), content.substr(F.lit(21), size)).otherwise(content)
-    doc = F.from_json(F.decode(body, "UTF-8"), _GLTF_SCHEMA)
+    return F.decode(body, "UTF-8")
+
+
+def _gltf_of_text(body: Column) -> Column:
     count = lambda d, i: F.get(d["accessors"], i)["count"]
 
-    def counted(d: Column) -> Column:
-        parts = F.flatten(F.transform(F.coalesce(d["meshes"], F.array().cast("array<struct<primitives:array<struct<attributes:struct<POSITION:int>,indices:int,mode:int>>>>")), lambda m: F.coalesce(m["primitives"], F.array().cast("array<struct<attributes:struct<POSITION:int>,indices:int,mode:int>>"))))
-        corners = lambda p: F.when(p["indices"].isNull(), count(d, p["attributes"]["POSITION"])).otherwise(count(d, p["indices"]))
+    def parts_of(d: Column) -> Column:
+        return F.flatten(F.transform(F.coalesce(d["meshes"], F.array().cast("array<struct<primitives:array<struct<attributes:struct<POSITION:int>,indices:int,mode:int>>>>")), lambda m: F.coalesce(m["primitives"], F.array().cast("array<struct<attributes:struct<POSITION:int>,indices:int,mode:int>>"))))
+
+    def counted(x: Column) -> Column:
+        corners = lambda p: F.when(p["indices"].isNull(), count(x, p["attributes"]["POSITION"])).otherwise(count(x, p["indices"]))
         mode = lambda p: F.coalesce(p["mode"], F.lit(4))
         faces = lambda p: F.when(mode(p) == 4, F.floor(corners(p) / 3)).when(mode(p).isin(5, 6), F.when(corners(p) > 2, corners(p) - 2).when(corners(p).isNotNull(), 0)).when(corners(p).isNotNull(), 0).cast("long")
-        total = lambda of: F.aggregate(parts, F.lit(0).cast("long"), lambda x, p: x + of(p))
-        made = {"vertex_count": total(lambda p: count(d, p["attributes"]["POSITION"])), "face_count": total(faces), "material_count": F.size(F.coalesce(d["materials"], F.array().cast("array<struct<name:string>>"))).cast("long")}
-        whole = F.struct(*(made.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in _META.fields))
-        return F.when(made["vertex_count"].isNotNull() & made["face_count"].isNotNull(), whole)
+        total = lambda of: F.aggregate(x["parts"], F.lit(0).cast("long"), lambda n, p: n + of(p))
+        made = {"vertex_count": total(lambda p: count(x, p["attributes"]["POSITION"])), "face_count": total(faces), "material_count": x["materials"].cast("long")}
+        return F.struct(*(v.alias(n) for n, v in made.items()))
+
+    def whole(m: Column) -> Column:
+        row = F.struct(*((m[f.name] if f.name in ("vertex_count", "face_count", "material_count") else F.lit(None)).cast(f.dataType).alias(f.name) for f in _META.fields))
+        return F.when(m["vertex_count"].isNotNull() & m["face_count"].isNotNull(), row)
 
-    is_json = F.try_parse_json(F.decode(body, "UTF-8")).isNotNull()
-    return F.get(F.transform(F.array(doc), counted), F.when(is_json, F.lit(0)).otherwise(F.lit(1)))
+    read = lambda d: F.struct(d["accessors"].alias("accessors"), parts_of(d).alias("parts"), F.size(F.coalesce(d["materials"], F.array().cast("array<struct<name:string>>"))).alias("materials"))
+    found = _bound(F.from_json(body, _GLTF_SCHEMA), lambda d: _bound(read(d), lambda x: _bound(counted(x), whole)))
+    return F.when(F.try_parse_json(body).isNotNull(), found)
 
 
 def read_headers(found: DataFrame) -> DataFrame:

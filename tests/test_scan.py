@@ -5,6 +5,7 @@ import zlib
 
 from pyspark.sql import functions as F
 
+from assetloom.plans import queries
 from assetloom.sources import fsscan, ignores, keep
 from assetloom.sources.headers import read_header
 
@@ -244,3 +245,9 @@ def test_times_are_exact_where_a_task_gives_directories_back(spark, tmp_path, mo
         os.utime(tmp_path / f"f{i}.png", ns=(1, 1_700_000_000_123_456_789 + i))
     found = fsscan.listing(spark, str(tmp_path))
     assert {(r["path"].rsplit("/", 1)[1], r["modified_nanos"]) for r in found.collect()} == {(f"f{i}.png", 1_700_000_000_123_456_789 + i) for i in range(4)}
+
+
+def test_gltf_bytes_are_made_once_and_in_many_tasks(spark, sf_dir):
+    rows = spark.createDataFrame([("7B7D",)], "h string").select(fsscan.gltf_metadata(F.unhex("h")).alias("m"))
+    assert rows._jdf.queryExecution().analyzed().toString().count("unhex(") == 1 and rows.first()["m"]["vertex_count"] == 0
+    assert queries.gltf_counts(spark, sf_dir).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
