@@ -182,9 +182,14 @@ def unread_entries(warnings: DataFrame) -> DataFrame:
 
 
 def guarded_renames(plan: DataFrame, references: DataFrame) -> DataFrame:
-    """One row: changed names that other files refer to, and how many files do. plan: path, will_change; references: path, src_path."""
-    counts = references.select("path", "src_path").distinct().groupBy("path").agg(F.count("*").alias("n"))
-    return plan.where("will_change").select("path").distinct().join(counts, "path").agg(F.count("*").alias("n_renamed"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_files"))
+    """One row: changed names that other files refer to, and how many files do. plan: path, will_change; references: path, src_path.
+
+    Only references to changed names are sent, once, by path: repeats and counts need no other shuffle.
+    """
+    changed = plan.where("will_change").select("path")
+    rows = references.join(changed, "path", "left_semi").select("path", "src_path").repartition("path").distinct()
+    counts = rows.groupBy("path").agg(F.count("*").alias("n"))
+    return counts.agg(F.count("*").alias("n_renamed"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_files"))
 
 
 def learning_cost(requests: DataFrame, prices: DataFrame) -> DataFrame:

@@ -80,3 +80,12 @@ def test_plans_and_reports(spark):
     assert tuple(engines.guarded_renames(plan, refs).first()) == (1, 2)
     cost = engines.learning_cost(spark.createDataFrame([(1, "m", 4003, 10, 5), (2, "none", 4003, 10, 5)], "request_id long, model string, prompt_bytes long, n_samples long, n_tags long"), spark.createDataFrame([("m", 1_000_000, 5_000_000)], "model string, input_per_m long, output_per_m long"))
     assert {tuple(r) for r in cost.collect()} == {(1, 1000, 1150, 1), (2, 0, 0, 0)}
+
+
+def test_guarded_renames_send_references_to_changed_names_only(spark):
+    plan = spark.createDataFrame([("/a", True), ("/b", False)], "path string, will_change boolean")
+    refs = spark.createDataFrame([("/a", "/s1"), ("/a", "/s2"), ("/a", "/s1"), ("/b", "/s1")], "path string, src_path string")
+    found = engines.guarded_renames(plan, refs)
+    assert tuple(found.first()) == (1, 2)
+    sent = [x for x in found._jdf.queryExecution().executedPlan().toString().split("\n") if "hashpartitioning(" in x]
+    assert sent and not [x for x in sent if "src_path" in x.split("hashpartitioning(")[1].split(")")[0]]  # by path alone, so counts need no other shuffle
