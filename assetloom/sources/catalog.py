@@ -30,7 +30,8 @@ def catalog(listing: DataFrame) -> DataFrame:
     """
     name = text.base_name(F.col("path"))
     rows = listing.withColumns({"name": name, "dir": text.parent(F.col("path")), "extension": text.extension(name)})
-    rows = rows.where((F.col("extension") != "") & ~text.is_sidecar(F.col("name")))
+    # on one bound name: the terms of a filter are moved below the columns, and each would make the name anew
+    rows = rows.where(F.exists(F.array("name"), lambda n: (text.extension(n) != "") & ~text.is_sidecar(n)))
     if "metadata" not in rows.columns:
         rows = rows.withColumn("metadata", F.lit(None).cast("struct<" + ",".join(f"{k}:{v}" for k, v in METADATA.items()) + ">"))
     if "unity_guid" not in rows.columns:
@@ -60,8 +61,8 @@ def _pick(items: list, index: str, duck: bool) -> str:
 def _asset_columns(duck: bool) -> dict[str, str]:
     k, g = "p_partkey", "p_partkey // 7" if duck else "p_partkey div 7"
     pick = lambda items, index: _pick(items, index, duck)
-    ext = pick(EXTENSIONS, f"({k} % 7 + ({g})) % 17")
-    kind = f"CASE WHEN {ext} IN ('psd', 'png', 'tga', 'jpg', 'dds') THEN 't' WHEN {ext} IN ('blend', 'fbx', 'ma', 'obj') THEN 'm' WHEN {ext} IN ('wav', 'mp3') THEN 'a' ELSE 'o' END"
+    ext = pick(EXTENSIONS, f"({k} % 7 + ({g})) % 17") if duck else "_ext"
+    kind = "_kind" if not duck else f"CASE WHEN {ext} IN ('psd', 'png', 'tga', 'jpg', 'dds') THEN 't' WHEN {ext} IN ('blend', 'fbx', 'ma', 'obj') THEN 'm' WHEN {ext} IN ('wav', 'mp3') THEN 'a' ELSE 'o' END"
     side = pick([1 << i for i in range(13)], "p_size % 13")
     group = f"({g})"
     deep = f"CASE WHEN {k} % 7 = 3 AND {group} % 2 = 0 THEN '/src' ELSE '' END"
@@ -90,9 +91,18 @@ def _asset_columns(duck: bool) -> dict[str, str]:
 
 
 def asset_view(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """`part` as a catalog; every path is of its own at any scale."""
+    """`part` as a catalog; every path is of its own at any scale.
+
+    A few columns of `part` are a small file, whatever it takes to make a catalog of them, so
+    the keys are dealt out before the work; `inline` keeps filters over made columns, such as
+    the one of `catalog`, from being moved below that. Extension and kind are made once a row.
+    """
     cols = _asset_columns(False)
-    plain = spark.read.parquet(f"{sf_dir}/part.parquet").selectExpr(*(f"{v} AS {c}" for c, v in cols.items()))
+    keys = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", "p_size", "p_retailprice").repartition(4 * spark.sparkContext.defaultParallelism, "p_partkey")
+    keys = keys.selectExpr("inline(array(struct(p_partkey, p_size, p_retailprice)))")
+    made = keys.selectExpr("*", f"{_pick(EXTENSIONS, '(p_partkey % 7 + (p_partkey div 7)) % 17', False)} AS _ext")
+    made = made.selectExpr("*", "CASE WHEN _ext IN ('psd', 'png', 'tga', 'jpg', 'dds') THEN 't' WHEN _ext IN ('blend', 'fbx', 'ma', 'obj') THEN 'm' WHEN _ext IN ('wav', 'mp3') THEN 'a' ELSE 'o' END AS _kind")
+    plain = made.selectExpr(*(f"{v} AS {c}" for c, v in cols.items()))
     known = [F.col(c).alias(c) if c in cols else F.lit(None).cast(t).alias(c) for c, t in METADATA.items()]
     listing = plain.select("path", "size", "modified", "unity_guid", F.when(F.col("has_meta"), F.struct(*known)).alias("metadata"))
     return catalog(listing)

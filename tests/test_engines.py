@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from assetloom.operators import engines
 from assetloom.sources import fsscan
-from assetloom.sources.catalog import catalog
+from assetloom.sources.catalog import asset_view, catalog
 
 
 def paths(spark, *names):
@@ -89,3 +89,11 @@ def test_guarded_renames_send_references_to_changed_names_only(spark):
     assert tuple(found.first()) == (1, 2)
     sent = [x for x in found._jdf.queryExecution().executedPlan().toString().split("\n") if "hashpartitioning(" in x]
     assert sent and not [x for x in sent if "src_path" in x.split("hashpartitioning(")[1].split(")")[0]]  # by path alone, so counts need no other shuffle
+
+
+def test_keys_of_the_view_are_dealt_out_before_the_work(spark, sf_dir):
+    """Filters over made columns, too, come after: below the exchange they would be one task's."""
+    plan = asset_view(spark, sf_dir).select("path")._jdf.queryExecution().optimizedPlan().toString()
+    above, below = plan.split("RepartitionByExpression")
+    assert "Filter" in above and "Filter" not in below and "substring_index" not in below
+    assert asset_view(spark, sf_dir).rdd.getNumPartitions() == 4 * spark.sparkContext.defaultParallelism
