@@ -96,21 +96,27 @@ def segments(data: np.ndarray, offsets: np.ndarray, length: int, grams: np.ndarr
     if len(data) < length:
         return tuple(np.empty(0, t) for t in (np.int64, np.int64, np.int64, np.uint64))
     least = _sliding_min(grams, length - GRAM + 1)
-    text = np.repeat(np.arange(len(size)), size)
-    here = np.flatnonzero(text[: len(least)] == text[length - 1 :])
-    if not len(here):
+    # the strings of a text begin from its start up to a stop; a stop ends the run before it
+    own = size >= length
+    begin, stop = offsets[:-1][own], offsets[1:][own] - length + 1
+    if not len(begin):
         return segments(data[:0], offsets[:1], length, grams)
-    least, text = least[here], text[here]
-    new = np.ones(len(here), bool)
-    new[1:] = (least[1:] != least[:-1]) | (here[1:] != here[:-1] + 1) | (text[1:] != text[:-1])
-    first = np.flatnonzero(new)
-    windows = np.diff(np.append(first, len(here)))
+    cut = np.zeros(len(least) + 1, bool)
+    cut[1:-1] = least[1:] != least[:-1]
+    gap = np.append(0, stop)
+    cut[ragged(gap, np.append(begin, len(cut)) - gap)] = False
+    cut[begin] = True
+    cut[stop] = True
+    first = np.flatnonzero(cut)
+    runs = np.ones(len(first), bool)
+    runs[np.searchsorted(first, stop)] = False
+    windows = np.diff(first, append=0)[runs]
+    first = first[runs]
     if windows.max() > _MOST_WINDOWS:
         cuts = -(-windows // _MOST_WINDOWS)
-        first = ragged(np.zeros(len(cuts), np.int64), cuts) * _MOST_WINDOWS + np.repeat(first, cuts)
-        windows = np.diff(np.append(first, len(here)))
-    starts, nbytes = here[first], windows + length - 1
-    return text[first], starts, nbytes, least[first]
+        step = ragged(np.zeros(len(cuts), np.int64), cuts) * _MOST_WINDOWS
+        first, windows = np.repeat(first, cuts) + step, np.minimum(np.repeat(windows, cuts) - step, _MOST_WINDOWS)
+    return np.searchsorted(offsets, first, "right") - 1, first, windows + length - 1, least[first]
 
 
 def _minimiser_places(grams: np.ndarray, starts: np.ndarray, least: np.ndarray, length: int) -> np.ndarray:
@@ -125,9 +131,9 @@ def _minimiser_places(grams: np.ndarray, starts: np.ndarray, least: np.ndarray,
 
 
 class _Bucket:
-    """The texts of a bucket as one buffer, with their segments; minimisers sorted by part and value."""
+    """The texts of a bucket as one buffer, with their segments; minimisers sorted by part and value. Their places in the segments only if wanted."""
 
-    def __init__(self, table: pa.Table, text_col: str, parts: int, length: int):
+    def __init__(self, table: pa.Table, text_col: str, parts: int, length: int, places: bool = True):
         none = np.empty(0, np.int64)
         ids, keys, data, found = [none], [none], [np.empty(0, np.uint8)], [(none, none, none, none, none.astype(np.uint64), none.astype(np.uint64), none)]
         texts = filled = 0
@@ -138,7 +144,7 @@ class _Bucket:
                     raw, offsets = flat_bytes(part.column(text_col))
                     grams = gram_hashes(raw)
                     text, start, size, least = segments(raw, offsets, length, grams)
-                    found.append((text + texts, start - offsets[text], start + filled, size, least, range_hashes(grams, start, size), _minimiser_places(grams, start, least, length)))
+                    found.append((text + texts, start - offsets[text], start + filled, size, least, range_hashes(grams, start, size), _minimiser_places(grams, start, least, length) if places else none))
                     ids.append(part.column("_id").to_numpy())
                     keys.append(part.column("_key").to_numpy())
                     data.append(raw)
@@ -172,7 +178,7 @@ def _counted(packed: DataFrame, text_col: str, parts: int, length: int) -> DataF
     """(bucket, blob of documents) to (part, bucket, hashes, several, contents): a bucket's minimisers by part."""
 
     def run(group: pa.Table) -> pa.Table:
-        bucket, out = _Bucket(group, text_col, parts, length), []
+        bucket, out = _Bucket(group, text_col, parts, length, places=False), []
         several, contents = bucket.several(), np.minimum(bucket.contents(), 0xFFFF).astype(np.uint16)
         for p in np.flatnonzero(np.diff(bucket.cuts)).tolist():
             mine = bucket.order[bucket.cuts[p] : bucket.cuts[p + 1]]
@@ -298,13 +304,23 @@ def suffix_order(symbol: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """
     n = len(symbol)
     have = 7
-    key = np.zeros(n, np.int64)
-    padded = np.concatenate((symbol, np.zeros(have, np.int64)))
-    live = np.ones(n, np.int64)
-    for j in range(have):
-        now = padded[j : j + n] * live
-        key = (key << 9) | now
-        live = (now > 0).astype(np.int64)
+    # seven symbols as one key, none after a text's end, from keys of one, two and four
+    one, alive = symbol, symbol > 0
+
+    def joined(a: np.ndarray, on: np.ndarray, b: np.ndarray, gone: int, bits: int) -> np.ndarray:
+        out, m = a << bits, max(n - gone, 0)
+        out[:m] |= np.where(on[:m], b[gone:], 0)
+        return out
+
+    def both(on: np.ndarray, b: np.ndarray, gone: int) -> np.ndarray:
+        out, m = np.zeros(n, bool), max(n - gone, 0)
+        out[:m] = on[:m] & b[gone:]
+        return out
+
+    two, alive_two = joined(one, alive, one, 1, 9), both(alive, alive, 1)
+    four, alive_four = joined(two, alive_two, two, 2, 18), both(alive_two, alive_two, 2)
+    six, alive_six = joined(four, alive_four, two, 4, 18), both(alive_four, alive_two, 4)
+    key = joined(six, alive_six, one, 6, 9)
     order = np.argsort(key)
     ranked = key[order]
     fresh = np.ones(n, bool)

@@ -245,3 +245,30 @@ def test_seeded_ranks_are_siphash(spark):
     files = spark.createDataFrame([("/p/d", "texture", p) for p in paths[4:]], "dir string, asset_type string, path string")
     picks = [r["path"] for r in tagging.stratified_sample(files, 5, text.seeded_rank(F.col("path"), 7)).orderBy("rn").collect()]
     assert picks == sorted(paths[4:], key=lambda p: want[paths.index(p)])[:5]
+
+
+def test_counting_minimisers_looks_up_no_places():
+    """Their places in the segments are needed only where segments are sent."""
+    import inspect
+
+    import numpy as np
+
+    from assetloom.llm import suffixdedup
+
+    assert inspect.signature(suffixdedup._Bucket.__init__).parameters["places"].default is True
+    assert "places=False" in inspect.getsource(suffixdedup._counted)
+    rng = np.random.default_rng(5)
+    for sizes in ([], [0, 49, 50, 0, 51, 900, 15], [400], [10, 20]):
+        data = rng.integers(97, 99, sum(sizes)).astype(np.uint8)
+        offsets = np.concatenate(([0], np.cumsum(sizes))).astype(np.int64)
+        grams = suffixdedup.gram_hashes(data)
+        found = list(zip(*(x.tolist() for x in suffixdedup.segments(data, offsets, 50, grams)), strict=True))
+        want = []
+        for t, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)):
+            for i in range(a, b - 49):
+                least = int(grams[i : i + 35].min())
+                if want and want[-1][0] == t and want[-1][3] == least and want[-1][2] < 256 + 49:
+                    want[-1] = (t, want[-1][1], want[-1][2] + 1, least)
+                else:
+                    want.append((t, i, 50, least))
+        assert found == want
