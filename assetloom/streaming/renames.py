@@ -33,21 +33,52 @@ def _hits(acts: DataFrame) -> DataFrame:
     return own.unionByName(acts.where("act = 'move'").select(F.col("to_path").alias("h"), F.lit(False).alias("below"), what("over").alias("hit")))
 
 
+def above(folder: Column) -> Column:
+    """The directory and all directories above it; none for the one above the first name of a path."""
+    return F.when(F.size(F.split(folder, "/", -1)) > 1, ancestors(folder)).otherwise(F.array().cast("array<string>"))
+
+
+def _hit_folders(paths: DataFrame, hits: DataFrame) -> DataFrame | None:
+    """folder and h: the directories that files (path) lie in, and hit paths at or above each; None if there are none.
+
+    Ancestors are exploded once a directory: once a file, all files would meet at the topmost one.
+    """
+    below = hits.where("below").select("h").distinct()
+    found = paths.select(text.parent(F.col("path")).alias("folder")).distinct().select("folder", F.explode(above(F.col("folder"))).alias("h"))
+    found = stored(found.join(below.hint("merge"), "h", "left_semi").select("folder", "h"), "hit-folders")
+    return None if found.isEmpty() else found
+
+
+def _first_after(asked: DataFrame, hits: DataFrame, columns: list[str]) -> DataFrame:
+    """asked (h, at, columns) with hit: the first of hits (h, hit) on h after `at`; null where none is. Rows go by h once, with their columns."""
+    kinds = {f.name: f.dataType for f in asked.schema.fields}
+    rows = asked.select("h", "at", F.lit(True).alias("asks"), F.lit(None).cast(hits.schema["hit"].dataType).alias("hit"), *columns)
+    rows = rows.unionByName(hits.where("h IS NOT NULL").select("h", F.col("hit.at").alias("at"), F.lit(False).alias("asks"), "hit", *(F.lit(None).cast(kinds[c]).alias(c) for c in columns)))
+    later = Window.partitionBy("h").orderBy(F.col("at").desc_nulls_last(), ~F.col("asks")).rowsBetween(Window.unboundedPreceding, 0)
+    return rows.withColumn("hit", F.last("hit", ignorenulls=True).over(later)).where("asks").drop("asks")
+
+
 def _next(states: DataFrame, hits: DataFrame) -> DataFrame:
     """states (path, at, ...) with h, strict and hit of the first act after `at` that hits the path; null where none does.
 
-    Times are looked up once for each different (hit path, time), so the files below a moved
-    directory share one lookup.
+    Acts on the path itself are found by the path; those on directories above it once for each
+    different (directory, time), so the files below a moved directory share one lookup.
     """
-    looked = states.select("path", "at", F.explode(ancestors(F.col("path"))).alias("h")).join(hits.select("h").distinct().hint("merge"), "h").withColumn("strict", F.col("h") != F.col("path"))
-    asked = looked.select("h", "strict", "at").distinct()
-    both = hits.select("h", F.explode(F.when(F.col("below"), F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))).alias("strict"), F.col("hit.at").alias("at"), "hit")
-    rows = asked.select("h", "strict", "at", F.lit(None).cast(hits.schema["hit"].dataType).alias("hit")).unionByName(both)
-    later = Window.partitionBy("h", "strict").orderBy(F.col("at").desc_nulls_last(), F.col("hit").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
-    found = rows.withColumn("found", F.last("hit", ignorenulls=True).over(later)).where("hit IS NULL AND found IS NOT NULL").select("h", "strict", F.col("at").alias("k"), "found")
-    near = looked.join(found.withColumnRenamed("h", "fh").withColumnRenamed("strict", "fs").hint("merge"), (F.col("h") == F.col("fh")) & (F.col("strict") == F.col("fs")) & F.col("at").eqNullSafe(F.col("k")))
-    first = near.groupBy(F.col("path").alias("p"), F.col("at").alias("a")).agg(F.min_by(F.struct("h", "strict", F.col("found").alias("hit")), "found.at").alias("n"))
-    return states.join(first.hint("merge"), (F.col("path") == F.col("p")) & F.col("at").eqNullSafe(F.col("a")), "left").select(*states.columns, "n.h", "n.strict", "n.hit")
+    own = [c for c in states.columns if c not in ("path", "at")]
+    exact = _first_after(states.withColumnRenamed("path", "h"), hits.select("h", "hit"), own).withColumnRenamed("h", "path")
+    folders = _hit_folders(states, hits)
+    if folders is None:
+        return exact.select(*states.columns, F.when(F.col("hit").isNotNull(), F.col("path")).alias("h"), F.when(F.col("hit").isNotNull(), F.lit(False)).alias("strict"), "hit")
+    exact = exact.withColumnRenamed("hit", "own_hit").withColumn("folder", text.parent(F.col("path")))
+    known = folders.select("folder").distinct()
+    asked = exact.select("folder", "at").join(known.hint("merge"), "folder", "left_semi").distinct().join(folders.hint("merge"), "folder")
+    times = asked.select("h", "at").distinct()
+    found = _first_after(times, hits.where("below").select("h", "hit"), []).where("hit IS NOT NULL").select(F.col("h").alias("fh"), F.col("at").alias("fa"), "hit")
+    near = asked.join(found.hint("merge"), (F.col("h") == F.col("fh")) & F.col("at").eqNullSafe(F.col("fa")))
+    first = near.groupBy(F.col("folder").alias("f"), F.col("at").alias("a")).agg(F.min_by(F.struct("h", "hit"), "hit.at").alias("n"))
+    both = exact.join(first.hint("merge"), (F.col("folder") == F.col("f")) & F.col("at").eqNullSafe(F.col("a")), "left")
+    mine = F.col("own_hit").isNotNull() & (F.col("n").isNull() | (F.col("own_hit.at") < F.col("n.hit.at")))
+    return both.select(*states.columns, F.when(mine, F.col("path")).otherwise(F.col("n.h")).alias("h"), F.when(mine, F.lit(False)).when(F.col("n").isNotNull(), F.lit(True)).alias("strict"), F.when(mine, F.col("own_hit")).otherwise(F.col("n.hit")).alias("hit"))
 
 
 def nothing(path: str, kind: T.StructType) -> Column:
@@ -85,16 +116,18 @@ def _walk(items: DataFrame, hits: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def _jumped(links: DataFrame) -> DataFrame:
     """links (e, nxt, stop, end_path, last, keep, size, modified) with every chain of nxt run to its end."""
-    links, kind = stored(links, "links"), links.schema["e"].dataType
-    while not links.where("stop = 'move'").isEmpty():
-        on = links.select(*(F.col(c).alias(f"o_{c}") for c in links.columns))
-        through = F.col("stop") == "move"
+    links = stored(links, "links")
+    every, going = links, stored(links.where("stop = 'move'"), "links")
+    ended = links.where("NOT stop <=> 'move'")
+    while not going.isEmpty():
+        on = every.select(*(F.col(c).alias(f"o_{c}") for c in links.columns))
         over = lambda c: F.coalesce(F.col(f"o_{c}"), F.when(F.col("o_keep"), F.col(c)))
-        after = {c: F.when(through, F.col(f"o_{c}")).otherwise(F.col(c)) for c in ("stop", "end_path", "last")}
-        after |= {"nxt": F.when(through, F.col("o_nxt")).otherwise(F.col("nxt")), "keep": F.when(through, F.col("keep") & F.col("o_keep")).otherwise(F.col("keep"))}
-        after |= {c: F.when(through, over(c)).otherwise(F.col(c)) for c in ("size", "modified")}
-        links = stored(links.join(on.hint("merge"), F.when(through, F.col("nxt")).otherwise(nothing("end_path", kind)) == F.col("o_e"), "left").withColumns(after).select(*links.columns), "links")
-    return links
+        after = {c: F.col(f"o_{c}") for c in ("stop", "end_path", "last", "nxt")} | {"keep": F.col("keep") & F.col("o_keep")} | {c: over(c) for c in ("size", "modified")}
+        # only chains that still go on are joined and written
+        now = stored(going.join(on.hint("merge"), F.col("nxt") == F.col("o_e"), "left").withColumns(after).select(*links.columns), "links")
+        ended, going = ended.unionByName(now.where("NOT stop <=> 'move'")), now.where("stop = 'move'")
+        every = ended.unionByName(going)
+    return ended
 
 
 def followed(catalog_paths: DataFrame, acts: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -112,8 +145,11 @@ def followed(catalog_paths: DataFrame, acts: DataFrame) -> tuple[DataFrame, Data
     land = acts.where("act = 'move'").select(F.lit("land").alias("kind"), F.col("at").alias("born"), F.col("to_path").alias("path"), "at")
     puts = acts.where("act = 'put'").select(F.lit("put").alias("kind"), F.col("at").alias("born"), "path", "at")
     # catalog paths that nothing hits are left out early: first hits are looked up by one distinct path list
-    touched = catalog_paths.select("path", F.explode(ancestors(F.col("path"))).alias("h")).join(hits.groupBy("h").agg(F.bool_or("below").alias("below")).hint("merge"), "h")
-    cats = touched.where("path = h OR below").select("path").distinct().select(F.lit("cat").alias("kind"), none.alias("born"), "path", none.alias("at"))
+    touched, folders = catalog_paths.join(hits.select(F.col("h").alias("path")).distinct().hint("merge"), "path", "left_semi"), _hit_folders(catalog_paths, hits)
+    if folders is not None:
+        inside = catalog_paths.join(folders.select("folder").distinct().hint("merge"), text.parent(F.col("path")) == F.col("folder"), "left_semi")
+        touched = touched.unionByName(inside)
+    cats = touched.select("path").distinct().select(F.lit("cat").alias("kind"), none.alias("born"), "path", none.alias("at"))
     walked, folder_at = _walk(land.unionByName(puts).unionByName(cats), hits)
 
     moves = acts.where("act = 'move'").select(F.col("at").alias("m_at"), F.col("path").alias("m_from"), F.col("to_path").alias("m_to"), F.col("size").alias("m_size"), F.col("modified").alias("m_modified"))

@@ -21,7 +21,7 @@ from ..operators import stats
 from ..operators.snapshot import with_path
 from ..sources import versioned
 from ..sources.storage import put_text, stored, text_file
-from .renames import ancestors, followed, followed_bindings, nothing
+from .renames import above, ancestors, followed, followed_bindings, nothing
 
 DEBOUNCE = "500 milliseconds"
 STATE = "path string, size long, modified long"
@@ -211,7 +211,7 @@ def delta(catalog: DataFrame, events: DataFrame, root: str) -> Batch:
     rejoined = both.where("n_lost = 1 AND n_come = 1").select("from_path", "to_path")
     reap = lost.join(both.hint("merge"), identity, "left_anti").select("path")
 
-    held = known.where("kind = 'cat'").select(F.explode(ancestors(F.col("from_path"))).alias("a"), "from_path").where("a <> from_path").select("a").distinct()
+    held = known.where("kind = 'cat'").select(text.parent(F.col("from_path")).alias("a")).distinct().select(F.explode(above(F.col("a"))).alias("a")).distinct()
     first = folders.groupBy("from_path").agg(F.min_by(F.struct("path", "fate"), "at").alias("x")).select("from_path", F.col("x.path").alias("to_path"), F.col("x.fate").alias("fate"))
     whole = first.where((F.col("fate") == "stay") & trackable(F.col("to_path"), root) & (F.col("from_path") != F.col("to_path"))).join(held.hint("merge"), F.col("from_path") == F.col("a"), "left_semi").select("from_path", "to_path", F.lit(True).alias("is_dir"))
     pairs = last.where("own AND from_path <> path").select("from_path", F.col("path").alias("to_path")).join(present.hint("merge"), F.col("from_path") == F.col("path"), "left_anti")

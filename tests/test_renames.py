@@ -160,3 +160,12 @@ def test_no_side_of_a_batch_is_broadcast(spark):
     states = catalog.select("path", F.lit(None).cast(hits.schema["hit"].dataType["at"].dataType).alias("at"))
     assert "Broadcast" not in renames._next(states, hits)._jdf.queryExecution().sparkPlan().toString()
     assert {tuple(r) for r in tags.collect()} == {("/p/e/b.png", "t")}
+
+
+def test_files_are_not_exploded_over_their_ancestors(spark):
+    """Else every file would meet all others of the tree at the topmost directory."""
+    hits = renames._hits(watch.acts_of(spark.createDataFrame([(1, 1, "rename", "/p/a.png", "/p/b.png", None, None)], EVENTS), "/p"))
+    states = spark.createDataFrame([("/p/a.png",), ("/p/in/c.png",)], "path string").withColumn("at", F.lit(None).cast(hits.schema["hit"].dataType["at"].dataType))
+    found = renames._next(states, hits)
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert {(r["path"], r["h"], r["strict"]) for r in found.collect()} == {("/p/a.png", "/p/a.png", False), ("/p/in/c.png", None, None)}
