@@ -1132,7 +1132,9 @@ def _batch_events(a: DataFrame) -> DataFrame:
 
 
 def _after(a: DataFrame) -> watch.Batch:
-    return watch.apply_batch(a, _batch_events(a), src.ROOT)
+    """The catalog is made once, for the batch and for its events."""
+    kept = storage.stored(a, "catalog")
+    return watch.delta(kept, _batch_events(kept), src.ROOT)
 
 
 _BATCH = """, m AS (SELECT *, CASE WHEN starts_with(path, '/proj/SMALL/') THEN 'dir' WHEN size % 10 = 1 THEN 'ren' WHEN size % 10 = 2 THEN 'rm' WHEN size % 10 = 3 THEN 'mv' ELSE 'keep' END AS act, starts_with(path, '/proj/PROMO/Brand1/') AS brand FROM a),

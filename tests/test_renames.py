@@ -169,3 +169,14 @@ def test_files_are_not_exploded_over_their_ancestors(spark):
     found = renames._next(states, hits)
     assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
     assert {(r["path"], r["h"], r["strict"]) for r in found.collect()} == {("/p/a.png", "/p/a.png", False), ("/p/in/c.png", None, None)}
+
+
+def test_batch_queries_make_the_catalog_once(spark, monkeypatch):
+    """The events of the batch queries come from the catalog that is written down, not from its view again."""
+    from assetloom.plans import queries
+
+    seen, made = [], queries._batch_events
+    monkeypatch.setattr(queries, "_batch_events", lambda a: seen.append(a) or made(a))
+    view = spark.createDataFrame(rows(["/proj/SMALL/a.png"]), CATALOG).withColumn("asset_type", F.lower("extension")).withColumn("dir", F.lit("/proj/SMALL"))
+    assert queries._after(view).catalog.select("path").collect() == [("/proj/Tiny/a.png",)]
+    assert "Relation" in (plan := seen[0]._jdf.queryExecution().optimizedPlan().toString()) and "lower" not in plan
