@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.storage import stored
 from .cross import is_builtin
 
 
@@ -25,29 +26,35 @@ def nodes(refs: DataFrame, known: DataFrame, packages: DataFrame) -> DataFrame:
 def neighbourhood(edge: DataFrame, start: Column, hops: int = 2, assets: DataFrame | None = None) -> DataFrame:
     """id, direction and the least number of hops from the start nodes, forward and backward apart.
 
-    edge: src, dst. Both directions are one frontier with a direction column over one list of
-    distinct edges. assets (id): if given, only these are gone on from; other nodes end a way.
+    edge: src, dst. The first hop is a filter of the edges, as `start` tells its nodes; each
+    further one sends the edges once a direction to those that were reached, which are written
+    down. Repeats are dropped from what is reached, never by sending all edges for that. assets
+    (id): if given, only these are gone on from; other nodes end a way.
     """
-    once = edge.select("src", "dst").distinct()
-    links = once.select(F.explode(F.array(F.struct(F.lit("forward").alias("direction"), F.col("src").alias("id"), F.col("dst").alias("to")), F.struct(F.lit("backward").alias("direction"), F.col("dst").alias("id"), F.col("src").alias("to")))).alias("l")).select("l.*")
-    go = links if assets is None else links.join(assets.select("id").distinct(), "id", "left_semi")
-    nodes_ = links.select("id", "direction").where(start).distinct()
+    ways = {"forward": ("src", "dst"), "backward": ("dst", "src")}
+    own = None if assets is None else assets.select("id").distinct()
+    go_on = lambda rows: rows if own is None else rows.join(own, "id", "left_semi")
     # a node that only receives is a start of the other direction too
-    both = nodes_.select("id").distinct().withColumn("direction", F.explode(F.array(F.lit("forward"), F.lit("backward"))))
-    front = both.withColumn("hop", F.lit(0))
-    seen = front
+    both = edge.select(F.explode(F.array("src", "dst")).alias("id")).where(start).distinct()
+    seen = both.select("id", F.explode(F.array(*map(F.lit, ways))).alias("direction"), F.lit(0).alias("hop"))
     for hop in range(1, hops + 1):
-        step = front.select("id", "direction").join(go, ["id", "direction"]).select(F.col("to").alias("id"), "direction", F.lit(hop).alias("hop"))
-        seen = seen.unionByName(step).groupBy("id", "direction").agg(F.min("hop").alias("hop"))
-        front = seen.where(F.col("hop") == hop)
+        steps = []
+        for direction, (here, there) in ways.items():
+            links = edge.select(F.col(here).alias("id"), F.col(there).alias("to"))
+            if hop == 1:
+                step = go_on(links.where(start))
+            else:
+                step = links.join(go_on(seen.where((F.col("hop") == hop - 1) & (F.col("direction") == direction)).select("id")), "id", "left_semi")
+            steps.append(step.select(F.col("to").alias("id"), F.lit(direction).alias("direction"), F.lit(hop).alias("hop")))
+        seen = stored(seen.unionByName(steps[0]).unionByName(steps[1]).groupBy("id", "direction").agg(F.min("hop").alias("hop")), "reached")
     return seen.select("id", "hop", "direction")
 
 
 def reached_edges(edge: DataFrame, reached: DataFrame) -> DataFrame:
-    """The distinct edges between nodes (id) that were reached, whichever way."""
+    """The distinct edges between nodes (id) that were reached, whichever way. Repeats go last, when few edges are left."""
     ids = reached.select("id").distinct()
-    once = edge.select("src", "dst").distinct()
-    return once.join(ids.select(F.col("id").alias("src")), "src", "left_semi").join(ids.select(F.col("id").alias("dst")), "dst", "left_semi")
+    inside = edge.select("src", "dst").join(ids.select(F.col("id").alias("src")), "src", "left_semi").join(ids.select(F.col("id").alias("dst")), "dst", "left_semi")
+    return inside.distinct()
 
 
 def reverse_references(refs: DataFrame) -> DataFrame:

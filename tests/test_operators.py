@@ -272,3 +272,11 @@ def test_counting_minimisers_looks_up_no_places():
                 else:
                     want.append((t, i, 50, least))
         assert found == want
+
+
+def test_edges_are_cut_down_before_repeats_are_dropped(spark):
+    """Sending all edges once only to drop repeats would shuffle the whole list."""
+    edge = spark.createDataFrame([("a", "b"), ("a", "b"), ("b", "c"), ("x", "y"), ("c", "x")], "src string, dst string")
+    found = graph.reached_edges(edge, spark.createDataFrame([("a",), ("b",), ("c",)], "id string"))
+    assert found._jdf.queryExecution().optimizedPlan().toString().startswith("Aggregate")
+    assert sorted(map(tuple, found.select("src", "dst").collect())) == [("a", "b"), ("b", "c")]
