@@ -14,10 +14,11 @@ import os
 from collections import deque
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions import text
 from ..operators.graph import resource_references, yaml_references
@@ -31,6 +32,36 @@ ENTRY = "path string, is_dir boolean, size long, modified long, modified_nanos l
 #: Directories that a task is given, entries after which it gives back what it has not opened,
 #: and the first bytes that two files of one size are compared by.
 TASK_DIRS, TASK_ENTRIES, PREFIX_BYTES = 200, 20_000, 8192
+#: Rows that a task makes before it sends them on, and the bytes of contents (a file at least).
+SEND_ROWS, SEND_BYTES = 1000, 1 << 20
+
+
+def _made(rows: DataFrame, of, schema: str | T.StructType) -> DataFrame:
+    """The tuples that `of` makes in tasks of an iterator over those of `rows`. They are sent on by SEND_ROWS, however many come in, so that a task's Python stays as large at any size."""
+    schema = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    types = to_arrow_schema(schema)
+
+    def tuples(batches):
+        for batch in batches:
+            columns = batch.columns
+            for i in range(batch.num_rows):  # one at a time: a row may hold a file
+                yield tuple(c[i].as_py() for c in columns)
+
+    def sent(out):
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types.types, strict=True)], schema=types)
+
+    def run(batches):
+        out, size = [], 0
+        for row in of(tuples(batches)):
+            out.append(row)
+            size += sum(len(v) for v in row if isinstance(v, bytes))
+            if len(out) >= SEND_ROWS or size >= SEND_BYTES:
+                yield sent(out)
+                out, size = [], 0
+        if out:
+            yield sent(out)
+
+    return rows.mapInArrow(run, schema)
 
 
 def _store(path: str):
@@ -70,34 +101,26 @@ def walk(spark: SparkSession, root: str) -> DataFrame:
     jobs grows with the entries a task is left with, not with the depth of the tree, and a
     large directory below a small one is not one task's.
     """
-    names = [c.split()[0] for c in ENTRY.split(", ")]
 
-    def frame(rows):  # as objects: beside an empty cell pandas would make times floats, which round them to 256 nanoseconds
-        return pd.DataFrame(rows, columns=[*names, "waiting"], dtype=object)
-
-    def run(batches):
-        for batch in batches:
-            waiting, rows, seen = deque(batch["path"]), [], 0
-            while waiting and seen < TASK_ENTRIES:
-                for row in _children(waiting.popleft()):
-                    name = row[0].rsplit("/", 1)[1]
-                    if name.startswith(".") and name not in (".gitignore", ".ignore") and row[5] is None:
-                        continue
-                    seen += 1
-                    rows.append((*row, False))
-                    if row[1]:
-                        waiting.append(row[0])
-                    if len(rows) >= 10_000:
-                        yield frame(rows)
-                        rows = []
-            rows += [(folder, True, None, None, None, None, True) for folder in waiting]
-            yield frame(rows)
-
-    level, parts = spark.createDataFrame([(root.rstrip("/") or "/",)], "path string"), None
+    def run(folders):
+        waiting, seen = deque(f for f, in folders), 0
+        while waiting and seen < TASK_ENTRIES:
+            for row in _children(waiting.popleft()):
+                name = row[0].rsplit("/", 1)[1]
+                if name.startswith(".") and name not in (".gitignore", ".ignore") and row[5] is None:
+                    continue
+                seen += 1
+                yield *row, False
+                if row[1]:
+                    waiting.append(row[0])
+        for folder in waiting:
+            yield folder, True, None, None, None, None, True
+
+    level, parts = spark.range(1).select(F.lit(root.rstrip("/") or "/").alias("path")), None
     while True:
         n = level.count()
         tasks = min(max(-(-n // TASK_DIRS), min(n, spark.sparkContext.defaultParallelism)), 10_000)
-        found = stored(level.repartition(max(tasks, 1)).mapInPandas(run, f"{ENTRY}, waiting boolean"), "walk")
+        found = stored(_made(level.repartition(max(tasks, 1)), run, f"{ENTRY}, waiting boolean"), "walk")
         entries = found.where("NOT waiting").drop("waiting")
         parts = entries if parts is None else parts.unionByName(entries)
         level = found.where("waiting").select("path")
@@ -117,15 +140,27 @@ def _read(path: str, most: int | None) -> bytes | None:
 def with_content(found: DataFrame, most: Column | None = None) -> DataFrame:
     """found (path, ...) with the first `most` bytes of each file (null: all); null if unreadable. Read in tasks."""
     rows = found.withColumn("_most", (F.lit(None) if most is None else most).cast("long"))
+    at = found.columns.index("path")
+
+    def run(rows):
+        for *row, n in rows:
+            yield *row, _read(row[at], n)
+
+    return _made(rows, run, T.StructType([*found.schema.fields, T.StructField("content", T.BinaryType())]))
 
-    def run(batches):
-        for batch in batches:
-            for at in range(len(batch)):  # one file at a time: files may be large
-                row = batch.iloc[at : at + 1]
-                n = row["_most"].iloc[0]
-                yield row.drop(columns="_most").assign(content=[_read(row["path"].iloc[0], None if pd.isna(n) else int(n))])
 
-    return rows.mapInPandas(run, T.StructType([*found.schema.fields, T.StructField("content", T.BinaryType())]))
+def _read_as(found: DataFrame, most: Column | None, of, schema: str | T.StructType) -> DataFrame:
+    """The path of each file of found and what of(path, content) says of it.
+
+    One Python worker of a task reads a file and looks at it: contents are not sent, and one
+    is held at a time. Content that one worker read and another looked at would take two.
+    """
+
+    def run(rows):
+        for path, n in rows:
+            yield path, of(path, _read(path, n))
+
+    return _made(found.select("path", (F.lit(None) if most is None else most).cast("long").alias("_most")), run, schema)
 
 
 def ignore_rules(spark: SparkSession, root: str, entries: DataFrame, global_text: str = "", parents: bool = True) -> DataFrame:
@@ -139,14 +174,14 @@ def ignore_rules(spark: SparkSession, root: str, entries: DataFrame, global_text
         if body:
             files.append((folder, n, body.decode("utf-8", "replace")))
     name = text.base_name(F.col("path"))
-    own = with_content(entries.where(name.isin(".gitignore", ".ignore") & ~F.col("is_dir")).select("path"))
+    own = entries.where(name.isin(".gitignore", ".ignore") & ~F.col("is_dir")).select("path")
 
-    def rules(batches):
-        for batch in batches:
-            files = [(p.rsplit("/", 1)[0], ignores.FILES.index(p.rsplit("/", 1)[1]) + 1, (c or b"").decode("utf-8", "replace")) for p, c in zip(batch["path"], batch["content"], strict=True)]
-            yield pd.DataFrame(ignores.rules_of(files), columns=[c.split()[0] for c in ignores.RULES.split(", ")])
+    def rules(rows):
+        for path, in rows:
+            folder, kind = path.rsplit("/", 1)
+            yield from ignores.rules_of([(folder, ignores.FILES.index(kind) + 1, (_read(path, None) or b"").decode("utf-8", "replace"))])
 
-    return spark.createDataFrame(ignores.rules_of(files), ignores.RULES).unionByName(own.mapInPandas(rules, ignores.RULES))
+    return ignores.rows(spark, ignores.rules_of(files)).unionByName(_made(own, rules, ignores.RULES))
 
 
 def listing(spark: SparkSession, root: str, *, respect_ignores: bool = False, entries: DataFrame | None = None) -> DataFrame:
@@ -173,16 +208,21 @@ def _extension() -> Column:
     return F.lower(text.extension(text.base_name(F.col("path"))))
 
 
+_HEADER = T.StructType([T.StructField("path", T.StringType()), T.StructField("metadata", _META)])
+
+
+def _metadata(path: str, content: bytes | None) -> dict | None:
+    return read_header(path.rsplit(".", 1)[-1], content) or None
+
+
 def headers(found: DataFrame) -> DataFrame:
     """path and metadata of the files (path, content) that have a header reader; null if unreadable."""
 
-    def run(batches):
-        for batch in batches:
-            meta = [read_header(p.rsplit(".", 1)[-1], c) for p, c in zip(batch["path"], batch["content"], strict=True)]
-            yield pd.DataFrame({"path": batch["path"], "metadata": [{k: m.get(k) for k in METADATA} if m else None for m in meta]})
+    def run(rows):
+        for path, content in rows:
+            yield path, _metadata(path, content)
 
-    wanted = found.where(_extension().isin(*READERS)).select("path", "content")
-    return wanted.mapInPandas(run, T.StructType([T.StructField("path", T.StringType()), T.StructField("metadata", _META)]))
+    return _made(found.where(_extension().isin(*READERS)).select("path", "content"), run, _HEADER)
 
 
 GLTF = ("gltf", "glb")
@@ -244,26 +284,17 @@ def read_headers(found: DataFrame) -> DataFrame:
     ext = _extension()
     wanted = found.where(ext.isin(*READERS) & (~ext.isin(*WHOLE) | (F.col("size") <= MOST_BYTES))).select("path")
     models = with_content(wanted.where(ext.isin(*GLTF))).select("path", gltf_metadata(F.col("content")).alias("metadata"))
-    return headers(with_content(wanted.where(~ext.isin(*GLTF)), F.when(~ext.isin(*WHOLE), F.lit(HEAD_BYTES)))).unionByName(models)
+    return _read_as(wanted.where(~ext.isin(*GLTF)), F.when(~ext.isin(*WHOLE), F.lit(HEAD_BYTES)), _metadata, _HEADER).unionByName(models)
 
 
 def obj_materials(found: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
     """path and material_count of the OBJ files of a listing (or of `wanted`) whose material library can be read. Only libraries that one names are opened."""
 
-    def libraries(batches):
-        for batch in batches:
-            names = [None if c is None else material_library(c) for c in batch["content"]]
-            yield pd.DataFrame({"path": batch["path"], "library": names})
-
-    def counts(batches):
-        for batch in batches:
-            yield pd.DataFrame({"mtl": batch["path"], "material_count": [None if c is None else len(material_names(c)) for c in batch["content"]]})
-
     models = (found if wanted is None else wanted).where(_extension() == "obj").select("path")
-    named = with_content(models, F.lit(HEAD_BYTES)).mapInPandas(libraries, "path string, library string")
+    named = _read_as(models, F.lit(HEAD_BYTES), lambda _, c: None if c is None else material_library(c), "path string, library string")
     named = stored(named.withColumn("mtl", F.concat(text.parent(F.col("path")), F.lit("/"), F.regexp_replace("library", r"^\./", ""))), "libraries")
     asked = found.where((_extension() == "mtl") & (F.col("size") <= MOST_BYTES)).select("path").join(named.select(F.col("mtl").alias("path")), "path", "left_semi")
-    counted = with_content(asked).mapInPandas(counts, "mtl string, material_count long")
+    counted = _read_as(asked, None, lambda _, c: None if c is None else len(material_names(c)), "mtl string, material_count long")
     return named.join(counted, "mtl").select("path", "material_count")
 
 

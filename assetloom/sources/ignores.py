@@ -10,8 +10,11 @@ from __future__ import annotations
 
 import re
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..streaming.watch import ancestors
 
@@ -73,6 +76,13 @@ def rules_of(files: list[tuple[str, int, str]]) -> list[tuple[str, int, str, boo
     return rows
 
 
+def rows(spark: SparkSession, rules: list[tuple[str, int, str, bool, bool]]) -> DataFrame:
+    """The rules as RULES; by way of Arrow, as a list of tuples would take a Python worker of its own a core."""
+    schema = T.StructType.fromDDL(RULES)
+    types = to_arrow_schema(schema)
+    return spark.createDataFrame(pa.table([pa.array([r[i] for r in rules], t) for i, t in enumerate(types.types)], schema=types), schema)
+
+
 def kept(listing: DataFrame, rules: DataFrame, root: str) -> DataFrame:
     """The files (path, ...) of a listing below root that the rules leave in.
 
@@ -96,4 +106,4 @@ def kept(listing: DataFrame, rules: DataFrame, root: str) -> DataFrame:
 def matcher(spark: SparkSession, root: str, texts: dict[str, str], global_text: str = "") -> DataFrame:
     """Rules of a project's root alone, by name of its ignore files, and of a global list: for single paths, as in a change feed."""
     files = [(root, 0, global_text), *((root, 1 + FILES.index(n), t) for n, t in texts.items())]
-    return spark.createDataFrame(rules_of(files), RULES)
+    return rows(spark, rules_of(files))

@@ -1,8 +1,10 @@
 import json
 import os
+import re
 import struct
 import zlib
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from assetloom.plans import queries
@@ -251,3 +253,46 @@ def test_gltf_bytes_are_made_once_and_in_many_tasks(spark, sf_dir):
     rows = spark.createDataFrame([("7B7D",)], "h string").select(fsscan.gltf_metadata(F.unhex("h")).alias("m"))
     assert rows._jdf.queryExecution().analyzed().toString().count("unhex(") == 1 and rows.first()["m"]["vertex_count"] == 0
     assert queries.gltf_counts(spark, sf_dir).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
+def python_steps(plan: str) -> int:
+    """The most Python steps that a stage of a physical plan runs in each task."""
+    most, above = 0, []
+    for line in plan.splitlines():
+        indent = len(line) - len(line.lstrip(" :+-*()0123456789"))
+        above = [a for a in above if a[0] < indent]
+        n = 0 if "Exchange" in line else (above[-1][1] if above else 0) + bool(re.search("MapIn(Pandas|Arrow)|Scan ExistingRDD|EvalPython", line))
+        above.append((indent, n))
+        most = max(most, n)
+    return most
+
+
+def test_a_task_of_a_scan_runs_one_python(spark, tmp_path, monkeypatch):
+    os.makedirs(f"{tmp_path}/p/a")
+    for name, body in {"a/x.png": png(3, 4), "a/x.png.meta": b"guid: g1\n", "y.obj": b"mtllib y.mtl\nf 1 2 3\n", "y.mtl": b"newmtl m\n", "no.wav": b"", ".gitignore": b"*.wav\n"}.items():
+        with open(f"{tmp_path}/p/{name}", "wb") as f:
+            f.write(body)
+    plans, real = [], fsscan.stored
+
+    def stored(df, name):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return real(df, name)
+
+    monkeypatch.setattr(fsscan, "stored", stored)
+    found = fsscan.scan(spark, f"{tmp_path}/p", respect_ignores=True)
+    plans.append(found._jdf.queryExecution().executedPlan().toString())
+    assert {(r["name"], r["unity_guid"], r["metadata"] and r["metadata"]["width"], r["metadata"] and r["metadata"]["material_count"]) for r in found.collect()} == {("x.png", "g1", 3, None), ("y.obj", None, None, 1), ("y.mtl", None, None, None)}
+    assert max(map(python_steps, plans)) == 1 and not any("ExistingRDD" in p for p in plans)
+
+
+def test_a_task_sends_on_what_it_has_made():
+    """Few rows, few bytes and no more than one file above them at a time, however many come in."""
+
+    class Rows:
+        def mapInArrow(self, run, schema):
+            return run
+
+    run = fsscan._made(Rows(), lambda rows: ((b"x" * n,) for n, in rows), "content binary")
+    sent = lambda *sizes: [b.num_rows for b in run([pa.record_batch({"n": list(sizes)})])]
+    assert sent(*[1] * 2500) == [1000, 1000, 500] and sent() == []
+    assert sent(600_000, 600_000, 3 << 20, 0, 5) == [2, 1, 2]
