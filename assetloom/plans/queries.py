@@ -869,6 +869,11 @@ over_assets(
 # --- a scanned tree -----------------------------------------------------------------------
 
 
+def _dealt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The keys that files are made of: one small file, so they are dealt out before the work."""
+    return table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey").repartition(4 * spark.sparkContext.defaultParallelism, "s_suppkey")
+
+
 def _tree(spark: SparkSession, sf_dir: str) -> str:
     """`supplier` as files in the shared folder: pictures, sounds and models by key, sidecars, and ignore files."""
     import os
@@ -892,7 +897,7 @@ def _tree(spark: SparkSession, sf_dir: str) -> str:
                     f.write(f"version: 2\nguid: g{k}\n")
             yield batch
 
-    table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey").mapInPandas(write, "s_suppkey long, s_nationkey long").count()
+    _dealt(spark, sf_dir).mapInPandas(write, "s_suppkey long, s_nationkey long").count()
     os.makedirs(f"{root}/_n0", exist_ok=True)
     for where, body in ((f"{root}/.gitignore", "# made\nout/\n*.wav\n"), (f"{root}/_n0/.gitignore", "!*.wav\n")):
         with open(where, "w") as f:
@@ -996,7 +1001,7 @@ def _rescanned(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
                     os.utime(f"{name}.meta", ns=(1, 1))
             yield batch
 
-    table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey").mapInPandas(change, "s_suppkey long, s_nationkey long").count()
+    _dealt(spark, sf_dir).mapInPandas(change, "s_suppkey long, s_nationkey long").count()
     found, counts = rescan.rescan(spark, root, where, buckets=32, respect_ignores=True)
     return found.select(F.substring("path", len(root) + 2, 1 << 30).alias("path"), "metadata.width", F.col("unity_guid").alias("guid")), counts
 

@@ -296,3 +296,7 @@ def test_a_task_sends_on_what_it_has_made():
     sent = lambda *sizes: [b.num_rows for b in run([pa.record_batch({"n": list(sizes)})])]
     assert sent(*[1] * 2500) == [1000, 1000, 500] and sent() == []
     assert sent(600_000, 600_000, 3 << 20, 0, 5) == [2, 1, 2]
+
+
+def test_the_tree_is_made_in_many_tasks(spark, sf_dir):
+    assert queries._dealt(spark, sf_dir).select(F.spark_partition_id()).distinct().count() > 4
