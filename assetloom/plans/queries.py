@@ -889,7 +889,7 @@ def _tree(spark: SparkSession, sf_dir: str) -> str:
                 os.makedirs(folder, exist_ok=True)
                 name, body = {
                     0: (f"s{k}.png", png(k, k + 1)), 1: (f"s{k}.gif", b"GIF89a" + struct.pack("<HH", k % 65536, 7)), 2: (f"s{k}.obj", b"f 1 2 3 4\n" * (k % 5 + 1)),
-                    3: (f"s{k}.wav", b"RIFF\0\0\0\0WAVEfmt \x10\0\0\0" + struct.pack("<HHIIHH", 1, 2, 8000, 32000, 4, 16) + b"data" + struct.pack("<I", 32000 * k)), 4: (f".hidden{k}.png", b"x"),
+                    3: (f"s{k}.wav", b"RIFF\0\0\0\0WAVEfmt \x10\0\0\0" + struct.pack("<HHIIHH", 1, 1, 1, 1, 1, 8) + b"data" + struct.pack("<I", k)), 4: (f".hidden{k}.png", b"x"),
                 }[k % 5]
                 with open(f"{folder}/{name}", "wb") as f:
                     f.write(body)

@@ -300,3 +300,9 @@ def test_a_task_sends_on_what_it_has_made():
 
 def test_the_tree_is_made_in_many_tasks(spark, sf_dir):
     assert queries._dealt(spark, sf_dir).select(F.spark_partition_id()).distinct().count() > 4
+
+
+def test_a_tree_of_many_keys_has_its_sounds(spark, tmp_path):
+    """A sound's length in bytes is 32 bits: 32,000 a key were too many from key 134,218 on."""
+    spark.createDataFrame([(400_003, 0)], "s_suppkey long, s_nationkey long").write.parquet(f"{tmp_path}/supplier.parquet")
+    assert [(r["path"], r["duration_secs"]) for r in queries.scan_tree(spark, str(tmp_path)).collect()] == [("_n0/in/s400003.wav", 400003.0)]
